@@ -11,7 +11,8 @@ Every input covers its whole source table; nothing is sampled or capped.
 * changelog U: graph C split by order date. Lines of orders before
   ``CUTOFF`` build the base graph; every later line is a change in order
   (date, order, line number): a returned line (flag 'R') deletes its
-  customer -> supplier edge, any other line adds it. ``BATCH_STARTS`` cut the
+  customer -> supplier edge, any other line adds it; ties on (date, order,
+  line) resolve with the add last. ``BATCH_STARTS`` cut the
   changes into the stream's micro-batches by month.
 """
 
@@ -86,11 +87,12 @@ def base_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edge_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(seq, batch, op, src, dst)`` for every order line on or after the cutoff."""
     lines = graph_c_lines(spark, sf_dir).filter(F.col("o_orderdate") >= F.lit(CUTOFF).cast("timestamp"))
+    op = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1))
     batch = F.lit(0)
     for i, start in enumerate(BATCH_STARTS[1:], start=1):
         batch = F.when(F.col("o_orderdate") >= F.lit(start).cast("timestamp"), F.lit(i)).otherwise(batch)
+    # The tables hold repeated (order, line number) pairs, so ``op`` ends the
+    # key: on a tie the add sorts last and wins.
     return lines.select(
-        F.struct("o_orderdate", "o_orderkey", "l_linenumber").alias("seq"),
-        batch.alias("batch"),
-        F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1)).alias("op"),
-        "src", "dst")
+        F.struct("o_orderdate", "o_orderkey", "l_linenumber", op.alias("op")).alias("seq"),
+        batch.alias("batch"), op.alias("op"), "src", "dst")

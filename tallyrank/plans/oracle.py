@@ -75,9 +75,10 @@ def pagerank_sql(edges_sql: str, iters: int = 5, damping: float = 0.85) -> str:
     return f"WITH {', '.join(ctes)} SELECT node, {r6('r')} AS rank FROM r{iters}"
 
 
-def history_select(iters: int, tag: str = "") -> str:
+def history_select(iters: int, tag: str = "", rounded: bool = True) -> str:
     """``node, i0 .. i{iters-1}`` from the CTEs of ``pagerank_ctes``."""
-    cols = ", ".join(f"{r6(f'{tag}r{k}.r')} AS i{k - 1}" for k in range(1, iters + 1))
+    rnd = r6 if rounded else (lambda x: x)
+    cols = ", ".join(f"{rnd(f'{tag}r{k}.r')} AS i{k - 1}" for k in range(1, iters + 1))
     joins = " ".join(f"JOIN {tag}r{k} ON {tag}r{k}.node = {tag}r{iters}.node" for k in range(1, iters))
     return f"SELECT {tag}r{iters}.node AS node, {cols} FROM {tag}r{iters} {joins}"
 
@@ -85,3 +86,35 @@ def history_select(iters: int, tag: str = "") -> str:
 def history_sql(edges_sql: str, iters: int = 5, damping: float = 0.85, keep: str = "all") -> str:
     ctes = pagerank_ctes(edges_sql, iters, damping, keep)
     return f"WITH {', '.join(ctes)} {history_select(iters)}"
+
+
+CUTOFF_TS = "TIMESTAMP '2001-06-01'"
+
+# Base graph and net change log of graph U (see plans.inputs).
+CHANGELOG_CTES = [
+    GRAPH_C_LINES,
+    f"base AS (SELECT DISTINCT src, dst FROM c_lines WHERE o_orderdate < {CUTOFF_TS})",
+    f"""net AS (SELECT src, dst, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS op FROM c_lines
+       WHERE o_orderdate >= {CUTOFF_TS}
+       QUALIFY row_number() OVER (PARTITION BY src, dst
+                                  ORDER BY o_orderdate DESC, o_orderkey DESC, l_linenumber DESC, op DESC) = 1)""",
+    """newe AS (SELECT b.src, b.dst FROM base b ANTI JOIN net n ON b.src = n.src AND b.dst = n.dst
+       UNION ALL SELECT src, dst FROM net WHERE op = 1)""",
+]
+
+
+def delta_sql(iters: int = 5, damping: float = 0.85) -> str:
+    """history(E') - history(E) over the nodes of both graphs (isolated = 1 - d)."""
+    a = repr(1.0 - damping)
+    ctes = (CHANGELOG_CTES + pagerank_ctes("SELECT * FROM base", iters, damping, "all", "o")
+            + pagerank_ctes("SELECT * FROM newe", iters, damping, "all", "n")
+            + [f"oh AS ({history_select(iters, 'o', rounded=False)})",
+               f"nh AS ({history_select(iters, 'n', rounded=False)})"])
+    cols = ", ".join(f"{r6(f'coalesce(nh.i{j}, {a}) - coalesce(oh.i{j}, {a})')} AS i{j}" for j in range(iters))
+    return (f"WITH {', '.join(ctes)} SELECT coalesce(nh.node, oh.node) AS node, {cols} "
+            f"FROM nh FULL OUTER JOIN oh ON nh.node = oh.node")
+
+
+def new_history_sql(iters: int = 5, damping: float = 0.85) -> str:
+    ctes = CHANGELOG_CTES + pagerank_ctes("SELECT * FROM newe", iters, damping, "all", "n")
+    return f"WITH {', '.join(ctes)} {history_select(iters, 'n')}"

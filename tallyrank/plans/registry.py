@@ -215,3 +215,72 @@ FROM (SELECT src AS node FROM ({GRAPH_C}) UNION SELECT dst FROM ({GRAPH_C}))""")
 def q_zero_deltas(spark, sf):
     hist = PR.pagerank_history(I.graph_c(spark, sf), ITERS, DAMPING, keep="all")
     return rounded_wide(PR.zero_deltas(hist), col="delta")
+
+
+# ------------------------------------------------------- changelog and delta
+
+from ..operators.delta import pagerank_delta  # noqa: E402
+from .oracle import CHANGELOG_CTES, delta_sql, new_history_sql  # noqa: E402
+
+
+@register("apply_edge_updates", f"WITH {', '.join(CHANGELOG_CTES)} SELECT src, dst FROM newe")
+def q_apply_edge_updates(spark, sf):
+    return G.apply_edge_updates(I.base_edges(spark, sf), I.edge_updates(spark, sf))
+
+
+def _delta(spark, sf):
+    base = I.base_edges(spark, sf)
+    links = G.prepare_links(base)
+    hist = PR.pagerank_history(links=links, iters=ITERS, damping=DAMPING, keep="all")
+    return base, hist, pagerank_delta(base, I.edge_updates(spark, sf), hist, ITERS, DAMPING, links_old=links)
+
+
+@register("pagerank_delta", delta_sql(ITERS, DAMPING))
+def q_pagerank_delta(spark, sf):
+    base, _, res = _delta(spark, sf)
+    return rounded_wide(res.full_delta(base), col="delta")
+
+
+# history(E) + delta == history(E'): the updated history against a recompute.
+@register("pagerank_delta_history", new_history_sql(ITERS, DAMPING))
+def q_pagerank_delta_history(spark, sf):
+    _, hist, res = _delta(spark, sf)
+    return rounded_wide(res.history(hist))
+
+
+# ------------------------------------------------------ ordered and state
+
+from ..operators.ordered import slice_batches, take_chars  # noqa: E402
+from ..sources.state import load_graph_state, save_graph_state  # noqa: E402
+
+TAKE_CHARS = 1_000_000          # the reference generator's default size
+ROWS_PER_BATCH, EMPTY_RUNS = 50, 1
+
+_UTF16_LEN = "(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))"
+
+
+@register("take_chars", f"""
+WITH d AS (SELECT doc_id, {_UTF16_LEN}::BIGINT AS chars FROM documents),
+c AS (SELECT doc_id, chars, sum(chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cum_chars,
+             row_number() OVER (ORDER BY doc_id) AS rn FROM d)
+SELECT doc_id, chars, cum_chars FROM c WHERE rn = 1 OR cum_chars - chars < {TAKE_CHARS}""")
+def q_take_chars(spark, sf):
+    d = I.table(spark, sf, "documents", ("doc_id", "text"))
+    return take_chars(d, ["doc_id"], TAKE_CHARS).select("doc_id", "chars", "cum_chars")
+
+
+@register("slice_batches", f"""
+SELECT conv_id, turn, ({EMPTY_RUNS} + floor((row_number() OVER (ORDER BY conv_id, turn) - 1) / {ROWS_PER_BATCH}))::INTEGER AS batch
+FROM conversations""")
+def q_slice_batches(spark, sf):
+    c = I.table(spark, sf, "conversations", ("conv_id", "turn"))
+    return slice_batches(c, ["conv_id", "turn"], ROWS_PER_BATCH, empty_runs=EMPTY_RUNS)
+
+
+@register("graph_state_roundtrip", history_sql(GRAPH_C, ITERS, DAMPING, "all"))
+def q_graph_state_roundtrip(spark, sf):
+    edges = I.graph_c(spark, sf)
+    path = scratch_path(spark, "graph-state")
+    save_graph_state(path, edges, PR.pagerank_history(edges, ITERS, DAMPING, keep="all"))
+    _, ranks, _ = load_graph_state(spark, path)
+    return rounded_wide(ranks)
