@@ -284,3 +284,95 @@ def q_graph_state_roundtrip(spark, sf):
     save_graph_state(path, edges, PR.pagerank_history(edges, ITERS, DAMPING, keep="all"))
     _, ranks, _ = load_graph_state(spark, path)
     return rounded_wide(ranks)
+
+
+# ----------------------------------------------------------------- streaming
+
+from ..operators.ordered import running_sum  # noqa: E402
+from ..streaming import pagerank as SP  # noqa: E402
+from ..streaming import state as SS  # noqa: E402
+from ..streaming.sources import progress_table, stream_lines, write_slices  # noqa: E402
+from ..streaming.wordcount import stream_page_word_count, stream_word_count  # noqa: E402
+from .oracle import CHANGELOG_CTES as _CL  # noqa: E402,F401
+
+
+def revision_lines(spark, sf, with_old: bool = True) -> DataFrame:
+    """``(batch, value)``: turn t of each conversation as a page line,
+    ``conv<US>text`` for turn 0 and ``conv<US>text<US>previous`` after it;
+    newlines become spaces (one record per line). batch = turn."""
+    rev = I.revisions(spark, sf)
+    clean = lambda c: F.regexp_replace(F.col(c), "\n", " ")
+    sep = F.lit(FIELD_SEP)
+    page = F.col("page").cast("string")
+    value = (F.when(F.col("old_text").isNull() | F.lit(not with_old), F.concat(page, sep, clean("new_text")))
+             .otherwise(F.concat(page, sep, clean("new_text"), sep, clean("old_text"))))
+    return rev.select(F.col("seq").alias("batch"), value.alias("value"))
+
+
+def _run(spark, name, lines_df, start):
+    src, state, ckpt = (scratch_path(spark, f"{name}-{x}") for x in ("slices", "state", "checkpoint"))
+    write_slices(lines_df, src, "batch")
+    q = start(stream_lines(spark, f"{src}/slice-*/part-*"), state, ckpt)
+    q.awaitTermination()
+    return q, state
+
+
+_CONV = "conv AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)"
+_FINAL_COUNTS = f"""WITH {_CONV},
+last AS (SELECT text FROM conv QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+cnt AS (SELECT word, count(*) AS n FROM (SELECT unnest({tok('text')}) AS word FROM last) GROUP BY word),
+seen AS (SELECT DISTINCT unnest({tok('text')}) AS word FROM conv)
+SELECT seen.word AS word, coalesce(cnt.n, 0)::BIGINT AS n FROM seen LEFT JOIN cnt ON seen.word = cnt.word"""
+
+
+@register("stream_word_count", _FINAL_COUNTS)
+def q_stream_word_count(spark, sf):
+    _, state = _run(spark, "swc", revision_lines(spark, sf), stream_word_count)
+    return SS.latest(spark, state)
+
+
+@register("stream_word_count_initial", _FINAL_COUNTS)
+def q_stream_word_count_initial(spark, sf):
+    lines = revision_lines(spark, sf)
+    from ..operators.text import word_count_lines
+    initial = word_count_lines(lines.filter(F.col("batch") == 0))
+    _, state = _run(spark, "swci", lines.filter(F.col("batch") > 0),
+                    lambda s, st, ck: stream_word_count(s, st, ck, initial=initial))
+    return SS.latest(spark, state)
+
+
+@register("stream_page_word_count", f"""WITH {_CONV},
+last AS (SELECT conv_id, text FROM conv QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
+SELECT conv_id::VARCHAR AS page, word, count(*)::BIGINT AS n
+FROM (SELECT conv_id, unnest({tok('text')}) AS word FROM last) GROUP BY conv_id, word""")
+def q_stream_page_word_count(spark, sf):
+    _, state = _run(spark, "spwc", revision_lines(spark, sf, with_old=False), stream_page_word_count)
+    st = SS.latest(spark, state)
+    return (st.select("page", F.explode("counts").alias("word", "n")))
+
+
+@register("progress_rows", """
+SELECT turn AS batch_id, count(*)::BIGINT AS num_input_rows FROM conversations GROUP BY turn""")
+def q_progress_rows(spark, sf):
+    q, _ = _run(spark, "prog", revision_lines(spark, sf), stream_word_count)
+    return progress_table(spark, q).filter(F.col("num_input_rows") > 0).select("batch_id", "num_input_rows")
+
+
+def update_lines(spark, sf) -> DataFrame:
+    """``(batch, value)`` with value ``op src dst seq``; seq is the change's
+    position in (date, order, line, op) order."""
+    u = I.edge_updates(spark, sf).select(
+        "batch", "op", "src", "dst", F.col("seq.o_orderdate").cast("timestamp").cast("long").alias("d"),
+        F.col("seq.o_orderkey").alias("k"), F.col("seq.l_linenumber").alias("l"))
+    u = running_sum(u, ["d", "k", "l", "op"])
+    return u.select("batch", F.concat_ws(" ", "op", "src", "dst", "idx").alias("value"))
+
+
+@register("stream_pagerank", new_history_sql(ITERS, DAMPING))
+def q_stream_pagerank(spark, sf):
+    src, state, ckpt = (scratch_path(spark, f"spr-{x}") for x in ("slices", "state", "checkpoint"))
+    SP.init_graph_state(I.base_edges(spark, sf), state, ITERS, DAMPING)
+    write_slices(update_lines(spark, sf), src, "batch")
+    q = SP.stream_pagerank(stream_lines(spark, f"{src}/slice-*/part-*"), state, ckpt, ITERS, DAMPING)
+    q.awaitTermination()
+    return rounded_wide(SS.latest(spark, state, "ranks"))
