@@ -25,38 +25,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_MAX_ROWS, cut_lineage
-from .graph import Links, dedupe, net_updates, prepare_links
+from .graph import Links, net_updates, prepare_links
 
 
 @dataclass
 class DeltaResult:
-    edges: DataFrame     # E' as (src, dst)
-    changed: DataFrame   # T as (node)
-    delta: DataFrame     # (node, delta array<double>), nodes reached; others are 0
+    edges: DataFrame      # E' as (src, dst)
+    changed: DataFrame    # T as (node)
+    delta: DataFrame      # (node, delta array<double>), nodes reached; others are 0
+    nodes_old: DataFrame  # nodes of E (prepared links, hash-partitioned by node)
+    vanished: DataFrame   # nodes of E without an edge in E'
+    fresh: DataFrame      # nodes of E' that were not in E
     iters: int
     damping: float
 
-    def history(self, history_old: DataFrame, nodes_new: DataFrame | None = None) -> DataFrame:
+    def history(self, history_old: DataFrame) -> DataFrame:
         """New ``(node, hist)`` for every node of E' (``keep='all'``)."""
-        nodes = nodes_new if nodes_new is not None else _nodes(self.edges)
         iso = _isolated(self.iters, self.damping)
         zero = F.array_repeat(F.lit(0.0), self.iters)
+        kept = self.nodes_old.join(F.broadcast(self.vanished), "node", "left_anti")
+        nodes = kept.unionByName(self.fresh)
         return (nodes.join(history_old, "node", "left").join(self.delta, "node", "left")
                 .select("node", F.zip_with(F.coalesce("hist", iso), F.coalesce("delta", zero),
                                            lambda a, b: a + b).alias("hist")))
 
-    def full_delta(self, edges_old: DataFrame) -> DataFrame:
+    def full_delta(self) -> DataFrame:
         """Delta for every node of the old or the new graph (zeros included)."""
-        nodes = _nodes(dedupe(edges_old).unionByName(self.edges)).distinct()
         zero = F.array_repeat(F.lit(0.0), self.iters)
+        nodes = self.nodes_old.unionByName(self.fresh)
         return nodes.join(self.delta, "node", "left").select("node", F.coalesce("delta", zero).alias("delta"))
 
 
-def _nodes(edges: DataFrame) -> DataFrame:
-    return (edges.select(F.col("src").alias("node"))
-            .unionByName(edges.select(F.col("dst").alias("node"))).distinct())
-
-
 def _isolated(iters: int, damping: float):
     return F.array_repeat(F.lit(1.0 - damping), iters)
 
@@ -65,28 +64,39 @@ def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
 
 
-def pagerank_delta(edges_old: DataFrame, updates: DataFrame, history_old: DataFrame,
+def _endpoints(edges: DataFrame) -> DataFrame:
+    return (edges.select(F.col("src").alias("node"))
+            .unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+
+
+def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old: DataFrame,
                    iters: int = 5, damping: float = 0.85, links_old: Links | None = None) -> DeltaResult:
     """Delta of the ``keep='all'`` history after applying ``updates``
     ``(seq, op, src, dst)`` to ``edges_old``; ``history_old`` is ``(node, hist)``
-    with ``hist[k-1] = r_k`` of the old graph."""
+    with ``hist[k-1] = r_k`` of the old graph.
+
+    Every lookup of changed pairs scans the edge table with a broadcast of
+    the net change log (row count checked), so no edge is shuffled. The small
+    intermediates are checkpointed: the plans that follow start from flat
+    tables, and a lost executor does not recompute the change log."""
     L = links_old if links_old is not None else prepare_links(edges_old)
-    e_old = dedupe(edges_old)
+    e_old = L.edges()
     net = cut_lineage(net_updates(updates))
     n_net = net.count()
-    net_b = _maybe_broadcast(net, n_net)
-    removed = e_old.join(net_b.filter(F.col("op") == -1).select("src", "dst"), ["src", "dst"], "left_semi")
-    added = net.filter(F.col("op") == 1).select("src", "dst").join(e_old, ["src", "dst"], "left_anti")
-    e_new = (e_old.join(net_b.select("src", "dst"), ["src", "dst"], "left_anti")
-             .unionByName(net.filter(F.col("op") == 1).select("src", "dst")))
+    pairs = _maybe_broadcast(net.select("src", "dst"), n_net)
+    adds = net.filter(F.col("op") == 1).select("src", "dst")
+    present = cut_lineage(e_old.join(pairs, ["src", "dst"], "left_semi"))       # changed pairs in E
+    removed = present.join(net.filter(F.col("op") == -1).select("src", "dst"), ["src", "dst"], "left_semi")
+    added = adds.join(present, ["src", "dst"], "left_anti")
+    e_new = e_old.join(pairs, ["src", "dst"], "left_anti").unionByName(adds)
 
     changed = cut_lineage(removed.select(F.col("src").alias("node"))
                           .unionByName(added.select(F.col("src").alias("node"))).distinct())
     n_changed = changed.count()
     t_src = _maybe_broadcast(changed.select(F.col("node").alias("src")), n_changed)
 
-    old_t = e_old.join(t_src, "src", "left_semi")
-    new_t = e_new.join(t_src, "src", "left_semi")
+    old_t = cut_lineage(e_old.join(t_src, "src", "left_semi"))
+    new_t = old_t.join(pairs, ["src", "dst"], "left_anti").unionByName(adds.join(t_src, "src", "left_semi"))
     w_old = old_t.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     w_new = new_t.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     new_t_w = cut_lineage(new_t.join(w_new, "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("w")))
@@ -104,20 +114,17 @@ def pagerank_delta(edges_old: DataFrame, updates: DataFrame, history_old: DataFr
         .agg(*[F.sum(F.get(F.col("r"), j) * F.col("sw")).alias(f"s{j}") for j in range(iters)]))
 
     d = F.lit(damping)
-    per_iter = []
-    cur = seed.select("node", (d * F.col("s0")).alias("x"))
-    cur = cut_lineage(cur)
-    per_iter.append(cur.select("node", F.lit(0).alias("k"), "x"))
+    t_node = t_src.withColumnRenamed("src", "node")
+    cur = cut_lineage(seed.select("node", (d * F.col("s0")).alias("x")))
+    per_iter = [cur.select("node", F.lit(0).alias("k"), "x")]
     for k in range(1, iters):
-        outside = cur.join(t_src.withColumnRenamed("src", "node"), "node", "left_anti")
-        inside = cur.join(t_src.withColumnRenamed("src", "node"), "node", "left_semi")
-        sp_old = L.spread(outside, ["x"])
+        sp_old = L.spread(cur.join(t_node, "node", "left_anti"), ["x"])
+        inside = cur.join(t_node, "node", "left_semi")
         sp_new = (inside.join(new_t_w, inside.node == new_t_w.src)
                   .select(F.col("dst").alias("node"), (F.col("x") * F.col("w")).alias("x")))
         sp = sp_old.unionByName(sp_new).groupBy("node").agg(F.sum("x").alias("p"))
-        cur = (seed.select("node", F.col(f"s{k}").alias("s")).join(sp, "node", "full")
-               .select("node", (d * (F.coalesce("s", F.lit(0.0)) + F.coalesce("p", F.lit(0.0)))).alias("x")))
-        cur = cut_lineage(cur)
+        cur = cut_lineage(seed.select("node", F.col(f"s{k}").alias("s")).join(sp, "node", "full")
+                          .select("node", (d * (F.coalesce("s", F.lit(0.0)) + F.coalesce("p", F.lit(0.0)))).alias("x")))
         per_iter.append(cur.select("node", F.lit(k).alias("k"), "x"))
 
     allk = per_iter[0]
@@ -126,4 +133,15 @@ def pagerank_delta(edges_old: DataFrame, updates: DataFrame, history_old: DataFr
     delta = (allk.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
              .select("node", F.transform(F.sequence(F.lit(0), F.lit(iters - 1)),
                                          lambda j: F.coalesce(F.col("m")[j], F.lit(0.0))).alias("delta")))
-    return DeltaResult(e_new, changed, delta, iters, damping)
+
+    # Node set of E': old nodes minus those left without an edge, plus new ones.
+    cand = cut_lineage(_endpoints(removed))
+    n_cand = cand.count()
+    cb = _maybe_broadcast(cand, n_cand)
+    still = (e_new.select(F.col("src").alias("node")).join(cb, "node", "left_semi")
+             .unionByName(e_new.select(F.col("dst").alias("node")).join(cb, "node", "left_semi")))
+    vanished = cand.join(still, "node", "left_anti")
+    add_ends = cut_lineage(_endpoints(adds))
+    known = L.nodes.join(_maybe_broadcast(add_ends, add_ends.count()), "node", "left_semi")
+    fresh = add_ends.join(known, "node", "left_anti")
+    return DeltaResult(e_new, changed, delta, L.nodes, vanished, fresh, iters, damping)

@@ -103,12 +103,18 @@ class Links:
     partitions: int
     n_edges: int
     split_above: int
+    base: DataFrame | None = None
 
     def unpersist(self) -> None:
-        for df in (self.cold, self.hot, self.hot_nodes, self.nodes, self.sources):
+        for df in (self.cold, self.hot, self.hot_nodes, self.nodes, self.sources, self.base):
             if df is not None:
                 df.unpersist()
 
+    def edges(self) -> DataFrame:
+        """The deduplicated edge set ``(src, dst)`` (no shuffle)."""
+        e = self.cold.select("src", "dst")
+        return e if self.hot is None else e.unionByName(self.hot.select("src", "dst"))
+
     def spread(self, vals: DataFrame, cols: list[str]) -> DataFrame:
         """``sum(x * w)`` per ``dst`` over the out-edges of each node of
         ``vals(node, *cols)``: ``(node, *cols)`` of the targets.
@@ -160,10 +166,6 @@ def prepare_links(edges: DataFrame, split_above: int | None = None, partitions:
     nodes = (e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node")))
              .distinct().repartition(p, "node").persist(level))
     sources = deg.select(F.col("src").alias("node")).repartition(p, "node").persist(level)
-    cold.count()
-    if hot is not None:
-        hot.count()
-    nodes.count()
-    sources.count()
-    e.unpersist()
-    return Links(cold, hot, hot_nodes, n_hot, nodes, sources, p, n_edges, t)
+    # The tables fill on first use; the deduplicated edges stay cached until
+    # then (``Links.unpersist`` releases everything).
+    return Links(cold, hot, hot_nodes, n_hot, nodes, sources, p, n_edges, t, base=e)

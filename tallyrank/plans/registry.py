@@ -238,7 +238,7 @@ def _delta(spark, sf):
 @register("pagerank_delta", delta_sql(ITERS, DAMPING))
 def q_pagerank_delta(spark, sf):
     base, _, res = _delta(spark, sf)
-    return rounded_wide(res.full_delta(base), col="delta")
+    return rounded_wide(res.full_delta(), col="delta")
 
 
 # history(E) + delta == history(E'): the updated history against a recompute.
