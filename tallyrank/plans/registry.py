@@ -376,3 +376,32 @@ def q_stream_pagerank(spark, sf):
     q = SP.stream_pagerank(stream_lines(spark, f"{src}/slice-*/part-*"), state, ckpt, ITERS, DAMPING)
     q.awaitTermination()
     return rounded_wide(SS.latest(spark, state, "ranks"))
+
+
+# ------------------------------------------------------------ edge files
+
+from ..sources.lines import parse_edges  # noqa: E402
+from .oracle import pagerank_ctes  # noqa: E402
+
+
+def _edge_file(spark, sf, sep: str) -> str:
+    """Graph C's order lines written as text, ``src<sep>dst`` per line."""
+    path = scratch_path(spark, "edge-lines")
+    (I.graph_c_lines(spark, sf).select(F.concat_ws(sep, "src", "dst").alias("value"))
+     .write.text(path))
+    return path
+
+
+@register("pagerank_tab_lines", pagerank_sql(
+    "SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM (" + GRAPH_C + ")", ITERS, DAMPING))
+def q_pagerank_tab_lines(spark, sf):
+    """Tab-separated string ids (O1, O7), ranked."""
+    edges = parse_edges(read_lines(spark, _edge_file(spark, sf, "\t")), sep="\t")
+    return rounded_rank(PR.pagerank(edges, ITERS, DAMPING))
+
+
+@register("history_ws_lines", history_sql(GRAPH_C, ITERS, DAMPING, "survivors"))
+def q_history_ws_lines(spark, sf):
+    """White-space separated integer ids (O8), survivors history."""
+    edges = parse_edges(read_lines(spark, _edge_file(spark, sf, "  ")), sep=r"\s+", ids="bigint")
+    return rounded_wide(PR.pagerank_history(edges, ITERS, DAMPING, keep="survivors"))
