@@ -63,25 +63,28 @@ def graph_c_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "o_orderdate", "o_orderkey", "l_linenumber", "l_returnflag"))
 
 
+# Graphs are returned as edge multisets: every consumer deduplicates once
+# (``graph.dedupe``, whose partial aggregate drops repeats map-side).
+
 def graph_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_c_lines(spark, sf_dir).select("src", "dst").distinct()
+    return graph_c_lines(spark, sf_dir).select("src", "dst")
 
 
 def graph_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "lineitem")
-            .select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct())
+            .select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
 def graph_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens(F.regexp_replace(F.col("text"), "\n", " "))
     return (table(spark, sf_dir, "documents", ("text",))
             .select(F.explode_outer(adjacent_pairs(t)).alias("p")).filter(F.col("p").isNotNull())
-            .select("p.src", "p.dst").distinct())
+            .select("p.src", "p.dst"))
 
 
 def base_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (graph_c_lines(spark, sf_dir).filter(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp"))
-            .select("src", "dst").distinct())
+            .select("src", "dst"))
 
 
 def edge_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
