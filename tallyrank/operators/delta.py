@@ -33,9 +33,9 @@ class DeltaResult:
     edges: DataFrame      # E' as (src, dst)
     changed: DataFrame    # T as (node)
     delta: DataFrame      # (node, delta array<double>), nodes reached; others are 0
-    nodes_old: DataFrame  # nodes of E (prepared links, hash-partitioned by node)
-    vanished: DataFrame   # nodes of E without an edge in E'
-    fresh: DataFrame      # nodes of E' that were not in E
+    nodes_old: DataFrame  # nodes of E
+    nodes_new: DataFrame  # nodes of E'
+    links: Links          # prepared links of E' (old base + overlay)
     iters: int
     damping: float
 
@@ -43,16 +43,14 @@ class DeltaResult:
         """New ``(node, hist)`` for every node of E' (``keep='all'``)."""
         iso = _isolated(self.iters, self.damping)
         zero = F.array_repeat(F.lit(0.0), self.iters)
-        kept = self.nodes_old.join(F.broadcast(self.vanished), "node", "left_anti")
-        nodes = kept.unionByName(self.fresh)
-        return (nodes.join(history_old, "node", "left").join(self.delta, "node", "left")
+        return (self.nodes_new.join(history_old, "node", "left").join(self.delta, "node", "left")
                 .select("node", F.zip_with(F.coalesce("hist", iso), F.coalesce("delta", zero),
                                            lambda a, b: a + b).alias("hist")))
 
     def full_delta(self) -> DataFrame:
         """Delta for every node of the old or the new graph (zeros included)."""
         zero = F.array_repeat(F.lit(0.0), self.iters)
-        nodes = self.nodes_old.unionByName(self.fresh)
+        nodes = self.nodes_old.unionByName(self.nodes_new).distinct()
         return nodes.join(self.delta, "node", "left").select("node", F.coalesce("delta", zero).alias("delta"))
 
 
@@ -78,24 +76,28 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     Every lookup of changed pairs scans the edge table with a broadcast of
     the net change log (row count checked), so no edge is shuffled. The small
     intermediates are checkpointed: the plans that follow start from flat
-    tables, and a lost executor does not recompute the change log."""
+    tables, and a lost executor does not recompute the change log. The
+    result carries the new graph's links (``DeltaResult.links``): the old
+    base plus an overlay for the changed sources, ready for the next batch."""
     L = links_old if links_old is not None else prepare_links(edges_old)
     e_old = L.edges()
     net = cut_lineage(net_updates(updates))
     n_net = net.count()
     pairs = _maybe_broadcast(net.select("src", "dst"), n_net)
     adds = net.filter(F.col("op") == 1).select("src", "dst")
-    present = cut_lineage(e_old.join(pairs, ["src", "dst"], "left_semi"))       # changed pairs in E
+    # One scan of E: the out-edges of every source the change log names.
+    named = _maybe_broadcast(net.select("src").distinct(), n_net)
+    near = cut_lineage(e_old.join(named, "src", "left_semi"))
+    present = near.join(pairs, ["src", "dst"], "left_semi")                       # changed pairs in E
     removed = present.join(net.filter(F.col("op") == -1).select("src", "dst"), ["src", "dst"], "left_semi")
     added = adds.join(present, ["src", "dst"], "left_anti")
-    e_new = e_old.join(pairs, ["src", "dst"], "left_anti").unionByName(adds)
 
     changed = cut_lineage(removed.select(F.col("src").alias("node"))
                           .unionByName(added.select(F.col("src").alias("node"))).distinct())
     n_changed = changed.count()
     t_src = _maybe_broadcast(changed.select(F.col("node").alias("src")), n_changed)
 
-    old_t = cut_lineage(e_old.join(t_src, "src", "left_semi"))
+    old_t = near.join(t_src, "src", "left_semi")
     new_t = old_t.join(pairs, ["src", "dst"], "left_anti").unionByName(adds.join(t_src, "src", "left_semi"))
     w_old = old_t.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     w_new = new_t.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
@@ -103,6 +105,21 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     signed = (old_t.join(w_old, "src").select("src", "dst", (F.lit(-1.0) / F.col("deg")).alias("sw"))
               .unionByName(new_t_w.select("src", "dst", F.col("w").alias("sw"))))
 
+    # Nodes of E': old nodes minus those left without an edge, plus new ones.
+    # Only endpoints of changed pairs can enter or leave (broadcast, counted).
+    e_new = e_old.join(pairs, ["src", "dst"], "left_anti").unionByName(adds)
+    touched = _endpoints(net.select("src", "dst"))
+    tb = _maybe_broadcast(touched, 2 * n_net)
+    live = (e_new.select(F.col("src").alias("node")).join(tb, "node", "left_semi")
+            .unionByName(e_new.select(F.col("dst").alias("node")).join(tb, "node", "left_semi")))
+    nodes_new = cut_lineage(L.nodes.join(tb, "node", "left_anti").unionByName(live.distinct()))
+    sources_new = (L.sources.join(F.broadcast(changed), "node", "left_anti")
+                   .unionByName(new_t_w.select(F.col("src").alias("node")).distinct()))
+    n_new_t_w = new_t_w.count()
+    n_edges_new = L.n_edges - old_t.count() + n_new_t_w
+    L_new = L.with_overlay(changed, new_t_w, nodes_new, sources_new, n_edges_new,
+                           n_changed=n_changed, n_new_edges=n_new_t_w)
+
     # Old r_0 .. r_{K-1} of each changed source (r_0 = 1; isolated if new).
     iso = _isolated(iters, damping)
     r_t = (changed.join(history_old, "node", "left")
@@ -114,15 +131,10 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
         .agg(*[F.sum(F.get(F.col("r"), j) * F.col("sw")).alias(f"s{j}") for j in range(iters)]))
 
     d = F.lit(damping)
-    t_node = t_src.withColumnRenamed("src", "node")
     cur = cut_lineage(seed.select("node", (d * F.col("s0")).alias("x")))
     per_iter = [cur.select("node", F.lit(0).alias("k"), "x")]
     for k in range(1, iters):
-        sp_old = L.spread(cur.join(t_node, "node", "left_anti"), ["x"])
-        inside = cur.join(t_node, "node", "left_semi")
-        sp_new = (inside.join(new_t_w, inside.node == new_t_w.src)
-                  .select(F.col("dst").alias("node"), (F.col("x") * F.col("w")).alias("x")))
-        sp = sp_old.unionByName(sp_new).groupBy("node").agg(F.sum("x").alias("p"))
+        sp = L_new.spread(cur, ["x"]).withColumnRenamed("x", "p")
         cur = cut_lineage(seed.select("node", F.col(f"s{k}").alias("s")).join(sp, "node", "full")
                           .select("node", (d * (F.coalesce("s", F.lit(0.0)) + F.coalesce("p", F.lit(0.0)))).alias("x")))
         per_iter.append(cur.select("node", F.lit(k).alias("k"), "x"))
@@ -133,15 +145,4 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     delta = (allk.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
              .select("node", F.transform(F.sequence(F.lit(0), F.lit(iters - 1)),
                                          lambda j: F.coalesce(F.col("m")[j], F.lit(0.0))).alias("delta")))
-
-    # Node set of E': old nodes minus those left without an edge, plus new ones.
-    cand = cut_lineage(_endpoints(removed))
-    n_cand = cand.count()
-    cb = _maybe_broadcast(cand, n_cand)
-    still = (e_new.select(F.col("src").alias("node")).join(cb, "node", "left_semi")
-             .unionByName(e_new.select(F.col("dst").alias("node")).join(cb, "node", "left_semi")))
-    vanished = cand.join(still, "node", "left_anti")
-    add_ends = cut_lineage(_endpoints(adds))
-    known = L.nodes.join(_maybe_broadcast(add_ends, add_ends.count()), "node", "left_semi")
-    fresh = add_ends.join(known, "node", "left_anti")
-    return DeltaResult(e_new, changed, delta, L.nodes, vanished, fresh, iters, damping)
+    return DeltaResult(L_new.edges(), changed, delta, L.nodes, nodes_new, L_new, iters, damping)

@@ -104,35 +104,82 @@ class Links:
     n_edges: int
     split_above: int
     base: DataFrame | None = None
+    # Overlay: sources changed since preparation and their current weighted
+    # out-edges. They replace those sources' rows of ``cold`` / ``hot``, so a
+    # change log updates the links in O(changes) without moving the base.
+    over_src: DataFrame | None = None
+    over_edges: DataFrame | None = None
+    n_over: int = 0
+    n_over_edges: int = 0
 
     def unpersist(self) -> None:
         for df in (self.cold, self.hot, self.hot_nodes, self.nodes, self.sources, self.base):
             if df is not None:
                 df.unpersist()
 
+    @property
+    def reuses_input(self) -> bool:
+        """True when ``spread`` reads its input more than once (hot part or
+        overlay), so an iterative caller should checkpoint every step."""
+        return self.n_hot > 0 or self.over_src is not None
+
+    def _over_b(self) -> DataFrame:
+        return F.broadcast(self.over_src) if self.n_over <= BROADCAST_MAX_ROWS else self.over_src
+
     def edges(self) -> DataFrame:
-        """The deduplicated edge set ``(src, dst)`` (no shuffle)."""
+        """The current deduplicated edge set ``(src, dst)`` (no shuffle)."""
         e = self.cold.select("src", "dst")
-        return e if self.hot is None else e.unionByName(self.hot.select("src", "dst"))
+        e = e if self.hot is None else e.unionByName(self.hot.select("src", "dst"))
+        if self.over_src is None:
+            return e
+        return (e.join(self._over_b().withColumnRenamed("node", "src"), "src", "left_anti")
+                .unionByName(self.over_edges.select("src", "dst")))
 
     def spread(self, vals: DataFrame, cols: list[str]) -> DataFrame:
         """``sum(x * w)`` per ``dst`` over the out-edges of each node of
         ``vals(node, *cols)``: ``(node, *cols)`` of the targets.
 
         The cold part joins without moving edges; the hot part broadcasts the
-        values of at most ``n_hot`` hot sources. The partial aggregate before
-        the shuffle leaves one row per target per task."""
+        values of at most ``n_hot`` hot sources; overlay sources (at most
+        ``n_over`` values, broadcast) meet their current edges. The partial
+        aggregate before the shuffle leaves one row per target per task."""
         v = vals.select("node", *cols)
-        parts = [v.join(self.cold, v.node == self.cold.src)
-                 .select(F.col("dst"), *[(F.col(c) * F.col("w")).alias(c) for c in cols])]
+        times_w = [(F.col(c) * F.col("w")).alias(c) for c in cols]
+        parts = []
+        if self.over_src is not None:
+            ob = self._over_b()
+            vo = v.join(ob, "node", "left_semi")
+            vo = F.broadcast(vo) if self.n_over <= BROADCAST_MAX_ROWS else vo
+            parts.append(self.over_edges.join(vo, self.over_edges.src == vo.node).select(F.col("dst"), *times_w))
+            v = v.join(ob, "node", "left_anti")
+        parts.append(v.join(self.cold, v.node == self.cold.src).select(F.col("dst"), *times_w))
         if self.n_hot:
             hv = v.join(F.broadcast(self.hot_nodes), "node", "left_semi")
             hv = F.broadcast(hv) if self.n_hot <= BROADCAST_MAX_ROWS else hv
-            parts.append(self.hot.join(hv, self.hot.src == hv.node)
-                         .select(F.col("dst"), *[(F.col(c) * F.col("w")).alias(c) for c in cols]))
-        u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            parts.append(self.hot.join(hv, self.hot.src == hv.node).select(F.col("dst"), *times_w))
+        u = parts[0]
+        for q in parts[1:]:
+            u = u.unionByName(q)
         return u.groupBy(F.col("dst").alias("node")).agg(*[F.sum(c).alias(c) for c in cols])
 
+    def with_overlay(self, changed: DataFrame, new_edges: DataFrame, nodes: DataFrame,
+                     sources: DataFrame, n_edges: int, n_changed: int, n_new_edges: int) -> "Links":
+        """Links after the sources ``changed (node)`` got the out-edges
+        ``new_edges (src, dst, w)`` (both materialised, with their row counts);
+        ``nodes`` / ``sources`` are the new sets."""
+        from dataclasses import replace
+
+        from ..session import cut_lineage
+        if self.over_src is None:
+            return replace(self, over_src=changed, over_edges=new_edges, n_over=n_changed,
+                           n_over_edges=n_new_edges, nodes=nodes, sources=sources, n_edges=n_edges)
+        cb = F.broadcast(changed) if n_changed <= BROADCAST_MAX_ROWS else changed
+        osrc = cut_lineage(self.over_src.unionByName(changed).distinct())
+        oedges = cut_lineage(self.over_edges.join(cb.withColumnRenamed("node", "src"), "src", "left_anti")
+                             .unionByName(new_edges))
+        return replace(self, over_src=osrc, over_edges=oedges, n_over=osrc.count(),
+                       n_over_edges=oedges.count(), nodes=nodes, sources=sources, n_edges=n_edges)
+
 
 def prepare_links(edges: DataFrame, split_above: int | None = None, partitions: int | None = None,
                   level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Links:

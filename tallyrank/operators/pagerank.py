@@ -52,7 +52,7 @@ def pagerank(edges: DataFrame | None = None, iters: int = 5, damping: float = 0.
     L = _links(edges, links)
     if iters == 0:
         return L.sources.select("node", F.lit(1.0).alias("rank"))
-    step = _Stepper(checkpoint_every, always=L.n_hot > 0)
+    step = _Stepper(checkpoint_every, always=L.reuses_input)
     ranks = L.nodes.select("node", F.lit(1.0).alias("rank"))
     for k in range(1, iters + 1):
         s = L.spread(ranks, ["rank"]).withColumnRenamed("rank", "s")

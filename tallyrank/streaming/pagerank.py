@@ -14,10 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import WS_SEP, java_split
 from ..operators.delta import pagerank_delta
+from ..operators.graph import prepare_links
 from ..operators.pagerank import pagerank_history
+from ..session import cut_lineage
 from . import state as S
 
 INITIAL = -1
+# Re-prepare the links once the overlay holds this share of all edges.
+COMPACT_ABOVE = 0.2
 
 
 def init_graph_state(edges: DataFrame, state_dir: str, iters: int = 5, damping: float = 0.85) -> None:
@@ -41,22 +45,38 @@ def parse_update_lines(lines: DataFrame) -> DataFrame:
 
 
 def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: int = 5, damping: float = 0.85,
-                    trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
-    """Keep the graph's rank history current under a stream of edge updates."""
+                    trigger: dict | None = None, name: str | None = None,
+                    compact_above: float = COMPACT_ABOVE) -> StreamingQuery:
+    """Keep the graph's rank history current under a stream of edge updates.
+
+    Within one run the prepared links carry over from batch to batch: each
+    batch adds its changed sources to the links' overlay, an O(changes)
+    step. The links are prepared again only when the run starts (from the
+    last committed version) or when the overlay holds more than
+    ``compact_above`` of all edges."""
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"))
+    ctx: dict = {"batch": None, "links": None, "hist": None}
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = parse_update_lines(batch)
-        edges = S.previous(spark, state_dir, batch_id, None, "edges")
-        hist = S.previous(spark, state_dir, batch_id, None, "ranks")
-        if edges is None:
-            raise RuntimeError(f"no graph state under {state_dir}; call init_graph_state first")
-        res = pagerank_delta(edges, batch, hist, iters, damping)
-        new_hist = res.history(hist)
+        if ctx["batch"] is not None and ctx["batch"] == batch_id - 1:
+            links, hist = ctx["links"], ctx["hist"]
+        else:
+            edges = S.previous(spark, state_dir, batch_id, None, "edges")
+            hist = S.previous(spark, state_dir, batch_id, None, "ranks")
+            if edges is None:
+                raise RuntimeError(f"no graph state under {state_dir}; call init_graph_state first")
+            links = prepare_links(edges)
+        res = pagerank_delta(None, batch, hist, iters, damping, links_old=links)
+        new_hist = cut_lineage(res.history(hist))
         S.write_version(res.edges, state_dir, batch_id, "edges")
         S.write_version(new_hist, state_dir, batch_id, "ranks")
         S.write_version(res.delta, state_dir, batch_id, "deltas")
+        nxt = res.links
+        if nxt.n_over_edges > compact_above * max(nxt.n_edges, 1):
+            nxt = prepare_links(S.read_version(spark, state_dir, batch_id, "edges"))
+        ctx.update(batch=batch_id, links=nxt, hist=new_hist)
 
     w = tagged.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     if name:
