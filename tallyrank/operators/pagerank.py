@@ -9,11 +9,13 @@ receives rank and passes none on.
 Each iteration costs one shuffle: the contributions' partial aggregate.
 The rank vector stays hash-partitioned by node, the same layout as the
 prepared links, so no edge moves. Every ``checkpoint_every``-th vector is
-written to the shared checkpoint folder (reliable checkpoint): the plan of
-the next iterations starts from that flat table, and a lost executor
-recomputes at most that many iterations. An iteration whose plan uses the
-previous vector twice (history carried along, survivors, hot sources) is
-checkpointed every time, else the plan would double per iteration.
+written to the shared checkpoint folder as a table bucketed by node: the
+plan of the next iterations starts from that flat table, a lost executor
+recomputes at most that many iterations, and the bucketed scan keeps the
+node layout, so the vector is not shuffled either. (``checkpoint()`` under
+AQE forgets the layout.) An iteration whose plan uses the previous vector
+twice (history carried along, survivors, hot sources, overlay) is
+materialised every time, else the plan would double per iteration.
 """
 
 from __future__ import annotations
@@ -21,23 +23,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage_bucketed, drop_table
 from .graph import Links, prepare_links
 
 CHECKPOINT_EVERY = 4
 
 
 class _Stepper:
-    """Checkpoint an iteration's vector every ``every`` iterations, or every
-    iteration when ``always``."""
+    """Materialise an iteration's vector every ``every`` iterations, or every
+    iteration when ``always``, as a table bucketed by node (same layout as
+    the links, so the next join moves nothing)."""
 
-    def __init__(self, checkpoint_every: int | None, always: bool = False):
+    def __init__(self, links: Links, checkpoint_every: int | None, always: bool = False):
+        self.links = links
         self.every = checkpoint_every
         self.always = always
+        self.tables: list[str] = []
 
     def __call__(self, df: DataFrame, k: int) -> DataFrame:
         if self.always or (self.every and k % self.every == 0):
-            return cut_lineage(df)
+            out, name = cut_lineage_bucketed(df, "node", self.links.partitions, "rank")
+            if len(self.tables) >= 2:       # the one before the previous is no longer read
+                drop_table(df.sparkSession, self.tables.pop(0))
+            self.tables.append(name)
+            return out
         return df
 
 
@@ -52,7 +61,7 @@ def pagerank(edges: DataFrame | None = None, iters: int = 5, damping: float = 0.
     L = _links(edges, links)
     if iters == 0:
         return L.sources.select("node", F.lit(1.0).alias("rank"))
-    step = _Stepper(checkpoint_every, always=L.reuses_input)
+    step = _Stepper(L, checkpoint_every, always=L.reuses_input)
     ranks = L.nodes.select("node", F.lit(1.0).alias("rank"))
     for k in range(1, iters + 1):
         s = L.spread(ranks, ["rank"]).withColumnRenamed("rank", "s")
@@ -77,7 +86,7 @@ def pagerank_history(edges: DataFrame | None = None, iters: int = 5, damping: fl
     L = _links(edges, links)
     start = L.sources if keep == "survivors" else L.nodes
     ranks = start.select("node", F.lit(1.0).alias("rank"), F.array().cast("array<double>").alias("hist"))
-    step = _Stepper(checkpoint_every, always=True)
+    step = _Stepper(L, checkpoint_every, always=True)
     how = "inner" if keep == "survivors" else "left"
     for k in range(1, iters + 1):
         s = L.spread(ranks, ["rank"]).withColumnRenamed("rank", "s")
