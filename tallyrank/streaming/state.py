@@ -59,3 +59,42 @@ def previous(spark: SparkSession, root: str, batch_id: int, initial: DataFrame |
 def write_version(df: DataFrame, root: str, v: int, table: str | None = None) -> None:
     p = version_path(root, v)
     df.write.mode("overwrite").parquet(f"{p}/{table}" if table else p)
+
+
+# Bucketed versions: a version written bucketed by its key reads back with
+# HashPartitioning(key, buckets), so merging a batch into it shuffles only
+# the batch. The bucket count is fixed for the life of a state folder, like
+# ``spark.sql.shuffle.partitions`` for a streaming checkpoint.
+
+def _table_name(root: str, v: int, table: str | None) -> str:
+    import hashlib
+    h = hashlib.sha1(f"{version_path(root, v)}/{table or ''}".encode()).hexdigest()[:16]
+    return f"tallyrank_state_{h}"
+
+
+def write_version_bucketed(df: DataFrame, root: str, v: int, key: str, buckets: int,
+                           table: str | None = None) -> None:
+    p = version_path(root, v)
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+     .option("path", f"{p}/{table}" if table else p).saveAsTable(_table_name(root, v, table)))
+
+
+def read_version_bucketed(spark: SparkSession, root: str, v: int, key: str, buckets: int, ddl: str,
+                          table: str | None = None) -> DataFrame:
+    """A bucketed version; registered again (with its bucket spec) when the
+    catalog does not know it, e.g. after a restart."""
+    name = _table_name(root, v, table)
+    if not spark.catalog.tableExists(name):
+        p = version_path(root, v)
+        loc = f"{p}/{table}" if table else p
+        spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+                  f"INTO {buckets} BUCKETS LOCATION '{loc}'")
+    return spark.table(name)
+
+
+def previous_bucketed(spark: SparkSession, root: str, batch_id: int, initial: DataFrame | None, key: str,
+                      buckets: int, ddl: str, table: str | None = None) -> DataFrame | None:
+    older = [v for v in versions(spark, root) if v < batch_id]
+    if older:
+        return read_version_bucketed(spark, root, older[-1], key, buckets, ddl, table)
+    return initial

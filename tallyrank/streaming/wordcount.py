@@ -3,7 +3,9 @@
 Each micro-batch is folded into a versioned state table by ``foreachBatch``
 (see ``state.py``): the new version is the previous one merged with the
 batch, so every key is present in every version (the reference emits every
-key every batch). A static initial table seeds the first batch; Structured
+key every batch). Versions are bucketed by key (``buckets``, fixed for the
+life of the state folder), so the merge shuffles only the batch, not the
+state. A static initial table seeds the first batch; Structured
 Streaming refuses a union of a static table into a streaming aggregate, and
 this form also survives a restart from the checkpoint.
 """
@@ -27,35 +29,45 @@ def _start(stream: DataFrame, fn, checkpoint: str, trigger: dict | None, name: s
     return w.start()
 
 
+def _buckets(lines: DataFrame, buckets: int | None) -> int:
+    return buckets or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
-                      trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
+                      trigger: dict | None = None, name: str | None = None,
+                      buckets: int | None = None) -> StreamingQuery:
     """Incremental corpus counts over a stream of revision lines (S3):
     ``page<US>new`` adds the words of ``new``; ``page<US>new<US>old`` also
     subtracts those of ``old``. ``initial`` is ``(word, n)`` (S4). Version
     ``v=<batch>`` of ``state_dir`` holds ``(word, n)``; words at 0 stay."""
     parsed = parse_revisions(lines, seq=F.lit(0))
+    nb = _buckets(lines, buckets)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = S.previous(spark, state_dir, batch_id, initial)
+        prev = S.previous_bucketed(spark, state_dir, batch_id, initial, "word", nb, "word string, n bigint")
         if prev is None:
             prev = spark.createDataFrame([], "word string, n bigint")
         delta = signed_tokens(batch, keep=()).groupBy("word").agg(F.sum("w").alias("w"))
-        S.write_version(apply_word_delta(prev, delta), state_dir, batch_id)
+        S.write_version_bucketed(apply_word_delta(prev, delta), state_dir, batch_id, "word", nb)
 
     return _start(parsed, fold, checkpoint, trigger, name)
 
 
 def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
-                           trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
+                           trigger: dict | None = None, name: str | None = None,
+                           buckets: int | None = None) -> StreamingQuery:
     """Latest per-page counts over a stream of ``page<US>text`` lines (S2): per
     page the batch's last line (file order, then line order) replaces the
     state's counts; pages without a new line keep theirs. ``initial`` and the
     versions hold ``(page, counts map<string,bigint>)``."""
 
+    nb = _buckets(lines, buckets)
+
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = S.previous(spark, state_dir, batch_id, initial)
+        prev = S.previous_bucketed(spark, state_dir, batch_id, initial, "page", nb,
+                                   "page string, counts map<string,bigint>")
         # Inside the batch the plan is static: order lines by file, then position.
         seq = F.struct("__t", "__f", F.monotonically_increasing_id())
         batch = parse_revisions(batch, seq=seq).select("seq", "page", F.col("new_text").alias("text"))
@@ -63,7 +75,7 @@ def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, in
         counts = page_word_count(latest)
         if prev is not None:
             counts = counts.unionByName(prev.select("page", "counts").join(latest.select("page"), "page", "left_anti"))
-        S.write_version(counts, state_dir, batch_id)
+        S.write_version_bucketed(counts, state_dir, batch_id, "page", nb)
 
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"),
                           F.col("_metadata.file_name").alias("__f"))

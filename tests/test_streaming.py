@@ -84,3 +84,15 @@ def test_run_to_idle_stops_processing_time_query(spark, tmp):
     q = stream_word_count(stream_lines(spark, src), tmp("state"), tmp("ck"), trigger={"processingTime": "200 milliseconds"})
     run_to_idle(q, empty_batches=1, poll_s=0.2, timeout_s=60)
     assert not q.isActive
+
+
+def test_bucketed_version_reregisters_after_restart(spark, tmp):
+    src = slices(spark, tmp, [(0, "p" + US + "a b a")])
+    state = tmp("state")
+    stream_word_count(stream_lines(spark, src), state, tmp("ck"), buckets=4).awaitTermination()
+    want = counts(S.latest(spark, state))
+    spark.sql(f"DROP TABLE IF EXISTS {S._table_name(state, 0, None)}")     # as in a new session
+    again = S.read_version_bucketed(spark, state, 0, "word", 4, "word string, n bigint")
+    assert counts(again) == want == {"a": 2, "b": 1}
+    again.groupBy("word").count().write.format("noop").mode("overwrite").save()
+    assert "Bucketed: true" in again._jdf.queryExecution().executedPlan().toString()
