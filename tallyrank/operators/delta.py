@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS, cut_lineage
+from ..session import BROADCAST_MAX_ROWS, cut_lineage, cut_lineage_bucketed
 from .graph import Links, net_updates, prepare_links
 
 
@@ -112,7 +112,8 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     tb = _maybe_broadcast(touched, 2 * n_net)
     live = (e_new.select(F.col("src").alias("node")).join(tb, "node", "left_semi")
             .unionByName(e_new.select(F.col("dst").alias("node")).join(tb, "node", "left_semi")))
-    nodes_new = cut_lineage(L.nodes.join(tb, "node", "left_anti").unionByName(live.distinct()))
+    nodes_new, _ = cut_lineage_bucketed(L.nodes.join(tb, "node", "left_anti").unionByName(live.distinct()),
+                                        "node", L.partitions, "nodes")
     sources_new = (L.sources.join(F.broadcast(changed), "node", "left_anti")
                    .unionByName(new_t_w.select(F.col("src").alias("node")).distinct()))
     n_new_t_w = new_t_w.count()

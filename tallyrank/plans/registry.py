@@ -375,7 +375,7 @@ def q_stream_pagerank(spark, sf):
     write_slices(update_lines(spark, sf), src, "batch")
     q = SP.stream_pagerank(stream_lines(spark, f"{src}/slice-*/part-*"), state, ckpt, ITERS, DAMPING)
     q.awaitTermination()
-    return rounded_wide(SS.latest(spark, state, "ranks"))
+    return rounded_wide(SS.latest(spark, state, "ranks"))   # plain read of the newest ranks version
 
 
 # ------------------------------------------------------------ edge files

@@ -1,9 +1,13 @@
 """Streaming incremental PageRank.
 
 Each micro-batch of ``op src dst [seq]`` lines is netted by ``seq`` and
-applied to the graph state with the exact delta rule (``pagerank_delta``):
-version ``v=<batch>`` holds ``edges``, ``ranks (node, hist)`` and the batch's
-``deltas``. The initial version ``v=-1`` is built from a static edge table.
+applied to the graph state with the exact delta rule (``pagerank_delta``).
+Version ``v=<batch>`` holds ``changes (src, dst, op)`` (the batch's net edge
+changes, small), ``ranks (node, hist)`` bucketed by node and the batch's
+``deltas``; ``edges`` snapshots are written only at ``v=-1`` (built from a
+static edge table) and when the links are compacted. The edge set of any
+version is its last snapshot plus the later change tables, so no batch
+rewrites the edge table.
 """
 
 from __future__ import annotations
@@ -14,9 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import WS_SEP, java_split
 from ..operators.delta import pagerank_delta
-from ..operators.graph import prepare_links
+from ..operators.graph import net_updates, prepare_links
 from ..operators.pagerank import pagerank_history
-from ..session import cut_lineage
 from . import state as S
 
 INITIAL = -1
@@ -24,11 +27,42 @@ INITIAL = -1
 COMPACT_ABOVE = 0.2
 
 
+RANKS_DDL = "node bigint, hist array<double>"
+
+
 def init_graph_state(edges: DataFrame, state_dir: str, iters: int = 5, damping: float = 0.85) -> None:
     """Write version -1: the edge set and its ``keep='all'`` history."""
-    hist = pagerank_history(edges, iters, damping, keep="all")
+    links = prepare_links(edges)
+    hist = pagerank_history(links=links, iters=iters, damping=damping, keep="all")
     S.write_version(edges.select("src", "dst").distinct(), state_dir, INITIAL, "edges")
-    S.write_version(hist, state_dir, INITIAL, "ranks")
+    S.write_version_bucketed(hist, state_dir, INITIAL, "node", links.partitions, "ranks")
+
+
+def _has(spark, state_dir: str, v: int, table: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{S.version_path(state_dir, v)}/{table}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def edges_at(spark, state_dir: str, v: int) -> DataFrame:
+    """Edge set of version ``v``: the newest snapshot at or before it plus the
+    change tables after the snapshot (last change per edge wins)."""
+    vs = [x for x in S.versions(spark, state_dir) if x <= v]
+    snap = max(x for x in vs if _has(spark, state_dir, x, "edges"))
+    later = [x for x in vs if x > snap]
+    base = S.read_version(spark, state_dir, snap, "edges")
+    if not later:
+        return base
+    ch = None
+    for x in later:
+        c = S.read_version(spark, state_dir, x, "changes").select(F.lit(x).alias("seq"), "op", "src", "dst")
+        ch = c if ch is None else ch.unionByName(c)
+    from ..operators.graph import apply_edge_updates
+    return apply_edge_updates(base, ch)
+
+
+def ranks_at(spark, state_dir: str, v: int, buckets: int) -> DataFrame:
+    return S.read_version_bucketed(spark, state_dir, v, "node", buckets, RANKS_DDL, "ranks")
 
 
 def parse_update_lines(lines: DataFrame) -> DataFrame:
@@ -55,28 +89,29 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
     last committed version) or when the overlay holds more than
     ``compact_above`` of all edges."""
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"))
-    ctx: dict = {"batch": None, "links": None, "hist": None}
+    ctx: dict = {"batch": None, "links": None}
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = parse_update_lines(batch)
-        if ctx["batch"] is not None and ctx["batch"] == batch_id - 1:
-            links, hist = ctx["links"], ctx["hist"]
+        older = [v for v in S.versions(spark, state_dir) if v < batch_id]
+        if not older:
+            raise RuntimeError(f"no graph state under {state_dir}; call init_graph_state first")
+        prev = older[-1]
+        if ctx["batch"] == prev:
+            links = ctx["links"]
         else:
-            edges = S.previous(spark, state_dir, batch_id, None, "edges")
-            hist = S.previous(spark, state_dir, batch_id, None, "ranks")
-            if edges is None:
-                raise RuntimeError(f"no graph state under {state_dir}; call init_graph_state first")
-            links = prepare_links(edges)
+            links = prepare_links(edges_at(spark, state_dir, prev))
+        hist = ranks_at(spark, state_dir, prev, links.partitions)
         res = pagerank_delta(None, batch, hist, iters, damping, links_old=links)
-        new_hist = cut_lineage(res.history(hist))
-        S.write_version(res.edges, state_dir, batch_id, "edges")
-        S.write_version(new_hist, state_dir, batch_id, "ranks")
+        S.write_version(net_updates(batch), state_dir, batch_id, "changes")
+        S.write_version_bucketed(res.history(hist), state_dir, batch_id, "node", links.partitions, "ranks")
         S.write_version(res.delta, state_dir, batch_id, "deltas")
         nxt = res.links
         if nxt.n_over_edges > compact_above * max(nxt.n_edges, 1):
+            S.write_version(nxt.edges(), state_dir, batch_id, "edges")      # snapshot
             nxt = prepare_links(S.read_version(spark, state_dir, batch_id, "edges"))
-        ctx.update(batch=batch_id, links=nxt, hist=new_hist)
+        ctx.update(batch=batch_id, links=nxt)
 
     w = tagged.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     if name:

@@ -76,7 +76,8 @@ def test_stream_pagerank_equals_recompute(spark, tmp):
     want = {r.node: [round(x, 9) for x in r.hist] for r in PR.pagerank_history(final, 3, keep="all").collect()}
     got = {r.node: [round(x, 9) for x in r.hist] for r in S.latest(spark, state, "ranks").collect()}
     assert got == want
-    assert sorted(tuple(r) for r in S.latest(spark, state, "edges").collect()) == [(1, 2), (1, 3), (3, 1), (3, 4), (4, 1)]
+    last = S.versions(spark, state)[-1]
+    assert sorted(tuple(r) for r in SP.edges_at(spark, state, last).collect()) == [(1, 2), (1, 3), (3, 1), (3, 4), (4, 1)]
 
 
 def test_run_to_idle_stops_processing_time_query(spark, tmp):
@@ -98,3 +99,23 @@ def test_bucketed_version_reregisters_after_restart(spark, tmp):
     agg.write.format("noop").mode("overwrite").save()
     plan = agg._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "Exchange" not in plan     # grouping by the key moves nothing
+
+
+def test_stream_pagerank_restart_replays_changes(spark, tmp):
+    base = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    state, ck, dest = tmp("state"), tmp("ck"), tmp("slices")
+    src = f"{dest}/slice-*/part-*"
+    SP.init_graph_state(base, state, iters=3)
+    first = [(0, "1 1 3 1"), (0, "-1 2 3 2")]
+    write_slices(spark.createDataFrame(first, "batch int, value string"), dest, "batch")
+    SP.stream_pagerank(stream_lines(spark, src), state, ck, iters=3, compact_above=10.0).awaitTermination()
+    second = [(1, "1 4 1 3"), (1, "-1 3 4 4"), (2, "1 5 2 5")]
+    write_slices(spark.createDataFrame(second, "batch int, value string"), dest, "batch")
+    SP.stream_pagerank(stream_lines(spark, src), state, ck, iters=3, compact_above=10.0).awaitTermination()
+    final_edges = [(1, 2), (1, 3), (3, 1), (4, 1), (5, 2)]
+    last = S.versions(spark, state)[-1]
+    assert sorted(tuple(r) for r in SP.edges_at(spark, state, last).collect()) == final_edges
+    final = spark.createDataFrame(final_edges, "src long, dst long")
+    want = {r.node: [round(x, 9) for x in r.hist] for r in PR.pagerank_history(final, 3, keep="all").collect()}
+    got = {r.node: [round(x, 9) for x in r.hist] for r in S.latest(spark, state, "ranks").collect()}
+    assert got == want
