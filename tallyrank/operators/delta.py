@@ -50,7 +50,10 @@ class DeltaResult:
     def full_delta(self) -> DataFrame:
         """Delta for every node of the old or the new graph (zeros included)."""
         zero = F.array_repeat(F.lit(0.0), self.iters)
-        nodes = self.nodes_old.unionByName(self.nodes_new).distinct()
+        # A join, not union + distinct: Spark 4.1 plans a union of a cached
+        # and a bucketed table, both hash-partitioned by node, as partitioned
+        # and then skips the shuffle the distinct needs (duplicates survive).
+        nodes = self.nodes_old.join(self.nodes_new, "node", "full").select("node")
         return nodes.join(self.delta, "node", "left").select("node", F.coalesce("delta", zero).alias("delta"))
 
 

@@ -58,6 +58,14 @@ def signed_tokens(revisions: DataFrame, keep: Sequence[str] = ("seq", "page")) -
             .select(*keep, F.col("__t.word").alias("word"), F.col("__t.w").cast("long").alias("w")))
 
 
+def merge_word_counts(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """``state (word, n)`` plus an aggregated ``delta (word, w)``, as a full
+    outer join: with ``state`` bucketed by word only ``delta`` is shuffled,
+    and every word of either side stays (0 included)."""
+    return (state.join(delta, "word", "full")
+            .select("word", (F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("w"), F.lit(0))).cast("long").alias("n")))
+
+
 def apply_word_delta(base: DataFrame, signed: DataFrame, drop_zero: bool = False) -> DataFrame:
     """State plus the sum of weights per word (O6). Words are never removed
     unless ``drop_zero``: a count can reach 0 (or below) and stays."""

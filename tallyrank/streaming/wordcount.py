@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.text import apply_word_delta, page_word_count, signed_tokens
+from ..operators.text import merge_word_counts, page_word_count, signed_tokens
 from ..sources.lines import parse_revisions
 from . import state as S
 
@@ -49,7 +49,7 @@ def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial
         if prev is None:
             prev = spark.createDataFrame([], "word string, n bigint")
         delta = signed_tokens(batch, keep=()).groupBy("word").agg(F.sum("w").alias("w"))
-        S.write_version_bucketed(apply_word_delta(prev, delta), state_dir, batch_id, "word", nb)
+        S.write_version_bucketed(merge_word_counts(prev, delta), state_dir, batch_id, "word", nb)
 
     return _start(parsed, fold, checkpoint, trigger, name)
 

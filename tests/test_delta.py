@@ -35,6 +35,8 @@ def test_delta_equals_recompute(spark, seed):
     assert sorted(tuple(r) for r in res.edges.collect()) == sorted(cur)
     want = hist_map(PR.pagerank_history(e_new, iters=4, keep="all"))
     assert hist_map(res.history(h_old)) == want
+    fd = res.full_delta()                    # every node of either graph, once
+    assert fd.count() == fd.select("node").distinct().count()
 
 
 def test_chained_batches_reuse_overlaid_links(spark):
