@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import BROADCAST_MAX_ROWS, cut_lineage, cut_lineage_bucketed
 from .graph import Links, net_updates, prepare_links
+from .pagerank import BUCKETED_FROM_EDGES
 
 
 @dataclass
@@ -115,8 +116,9 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     tb = _maybe_broadcast(touched, 2 * n_net)
     live = (e_new.select(F.col("src").alias("node")).join(tb, "node", "left_semi")
             .unionByName(e_new.select(F.col("dst").alias("node")).join(tb, "node", "left_semi")))
-    nodes_new, _ = cut_lineage_bucketed(L.nodes.join(tb, "node", "left_anti").unionByName(live.distinct()),
-                                        "node", L.partitions, "nodes")
+    nodes_new = L.nodes.join(tb, "node", "left_anti").unionByName(live.distinct())
+    nodes_new = (cut_lineage(nodes_new) if L.n_edges < BUCKETED_FROM_EDGES
+                 else cut_lineage_bucketed(nodes_new, "node", L.partitions, "nodes")[0])
     sources_new = (L.sources.join(F.broadcast(changed), "node", "left_anti")
                    .unionByName(new_t_w.select(F.col("src").alias("node")).distinct()))
     n_new_t_w = new_t_w.count()

@@ -88,3 +88,21 @@ def test_rank_at_and_zero_deltas(spark):
     z = PR.zero_deltas(h).collect()
     assert all(r.delta == [0.0, 0.0] for r in z)
     assert PR.to_wide(h, 2).columns == ["node", "i0", "i1"]
+
+
+def test_bucketed_vectors_match_checkpointed(spark, monkeypatch):
+    import tallyrank.operators.delta as D
+    e = edges_df(spark, EDGES + [(5, 1), (2, 4)])
+    want_r = ranks(PR.pagerank(e, iters=6, checkpoint_every=1))
+    want_h = {r.node: r.hist for r in PR.pagerank_history(e, iters=3, keep="all").collect()}
+    monkeypatch.setattr(PR, "BUCKETED_FROM_EDGES", 0)
+    monkeypatch.setattr(D, "BUCKETED_FROM_EDGES", 0)
+    assert ranks(PR.pagerank(e, iters=6, checkpoint_every=1)) == want_r
+    h = PR.pagerank_history(e, iters=3, keep="all")
+    assert {r.node: [round(x, 12) for x in r.hist] for r in h.collect()} == \
+        {k: [round(x, 12) for x in v] for k, v in want_h.items()}
+    ups = spark.createDataFrame([(0, -1, 3, 5), (1, 1, 6, 1)], "seq long, op int, src long, dst long")
+    res = D.pagerank_delta(e, ups, h, iters=3)
+    new = G.apply_edge_updates(e, ups)
+    want = {r.node: [round(x, 9) for x in r.hist] for r in PR.pagerank_history(new, iters=3, keep="all").collect()}
+    assert {r.node: [round(x, 9) for x in r.hist] for r in res.history(h).collect()} == want
