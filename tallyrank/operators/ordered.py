@@ -1,29 +1,41 @@
 """Ordered prefixes and slices (O22, O23) without a single-task window.
 
-A running sum over a total order is computed in three distributed steps:
+A running sum over a total order is computed in distributed steps:
 
-1. range buckets on the first order column from ``approxQuantile`` (the
-   driver gets one boundary per bucket) and ``Bucketizer`` (binary search,
-   JVM side);
-2. a window per bucket for the running sum inside the bucket (the data is
-   range-partitioned by bucket, so the window adds no further shuffle);
-3. bucket totals (one row per bucket) turned into offsets and broadcast
-   back: the broadcast is bounded by the bucket count.
-
-The first order column should not hold one value for a large share of the
-rows: rows of equal first key share a bucket.
+1. ``repartitionByRange`` on all order columns (Spark samples them, so rows
+   sharing a first-column value are split by the next columns), sorted
+   inside each partition, each row tagged with its partition ``p`` and its
+   position inside it (the low bits of ``monotonically_increasing_id``);
+2. the rows are written once to the shared checkpoint folder as a table
+   bucketed by a key chosen so that partition ``p`` lands exactly in bucket
+   ``p``: read back, the scan reports that layout, so the window per
+   partition (running sum inside it) adds no shuffle;
+3. partition totals (one row per partition) become offsets, broadcast back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import java_length
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage_bucketed, shuffle_partitions
+
+_LOW33 = (1 << 33) - 1
+
+
+def _bucket_keys(spark, n: int) -> DataFrame:
+    """``(__p, __key)``: for each bucket ``p`` in ``0..n-1`` an integer key that
+    Spark's bucketing (Murmur3, seed 42, pmod n) sends to bucket ``p``. One row
+    per bucket; searched among the first ``64 n`` integers."""
+    cand = spark.range(0, 64 * n).select(F.col("id").alias("__key"),
+                                         F.pmod(F.hash(F.col("id")), F.lit(n)).alias("__p"))
+    keys = cand.groupBy("__p").agg(F.min("__key").alias("__key"))
+    if keys.count() < n:
+        raise RuntimeError("no bucket key found for some partition")
+    return keys
 
 
 def running_sum(df: DataFrame, order_cols: Sequence[str], value: str | None = None,
@@ -32,26 +44,22 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value: str | None = No
     running sum of ``value``; of 1 per row when ``value`` is None)."""
     spark = df.sparkSession
     nb = buckets or shuffle_partitions(spark)
-    key = order_cols[0]
     v = F.col(value).cast("long") if value else F.lit(1).cast("long")
-    df = df.withColumn("__v", v).withColumn("__k", F.col(key).cast("double"))
-    qs = df.approxQuantile("__k", [i / nb for i in range(1, nb)], 1.0 / (4 * nb)) if nb > 1 else []
-    splits = [float("-inf")] + sorted(set(q for q in qs if q == q)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="__k", outputCol="__bd", handleInvalid="keep").transform(df)
-    b = b.withColumn("__b", F.col("__bd").cast("int")).drop("__bd", "__k")
-    b = b.repartitionByRange(len(splits) - 1, "__b")
-    w = Window.partitionBy("__b").orderBy(*order_cols)
-    b = (b.withColumn("__lcum", F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("__lidx", F.row_number().over(w) - 1))
-    b = cut_lineage(b)
-    tot = b.groupBy("__b").agg(F.sum("__v").alias("__t"), F.count(F.lit(1)).alias("__c"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__ot"),
+    r = (df.withColumn("__v", v).repartitionByRange(nb, *order_cols).sortWithinPartitions(*order_cols)
+         .withColumn("__p", F.spark_partition_id())
+         .withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
+    r = r.join(F.broadcast(_bucket_keys(spark, nb)), "__p")
+    r, _ = cut_lineage_bucketed(r, "__key", nb, "ordered")
+    w = Window.partitionBy("__key").orderBy("__i")
+    r = r.withColumn("__lcum", F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    tot = r.groupBy("__p").agg(F.sum("__v").alias("__t"), F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("__p", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__ot"),
                      F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__oc"))
-    return (b.join(F.broadcast(off), "__b")
+    return (r.join(F.broadcast(off), "__p")
             .withColumn("cum", F.col("__ot") + F.col("__lcum"))
-            .withColumn("idx", F.col("__oc") + F.col("__lidx"))
-            .drop("__b", "__v", "__lcum", "__lidx", "__ot", "__oc"))
+            .withColumn("idx", F.col("__oc") + F.col("__i"))
+            .drop("__p", "__i", "__key", "__v", "__lcum", "__ot", "__oc"))
 
 
 def take_chars(df: DataFrame, order_cols: Sequence[str], size: int, text_col: str = "text",

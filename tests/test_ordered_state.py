@@ -48,3 +48,17 @@ def test_graph_state_roundtrip_and_jdbc(spark, tmp):
     out = tmp("csv")
     save(PR.to_wide(h, 5), out, "csv", header="true")
     assert spark.read.option("header", "true").csv(out).count() == 3
+
+
+def test_running_sum_hot_first_column_is_split(spark):
+    """A first column holding one value for most rows: the range partitioner
+    splits it by the next column, and the sums stay exact."""
+    n = 3000
+    df = spark.range(0, n).select(F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id")).alias("a"),
+                                  F.col("id").alias("b"), F.lit(1).alias("v"))
+    r = running_sum(df, ["a", "b"], "v", buckets=6)
+    rows = r.orderBy("a", "b").collect()
+    assert [x.idx for x in rows] == list(range(n))
+    assert [x.cum for x in rows] == list(range(1, n + 1))
+    sizes = running_sum(df, ["a", "b"], "v", buckets=6).groupBy(F.spark_partition_id()).count().collect()
+    assert max(s[1] for s in sizes) < n      # the hot value is not one task
