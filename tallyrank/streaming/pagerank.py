@@ -38,17 +38,12 @@ def init_graph_state(edges: DataFrame, state_dir: str, iters: int = 5, damping:
     S.write_version_bucketed(hist, state_dir, INITIAL, "node", links.partitions, "ranks")
 
 
-def _has(spark, state_dir: str, v: int, table: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{S.version_path(state_dir, v)}/{table}/_SUCCESS")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
 def edges_at(spark, state_dir: str, v: int) -> DataFrame:
     """Edge set of version ``v``: the newest snapshot at or before it plus the
     change tables after the snapshot (last change per edge wins)."""
-    vs = [x for x in S.versions(spark, state_dir) if x <= v]
-    snap = max(x for x in vs if _has(spark, state_dir, x, "edges"))
+    done = S.committed_tables(spark, state_dir)
+    vs = sorted({x for x, _ in done if x <= v})
+    snap = max(x for x, t in done if t == "edges" and x <= v)
     later = [x for x in vs if x > snap]
     base = S.read_version(spark, state_dir, snap, "edges")
     if not later:

@@ -10,29 +10,31 @@ records which batches are done.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-
-def _fs(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+from pyspark.sql import functions as F
+
+
+def committed_tables(spark: SparkSession, root: str) -> set[tuple[int, str]]:
+    """``(version, table)`` for every committed table under ``root``; table
+    ``""`` for a version written as one table. Lists the Parquet part files
+    with Spark's own file source (``path`` only, so no file is read): the
+    output committer moves part files into place at job commit, and files
+    still under ``_temporary`` are hidden from the listing."""
+    pat = r"/v=(-?\d+)(?:/([^/=]+))?/[^/]+\.parquet$"
+    try:
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+                 .option("recursiveFileLookup", "true").load(root))
+        marks = (files.select(F.regexp_extract("path", pat, 1).alias("v"), F.regexp_extract("path", pat, 2).alias("t"))
+                 .filter(F.col("v") != "").distinct().collect())      # one row per (version, table)
+    except Exception as e:  # noqa: BLE001 - a missing folder has no versions
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return set()
+        raise
+    return {(int(v), t) for v, t in marks}
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions under ``root`` (folders ``v=<n>`` holding ``_SUCCESS``)."""
-    fs, path = _fs(spark, root)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v="):
-            done = st.getPath().suffix("/_SUCCESS")
-            sub_done = any(fs.exists(c.getPath().suffix("/_SUCCESS")) for c in fs.listStatus(st.getPath())
-                           if c.isDirectory())
-            if fs.exists(done) or sub_done:
-                out.append(int(name[2:]))
-    return sorted(out)
+    """Committed versions under ``root``."""
+    return sorted({v for v, _ in committed_tables(spark, root)})
 
 
 def version_path(root: str, v: int) -> str:
