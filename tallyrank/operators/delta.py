@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS, cut_lineage, cut_lineage_bucketed
+from ..session import broadcast_if_small, cut_lineage, cut_lineage_bucketed
 from .graph import Links, net_updates, prepare_links
 from .pagerank import BUCKETED_FROM_EDGES
 
@@ -62,10 +62,6 @@ def _isolated(iters: int, damping: float):
     return F.array_repeat(F.lit(1.0 - damping), iters)
 
 
-def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
-
-
 def _endpoints(edges: DataFrame) -> DataFrame:
     return (edges.select(F.col("src").alias("node"))
             .unionByName(edges.select(F.col("dst").alias("node"))).distinct())
@@ -87,10 +83,10 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     e_old = L.edges()
     net = cut_lineage(net_updates(updates))
     n_net = net.count()
-    pairs = _maybe_broadcast(net.select("src", "dst"), n_net)
+    pairs = broadcast_if_small(net.select("src", "dst"), n_net)
     adds = net.filter(F.col("op") == 1).select("src", "dst")
     # One scan of E: the out-edges of every source the change log names.
-    named = _maybe_broadcast(net.select("src").distinct(), n_net)
+    named = broadcast_if_small(net.select("src").distinct(), n_net)
     near = cut_lineage(e_old.join(named, "src", "left_semi"))
     present = near.join(pairs, ["src", "dst"], "left_semi")                       # changed pairs in E
     removed = present.join(net.filter(F.col("op") == -1).select("src", "dst"), ["src", "dst"], "left_semi")
@@ -99,7 +95,7 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     changed = cut_lineage(removed.select(F.col("src").alias("node"))
                           .unionByName(added.select(F.col("src").alias("node"))).distinct())
     n_changed = changed.count()
-    t_src = _maybe_broadcast(changed.select(F.col("node").alias("src")), n_changed)
+    t_src = broadcast_if_small(changed.select(F.col("node").alias("src")), n_changed)
 
     old_t = near.join(t_src, "src", "left_semi")
     new_t = old_t.join(pairs, ["src", "dst"], "left_anti").unionByName(adds.join(t_src, "src", "left_semi"))
@@ -113,7 +109,7 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     # Only endpoints of changed pairs can enter or leave (broadcast, counted).
     e_new = e_old.join(pairs, ["src", "dst"], "left_anti").unionByName(adds)
     touched = _endpoints(net.select("src", "dst"))
-    tb = _maybe_broadcast(touched, 2 * n_net)
+    tb = broadcast_if_small(touched, 2 * n_net)
     live = (e_new.select(F.col("src").alias("node")).join(tb, "node", "left_semi")
             .unionByName(e_new.select(F.col("dst").alias("node")).join(tb, "node", "left_semi")))
     nodes_new = L.nodes.join(tb, "node", "left_anti").unionByName(live.distinct())
@@ -132,7 +128,7 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
            .select("node", F.concat(F.array(F.lit(1.0)), F.slice(F.coalesce("hist", iso), 1, iters - 1)).alias("r"))
            if iters > 1 else changed.select("node", F.array(F.lit(1.0)).alias("r")))
     seed = cut_lineage(
-        signed.join(_maybe_broadcast(r_t, n_changed), signed.src == r_t.node)
+        signed.join(broadcast_if_small(r_t, n_changed), signed.src == r_t.node)
         .groupBy(F.col("dst").alias("node"))
         .agg(*[F.sum(F.get(F.col("r"), j) * F.col("sw")).alias(f"s{j}") for j in range(iters)]))
 

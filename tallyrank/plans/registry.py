@@ -118,7 +118,7 @@ def q_incremental_word_count(spark, sf):
 
 from ..operators import graph as G  # noqa: E402
 from ..operators import pagerank as PR  # noqa: E402
-from .oracle import GRAPH_B, GRAPH_C, GRAPH_P, history_sql, pagerank_sql  # noqa: E402
+from .oracle import GRAPH_B, GRAPH_C, GRAPH_P, history_sql, pagerank_ctes, pagerank_sql  # noqa: E402
 
 ITERS, DAMPING = 5, 0.85
 
@@ -201,7 +201,7 @@ def q_history_words(spark, sf):
 _SUPPLIERS = "SELECT s_suppkey AS node FROM supplier"
 
 
-@register("rank_at", "WITH " + ", ".join(__import__("tallyrank.plans.oracle", fromlist=["x"]).pagerank_ctes(GRAPH_C, ITERS, DAMPING, "all"))
+@register("rank_at", "WITH " + ", ".join(pagerank_ctes(GRAPH_C, ITERS, DAMPING, "all"))
           + f" SELECT r3.node AS node, {r6('r3.r')} AS rank FROM r3 WHERE r3.node IN ({_SUPPLIERS})")
 def q_rank_at(spark, sf):
     hist = PR.pagerank_history(I.graph_c(spark, sf), ITERS, DAMPING, keep="all")
@@ -293,7 +293,6 @@ from ..streaming import pagerank as SP  # noqa: E402
 from ..streaming import state as SS  # noqa: E402
 from ..streaming.sources import progress_table, stream_lines, write_slices  # noqa: E402
 from ..streaming.wordcount import stream_page_word_count, stream_word_count  # noqa: E402
-from .oracle import CHANGELOG_CTES as _CL  # noqa: E402,F401
 
 
 def revision_lines(spark, sf, with_old: bool = True) -> DataFrame:
@@ -381,7 +380,6 @@ def q_stream_pagerank(spark, sf):
 # ------------------------------------------------------------ edge files
 
 from ..sources.lines import parse_edges  # noqa: E402
-from .oracle import pagerank_ctes  # noqa: E402
 
 
 def _edge_file(spark, sf, sep: str) -> str:

@@ -113,18 +113,12 @@ def drop_table(spark: SparkSession, table: str | None) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                       known_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` if ``df`` has at most ``max_rows`` rows,
-    else ``(df, False)`` so the caller's join falls back to a shuffle join.
-
-    ``df`` should be materialised (checkpointed or persisted) so the count is
-    cheap and the check sees the rows the join will see.
-    """
-    n = df.count() if known_rows is None else known_rows
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
+def broadcast_if_small(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its counted row count ``rows`` is at most
+    ``max_rows``; otherwise ``df`` unchanged, so the join that uses it falls
+    back to a shuffle join. Count ``df`` after materialising it, so the bound
+    holds for the rows the join will see."""
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
