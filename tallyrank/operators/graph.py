@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS, shuffle_partitions
+from ..session import broadcast_if_small, shuffle_partitions
 
 MIN_SPLIT = 2000
 
@@ -124,7 +124,7 @@ class Links:
         return self.n_hot > 0 or self.over_src is not None
 
     def _over_b(self) -> DataFrame:
-        return F.broadcast(self.over_src) if self.n_over <= BROADCAST_MAX_ROWS else self.over_src
+        return broadcast_if_small(self.over_src, self.n_over)
 
     def edges(self) -> DataFrame:
         """The current deduplicated edge set ``(src, dst)`` (no shuffle)."""
@@ -148,14 +148,12 @@ class Links:
         parts = []
         if self.over_src is not None:
             ob = self._over_b()
-            vo = v.join(ob, "node", "left_semi")
-            vo = F.broadcast(vo) if self.n_over <= BROADCAST_MAX_ROWS else vo
+            vo = broadcast_if_small(v.join(ob, "node", "left_semi"), self.n_over)
             parts.append(self.over_edges.join(vo, self.over_edges.src == vo.node).select(F.col("dst"), *times_w))
             v = v.join(ob, "node", "left_anti")
         parts.append(v.join(self.cold, v.node == self.cold.src).select(F.col("dst"), *times_w))
         if self.n_hot:
-            hv = v.join(F.broadcast(self.hot_nodes), "node", "left_semi")
-            hv = F.broadcast(hv) if self.n_hot <= BROADCAST_MAX_ROWS else hv
+            hv = broadcast_if_small(v.join(F.broadcast(self.hot_nodes), "node", "left_semi"), self.n_hot)
             parts.append(self.hot.join(hv, self.hot.src == hv.node).select(F.col("dst"), *times_w))
         u = parts[0]
         for q in parts[1:]:
@@ -173,7 +171,7 @@ class Links:
         if self.over_src is None:
             return replace(self, over_src=changed, over_edges=new_edges, n_over=n_changed,
                            n_over_edges=n_new_edges, nodes=nodes, sources=sources, n_edges=n_edges)
-        cb = F.broadcast(changed) if n_changed <= BROADCAST_MAX_ROWS else changed
+        cb = broadcast_if_small(changed, n_changed)
         osrc = cut_lineage(self.over_src.unionByName(changed).distinct())
         oedges = cut_lineage(self.over_edges.join(cb.withColumnRenamed("node", "src"), "src", "left_anti")
                              .unionByName(new_edges))
@@ -197,12 +195,11 @@ def prepare_links(edges: DataFrame, split_above: int | None = None, partitions:
     if max_deg > t:
         hot_deg = deg.filter(F.col("outdeg") > t).persist(level)
         n_hot = hot_deg.count()
-        hd = F.broadcast(hot_deg) if n_hot <= BROADCAST_MAX_ROWS else hot_deg
+        hd = broadcast_if_small(hot_deg, n_hot)
         hot = (e.join(hd, "src").select("src", "dst", (F.lit(1.0) / F.col("outdeg")).alias("w"))
                .repartition(p).persist(level))
         hot_nodes = hot_deg.select(F.col("src").alias("node"))
-        cold_e = e.join(F.broadcast(hot_deg.select("src")) if n_hot <= BROADCAST_MAX_ROWS
-                        else hot_deg.select("src"), "src", "left_anti")
+        cold_e = e.join(broadcast_if_small(hot_deg.select("src"), n_hot), "src", "left_anti")
         cold_deg = deg.filter(F.col("outdeg") <= t)
     else:
         cold_e, cold_deg = e, deg
