@@ -85,14 +85,14 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
     ``compact_above`` of all edges."""
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"))
     ctx: dict = {"batch": None, "links": None}
+    track = S.VersionTracker(state_dir)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = parse_update_lines(batch)
-        older = [v for v in S.versions(spark, state_dir) if v < batch_id]
-        if not older:
+        prev = track.before(spark, batch_id)
+        if prev is None:
             raise RuntimeError(f"no graph state under {state_dir}; call init_graph_state first")
-        prev = older[-1]
         if ctx["batch"] == prev:
             links = ctx["links"]
         else:
@@ -107,6 +107,7 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
             S.write_version(nxt.edges(), state_dir, batch_id, "edges")      # snapshot
             nxt = prepare_links(S.read_version(spark, state_dir, batch_id, "edges"))
         ctx.update(batch=batch_id, links=nxt)
+        track.committed(batch_id)
 
     w = tagged.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     if name:

@@ -100,3 +100,24 @@ def previous_bucketed(spark: SparkSession, root: str, batch_id: int, initial: Da
     if older:
         return read_version_bucketed(spark, root, older[-1], key, buckets, ddl, table)
     return initial
+
+
+class VersionTracker:
+    """The newest committed version, known without listing the state folder
+    while one run folds consecutive batches; only the first batch of a run
+    (a start or restart) lists it. The listing grows with the number of
+    versions, so it must not happen per batch."""
+
+    def __init__(self, root: str):
+        self.root = root
+        self.last: int | None = None
+
+    def before(self, spark: SparkSession, batch_id: int) -> int | None:
+        """Newest committed version below ``batch_id`` (None if there is none)."""
+        if self.last is not None and self.last == batch_id - 1:
+            return self.last
+        older = [v for v in versions(spark, self.root) if v < batch_id]
+        return older[-1] if older else None
+
+    def committed(self, batch_id: int) -> None:
+        self.last = batch_id

@@ -42,14 +42,18 @@ def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial
     ``v=<batch>`` of ``state_dir`` holds ``(word, n)``; words at 0 stay."""
     parsed = parse_revisions(lines, seq=F.lit(0))
     nb = _buckets(lines, buckets)
+    track = S.VersionTracker(state_dir)
+    ddl = "word string, n bigint"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = S.previous_bucketed(spark, state_dir, batch_id, initial, "word", nb, "word string, n bigint")
+        v = track.before(spark, batch_id)
+        prev = S.read_version_bucketed(spark, state_dir, v, "word", nb, ddl) if v is not None else initial
         if prev is None:
-            prev = spark.createDataFrame([], "word string, n bigint")
+            prev = spark.createDataFrame([], ddl)
         delta = signed_tokens(batch, keep=()).groupBy("word").agg(F.sum("w").alias("w"))
         S.write_version_bucketed(merge_word_counts(prev, delta), state_dir, batch_id, "word", nb)
+        track.committed(batch_id)
 
     return _start(parsed, fold, checkpoint, trigger, name)
 
@@ -63,11 +67,13 @@ def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, in
     versions hold ``(page, counts map<string,bigint>)``."""
 
     nb = _buckets(lines, buckets)
+    track = S.VersionTracker(state_dir)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = S.previous_bucketed(spark, state_dir, batch_id, initial, "page", nb,
-                                   "page string, counts map<string,bigint>")
+        v = track.before(spark, batch_id)
+        prev = (S.read_version_bucketed(spark, state_dir, v, "page", nb, "page string, counts map<string,bigint>")
+                if v is not None else initial)
         # Inside the batch the plan is static: order lines by file, then position.
         seq = F.struct("__t", "__f", F.monotonically_increasing_id())
         batch = parse_revisions(batch, seq=seq).select("seq", "page", F.col("new_text").alias("text"))
@@ -76,6 +82,7 @@ def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, in
         if prev is not None:
             counts = counts.unionByName(prev.select("page", "counts").join(latest.select("page"), "page", "left_anti"))
         S.write_version_bucketed(counts, state_dir, batch_id, "page", nb)
+        track.committed(batch_id)
 
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"),
                           F.col("_metadata.file_name").alias("__f"))
