@@ -119,3 +119,16 @@ def test_stream_pagerank_restart_replays_changes(spark, tmp):
     want = {r.node: [round(x, 9) for x in r.hist] for r in PR.pagerank_history(final, 3, keep="all").collect()}
     got = {r.node: [round(x, 9) for x in r.hist] for r in S.latest(spark, state, "ranks").collect()}
     assert got == want
+
+
+def test_stream_page_word_count_with_initial_state(spark, tmp):
+    """S4 for S2: pages from the initial table keep their counts until a line
+    for them arrives."""
+    from tallyrank.operators.text import page_word_count
+    init = page_word_count(spark.createDataFrame([("p", "old old"), ("r", "keep")], "page string, text string"))
+    rows = [(0, "p" + US + "new")]
+    state = tmp("state")
+    stream_page_word_count(stream_lines(spark, slices(spark, tmp, rows)), state, tmp("ck"),
+                           initial=init).awaitTermination()
+    got = {r.page: dict(r.counts) for r in S.latest(spark, state).collect()}
+    assert got == {"p": {"new": 1}, "r": {"keep": 1}}
