@@ -117,8 +117,11 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
                  else cut_lineage_bucketed(nodes_new, "node", L.partitions, "nodes")[0])
     sources_new = (L.sources.join(F.broadcast(changed), "node", "left_anti")
                    .unionByName(new_t_w.select(F.col("src").alias("node")).distinct()))
-    n_new_t_w = new_t_w.count()
-    n_edges_new = L.n_edges - old_t.count() + n_new_t_w
+    cnt = (old_t.select(F.lit(-1).alias("c")).unionByName(new_t_w.select(F.lit(1).alias("c")))
+           .agg(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("new"),
+                F.sum(F.when(F.col("c") < 0, 1).otherwise(0)).alias("old")).first())   # one job, two counts
+    n_new_t_w, n_old_t = int(cnt["new"] or 0), int(cnt["old"] or 0)
+    n_edges_new = L.n_edges - n_old_t + n_new_t_w
     L_new = L.with_overlay(changed, new_t_w, nodes_new, sources_new, n_edges_new,
                            n_changed=n_changed, n_new_edges=n_new_t_w)
 
@@ -133,7 +136,7 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
         .agg(*[F.sum(F.get(F.col("r"), j) * F.col("sw")).alias(f"s{j}") for j in range(iters)]))
 
     d = F.lit(damping)
-    cur = cut_lineage(seed.select("node", (d * F.col("s0")).alias("x")))
+    cur = seed.select("node", (d * F.col("s0")).alias("x"))      # seed is already a flat table
     per_iter = [cur.select("node", F.lit(0).alias("k"), "x")]
     for k in range(1, iters):
         sp = L_new.spread(cur, ["x"]).withColumnRenamed("x", "p")
