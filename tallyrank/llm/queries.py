@@ -87,3 +87,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op5_simhash_near_duplicates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_fingerprint, near_duplicates
+    found = near_duplicates(read(spark, sf_dir, "documents", ("doc_id", "text")), shingle=3, max_bits=2)
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def language_model(docs: DataFrame):
+    from . import langid
+    return langid.train(docs, langid.remainder() != 1)
+
+
+@register("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    docs = read(spark, sf_dir, "documents", ("doc_id", "text", "lang"))
+    said = langid.identify(docs, language_model(docs))
+    return said.select("doc_id", F.coalesce(langid.remainder() == 1, F.lit(False)).alias("held_out"),
+                       "lang_pred", "score", "rejected")

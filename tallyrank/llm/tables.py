@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,21 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+class Shipped:
+    """An object of bounded size broadcast to all tasks, with its class, by value."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent, self.opened = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "opened": None}
+
+    def get(self):
+        if self.opened is None:
+            self.opened = cloudpickle.loads(self.sent.value)
+        return self.opened
+
+
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
     """A row's own key: rows with the same id and the same text are one
     document, rows that differ in either (or are null there) are different."""
