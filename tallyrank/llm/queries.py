@@ -108,3 +108,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = langid.identify(docs, language_model(docs))
     return said.select("doc_id", F.coalesce(langid.remainder() == 1, F.lit(False)).alias("held_out"),
                        "lang_pred", "score", "rejected")
+
+
+@register("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, find_secrets, joined
+    found = find_secrets(read(spark, sf_dir, "documents", ("doc_id", "text")))
+    base = F.filter("secrets", lambda s: s["rank"] < len(BASE))
+
+    def n_of(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind))
+
+    found = found.select("doc_id", "secrets", base.alias("base"))
+    return found.select(
+        "doc_id",
+        *(n_of(k).cast("long").alias(f"n_{k}") for k in BASE),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))

@@ -65,30 +65,32 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).isNull(), F.col(text_col))
 
 
-def prefix_sums(lengths: Column, step: int = 256) -> Column:
-    """Running sums of an array column: item i is the sum of items 0 to i.
+def prefix_sums(values: Column, step: int = 256, merge=lambda a, x: a + x) -> Column:
+    """Running sums of an array of ints: item i is the sum of items 0 to i
+    (or, with ``merge``, another associative fold that starts from 0).
 
     Built-in higher-order functions keep no state between items, so sums are
     taken over blocks of ``step``: the totals of earlier blocks plus the items
     of the own block, which costs ``n * step / 2`` additions, not ``n * n / 2``.
+    ``values`` must be a column, not an expression worth computing once only.
     """
-    zero, add = F.lit(0), lambda a, x: a + x
-    n_blocks = F.ceil(F.size(lengths) / F.lit(step)).cast("int")
-
-    def blocks(each):
-        empty = F.array().cast("array<int>")
-        return F.when(n_blocks == 0, empty).otherwise(F.transform(F.sequence(F.lit(0), n_blocks - 1), each))
-
-    totals = blocks(lambda b: F.aggregate(F.slice(lengths, b * step + 1, F.lit(step)), zero, add))
-
-    def of_block(b, sums):
-        before = F.aggregate(F.slice(sums, F.lit(1), b), zero, add)
-        return F.transform(
-            F.array(F.struct(before.alias("before"), F.slice(lengths, b * step + 1, F.lit(step)).alias("own"))),
-            lambda x: F.transform(x["own"], lambda _, i: x["before"] + F.aggregate(
-                F.slice(x["own"], F.lit(1), i + 1), zero, add)))[0]
-
-    empty2 = F.array(F.array().cast("array<int>"))
-    return F.flatten(F.transform(F.array(totals), lambda sums: F.when(
-        n_blocks == 0, empty2).otherwise(F.transform(
-            F.sequence(F.lit(0), n_blocks - 1), lambda b: of_block(b, sums))))[0])
+    n_blocks = F.ceil(F.size(values) / F.lit(step)).cast("int")
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), merge)
+
+    def blocks(each) -> Column:
+        ids = F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(ids, each)
+
+    def own(b: Column) -> Column:
+        return F.slice(values, b * step + 1, F.lit(step))
+
+    def let(value: Column, use) -> Column:
+        """``use`` of a value computed once."""
+        return F.transform(F.array(value), use)[0]
+
+    return F.flatten(let(blocks(lambda b: fold(own(b))), lambda totals: blocks(
+        lambda b: let(F.struct(fold(F.slice(totals, F.lit(1), b)).alias("before"), own(b).alias("own")),
+                      lambda x: F.transform(x["own"], lambda _, i: merge(
+                          x["before"], fold(F.slice(x["own"], F.lit(1), i + 1))))))))
