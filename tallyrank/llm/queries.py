@@ -124,3 +124,34 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *(n_of(k).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+      FROM d GROUP BY source),
+l AS (SELECT *, 3 * source_size / weight AS r,
+             (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0))
+             / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+      FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(
+             (SELECT min_by(level, r) FROM l WHERE r > level) * weight, (3 * source_size)::DOUBLE)) AS target FROM l),
+o AS (SELECT d.*, source_size, target,
+             sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (least(greatest(floor(target) - pos, 0), size) + least(greatest(floor(target) - source_size - pos, 0), size)
+        + least(greatest(floor(target) - 2 * source_size - pos, 0), size))::BIGINT AS taken
+FROM o"""
+
+
+@register("op10_curriculum_mix", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import curriculum
+    mix = curriculum(read(spark, sf_dir, "documents", ("doc_id", "source", "text")))
+    return (mix.groupBy("doc_id", "source", "key", "copy", "size", "source_size", "target")
+            .agg(F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken"))

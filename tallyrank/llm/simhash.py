@@ -56,13 +56,16 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, kept, fp)`` per row; ``fp`` is the fingerprint as a signed long
+    and ``kept`` a struct of the columns ``keep`` (left out if there are none)."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = pa.array([simhash(t.as_py(), shingle) for t in b.column(1)], pa.int64())
-        return pa.RecordBatch.from_arrays([b.column(0), fp], names=["doc_id", "fp"])
-    t = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(t, run, f"doc_id {dict(t.dtypes)['doc_id']}, fp bigint")
+        fp = pa.array([simhash(t.as_py(), shingle) for t in b.column(b.num_columns - 1)], pa.int64())
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*b.schema.names[:-1], "fp"])
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    t = docs.select(F.col(doc_id).alias("doc_id"), *kept, F.col(text).alias("text"))
+    return map_batches(t, run, ", ".join(f"{c} {k}" for c, k in t.dtypes[:-1]) + ", fp bigint")
 
 
 def _blocks(n: int) -> list[int]:
