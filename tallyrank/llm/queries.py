@@ -155,3 +155,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = curriculum(read(spark, sf_dir, "documents", ("doc_id", "source", "text")))
     return (mix.groupBy("doc_id", "source", "key", "copy", "size", "source_size", "target")
             .agg(F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@register("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+    return repeated_passages(read(spark, sf_dir, "documents", ("doc_id", "text")), min_words=50)
