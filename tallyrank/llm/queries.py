@@ -161,3 +161,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_passages
     return repeated_passages(read(spark, sf_dir, "documents", ("doc_id", "text")), min_words=50)
+
+
+@register("op6_kneser_ney_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import quality
+    return quality(read(spark, sf_dir, "documents", ("doc_id", "text", "lang"))).drop("lang")
