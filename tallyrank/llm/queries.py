@@ -167,3 +167,40 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .perplexity import quality
     return quality(read(spark, sf_dir, "documents", ("doc_id", "text", "lang"))).drop("lang")
+
+
+@register("op9_ordinal_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of harm from the two labels: 0 harmless, 1 harmless but of low quality, 2 toxic."""
+    from .toxicity import severity, train
+    docs = read(spark, sf_dir, "documents", ("doc_id", "text"))
+    labels = read(spark, sf_dir, "labels", ("doc_id", "quality", "toxic"))
+    grade = F.when(F.col("toxic") == 1, 2).when(F.col("toxic") == 0, F.when(F.col("quality") == 0, 1).otherwise(0))
+    return severity(docs, train(docs, labels.withColumn("grade", grade)), toxic_from=2)
+
+
+def damaged(records: DataFrame) -> DataFrame:
+    """A replica with faults at places that follow from the records: of 1000
+    records about two have a byte changed, one is cut short and one is lost."""
+    at, r = F.pmod(F.xxhash64("record"), F.lit(1000)), F.col("record")
+    n = F.length(r)
+    byte = F.when(F.substring(r, F.floor(n / 2).cast("int"), F.lit(1)) == F.lit(b"#"), F.lit(b"+")).otherwise(F.lit(b"#"))
+    flipped = F.concat(F.substring(r, F.lit(1), F.floor(n / 2).cast("int") - 1), byte,
+                       F.substring(r, F.floor(n / 2).cast("int") + 1, n))
+    return records.filter(at != 3).withColumn("record", F.when(at < 2, flipped).when(
+        at == 2, F.substring(r, F.lit(1), n - 7)).otherwise(r))
+
+
+@register("op7_warc_merkle_audit")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fixity import audit, warc_records
+    import uuid
+
+    from .tables import shared_root
+    path = f"{shared_root(spark)}/warc-{uuid.uuid4().hex[:12]}"
+    warc_records(read(spark, sf_dir, "pages", ("page_id", "url", "html"))).write.parquet(path)
+    records = spark.read.parquet(path)
+    found = audit(records, damaged(records))
+    pages = records.select("page_id", F.col("file").cast("long").alias("file"), "offset")
+    return found.join(pages, ["file", "offset"], "left").select(
+        "page_id", "file", "offset", "status", "length", "replica_length")
