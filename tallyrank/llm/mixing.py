@@ -40,7 +40,7 @@ SCHEDULES = (((0.0, 1.5), (0.7, 1.0), (1.0, 0.25)),
              ((0.0, 1.0), (1.0, 1.0)),
              ((0.0, 0.25), (0.5, 1.0), (1.0, 2.0)))
 #: Rows of one hash range, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
