@@ -69,7 +69,7 @@ def select(rows: list[tuple[np.ndarray, int]], keep: int, min_share: float, min_
     return np.sort(some[order[best[order] >= max(30.0, min_chi * n)]])
 
 
-def fit(rows: list[tuple[np.ndarray, int]], keep: int = 4096, min_share: float = 0.005, min_chi: float = 0.02,
+def fit(rows: list[tuple[np.ndarray, int]], keep: int = 4096, min_share: float = 0.005, min_chi: float = 0.05,
         rounds: int = 600, rate: float = 0.1, penalty: float = 1e-4) -> Model:
     """Maximum likelihood with an L1 penalty on the shared weights (Adam, full batch)."""
     top = max((g for _, g in rows), default=0)
