@@ -114,9 +114,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, key, pos)], names=["h", "key", "pos"])
 
     found = map_batches(d.select("key", "text"), find, "h bigint, key bigint, pos int", 1000)
-    place = F.struct("key", "pos")
-    twice = (found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-             .filter("a <> b").select("h"))
+    # A repeated row counts too, which keeps suffixes that then meet only themselves.
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     kept = (found.join(twice, "h", "left_semi").groupBy("key")
             .agg(F.collect_set("pos").alias("at")))
 
