@@ -66,12 +66,13 @@ def no_incoming(edges: DataFrame) -> DataFrame:
 def neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Out-neighbours of a set of nodes (O13): ``(src, dst)`` for ``src`` in
     ``nodes.node``; an unknown node has none."""
-    return dedupe(edges).join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    wanted = nodes.select(F.col("node").alias("src")).distinct()
+    return dedupe(edges.select("src", "dst").join(wanted, "src", "left_semi"))
 
 
 def frontier(edges: DataFrame, nodes: DataFrame, hops: int = 1) -> DataFrame:
     """Distinct nodes reached from ``nodes`` in exactly ``hops`` steps."""
-    e = dedupe(edges)
+    e = edges.select("src", "dst")
     cur = nodes.select("node").distinct()
     for _ in range(hops):
         cur = (e.join(cur.select(F.col("node").alias("src")), "src", "left_semi")

@@ -291,7 +291,7 @@ def q_graph_state_roundtrip(spark, sf):
 from ..operators.ordered import running_sum  # noqa: E402
 from ..streaming import pagerank as SP  # noqa: E402
 from ..streaming import state as SS  # noqa: E402
-from ..streaming.sources import progress_table, stream_lines, write_slices  # noqa: E402
+from ..streaming.sources import ProgressLog, progress_table, stream_lines, write_slices  # noqa: E402
 from ..streaming.wordcount import stream_page_word_count, stream_word_count  # noqa: E402
 
 
@@ -353,8 +353,24 @@ def q_stream_page_word_count(spark, sf):
 @register("progress_rows", """
 SELECT turn AS batch_id, count(*)::BIGINT AS num_input_rows FROM conversations GROUP BY turn""")
 def q_progress_rows(spark, sf):
+    log = ProgressLog(spark)
     q, _ = _run(spark, "prog", revision_lines(spark, sf), stream_word_count)
-    return progress_table(spark, q).filter(F.col("num_input_rows") > 0).select("batch_id", "num_input_rows")
+    rows = progress_table(spark, q, log)
+    log.close()
+    return rows.filter(F.col("num_input_rows") > 0).select("batch_id", "num_input_rows")
+
+
+@register("stream_rejects", """
+SELECT turn AS batch, replace(text, chr(10), ' ') AS line, 'fewer than 2 fields' AS reason
+FROM conversations WHERE role = 'system'""")
+def q_stream_rejects(spark, sf):
+    """System turns come without a page field, so the stream must set them aside."""
+    c = I.table(spark, sf, "conversations", ("conv_id", "turn", "role", "text"))
+    text = F.regexp_replace("text", "\n", " ")
+    lines = c.select(F.col("turn").alias("batch"), F.when(F.col("role") == "system", text).otherwise(
+        F.concat(F.col("conv_id").cast("string"), F.lit(FIELD_SEP), text)).alias("value"))
+    _, state = _run(spark, "srej", lines, stream_word_count)
+    return SS.rejects(spark, state).select("batch", "line", "reason")
 
 
 def update_lines(spark, sf) -> DataFrame:

@@ -63,33 +63,38 @@ def ranks_at(spark, state_dir: str, v: int, buckets: int) -> DataFrame:
 def parse_update_lines(lines: DataFrame) -> DataFrame:
     """``op src dst [seq]`` to ``(seq, op, src, dst)`` on a static batch of
     ``(value, __t)`` rows; a line without a fourth field gets its file time
-    and position as ``seq``. Bad lines are dropped."""
+    and position as ``seq``. Returns these and the malformed lines
+    ``(line, reason)``."""
     f = java_split(F.col("value"), WS_SEP)
     pos = F.struct(F.col("__t").cast("long").alias("t"), F.monotonically_increasing_id().alias("i"))
     seq = F.when(F.size(f) >= 4, F.struct(F.lit(0).cast("long").alias("t"), F.get(f, 3).try_cast("long").alias("i"))
                  ).otherwise(pos)
-    out = lines.select(seq.alias("seq"), F.get(f, 0).try_cast("int").alias("op"),
+    out = lines.select(F.col("value").alias("line"), seq.alias("seq"), F.get(f, 0).try_cast("int").alias("op"),
                        F.get(f, 1).try_cast("bigint").alias("src"), F.get(f, 2).try_cast("bigint").alias("dst"))
-    return out.filter(F.col("op").isin(1, -1) & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    good = F.coalesce(F.col("op").isin(1, -1), F.lit(False)) & F.col("src").isNotNull() & F.col("dst").isNotNull()
+    return (out.filter(good).drop("line"),
+            out.filter(~good).select("line", F.lit("not 'op from to' with op 1 or -1").alias("reason")))
 
 
 def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: int = 5, damping: float = 0.85,
                     trigger: dict | None = None, name: str | None = None,
-                    compact_above: float = COMPACT_ABOVE) -> StreamingQuery:
+                    compact_above: float = COMPACT_ABOVE, strict: bool = False) -> StreamingQuery:
     """Keep the graph's rank history current under a stream of edge updates.
 
     Within one run the prepared links carry over from batch to batch: each
     batch adds its changed sources to the links' overlay, an O(changes)
     step. The links are prepared again only when the run starts (from the
     last committed version) or when the overlay holds more than
-    ``compact_above`` of all edges."""
+    ``compact_above`` of all edges. Malformed lines go to ``state.rejects``;
+    ``strict`` makes them an error."""
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"))
     ctx: dict = {"batch": None, "links": None}
     track = S.VersionTracker(state_dir)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = parse_update_lines(batch)
+        batch, bad = parse_update_lines(batch)
+        S.keep_rejects(bad, state_dir, batch_id, strict)
         prev = track.before(spark, batch_id)
         if prev is None:
             raise RuntimeError(f"no graph state under {state_dir}; call init_graph_state first")
@@ -109,7 +114,7 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
         ctx.update(batch=batch_id, links=nxt)
         track.committed(batch_id)
 
-    w = tagged.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    w = tagged.writeStream.foreachBatch(S.read_once(fold)).option("checkpointLocation", checkpoint)
     if name:
         w = w.queryName(name)
     return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -4,11 +4,12 @@ stream (O23's output), the progress table (S9, S11) and the idle stop (S10)."""
 from __future__ import annotations
 
 import os
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1, fmt: str = "text",
@@ -41,21 +42,68 @@ def write_slices(df: DataFrame, dest: str, batch_col: str = "batch", fmt: str =
     return ids
 
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per finished micro-batch: ``batch_id, num_input_rows, duration_ms,
-    timestamp`` (rows per batch and per-batch time)."""
-    rows = [(int(p["batchId"]), int(p["numInputRows"]), int(p["durationMs"].get("triggerExecution", 0)),
-             p["timestamp"]) for p in query.recentProgress]
+class ProgressLog(StreamingQueryListener):
+    """Every trigger of every query, idle ones included, for as long as it is
+    attached: Spark itself keeps only a query's last hundred. A trigger is one
+    small row on the driver."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows, self.ended = spark, {}, {}
+        spark.streams.addListener(self)
+
+    def _end(self, query_id: str) -> threading.Event:
+        return self.ended.setdefault(query_id, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(str(event.id)).clear()
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.setdefault(str(p.id), []).append(
+            (int(p.batchId), int(p.numInputRows), int(p.durationMs.get("triggerExecution", 0)), p.timestamp))
+
+    def onQueryIdle(self, event) -> None:
+        self.rows.setdefault(str(event.id), []).append((None, 0, 0, event.timestamp))
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.id)).set()
+
+    def of(self, query: StreamingQuery, wait_s: float = 60.0) -> list[tuple]:
+        """The query's rows; once it has ended, only after its last event has arrived."""
+        if not query.isActive and not self._end(str(query.id)).wait(wait_s):
+            raise TimeoutError("the end of the query was not reported")
+        return list(self.rows.get(str(query.id), []))
+
+    def close(self) -> None:
+        self.spark.streams.removeListener(self)
+
+
+def progress_table(spark: SparkSession, query: StreamingQuery, log: ProgressLog | None = None) -> DataFrame:
+    """One row per trigger: ``batch_id, num_input_rows, duration_ms, timestamp``
+    (rows per batch and per-batch time; ``batch_id`` is null for an idle trigger).
+    Without a ``log`` attached before the start only a query whose triggers
+    Spark still holds all can be shown; a longer one is an error."""
+    if log is not None:
+        rows = log.of(query)
+    else:
+        recent = query.recentProgress
+        kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+        if len(recent) >= kept - 1:  # the buffer is cut as it fills
+            raise RuntimeError(f"Spark keeps the last {kept} triggers only; attach a ProgressLog before the start")
+        rows = [(int(p["batchId"]), int(p["numInputRows"]), int(p["durationMs"].get("triggerExecution", 0)),
+                 p["timestamp"]) for p in recent]
     return spark.createDataFrame(rows, "batch_id long, num_input_rows long, duration_ms long, timestamp string")
 
 
 def run_to_idle(query: StreamingQuery, empty_batches: int = 2, poll_s: float = 0.5,
-                timeout_s: float = 3600.0) -> None:
+                timeout_s: float | None = None) -> None:
     """Stop ``query`` after ``empty_batches`` idle polls in a row once data has
-    arrived (a query on ``availableNow`` simply runs to its end)."""
+    arrived (a query on ``availableNow`` simply runs to its end). With
+    ``timeout_s``, a query that is not idle by then goes on and a TimeoutError
+    is raised."""
     seen_data, idle, seen_ts = False, 0, None
-    deadline = time.time() + timeout_s
-    while query.isActive and time.time() < deadline:
+    deadline = None if timeout_s is None else time.time() + timeout_s
+    while query.isActive:
         p = query.lastProgress
         if p is not None and p["timestamp"] != seen_ts:
             seen_ts = p["timestamp"]
@@ -65,5 +113,7 @@ def run_to_idle(query: StreamingQuery, empty_batches: int = 2, poll_s: float = 0
                 idle += 1
                 if idle >= empty_batches:
                     break
+        if deadline is not None and time.time() > deadline:
+            raise TimeoutError(f"the query was not idle after {timeout_s} s; it goes on")
         time.sleep(poll_s)
     query.stop()

@@ -121,3 +121,32 @@ class VersionTracker:
 
     def committed(self, batch_id: int) -> None:
         self.last = batch_id
+
+
+def read_once(fold):
+    """A ``foreachBatch`` function that may use its batch several times while the
+    source is read (and its rows are counted) once."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            fold(held, batch_id)
+        finally:
+            held.unpersist()
+    return run
+
+
+def keep_rejects(bad: DataFrame, state_dir: str, batch_id: int, strict: bool) -> None:
+    """Write a batch's malformed lines (``line, reason``) beside the state, before
+    the state itself; with ``strict`` any such line fails the batch."""
+    path = f"{state_dir.rstrip('/')}-rejects/batch={batch_id}"
+    bad.write.mode("overwrite").parquet(path)
+    if strict:
+        first = bad.sparkSession.read.schema("line string, reason string").parquet(path).first()
+        if first is not None:
+            raise ValueError(f"malformed line in batch {batch_id}: {first['reason']}: {first['line']!r}")
+
+
+def rejects(spark: SparkSession, state_dir: str) -> DataFrame:
+    """``(line, reason, batch)`` of all malformed lines a stream has met."""
+    return (spark.read.schema("line string, reason string, batch bigint")
+            .parquet(f"{state_dir.rstrip('/')}-rejects"))

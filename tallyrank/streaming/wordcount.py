@@ -22,7 +22,7 @@ from . import state as S
 
 
 def _start(stream: DataFrame, fn, checkpoint: str, trigger: dict | None, name: str | None) -> StreamingQuery:
-    w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(S.read_once(fn)).option("checkpointLocation", checkpoint)
     if name:
         w = w.queryName(name)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -35,18 +35,20 @@ def _buckets(lines: DataFrame, buckets: int | None) -> int:
 
 def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
                       trigger: dict | None = None, name: str | None = None,
-                      buckets: int | None = None) -> StreamingQuery:
+                      buckets: int | None = None, strict: bool = False) -> StreamingQuery:
     """Incremental corpus counts over a stream of revision lines (S3):
     ``page<US>new`` adds the words of ``new``; ``page<US>new<US>old`` also
     subtracts those of ``old``. ``initial`` is ``(word, n)`` (S4). Version
-    ``v=<batch>`` of ``state_dir`` holds ``(word, n)``; words at 0 stay."""
-    parsed = parse_revisions(lines, seq=F.lit(0))
+    ``v=<batch>`` of ``state_dir`` holds ``(word, n)``; words at 0 stay.
+    Malformed lines go to ``state.rejects``; ``strict`` makes them an error."""
     nb = _buckets(lines, buckets)
     track = S.VersionTracker(state_dir)
     ddl = "word string, n bigint"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch, bad = parse_revisions(batch, seq=F.lit(0), with_rejects=True)
+        S.keep_rejects(bad, state_dir, batch_id, strict)
         v = track.before(spark, batch_id)
         prev = S.read_version_bucketed(spark, state_dir, v, "word", nb, ddl) if v is not None else initial
         if prev is None:
@@ -55,12 +57,12 @@ def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial
         S.write_version_bucketed(merge_word_counts(prev, delta), state_dir, batch_id, "word", nb)
         track.committed(batch_id)
 
-    return _start(parsed, fold, checkpoint, trigger, name)
+    return _start(lines.select("value"), fold, checkpoint, trigger, name)
 
 
 def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
                            trigger: dict | None = None, name: str | None = None,
-                           buckets: int | None = None) -> StreamingQuery:
+                           buckets: int | None = None, strict: bool = False) -> StreamingQuery:
     """Latest per-page counts over a stream of ``page<US>text`` lines (S2): per
     page the batch's last line (file order, then line order) replaces the
     state's counts; pages without a new line keep theirs. ``initial`` and the
@@ -76,7 +78,9 @@ def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, in
                 if v is not None else initial)
         # Inside the batch the plan is static: order lines by file, then position.
         seq = F.struct("__t", "__f", F.monotonically_increasing_id())
-        batch = parse_revisions(batch, seq=seq).select("seq", "page", F.col("new_text").alias("text"))
+        batch, bad = parse_revisions(batch, seq=seq, with_rejects=True)
+        S.keep_rejects(bad, state_dir, batch_id, strict)
+        batch = batch.select("seq", "page", F.col("new_text").alias("text"))
         latest = batch.groupBy("page").agg(F.max_by("text", "seq").alias("text"))
         counts = page_word_count(latest)
         if prev is not None:

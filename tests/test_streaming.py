@@ -1,5 +1,6 @@
 """Streaming results equal batch recompute, survive restarts and retries."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyrank.functions.text import FIELD_SEP
@@ -7,7 +8,7 @@ from tallyrank.operators import pagerank as PR
 from tallyrank.operators.text import word_count
 from tallyrank.streaming import pagerank as SP
 from tallyrank.streaming import state as S
-from tallyrank.streaming.sources import progress_table, run_to_idle, stream_lines, write_slices
+from tallyrank.streaming.sources import ProgressLog, progress_table, run_to_idle, stream_lines, write_slices
 from tallyrank.streaming.wordcount import stream_page_word_count, stream_word_count
 
 US = FIELD_SEP
@@ -132,3 +133,28 @@ def test_stream_page_word_count_with_initial_state(spark, tmp):
                            initial=init).awaitTermination()
     got = {r.page: dict(r.counts) for r in S.latest(spark, state).collect()}
     assert got == {"p": {"new": 1}, "r": {"keep": 1}}
+
+
+def test_progress_log_keeps_more_triggers_than_spark_does(spark, tmp):
+    rate = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 3).load()
+    log = ProgressLog(spark)
+    q = (rate.writeStream.format("noop").option("checkpointLocation", tmp("ck"))
+         .trigger(processingTime="0 seconds").start())
+    while (q.lastProgress or {"batchId": 0})["batchId"] < 120:
+        pass
+    q.stop()
+    rows = [r for r in log.of(q) if r[0] is not None and r[1] > 0]
+    log.close()
+    assert {r[0] for r in rows} >= set(range(120)) and all(r[1] == 3 for r in rows)
+    with pytest.raises(RuntimeError):
+        progress_table(spark, q)
+
+
+def test_malformed_lines_are_kept_or_fail(spark, tmp):
+    src = slices(spark, tmp, [(0, "p" + US + "a b"), (0, "no field"), (1, "q" + US + "c")])
+    state = tmp("state")
+    stream_word_count(stream_lines(spark, src), state, tmp("ck")).awaitTermination()
+    assert [(r.batch, r.line) for r in S.rejects(spark, state).collect()] == [(0, "no field")]
+    assert counts(S.latest(spark, state)) == {"a": 1, "b": 1, "c": 1}
+    with pytest.raises(Exception, match="malformed line"):
+        stream_word_count(stream_lines(spark, src), tmp("state"), tmp("ck"), strict=True).awaitTermination()
