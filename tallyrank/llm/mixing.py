@@ -152,8 +152,9 @@ def curriculum(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     totals = plan.groupBy().agg(*(F.coalesce(F.sum(F.when(F.col("class") % len(schedules) == i, F.col("target"))), F.lit(0.0))
                                   .alias(f"class_{i}") for i in range(len(schedules))))
     positions = sum((F.col(f"class_{i}") * demand(F.col("due"), k) for i, k in enumerate(schedules)), F.lit(0.0))
-    placed = (taken.withColumn("due", when).join(F.broadcast(totals))  # one row
-              .withColumn("position", positions).drop("class", *(f"class_{i}" for i in range(len(schedules)))))
+    read = F.col("taken") > 0
+    placed = (taken.withColumn("due", F.when(read, when)).join(F.broadcast(totals))  # one row
+              .withColumn("position", F.when(read, positions)).drop("class", *(f"class_{i}" for i in range(len(schedules)))))
     return placed.repartitionByRange("position", "doc_id", "key", "copy", "epoch").sortWithinPartitions(
         "position", "doc_id", "key", "copy", "epoch")
 
