@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage, cut_lineage_bucketed
 from .graph import Links, net_updates, prepare_links
-from .pagerank import BUCKETED_FROM_EDGES
 
 
 @dataclass
@@ -113,21 +112,20 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     live = (e_new.select(F.col("src").alias("node")).join(tb, "node", "left_semi")
             .unionByName(e_new.select(F.col("dst").alias("node")).join(tb, "node", "left_semi")))
     nodes_new = L.nodes.join(tb, "node", "left_anti").unionByName(live.distinct())
-    nodes_new = (cut_lineage(nodes_new) if L.n_edges < BUCKETED_FROM_EDGES
-                 else cut_lineage_bucketed(nodes_new, "node", L.partitions, "nodes")[0])
-    sources_new = (L.sources.join(F.broadcast(changed), "node", "left_anti")
-                   .unionByName(new_t_w.select(F.col("src").alias("node")).distinct()))
+    nodes_new = cut_lineage_bucketed(nodes_new, "node", L.partitions, "nodes")
     cnt = (old_t.select(F.lit(-1).alias("c")).unionByName(new_t_w.select(F.lit(1).alias("c")))
            .agg(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("new"),
                 F.sum(F.when(F.col("c") < 0, 1).otherwise(0)).alias("old")).first())   # one job, two counts
     n_new_t_w, n_old_t = int(cnt["new"] or 0), int(cnt["old"] or 0)
     n_edges_new = L.n_edges - n_old_t + n_new_t_w
-    L_new = L.with_overlay(changed, new_t_w, nodes_new, sources_new, n_edges_new,
+    L_new = L.with_overlay(changed, new_t_w, nodes_new, n_edges_new,
                            n_changed=n_changed, n_new_edges=n_new_t_w)
 
     # Old r_0 .. r_{K-1} of each changed source (r_0 = 1; isolated if new).
+    # The history is met by a broadcast of T, so it is read where it lies.
     iso = _isolated(iters, damping)
-    r_t = (changed.join(history_old, "node", "left")
+    known = history_old.join(broadcast_if_small(changed, n_changed), "node", "left_semi")
+    r_t = (changed.join(known, "node", "left")
            .select("node", F.concat(F.array(F.lit(1.0)), F.slice(F.coalesce("hist", iso), 1, iters - 1)).alias("r"))
            if iters > 1 else changed.select("node", F.array(F.lit(1.0)).alias("r")))
     seed = cut_lineage(

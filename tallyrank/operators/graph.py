@@ -100,11 +100,11 @@ class Links:
     hot_nodes: DataFrame | None
     n_hot: int
     nodes: DataFrame
-    sources: DataFrame
+    sources: DataFrame | None   # None once overlaid: see ``source_nodes``
     partitions: int
     n_edges: int
     split_above: int
-    base: DataFrame | None = None
+    held: tuple[DataFrame, ...] = ()    # everything persisted by ``prepare_links``
     # Overlay: sources changed since preparation and their current weighted
     # out-edges. They replace those sources' rows of ``cold`` / ``hot``, so a
     # change log updates the links in O(changes) without moving the base.
@@ -114,9 +114,16 @@ class Links:
     n_over_edges: int = 0
 
     def unpersist(self) -> None:
-        for df in (self.cold, self.hot, self.hot_nodes, self.nodes, self.sources, self.base):
-            if df is not None:
-                df.unpersist()
+        for df in self.held:
+            df.unpersist()
+
+    def source_nodes(self) -> DataFrame:
+        """Nodes with an out-edge. Overlaid links read them from the edges (the
+        explicit exchange keeps ``distinct`` right over a union of tables that
+        are already partitioned)."""
+        if self.sources is not None:
+            return self.sources
+        return self.edges().select(F.col("src").alias("node")).repartition(self.partitions, "node").distinct()
 
     @property
     def reuses_input(self) -> bool:
@@ -161,23 +168,23 @@ class Links:
             u = u.unionByName(q)
         return u.groupBy(F.col("dst").alias("node")).agg(*[F.sum(c).alias(c) for c in cols])
 
-    def with_overlay(self, changed: DataFrame, new_edges: DataFrame, nodes: DataFrame,
-                     sources: DataFrame, n_edges: int, n_changed: int, n_new_edges: int) -> "Links":
+    def with_overlay(self, changed: DataFrame, new_edges: DataFrame, nodes: DataFrame, n_edges: int,
+                     n_changed: int, n_new_edges: int) -> "Links":
         """Links after the sources ``changed (node)`` got the out-edges
         ``new_edges (src, dst, w)`` (both materialised, with their row counts);
-        ``nodes`` / ``sources`` are the new sets."""
+        ``nodes`` is the new node set."""
         from dataclasses import replace
 
         from ..session import cut_lineage
         if self.over_src is None:
             return replace(self, over_src=changed, over_edges=new_edges, n_over=n_changed,
-                           n_over_edges=n_new_edges, nodes=nodes, sources=sources, n_edges=n_edges)
+                           n_over_edges=n_new_edges, nodes=nodes, sources=None, n_edges=n_edges)
         cb = broadcast_if_small(changed, n_changed)
         osrc = cut_lineage(self.over_src.unionByName(changed).distinct())
         oedges = cut_lineage(self.over_edges.join(cb.withColumnRenamed("node", "src"), "src", "left_anti")
                              .unionByName(new_edges))
         return replace(self, over_src=osrc, over_edges=oedges, n_over=osrc.count(),
-                       n_over_edges=oedges.count(), nodes=nodes, sources=sources, n_edges=n_edges)
+                       n_over_edges=oedges.count(), nodes=nodes, sources=None, n_edges=n_edges)
 
 
 def prepare_links(edges: DataFrame, split_above: int | None = None, partitions: int | None = None,
@@ -193,12 +200,14 @@ def prepare_links(edges: DataFrame, split_above: int | None = None, partitions:
 
     hot = hot_nodes = None
     n_hot = 0
+    held = [e]
     if max_deg > t:
         hot_deg = deg.filter(F.col("outdeg") > t).persist(level)
         n_hot = hot_deg.count()
         hd = broadcast_if_small(hot_deg, n_hot)
         hot = (e.join(hd, "src").select("src", "dst", (F.lit(1.0) / F.col("outdeg")).alias("w"))
                .repartition(p).persist(level))
+        held += [hot_deg, hot]
         hot_nodes = hot_deg.select(F.col("src").alias("node"))
         cold_e = e.join(broadcast_if_small(hot_deg.select("src"), n_hot), "src", "left_anti")
         cold_deg = deg.filter(F.col("outdeg") <= t)
@@ -213,4 +222,4 @@ def prepare_links(edges: DataFrame, split_above: int | None = None, partitions:
     sources = deg.select(F.col("src").alias("node")).repartition(p, "node").persist(level)
     # The tables fill on first use; the deduplicated edges stay cached until
     # then (``Links.unpersist`` releases everything).
-    return Links(cold, hot, hot_nodes, n_hot, nodes, sources, p, n_edges, t, base=e)
+    return Links(cold, hot, hot_nodes, n_hot, nodes, sources, p, n_edges, t, held=(*held, cold, nodes, sources))

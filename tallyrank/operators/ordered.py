@@ -6,11 +6,12 @@ A running sum over a total order is computed in distributed steps:
    sharing a first-column value are split by the next columns), sorted
    inside each partition, each row tagged with its partition ``p`` and its
    position inside it (the low bits of ``monotonically_increasing_id``);
-2. the rows are written once to the shared checkpoint folder as a table
-   bucketed by a key chosen so that partition ``p`` lands exactly in bucket
-   ``p``: read back, the scan reports that layout, so the window per
-   partition (running sum inside it) adds no shuffle;
-3. partition totals (one row per partition) become offsets, broadcast back.
+2. the tagged rows are checkpointed, which fixes the ranges, and summed by a
+   window per range (``p`` is its key, so ranges are spread over the tasks);
+3. range totals (one row per range) become offsets, broadcast back.
+
+Callers hand in the order key and the value only: whatever else ``df`` holds is
+written and shuffled with them. ``take_chars`` does so itself.
 """
 
 from __future__ import annotations
@@ -21,23 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import java_length
-from ..session import cut_lineage_bucketed, shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 
 _LOW33 = (1 << 33) - 1
 
 
-def _bucket_keys(spark, n: int) -> DataFrame:
-    """``(__p, __key)``: for each bucket ``p`` in ``0..n-1`` an integer key that
-    Spark's bucketing (Murmur3, seed 42, pmod n) sends to bucket ``p``. One row
-    per bucket; searched among the first ``64 n`` integers."""
-    cand = spark.range(0, 64 * n).select(F.col("id").alias("__key"),
-                                         F.pmod(F.hash(F.col("id")), F.lit(n)).alias("__p"))
-    keys = cand.groupBy("__p").agg(F.min("__key").alias("__key"))
-    if keys.count() < n:
-        raise RuntimeError("no bucket key found for some partition")
-    return keys
-
-
 def running_sum(df: DataFrame, order_cols: Sequence[str], value: str | None = None,
                 buckets: int | None = None) -> DataFrame:
     """Add ``idx`` (0-based position in the order) and ``cum`` (inclusive
@@ -48,9 +37,8 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value: str | None = No
     r = (df.withColumn("__v", v).repartitionByRange(nb, *order_cols).sortWithinPartitions(*order_cols)
          .withColumn("__p", F.spark_partition_id())
          .withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
-    r = r.join(F.broadcast(_bucket_keys(spark, nb)), "__p")
-    r, _ = cut_lineage_bucketed(r, "__key", nb, "ordered")
-    w = Window.partitionBy("__key").orderBy("__i")
+    r = cut_lineage(r)
+    w = Window.partitionBy("__p").orderBy("__i")
     r = r.withColumn("__lcum", F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     tot = r.groupBy("__p").agg(F.sum("__v").alias("__t"), F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,18 +47,27 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value: str | None = No
     return (r.join(F.broadcast(off), "__p")
             .withColumn("cum", F.col("__ot") + F.col("__lcum"))
             .withColumn("idx", F.col("__oc") + F.col("__i"))
-            .drop("__p", "__i", "__key", "__v", "__lcum", "__ot", "__oc"))
+            .drop("__p", "__i", "__v", "__lcum", "__ot", "__oc"))
 
 
 def take_chars(df: DataFrame, order_cols: Sequence[str], size: int, text_col: str = "text",
                length_col: str | None = None) -> DataFrame:
     """Rows in order until the running character count (``String.length``
     of ``text_col``, or ``length_col``) reaches ``size``: the row that crosses
-    it is kept, and the first row always is (O22). Adds ``chars``, ``cum_chars``."""
+    it is kept, and the first row always is (O22). Adds ``chars``, ``cum_chars``.
+
+    A first pass sums key and length alone and finds the last key needed; only
+    the rows up to it are then summed again with all their columns."""
     ln = F.col(length_col) if length_col else java_length(F.col(text_col))
-    r = running_sum(df.withColumn("chars", ln), order_cols, "chars")
-    return (r.filter((F.col("idx") == 0) | (F.col("cum") - F.col("chars") < F.lit(size)))
-            .withColumnRenamed("cum", "cum_chars").drop("idx"))
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        r = running_sum(rows, order_cols, "chars")
+        return r.filter((F.col("idx") == 0) | (F.col("cum") - F.col("chars") < F.lit(size)))
+
+    sized, key = df.withColumn("chars", ln), F.struct(*order_cols)
+    last = prefix(sized.select(*order_cols, "chars")).agg(F.max(key).alias("__last"))    # one row
+    near = sized.join(F.broadcast(last), key <= F.col("__last"), "left_semi")
+    return prefix(near).withColumnRenamed("cum", "cum_chars").drop("idx")
 
 
 def slice_batches(df: DataFrame, order_cols: Sequence[str], rows_per_batch: int,

@@ -9,13 +9,16 @@ receives rank and passes none on.
 Each iteration costs one shuffle: the contributions' partial aggregate.
 The rank vector stays hash-partitioned by node, the same layout as the
 prepared links, so no edge moves. Every ``checkpoint_every``-th vector is
-written to the shared checkpoint folder: the plan of the next iterations
-starts from that flat table and a lost executor recomputes at most that
-many iterations. From ``BUCKETED_FROM_EDGES`` edges on it is written as a
-table bucketed by node, whose scan keeps the node layout, so the vector is
-not shuffled either (``checkpoint()`` under AQE forgets the layout). An iteration whose plan uses the previous vector
-twice (history carried along, survivors, hot sources, overlay) is
-materialised every time, else the plan would double per iteration.
+written to the shared checkpoint folder as a table bucketed by node: the plan
+of the next iterations starts from that flat table, a lost executor recomputes
+at most that many iterations, and the scan keeps the node layout, so the vector
+is not shuffled either (``checkpoint()`` under AQE forgets the layout). An
+iteration whose plan uses the previous vector twice (history carried along,
+survivors, hot sources, overlay) is materialised every time, else the plan
+would double per iteration.
+
+A call that prepares its own links writes its result too and releases the
+links; with ``links`` given they stay the caller's and the result is lazy.
 """
 
 from __future__ import annotations
@@ -23,14 +26,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, cut_lineage_bucketed, drop_table
+from ..session import cut_lineage_bucketed
 from .graph import Links, prepare_links
 
 CHECKPOINT_EVERY = 4
-# From this many edges on, iteration vectors are written as node-bucketed
-# tables (layout kept, no re-shuffle of the vector); below it a plain
-# reliable checkpoint is cheaper than the table commit (measured at sf0.1).
-BUCKETED_FROM_EDGES = 20_000_000
 
 
 class _Stepper:
@@ -42,32 +41,36 @@ class _Stepper:
         self.links = links
         self.every = checkpoint_every
         self.always = always
-        self.tables: list[str] = []
 
     def __call__(self, df: DataFrame, k: int) -> DataFrame:
         if self.always or (self.every and k % self.every == 0):
-            if self.links.n_edges < BUCKETED_FROM_EDGES:
-                return cut_lineage(df)
-            out, name = cut_lineage_bucketed(df, "node", self.links.partitions, "rank")
-            if len(self.tables) >= 2:       # the one before the previous is no longer read
-                drop_table(df.sparkSession, self.tables.pop(0))
-            self.tables.append(name)
-            return out
+            return self.keep(df)
         return df
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        return cut_lineage_bucketed(df, "node", self.links.partitions, "rank")
+
 
 def _links(edges: DataFrame | None, links: Links | None) -> Links:
     return links if links is not None else prepare_links(edges)
 
 
+def _finish(result: DataFrame, step: _Stepper, own: bool) -> DataFrame:
+    if not own:
+        return result
+    result = step.keep(result)
+    step.links.unpersist()
+    return result
+
+
 def pagerank(edges: DataFrame | None = None, iters: int = 5, damping: float = 0.85,
              links: Links | None = None, checkpoint_every: int | None = CHECKPOINT_EVERY) -> DataFrame:
     """``(node, rank)`` after ``iters`` iterations for every node with an edge;
     ``iters = 0`` gives each source with rank 1.0."""
     L = _links(edges, links)
-    if iters == 0:
-        return L.sources.select("node", F.lit(1.0).alias("rank"))
     step = _Stepper(L, checkpoint_every, always=L.reuses_input)
+    if iters == 0:
+        return _finish(L.source_nodes().select("node", F.lit(1.0).alias("rank")), step, links is None)
     ranks = L.nodes.select("node", F.lit(1.0).alias("rank"))
     for k in range(1, iters + 1):
         s = L.spread(ranks, ["rank"]).withColumnRenamed("rank", "s")
@@ -75,7 +78,7 @@ def pagerank(edges: DataFrame | None = None, iters: int = 5, damping: float = 0.
                  .select("node", (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank")))
         if k < iters:
             ranks = step(ranks, k)
-    return ranks
+    return _finish(ranks, step, links is None)
 
 
 def pagerank_history(edges: DataFrame | None = None, iters: int = 5, damping: float = 0.85,
@@ -90,7 +93,7 @@ def pagerank_history(edges: DataFrame | None = None, iters: int = 5, damping: fl
     if keep not in ("survivors", "all"):
         raise ValueError("keep must be 'survivors' or 'all'")
     L = _links(edges, links)
-    start = L.sources if keep == "survivors" else L.nodes
+    start = L.source_nodes() if keep == "survivors" else L.nodes
     ranks = start.select("node", F.lit(1.0).alias("rank"), F.array().cast("array<double>").alias("hist"))
     step = _Stepper(L, checkpoint_every, always=True)
     how = "inner" if keep == "survivors" else "left"
@@ -101,7 +104,7 @@ def pagerank_history(edges: DataFrame | None = None, iters: int = 5, damping: fl
                  .select("node", new.alias("rank"), F.concat("hist", F.array(new)).alias("hist")))
         if k < iters:
             ranks = step(ranks, k)
-    return ranks.select("node", "hist")
+    return _finish(ranks.select("node", "hist"), step, links is None)
 
 
 def to_wide(history: DataFrame, iters: int, col: str = "hist", prefix: str = "i") -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import FIELD_SEP
 from ..operators import text as T
-from ..session import scratch_path
-from ..sources.lines import read_lines
+from ..session import cut_lineage, scratch_path
+from ..sources.lines import parse_pages, read_lines
 from . import inputs as I
 from .oracle import REVISIONS, fields, r6, tok
 
@@ -232,26 +232,33 @@ def _delta(spark, sf):
     base = I.base_edges(spark, sf)
     links = G.prepare_links(base)
     hist = PR.pagerank_history(links=links, iters=ITERS, damping=DAMPING, keep="all")
-    return base, hist, pagerank_delta(base, I.edge_updates(spark, sf), hist, ITERS, DAMPING, links_old=links)
+    return links, hist, pagerank_delta(base, I.edge_updates(spark, sf), hist, ITERS, DAMPING, links_old=links)
+
+
+def _released(df: DataFrame, links) -> DataFrame:
+    """``df`` written, and the links it read released."""
+    out = cut_lineage(df)
+    links.unpersist()
+    return out
 
 
 @register("pagerank_delta", delta_sql(ITERS, DAMPING))
 def q_pagerank_delta(spark, sf):
-    base, _, res = _delta(spark, sf)
-    return rounded_wide(res.full_delta(), col="delta")
+    links, _, res = _delta(spark, sf)
+    return _released(rounded_wide(res.full_delta(), col="delta"), links)
 
 
 # history(E) + delta == history(E'): the updated history against a recompute.
 @register("pagerank_delta_history", new_history_sql(ITERS, DAMPING))
 def q_pagerank_delta_history(spark, sf):
-    _, hist, res = _delta(spark, sf)
-    return rounded_wide(res.history(hist))
+    links, hist, res = _delta(spark, sf)
+    return _released(rounded_wide(res.history(hist)), links)
 
 
 # ------------------------------------------------------ ordered and state
 
 from ..operators.ordered import slice_batches, take_chars  # noqa: E402
-from ..sources.state import load_graph_state, save_graph_state  # noqa: E402
+from ..sources.state import load_graph_state, save, save_graph_state  # noqa: E402
 
 TAKE_CHARS = 1_000_000          # the reference generator's default size
 ROWS_PER_BATCH, EMPTY_RUNS = 50, 1
@@ -279,11 +286,46 @@ def q_slice_batches(spark, sf):
 
 @register("graph_state_roundtrip", history_sql(GRAPH_C, ITERS, DAMPING, "all"))
 def q_graph_state_roundtrip(spark, sf):
+    return rounded_wide(_saved_state(spark, sf)[1])
+
+
+def _saved_state(spark, sf):
     edges = I.graph_c(spark, sf)
     path = scratch_path(spark, "graph-state")
     save_graph_state(path, edges, PR.pagerank_history(edges, ITERS, DAMPING, keep="all"))
-    _, ranks, _ = load_graph_state(spark, path)
-    return rounded_wide(ranks)
+    return load_graph_state(spark, path)
+
+
+@register("graph_state_edges", f"SELECT DISTINCT src, dst FROM ({GRAPH_C})")
+def q_graph_state_edges(spark, sf):
+    return _saved_state(spark, sf)[0]
+
+
+@register("graph_state_deltas", ORACLE["zero_deltas"])
+def q_graph_state_deltas(spark, sf):
+    return rounded_wide(_saved_state(spark, sf)[2], col="delta")
+
+
+@register("hot_sources", pagerank_sql(GRAPH_P, ITERS, DAMPING))
+def q_hot_sources(spark, sf):
+    """Every source of graph P above 8 out-edges taken as hot."""
+    links = G.prepare_links(I.graph_p(spark, sf), split_above=8)
+    return _released(rounded_rank(PR.pagerank(links=links, iters=ITERS, damping=DAMPING)), links)
+
+
+@register("page_lines_saved", f"""
+SELECT doc_id::VARCHAR AS page, word, count(*)::BIGINT AS n
+FROM (SELECT doc_id, unnest({tok("regexp_replace(text, '[\\r\\n]', ' ', 'g')")}) AS word FROM documents)
+GROUP BY doc_id, word""")
+def q_page_lines_saved(spark, sf):
+    """Pages written as lines, parsed (O2), counted (O3), saved (O25) and read back."""
+    d = I.table(spark, sf, "documents", ("doc_id", "text"))
+    lines, out = scratch_path(spark, "page-lines"), scratch_path(spark, "page-counts")
+    save(d.select(F.concat_ws(FIELD_SEP, F.col("doc_id").cast("string"),
+                              F.regexp_replace("text", "[\\r\\n]", " ")).alias("value")), lines, "text")
+    counts = T.page_word_count_long(parse_pages(read_lines(spark, lines)))
+    save(counts, out)
+    return spark.read.parquet(out)
 
 
 # ----------------------------------------------------------------- streaming
@@ -291,7 +333,7 @@ def q_graph_state_roundtrip(spark, sf):
 from ..operators.ordered import running_sum  # noqa: E402
 from ..streaming import pagerank as SP  # noqa: E402
 from ..streaming import state as SS  # noqa: E402
-from ..streaming.sources import ProgressLog, progress_table, stream_lines, write_slices  # noqa: E402
+from ..streaming.sources import ProgressLog, progress_table, replay, write_slices  # noqa: E402
 from ..streaming.wordcount import stream_page_word_count, stream_word_count  # noqa: E402
 
 
@@ -309,10 +351,12 @@ def revision_lines(spark, sf, with_old: bool = True) -> DataFrame:
 
 
 def _run(spark, name, lines_df, start):
-    src, state, ckpt = (scratch_path(spark, f"{name}-{x}") for x in ("slices", "state", "checkpoint"))
-    write_slices(lines_df, src, "batch")
-    q = start(stream_lines(spark, f"{src}/slice-*/part-*"), state, ckpt)
-    q.awaitTermination()
+    slices, landing, state, ckpt = (scratch_path(spark, f"{name}-{x}")
+                                    for x in ("slices", "landing", "state", "checkpoint"))
+    write_slices(lines_df, slices)
+    track = SS.VersionTracker(state)
+    q = replay(spark, slices, landing, lambda s: start(s, state, ckpt, track=track))
+    track.close()
     return q, state
 
 
@@ -336,7 +380,7 @@ def q_stream_word_count_initial(spark, sf):
     from ..operators.text import word_count_lines
     initial = word_count_lines(lines.filter(F.col("batch") == 0))
     _, state = _run(spark, "swci", lines.filter(F.col("batch") > 0),
-                    lambda s, st, ck: stream_word_count(s, st, ck, initial=initial))
+                    lambda s, st, ck, track: stream_word_count(s, st, ck, initial=initial, track=track))
     return SS.latest(spark, state)
 
 
@@ -385,11 +429,11 @@ def update_lines(spark, sf) -> DataFrame:
 
 @register("stream_pagerank", new_history_sql(ITERS, DAMPING))
 def q_stream_pagerank(spark, sf):
-    src, state, ckpt = (scratch_path(spark, f"spr-{x}") for x in ("slices", "state", "checkpoint"))
-    SP.init_graph_state(I.base_edges(spark, sf), state, ITERS, DAMPING)
-    write_slices(update_lines(spark, sf), src, "batch")
-    q = SP.stream_pagerank(stream_lines(spark, f"{src}/slice-*/part-*"), state, ckpt, ITERS, DAMPING)
-    q.awaitTermination()
+    def start(lines, state, ckpt, track):
+        if track.last is None:
+            SP.init_graph_state(I.base_edges(spark, sf), state, ITERS, DAMPING)
+        return SP.stream_pagerank(lines, state, ckpt, ITERS, DAMPING, track=track)
+    _, state = _run(spark, "spr", update_lines(spark, sf), start)
     return rounded_wide(SS.latest(spark, state, "ranks"))   # plain read of the newest ranks version
 
 

@@ -90,27 +90,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_lineage_bucketed(df: DataFrame, key: str, buckets: int, name: str = "vec") -> tuple[DataFrame, str]:
+def cut_lineage_bucketed(df: DataFrame, key: str, buckets: int, name: str = "vec") -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder,
-    bucketed and sorted by ``key`` into ``buckets`` buckets; return the table
-    and its catalog name.
+    bucketed and sorted by ``key`` into ``buckets`` buckets.
 
     Unlike ``checkpoint()`` under AQE, the bucketed scan reports
     ``HashPartitioning(key, buckets)``, so a join on ``key`` with a table laid
     out the same way needs no shuffle. ``df`` should already be partitioned
-    by ``key`` into ``buckets`` partitions (one file per bucket then)."""
+    by ``key`` into ``buckets`` partitions (one file per bucket then). The
+    catalog entry is dropped at once: the returned plan holds the table's
+    layout, and the files stay like checkpoint files."""
     spark = df.sparkSession
     table = f"tallyrank_{name}_{uuid.uuid4().hex[:12]}"
     (df.write.bucketBy(buckets, key).sortBy(key).format("parquet")
      .option("path", scratch_path(spark, table)).saveAsTable(table))
-    return spark.table(table), table
-
-
-def drop_table(spark: SparkSession, table: str | None) -> None:
-    """Forget a table made by ``cut_lineage_bucketed``; its files stay in the
-    checkpoint folder, like checkpoint files."""
-    if table:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    out = spark.table(table)
+    out.schema      # resolved here, while the catalog still knows it
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -23,8 +23,10 @@ from ..operators.pagerank import pagerank_history
 from . import state as S
 
 INITIAL = -1
-# Re-prepare the links once the overlay holds this share of all edges.
+# Re-prepare the links once the overlay holds this share of all edges, and at
+# the latest after so many batches, which bounds what a restart replays.
 COMPACT_ABOVE = 0.2
+COMPACT_EVERY = 50
 
 
 RANKS_DDL = "node bigint, hist array<double>"
@@ -36,6 +38,8 @@ def init_graph_state(edges: DataFrame, state_dir: str, iters: int = 5, damping:
     hist = pagerank_history(links=links, iters=iters, damping=damping, keep="all")
     S.write_version(edges.select("src", "dst").distinct(), state_dir, INITIAL, "edges")
     S.write_version_bucketed(hist, state_dir, INITIAL, "node", links.partitions, "ranks")
+    S.commit_version(edges.sparkSession, state_dir, INITIAL, ("edges", "ranks"))
+    links.unpersist()
 
 
 def edges_at(spark, state_dir: str, v: int) -> DataFrame:
@@ -78,18 +82,18 @@ def parse_update_lines(lines: DataFrame) -> DataFrame:
 
 def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: int = 5, damping: float = 0.85,
                     trigger: dict | None = None, name: str | None = None,
-                    compact_above: float = COMPACT_ABOVE, strict: bool = False) -> StreamingQuery:
+                    compact_above: float = COMPACT_ABOVE, compact_every: int = COMPACT_EVERY, strict: bool = False,
+                    track: S.VersionTracker | None = None) -> StreamingQuery:
     """Keep the graph's rank history current under a stream of edge updates.
 
-    Within one run the prepared links carry over from batch to batch: each
+    Within one run, or the runs that share ``track``, the prepared links carry over from batch to batch: each
     batch adds its changed sources to the links' overlay, an O(changes)
     step. The links are prepared again only when the run starts (from the
-    last committed version) or when the overlay holds more than
-    ``compact_above`` of all edges. Malformed lines go to ``state.rejects``;
+    last committed version), when the overlay holds more than
+    ``compact_above`` of all edges, and at every ``compact_every``-th batch. Malformed lines go to ``state.rejects``;
     ``strict`` makes them an error."""
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"))
-    ctx: dict = {"batch": None, "links": None}
-    track = S.VersionTracker(state_dir)
+    track = track or S.VersionTracker(state_dir)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -98,21 +102,21 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
         prev = track.before(spark, batch_id)
         if prev is None:
             raise RuntimeError(f"no graph state under {state_dir}; call init_graph_state first")
-        if ctx["batch"] == prev:
-            links = ctx["links"]
-        else:
-            links = prepare_links(edges_at(spark, state_dir, prev))
+        if track.links is None or track.last != prev:
+            track.keep_links(prepare_links(edges_at(spark, state_dir, prev)))
+        links = track.links
         hist = ranks_at(spark, state_dir, prev, links.partitions)
-        res = pagerank_delta(None, batch, hist, iters, damping, links_old=links)
         S.write_version(net_updates(batch), state_dir, batch_id, "changes")
+        net = S.read_version(spark, state_dir, batch_id, "changes").select(F.lit(0).alias("seq"), "op", "src", "dst")
+        res = pagerank_delta(None, net, hist, iters, damping, links_old=links)
         S.write_version_bucketed(res.history(hist), state_dir, batch_id, "node", links.partitions, "ranks")
         S.write_version(res.delta, state_dir, batch_id, "deltas")
-        nxt = res.links
-        if nxt.n_over_edges > compact_above * max(nxt.n_edges, 1):
+        nxt, tables = res.links, ("changes", "ranks", "deltas")
+        if (nxt.n_over_edges > compact_above * max(nxt.n_edges, 1)) or (batch_id + 1) % compact_every == 0:
             S.write_version(nxt.edges(), state_dir, batch_id, "edges")      # snapshot
-            nxt = prepare_links(S.read_version(spark, state_dir, batch_id, "edges"))
-        ctx.update(batch=batch_id, links=nxt)
-        track.committed(batch_id)
+            nxt, tables = prepare_links(S.read_version(spark, state_dir, batch_id, "edges")), (*tables, "edges")
+        track.commit(spark, batch_id, tables)
+        track.keep_links(nxt)
 
     w = tagged.writeStream.foreachBatch(S.read_once(fold)).option("checkpointLocation", checkpoint)
     if name:

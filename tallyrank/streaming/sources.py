@@ -1,45 +1,56 @@
-"""Streaming sources (S1), slicing a table into per-batch files for a file
+"""Streaming sources (S1), replaying a table batch by batch through a file
 stream (O23's output), the progress table (S9, S11) and the idle stop (S10)."""
 
 from __future__ import annotations
 
-import os
 import threading
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1, fmt: str = "text",
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, fmt: str = "text",
                  schema=None) -> DataFrame:
-    """A file stream of lines (``value``) or of Parquet rows, oldest file first,
-    ``files_per_batch`` files per micro-batch. Any other streaming DataFrame
+    """A file stream of lines (``value``) or of Parquet rows, oldest file first;
+    a micro-batch takes all new files, or ``files_per_batch`` of them. Any other streaming DataFrame
     (Kafka, socket) with the same columns works with the operators too."""
-    r = spark.readStream.format(fmt).option("maxFilesPerTrigger", files_per_batch)
+    r = spark.readStream.format(fmt)
+    if files_per_batch is not None:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
     if schema is not None:
         r = r.schema(schema)
     return r.load(path)
 
 
-def write_slices(df: DataFrame, dest: str, batch_col: str = "batch", fmt: str = "text",
-                 value_cols: tuple[str, ...] = ("value",)) -> list[int]:
-    """Write each batch value of ``df`` as one file under ``dest``, in batch
-    order, so a file stream with one file per trigger replays the batches.
+def write_slices(df: DataFrame, path: str, batch_col: str = "batch", value_col: str = "value") -> None:
+    """Write ``df`` once, split into slices by ``batch_col``: every task writes
+    its rows of every slice, so a slice of any share of the rows has many
+    writers, and a slice is read back without the others."""
+    (df.select(F.col(batch_col).alias("batch"), F.col(value_col).alias("value"))
+     .write.partitionBy("batch").parquet(path))
 
-    One Spark write per batch: a batch is what one trigger sends, so it is
-    small by construction; the list of batch ids is one row per batch."""
-    ids = sorted(r[0] for r in df.select(batch_col).distinct().collect())
-    t0 = time.time() - len(ids) - 10
-    for i, b in enumerate(ids):
-        out = f"{dest.rstrip('/')}/slice-{b:08d}"
-        df.filter(F.col(batch_col) == b).select(*value_cols).coalesce(1).write.mode("overwrite").format(fmt).save(out)
-        local = out[len("file:"):] if out.startswith("file:") else out
-        if os.path.isdir(local):        # local file system: make mtimes strictly increase
-            for f in os.listdir(local):
-                os.utime(os.path.join(local, f), (t0 + i, t0 + i))
-    return ids
+
+def replay(spark: SparkSession, slices: str, landing: str,
+           start: Callable[[DataFrame], StreamingQuery]) -> StreamingQuery | None:
+    """Send the slices under ``slices`` in order to the folder ``landing`` and let
+    the stream fold each before the next is sent, so a slice is one micro-batch
+    of as many files as it has writers, whatever the file times are.
+
+    ``start`` starts the query, on the ``availableNow`` trigger and always with
+    the same checkpoint, over the stream it is given. Lines of one slice have
+    no order among them: what must follow another line comes in a later slice
+    or carries a sequence number. Returns the last query (None without slices).
+    The driver holds the list of slices, one number each."""
+    table = spark.read.schema("value string, batch bigint").parquet(slices)
+    query = None
+    for b in sorted(r["batch"] for r in table.select("batch").distinct().collect()):
+        table.filter(F.col("batch") == b).select("value").write.text(f"{landing}/slice-{b:08d}")
+        query = start(stream_lines(spark, f"{landing}/slice-*"))
+        query.awaitTermination()
+    return query
 
 
 class ProgressLog(StreamingQueryListener):
@@ -51,11 +62,11 @@ class ProgressLog(StreamingQueryListener):
         self.spark, self.rows, self.ended = spark, {}, {}
         spark.streams.addListener(self)
 
-    def _end(self, query_id: str) -> threading.Event:
-        return self.ended.setdefault(query_id, threading.Event())
+    def _end(self, run_id: str) -> threading.Event:
+        return self.ended.setdefault(run_id, threading.Event())
 
     def onQueryStarted(self, event) -> None:
-        self._end(str(event.id)).clear()
+        self._end(str(event.runId))
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
@@ -66,11 +77,11 @@ class ProgressLog(StreamingQueryListener):
         self.rows.setdefault(str(event.id), []).append((None, 0, 0, event.timestamp))
 
     def onQueryTerminated(self, event) -> None:
-        self._end(str(event.id)).set()
+        self._end(str(event.runId)).set()
 
     def of(self, query: StreamingQuery, wait_s: float = 60.0) -> list[tuple]:
-        """The query's rows; once it has ended, only after its last event has arrived."""
-        if not query.isActive and not self._end(str(query.id)).wait(wait_s):
+        """The query's rows, those of its earlier runs included; once it has ended, only after its last event has arrived."""
+        if not query.isActive and not self._end(str(query.runId)).wait(wait_s):
             raise TimeoutError("the end of the query was not reported")
         return list(self.rows.get(str(query.id), []))
 

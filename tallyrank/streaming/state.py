@@ -4,32 +4,39 @@ Batch ``b`` reads version ``b - 1`` (or the initial state for the first
 batch) and writes ``<root>/v=<b>`` in overwrite mode. A batch that Spark
 re-runs after a failure reads the same input version and rewrites the same
 output, so the result does not depend on retries; the streaming checkpoint
-records which batches are done.
+records which batches are done. A version counts once its commit marker is
+there, which is written after all its tables.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+def _marks(root: str) -> str:
+    return f"{root.rstrip('/')}-commits"
+
+
+def commit_version(spark: SparkSession, root: str, v: int, tables: tuple[str, ...] = ("",)) -> None:
+    """Mark version ``v`` as complete, after all its ``tables`` are written: one
+    small file beside the state, and no reader takes a version without it."""
+    (spark.createDataFrame([(v, t) for t in tables], "version bigint, name string").coalesce(1)
+     .write.mode("overwrite").parquet(f"{_marks(root)}/batch={v}"))
 
 
 def committed_tables(spark: SparkSession, root: str) -> set[tuple[int, str]]:
     """``(version, table)`` for every committed table under ``root``; table
-    ``""`` for a version written as one table. Lists the Parquet part files
-    with Spark's own file source (``path`` only, so no file is read): the
-    output committer moves part files into place at job commit, and files
-    still under ``_temporary`` are hidden from the listing."""
-    pat = r"/v=(-?\d+)(?:/([^/=]+))?/[^/]+\.parquet$"
+    ``""`` for a version written as one table."""
     try:
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-                 .option("recursiveFileLookup", "true").load(root))
-        marks = (files.select(F.regexp_extract("path", pat, 1).alias("v"), F.regexp_extract("path", pat, 2).alias("t"))
-                 .filter(F.col("v") != "").distinct().collect())      # one row per (version, table)
-    except Exception as e:  # noqa: BLE001 - a missing folder has no versions
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+        marks = spark.read.schema("version bigint, name string").parquet(_marks(root)).collect()  # a row per table
+    except AnalysisException as e:  # nothing committed yet
+        if "PATH_NOT_FOUND" in str(e):
             return set()
         raise
-    return {(int(v), t) for v, t in marks}
+    return {(int(m["version"]), m["name"]) for m in marks}
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
@@ -51,13 +58,6 @@ def latest(spark: SparkSession, root: str, table: str | None = None) -> DataFram
     return read_version(spark, root, vs[-1], table) if vs else None
 
 
-def previous(spark: SparkSession, root: str, batch_id: int, initial: DataFrame | None,
-             table: str | None = None) -> DataFrame | None:
-    """State before ``batch_id``: the newest version below it, else ``initial``."""
-    older = [v for v in versions(spark, root) if v < batch_id]
-    return read_version(spark, root, older[-1], table) if older else initial
-
-
 def write_version(df: DataFrame, root: str, v: int, table: str | None = None) -> None:
     p = version_path(root, v)
     df.write.mode("overwrite").parquet(f"{p}/{table}" if table else p)
@@ -69,14 +69,16 @@ def write_version(df: DataFrame, root: str, v: int, table: str | None = None) ->
 # ``spark.sql.shuffle.partitions`` for a streaming checkpoint.
 
 def _table_name(root: str, v: int, table: str | None) -> str:
-    import hashlib
     h = hashlib.sha1(f"{version_path(root, v)}/{table or ''}".encode()).hexdigest()[:16]
     return f"tallyrank_state_{h}"
 
 
 def write_version_bucketed(df: DataFrame, root: str, v: int, key: str, buckets: int,
                            table: str | None = None) -> None:
+    """Write a bucketed version; the catalog forgets the version before the
+    previous one, whose files stay."""
     p = version_path(root, v)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {_table_name(root, v - 2, table)}")
     (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
      .option("path", f"{p}/{table}" if table else p).saveAsTable(_table_name(root, v, table)))
 
@@ -94,23 +96,16 @@ def read_version_bucketed(spark: SparkSession, root: str, v: int, key: str, buck
     return spark.table(name)
 
 
-def previous_bucketed(spark: SparkSession, root: str, batch_id: int, initial: DataFrame | None, key: str,
-                      buckets: int, ddl: str, table: str | None = None) -> DataFrame | None:
-    older = [v for v in versions(spark, root) if v < batch_id]
-    if older:
-        return read_version_bucketed(spark, root, older[-1], key, buckets, ddl, table)
-    return initial
-
-
 class VersionTracker:
-    """The newest committed version, known without listing the state folder
-    while one run folds consecutive batches; only the first batch of a run
-    (a start or restart) lists it. The listing grows with the number of
-    versions, so it must not happen per batch."""
+    """The newest committed version, known without listing the commits while
+    consecutive batches are folded; only the first batch after a start lists
+    them. Hand one tracker to several runs over the same state to carry it, and
+    the prepared links of a graph stream, from run to run; ``close`` it then."""
 
     def __init__(self, root: str):
         self.root = root
         self.last: int | None = None
+        self.links = None       # of version ``last``
 
     def before(self, spark: SparkSession, batch_id: int) -> int | None:
         """Newest committed version below ``batch_id`` (None if there is none)."""
@@ -119,9 +114,20 @@ class VersionTracker:
         older = [v for v in versions(spark, self.root) if v < batch_id]
         return older[-1] if older else None
 
-    def committed(self, batch_id: int) -> None:
+    def commit(self, spark: SparkSession, batch_id: int, tables: tuple[str, ...] = ("",)) -> None:
+        commit_version(spark, self.root, batch_id, tables)
         self.last = batch_id
 
+    def keep_links(self, links) -> None:
+        """Hold ``links``; tables persisted for others are released."""
+        if self.links is not None and (links is None or links.cold is not self.links.cold):
+            self.links.unpersist()
+        self.links = links
+
+    def close(self) -> None:
+        self.keep_links(None)
+        self.last = None
+
 
 def read_once(fold):
     """A ``foreachBatch`` function that may use its batch several times while the

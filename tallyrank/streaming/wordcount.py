@@ -35,14 +35,15 @@ def _buckets(lines: DataFrame, buckets: int | None) -> int:
 
 def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
                       trigger: dict | None = None, name: str | None = None,
-                      buckets: int | None = None, strict: bool = False) -> StreamingQuery:
+                      buckets: int | None = None, strict: bool = False,
+                      track: S.VersionTracker | None = None) -> StreamingQuery:
     """Incremental corpus counts over a stream of revision lines (S3):
     ``page<US>new`` adds the words of ``new``; ``page<US>new<US>old`` also
     subtracts those of ``old``. ``initial`` is ``(word, n)`` (S4). Version
     ``v=<batch>`` of ``state_dir`` holds ``(word, n)``; words at 0 stay.
     Malformed lines go to ``state.rejects``; ``strict`` makes them an error."""
     nb = _buckets(lines, buckets)
-    track = S.VersionTracker(state_dir)
+    track = track or S.VersionTracker(state_dir)
     ddl = "word string, n bigint"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -55,39 +56,40 @@ def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial
             prev = spark.createDataFrame([], ddl)
         delta = signed_tokens(batch, keep=()).groupBy("word").agg(F.sum("w").alias("w"))
         S.write_version_bucketed(merge_word_counts(prev, delta), state_dir, batch_id, "word", nb)
-        track.committed(batch_id)
+        track.commit(spark, batch_id)
 
     return _start(lines.select("value"), fold, checkpoint, trigger, name)
 
 
 def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
                            trigger: dict | None = None, name: str | None = None,
-                           buckets: int | None = None, strict: bool = False) -> StreamingQuery:
+                           buckets: int | None = None, strict: bool = False,
+                           track: S.VersionTracker | None = None) -> StreamingQuery:
     """Latest per-page counts over a stream of ``page<US>text`` lines (S2): per
-    page the batch's last line (file order, then line order) replaces the
+    page the batch's last line (by file time, file and place in it) replaces the
     state's counts; pages without a new line keep theirs. ``initial`` and the
     versions hold ``(page, counts map<string,bigint>)``."""
 
     nb = _buckets(lines, buckets)
-    track = S.VersionTracker(state_dir)
+    track = track or S.VersionTracker(state_dir)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         v = track.before(spark, batch_id)
         prev = (S.read_version_bucketed(spark, state_dir, v, "page", nb, "page string, counts map<string,bigint>")
                 if v is not None else initial)
-        # Inside the batch the plan is static: order lines by file, then position.
-        seq = F.struct("__t", "__f", F.monotonically_increasing_id())
+        # A split of a file is read by one task, so ids rise within a split.
+        seq = F.struct("__t", "__f", "__b", F.monotonically_increasing_id())
         batch, bad = parse_revisions(batch, seq=seq, with_rejects=True)
         S.keep_rejects(bad, state_dir, batch_id, strict)
         batch = batch.select("seq", "page", F.col("new_text").alias("text"))
-        latest = batch.groupBy("page").agg(F.max_by("text", "seq").alias("text"))
-        counts = page_word_count(latest)
-        if prev is not None:
-            counts = counts.unionByName(prev.select("page", "counts").join(latest.select("page"), "page", "left_anti"))
+        counts = page_word_count(batch.groupBy("page").agg(F.max_by("text", "seq").alias("text")))
+        if prev is not None:    # one pass over the batch: the new counts, else the state's
+            counts = (counts.withColumnRenamed("counts", "new").join(prev.select("page", "counts"), "page", "full")
+                      .select("page", F.coalesce("new", "counts").alias("counts")))
         S.write_version_bucketed(counts, state_dir, batch_id, "page", nb)
-        track.committed(batch_id)
+        track.commit(spark, batch_id)
 
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"),
-                          F.col("_metadata.file_name").alias("__f"))
+                          F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"))
     return _start(tagged, fold, checkpoint, trigger, name)

@@ -8,17 +8,17 @@ from tallyrank.operators import pagerank as PR
 from tallyrank.operators.text import word_count
 from tallyrank.streaming import pagerank as SP
 from tallyrank.streaming import state as S
-from tallyrank.streaming.sources import ProgressLog, progress_table, run_to_idle, stream_lines, write_slices
+from tallyrank.streaming.sources import ProgressLog, progress_table, replay, run_to_idle, stream_lines, write_slices
 from tallyrank.streaming.wordcount import stream_page_word_count, stream_word_count
 
 US = FIELD_SEP
 
 
-def slices(spark, tmp, rows):
-    df = spark.createDataFrame(rows, "batch int, value string")
+def run(spark, tmp, rows, start, landing=None):
+    """Replay ``(batch, value)`` rows; ``start`` takes the stream."""
     src = tmp("slices")
-    write_slices(df, src, "batch")
-    return f"{src}/slice-*/part-*"
+    write_slices(spark.createDataFrame(rows, "batch int, value string"), src)
+    return replay(spark, src, landing or tmp("landing"), start)
 
 
 def counts(df):
@@ -28,70 +28,98 @@ def counts(df):
 def test_stream_word_count_equals_batch_and_restarts(spark, tmp):
     rows = [(0, "p" + US + "a b"), (0, "q" + US + "b c"), (1, "p" + US + "a a" + US + "a b"),
             (2, "q" + US + "d" + US + "b c")]
-    dest = tmp("slices")
-    src = f"{dest}/slice-*/part-*"
-    state, ck = tmp("state"), tmp("ck")
-    # first run sees batch 0 only and stops; the restart from the same
-    # checkpoint picks up the slices written after it
-    write_slices(spark.createDataFrame(rows[:2], "batch int, value string"), dest, "batch")
-    stream_word_count(stream_lines(spark, src), state, ck).awaitTermination()
+    state, ck, landing, log = tmp("state"), tmp("ck"), tmp("landing"), ProgressLog(spark)
+    start = lambda s: stream_word_count(s, state, ck)
+    # every slice is a run of its own from the same checkpoint
+    run(spark, tmp, rows[:2], start, landing)
     assert S.versions(spark, state) == [0]
-    write_slices(spark.createDataFrame(rows[2:], "batch int, value string"), dest, "batch")
-    q = stream_word_count(stream_lines(spark, src), state, ck)
-    q.awaitTermination()
+    q = run(spark, tmp, rows[2:], start, landing)
     assert S.versions(spark, state) == [0, 1, 2]
     got = counts(S.latest(spark, state))
     final = spark.createDataFrame([("a a",), ("d",)], "text string")
     want = counts(word_count(final))
     assert {w: n for w, n in got.items() if n} == want
     assert got["b"] == 0 and got["c"] == 0          # zero counts stay
-    assert [r.num_input_rows for r in progress_table(spark, q).collect()] == [1, 1]
+    seen = [(r.batch_id, r.num_input_rows) for r in progress_table(spark, q, log).collect() if r.num_input_rows]
+    log.close()
+    assert seen == [(0, 2), (1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_counts_do_not_depend_on_the_slicing(spark, tmp, files):
+    rows = [(f"p{i}" + US + f"w{i % 3} x",) for i in range(40)]
+    src, state = tmp("files"), tmp("state")
+    spark.createDataFrame(rows, "value string").repartition(4).write.text(src)
+    stream_word_count(stream_lines(spark, src, files), state, tmp("ck")).awaitTermination()
+    assert len(S.versions(spark, state)) == (4 if files else 1)
+    assert counts(S.latest(spark, state)) == {"w0": 14, "w1": 13, "w2": 13, "x": 40}
 
 
 def test_fold_is_idempotent_for_a_rerun_batch(spark, tmp):
     rows = [(0, "p" + US + "a b"), (1, "p" + US + "c" + US + "a b")]
-    src = slices(spark, tmp, rows)
     state = tmp("state")
-    stream_word_count(stream_lines(spark, src), state, tmp("ck")).awaitTermination()
-    first = counts(S.read_version(spark, state, 1))
-    # a second query re-running both batch ids rewrites the same versions
-    stream_word_count(stream_lines(spark, src), state, tmp("ck2")).awaitTermination()
-    assert counts(S.read_version(spark, state, 1)) == first == {"a": 0, "b": 0, "c": 1}
+    for _ in range(2):      # the second time re-runs both batch ids and rewrites the same versions
+        ck = tmp("ck")
+        run(spark, tmp, rows, lambda s: stream_word_count(s, state, ck))
+        assert counts(S.read_version(spark, state, 1)) == {"a": 0, "b": 0, "c": 1}
+
+
+def test_a_version_without_its_marker_is_not_read(spark, tmp):
+    """A crash between the tables of a version leaves no commit marker."""
+    state, ck = tmp("state"), tmp("ck")
+    base = spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    SP.init_graph_state(base, state, iters=2)
+    S.write_version(base.withColumn("op", F.lit(-1)), state, 0, "changes")
+    assert S.versions(spark, state) == [-1]
+    run(spark, tmp, [(0, "1 2 3 1")], lambda s: SP.stream_pagerank(s, state, ck, iters=2))
+    assert S.versions(spark, state) == [-1, 0]
+    assert sorted(tuple(r) for r in SP.edges_at(spark, state, 0).collect()) == [(1, 2), (2, 1), (2, 3)]
 
 
 def test_stream_page_word_count_last_value_wins(spark, tmp):
     rows = [(0, "p" + US + "a b"), (0, "q" + US + "x"), (1, "p" + US + "c c")]
-    state = tmp("state")
-    stream_page_word_count(stream_lines(spark, slices(spark, tmp, rows)), state, tmp("ck")).awaitTermination()
+    state, ck = tmp("state"), tmp("ck")
+    run(spark, tmp, rows, lambda s: stream_page_word_count(s, state, ck))
     got = {r.page: dict(r.counts) for r in S.latest(spark, state).collect()}
     assert got == {"p": {"c": 2}, "q": {"x": 1}}
 
 
-def test_stream_pagerank_equals_recompute(spark, tmp):
+def final_history(spark, edges, iters):
+    final = spark.createDataFrame(edges, "src long, dst long")
+    return {r.node: [round(x, 9) for x in r.hist] for r in PR.pagerank_history(final, iters, keep="all").collect()}
+
+
+@pytest.mark.parametrize("every", [2, 50])
+def test_stream_pagerank_equals_recompute(spark, tmp, every):
     base = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
-    state = tmp("state")
+    state, ck = tmp("state"), tmp("ck")
     SP.init_graph_state(base, state, iters=3)
-    rows = [(0, "1 1 3 1"), (0, "-1 2 3 2"), (1, "1 4 1 3"), (1, "-1 3 4 4"), (1, "1 3 4 5")]
-    SP.stream_pagerank(stream_lines(spark, slices(spark, tmp, rows)), state, tmp("ck"), iters=3).awaitTermination()
-    final = spark.createDataFrame([(1, 2), (1, 3), (3, 1), (3, 4), (4, 1)], "src long, dst long")
-    want = {r.node: [round(x, 9) for x in r.hist] for r in PR.pagerank_history(final, 3, keep="all").collect()}
+    rows = [(0, "1 1 3 1"), (0, "-1 2 3 2"), (1, "1 4 1 3"), (1, "-1 3 4 4"), (1, "1 3 4 5"), (2, "1 4 2 6")]
+    track = S.VersionTracker(state)
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    run(spark, tmp, rows, lambda s: SP.stream_pagerank(s, state, ck, iters=3, compact_above=10.0,
+                                                       compact_every=every, track=track))
+    track.close()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+    final = [(1, 2), (1, 3), (3, 1), (3, 4), (4, 1), (4, 2)]
     got = {r.node: [round(x, 9) for x in r.hist] for r in S.latest(spark, state, "ranks").collect()}
-    assert got == want
+    assert got == final_history(spark, final, 3)
+    assert ((1, "edges") in S.committed_tables(spark, state)) == (every == 2)
     last = S.versions(spark, state)[-1]
-    assert sorted(tuple(r) for r in SP.edges_at(spark, state, last).collect()) == [(1, 2), (1, 3), (3, 1), (3, 4), (4, 1)]
+    assert sorted(tuple(r) for r in SP.edges_at(spark, state, last).collect()) == final
 
 
 def test_run_to_idle_stops_processing_time_query(spark, tmp):
-    src = slices(spark, tmp, [(0, "p" + US + "a")])
+    src = tmp("lines")
+    spark.createDataFrame([("p" + US + "a",)], "value string").write.text(src)
     q = stream_word_count(stream_lines(spark, src), tmp("state"), tmp("ck"), trigger={"processingTime": "200 milliseconds"})
     run_to_idle(q, empty_batches=1, poll_s=0.2, timeout_s=60)
     assert not q.isActive
 
 
 def test_bucketed_version_reregisters_after_restart(spark, tmp):
-    src = slices(spark, tmp, [(0, "p" + US + "a b a")])
-    state = tmp("state")
-    stream_word_count(stream_lines(spark, src), state, tmp("ck"), buckets=4).awaitTermination()
+    state, ck = tmp("state"), tmp("ck")
+    run(spark, tmp, [(0, "p" + US + "a b a")], lambda s: stream_word_count(s, state, ck, buckets=4))
     want = counts(S.latest(spark, state))
     spark.sql(f"DROP TABLE IF EXISTS {S._table_name(state, 0, None)}")     # as in a new session
     again = S.read_version_bucketed(spark, state, 0, "word", 4, "word string, n bigint")
@@ -104,22 +132,16 @@ def test_bucketed_version_reregisters_after_restart(spark, tmp):
 
 def test_stream_pagerank_restart_replays_changes(spark, tmp):
     base = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
-    state, ck, dest = tmp("state"), tmp("ck"), tmp("slices")
-    src = f"{dest}/slice-*/part-*"
+    state, ck, landing = tmp("state"), tmp("ck"), tmp("landing")
     SP.init_graph_state(base, state, iters=3)
-    first = [(0, "1 1 3 1"), (0, "-1 2 3 2")]
-    write_slices(spark.createDataFrame(first, "batch int, value string"), dest, "batch")
-    SP.stream_pagerank(stream_lines(spark, src), state, ck, iters=3, compact_above=10.0).awaitTermination()
-    second = [(1, "1 4 1 3"), (1, "-1 3 4 4"), (2, "1 5 2 5")]
-    write_slices(spark.createDataFrame(second, "batch int, value string"), dest, "batch")
-    SP.stream_pagerank(stream_lines(spark, src), state, ck, iters=3, compact_above=10.0).awaitTermination()
-    final_edges = [(1, 2), (1, 3), (3, 1), (4, 1), (5, 2)]
+    rows = [(0, "1 1 3 1"), (0, "-1 2 3 2"), (1, "1 4 1 3"), (1, "-1 3 4 4"), (2, "1 5 2 5")]
+    # no tracker is carried: every slice starts anew from the state folder
+    run(spark, tmp, rows, lambda s: SP.stream_pagerank(s, state, ck, iters=3, compact_above=10.0), landing)
+    final = [(1, 2), (1, 3), (3, 1), (4, 1), (5, 2)]
     last = S.versions(spark, state)[-1]
-    assert sorted(tuple(r) for r in SP.edges_at(spark, state, last).collect()) == final_edges
-    final = spark.createDataFrame(final_edges, "src long, dst long")
-    want = {r.node: [round(x, 9) for x in r.hist] for r in PR.pagerank_history(final, 3, keep="all").collect()}
+    assert sorted(tuple(r) for r in SP.edges_at(spark, state, last).collect()) == final
     got = {r.node: [round(x, 9) for x in r.hist] for r in S.latest(spark, state, "ranks").collect()}
-    assert got == want
+    assert got == final_history(spark, final, 3)
 
 
 def test_stream_page_word_count_with_initial_state(spark, tmp):
@@ -128,9 +150,8 @@ def test_stream_page_word_count_with_initial_state(spark, tmp):
     from tallyrank.operators.text import page_word_count
     init = page_word_count(spark.createDataFrame([("p", "old old"), ("r", "keep")], "page string, text string"))
     rows = [(0, "p" + US + "new")]
-    state = tmp("state")
-    stream_page_word_count(stream_lines(spark, slices(spark, tmp, rows)), state, tmp("ck"),
-                           initial=init).awaitTermination()
+    state, ck = tmp("state"), tmp("ck")
+    run(spark, tmp, rows, lambda s: stream_page_word_count(s, state, ck, initial=init))
     got = {r.page: dict(r.counts) for r in S.latest(spark, state).collect()}
     assert got == {"p": {"new": 1}, "r": {"keep": 1}}
 
@@ -151,10 +172,10 @@ def test_progress_log_keeps_more_triggers_than_spark_does(spark, tmp):
 
 
 def test_malformed_lines_are_kept_or_fail(spark, tmp):
-    src = slices(spark, tmp, [(0, "p" + US + "a b"), (0, "no field"), (1, "q" + US + "c")])
-    state = tmp("state")
-    stream_word_count(stream_lines(spark, src), state, tmp("ck")).awaitTermination()
+    rows = [(0, "p" + US + "a b"), (0, "no field"), (1, "q" + US + "c")]
+    state, ck, other = tmp("state"), tmp("ck"), tmp("ck")
+    run(spark, tmp, rows, lambda s: stream_word_count(s, state, ck))
     assert [(r.batch, r.line) for r in S.rejects(spark, state).collect()] == [(0, "no field")]
     assert counts(S.latest(spark, state)) == {"a": 1, "b": 1, "c": 1}
     with pytest.raises(Exception, match="malformed line"):
-        stream_word_count(stream_lines(spark, src), tmp("state"), tmp("ck"), strict=True).awaitTermination()
+        run(spark, tmp, rows, lambda s: stream_word_count(s, tmp("state"), other, strict=True))
