@@ -128,6 +128,33 @@ def test_repeated_passages_against_all_windows(spark, docs):
     assert repeated_passages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_repeated_passage_is_lost_among_mixed_contexts(spark, seed):
+    """Few words, so k-grams recur with contexts that agree on either side; many
+    small partitions and batches, so they also recur across those."""
+    rng, n, conf = random.Random(seed), 8, {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.shuffle.partitions": "6",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.choice([5, 8, 30, 60]))) for _ in range(60)]
+    want, seen = set(), {}
+    for i, t in enumerate(texts):
+        for p in range(len(t.split()) - n + 1):
+            seen.setdefault(tuple(t.split()[p:p + n]), set()).add((i, p))
+    for places in seen.values():
+        if len(places) > 1:
+            want |= {(i, w) for i, p in places for w in range(p, p + n)}
+    old = {c: spark.conf.get(c, None) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        rows = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (99, "")], "doc_id int, text string")
+        got = repeated_passages(rows, min_words=n, window=5).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert {(r.doc_id, w) for r in got for w in range(r.start_word, r.end_word)} == want
+
+
 def test_base_counts_and_quality(spark, docs):
     assert perplexity.base_counts("a b c\n\na b c\nx") == (7, 7, 0, 1, 6)
     assert perplexity.base_counts(None) == perplexity.base_counts("") == (0, 0, 0, 0, 0)
