@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
 from .tables import cut, doc_key, map_batches
 from .wordhash import WordHasher, mix, white_space
 
@@ -174,8 +175,17 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     found = map_batches(d.select("key", "text"), find, "h bigint, key bigint, pos int", 1000)
     # A repeated row counts too, which keeps suffixes that then meet only themselves.
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    kept = (found.join(twice, "h", "left_semi").groupBy("key")
+    twice = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # A k-gram with many rows is dealt over shares of at most about ``share`` rows. There are
+    # at most 4 x partitions such k-grams, and twice as many shares, by choice of ``share``.
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    share = max(1, -(-total // (4 * shuffle_partitions(docs.sparkSession))))
+    twice = twice.select("h", F.ceil(F.col("n") / share).alias("shares"))
+    often = twice.filter("shares > 1").withColumnRenamed("h", "often")
+    dealt = (found.join(F.broadcast(often), F.col("h") == F.col("often"), "left")
+             .select("h", "key", "pos", F.coalesce(F.pmod(F.xxhash64("key", "pos"), "shares"), F.lit(0)).alias("share")))
+    twice = twice.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    kept = (dealt.join(twice, ["h", "share"], "left_semi").groupBy("key")
             .agg(F.collect_set("pos").alias("at")))
 
     def suffixes(b: pa.RecordBatch) -> pa.RecordBatch:
