@@ -83,7 +83,7 @@ def parse_update_lines(lines: DataFrame) -> DataFrame:
 def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: int = 5, damping: float = 0.85,
                     trigger: dict | None = None, name: str | None = None,
                     compact_above: float = COMPACT_ABOVE, compact_every: int = COMPACT_EVERY, strict: bool = False,
-                    track: S.VersionTracker | None = None) -> StreamingQuery:
+                    track: S.VersionTracker | None = None, keep: int | None = None) -> StreamingQuery:
     """Keep the graph's rank history current under a stream of edge updates.
 
     Within one run, or the runs that share ``track``, the prepared links carry over from batch to batch: each
@@ -91,7 +91,8 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
     step. The links are prepared again only when the run starts (from the
     last committed version), when the overlay holds more than
     ``compact_above`` of all edges, and at every ``compact_every``-th batch. Malformed lines go to ``state.rejects``;
-    ``strict`` makes them an error."""
+    ``strict`` makes them an error. ``keep`` versions stay, and those an edge set
+    among them builds on (all, if None)."""
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"))
     track = track or S.VersionTracker(state_dir)
 
@@ -106,6 +107,7 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
             track.keep_links(prepare_links(edges_at(spark, state_dir, prev)))
         links = track.links
         hist = ranks_at(spark, state_dir, prev, links.partitions)
+        S.begin_version(spark, state_dir, batch_id)
         S.write_version(net_updates(batch), state_dir, batch_id, "changes")
         net = S.read_version(spark, state_dir, batch_id, "changes").select(F.lit(0).alias("seq"), "op", "src", "dst")
         res = pagerank_delta(None, net, hist, iters, damping, links_old=links)
@@ -117,6 +119,7 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
             nxt, tables = prepare_links(S.read_version(spark, state_dir, batch_id, "edges")), (*tables, "edges")
         track.commit(spark, batch_id, tables)
         track.keep_links(nxt)
+        S.retire(spark, state_dir, keep, "edges")
 
     w = tagged.writeStream.foreachBatch(S.read_once(fold)).option("checkpointLocation", checkpoint)
     if name:

@@ -27,6 +27,48 @@ def commit_version(spark: SparkSession, root: str, v: int, tables: tuple[str, ..
      .write.mode("overwrite").parquet(f"{_marks(root)}/batch={v}"))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder through the file system Spark uses for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def begin_version(spark: SparkSession, root: str, v: int) -> None:
+    """Take back the mark of version ``v`` before a batch that runs again rewrites
+    it, so that a run which stops in between leaves no half of it marked."""
+    _delete(spark, f"{_marks(root)}/batch={v}")
+
+
+def retire(spark: SparkSession, root: str, keep: int | None, snapshot: str | None = None) -> None:
+    """Delete all but the newest ``keep`` versions (None keeps all; at least two
+    stay, since a batch that runs again reads the one before it). With
+    ``snapshot`` versions build on the last one that has this table: those from
+    the newest such one at or before the oldest kept version stay too. A
+    version's mark goes before its files."""
+    if keep is None:
+        return
+    done = committed_tables(spark, root)
+    vs = sorted({v for v, _ in done})
+    first = vs[-max(2, keep):][0]
+    if snapshot:
+        first = max((v for v, t in done if t == snapshot and v <= first), default=vs[0])
+    for v in (x for x in vs if x < first):
+        begin_version(spark, root, v)
+        for table in {t for x, t in done if x == v}:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(root, v, table or None)}")
+        _delete(spark, version_path(root, v))
+
+
+def write_changed(df: DataFrame, root: str, v: int) -> None:
+    """The rows of version ``v`` that its batch changed, beside the state."""
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}-changed/batch={v}")
+
+
+def changed(spark: SparkSession, root: str, ddl: str) -> DataFrame:
+    """Rows of schema ``ddl`` and their ``batch``, as written with ``emit='changed'``."""
+    return spark.read.schema(f"{ddl}, batch bigint").parquet(f"{root.rstrip('/')}-changed")
+
+
 def committed_tables(spark: SparkSession, root: str) -> set[tuple[int, str]]:
     """``(version, table)`` for every committed table under ``root``; table
     ``""`` for a version written as one table."""

@@ -2,8 +2,10 @@
 
 Each micro-batch is folded into a versioned state table by ``foreachBatch``
 (see ``state.py``): the new version is the previous one merged with the
-batch, so every key is present in every version (the reference emits every
-key every batch). Versions are bucketed by key (``buckets``, fixed for the
+batch, so every key is present in every version. With ``emit='changed'`` the
+rows a batch changed are written beside the state as well (``state.changed``),
+for readers that need no full copy; ``keep`` bounds the number of versions
+(``state.retire``). Versions are bucketed by key (``buckets``, fixed for the
 life of the state folder), so the merge shuffles only the batch, not the
 state. A static initial table seeds the first batch; Structured
 Streaming refuses a union of a static table into a streaming aggregate, and
@@ -29,6 +31,11 @@ def _start(stream: DataFrame, fn, checkpoint: str, trigger: dict | None, name: s
     return w.start()
 
 
+def _check_emit(emit: str) -> None:
+    if emit not in ("all", "changed"):
+        raise ValueError(f"emit must be 'all' or 'changed', not {emit!r}")
+
+
 def _buckets(lines: DataFrame, buckets: int | None) -> int:
     return buckets or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -36,12 +43,14 @@ def _buckets(lines: DataFrame, buckets: int | None) -> int:
 def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
                       trigger: dict | None = None, name: str | None = None,
                       buckets: int | None = None, strict: bool = False,
-                      track: S.VersionTracker | None = None) -> StreamingQuery:
+                      track: S.VersionTracker | None = None, emit: str = "all",
+                      keep: int | None = None) -> StreamingQuery:
     """Incremental corpus counts over a stream of revision lines (S3):
     ``page<US>new`` adds the words of ``new``; ``page<US>new<US>old`` also
     subtracts those of ``old``. ``initial`` is ``(word, n)`` (S4). Version
     ``v=<batch>`` of ``state_dir`` holds ``(word, n)``; words at 0 stay.
     Malformed lines go to ``state.rejects``; ``strict`` makes them an error."""
+    _check_emit(emit)
     nb = _buckets(lines, buckets)
     track = track or S.VersionTracker(state_dir)
     ddl = "word string, n bigint"
@@ -55,8 +64,13 @@ def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial
         if prev is None:
             prev = spark.createDataFrame([], ddl)
         delta = signed_tokens(batch, keep=()).groupBy("word").agg(F.sum("w").alias("w"))
+        S.begin_version(spark, state_dir, batch_id)
         S.write_version_bucketed(merge_word_counts(prev, delta), state_dir, batch_id, "word", nb)
+        if emit == "changed":
+            now = S.read_version_bucketed(spark, state_dir, batch_id, "word", nb, ddl)
+            S.write_changed(now.join(delta.filter("w != 0"), "word", "left_semi"), state_dir, batch_id)
         track.commit(spark, batch_id)
+        S.retire(spark, state_dir, keep)
 
     return _start(lines.select("value"), fold, checkpoint, trigger, name)
 
@@ -64,12 +78,14 @@ def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial
 def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
                            trigger: dict | None = None, name: str | None = None,
                            buckets: int | None = None, strict: bool = False,
-                           track: S.VersionTracker | None = None) -> StreamingQuery:
+                           track: S.VersionTracker | None = None, emit: str = "all",
+                           keep: int | None = None) -> StreamingQuery:
     """Latest per-page counts over a stream of ``page<US>text`` lines (S2): per
     page the batch's last line (by file time, file and place in it) replaces the
     state's counts; pages without a new line keep theirs. ``initial`` and the
     versions hold ``(page, counts map<string,bigint>)``."""
 
+    _check_emit(emit)
     nb = _buckets(lines, buckets)
     track = track or S.VersionTracker(state_dir)
 
@@ -84,11 +100,18 @@ def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, in
         S.keep_rejects(bad, state_dir, batch_id, strict)
         batch = batch.select("seq", "page", F.col("new_text").alias("text"))
         counts = page_word_count(batch.groupBy("page").agg(F.max_by("text", "seq").alias("text")))
+        S.begin_version(spark, state_dir, batch_id)
+        if emit == "changed":
+            S.write_changed(counts if prev is None else counts.join(
+                prev.select("page", F.map_entries("counts").alias("old")), "page", "left").filter(
+                ~F.sort_array(F.map_entries("counts")).eqNullSafe(F.sort_array("old"))).select("page", "counts"),
+                state_dir, batch_id)
         if prev is not None:    # one pass over the batch: the new counts, else the state's
             counts = (counts.withColumnRenamed("counts", "new").join(prev.select("page", "counts"), "page", "full")
                       .select("page", F.coalesce("new", "counts").alias("counts")))
         S.write_version_bucketed(counts, state_dir, batch_id, "page", nb)
         track.commit(spark, batch_id)
+        S.retire(spark, state_dir, keep)
 
     tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"),
                           F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"))

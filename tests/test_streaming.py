@@ -1,5 +1,7 @@
 """Streaming results equal batch recompute, survive restarts and retries."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,39 @@ def test_a_version_without_its_marker_is_not_read(spark, tmp):
     assert sorted(tuple(r) for r in SP.edges_at(spark, state, 0).collect()) == [(1, 2), (2, 1), (2, 3)]
 
 
+def test_retention_and_changed_rows(spark, tmp):
+    rows = [(i, "p" + US + f"w{i} x" + (US + f"w{i - 1} x" if i else "")) for i in range(4)]
+    state, ck = tmp("state"), tmp("ck")
+    run(spark, tmp, rows, lambda s: stream_word_count(s, state, ck, emit="changed", keep=2))
+    assert S.versions(spark, state) == [2, 3]
+    assert sorted(p for p in os.listdir(state) if p.startswith("v=")) == ["v=2", "v=3"]
+    assert counts(S.latest(spark, state)) == {"w0": 0, "w1": 0, "w2": 0, "w3": 1, "x": 1}
+    got = {(r.batch, r.word, r.n) for r in S.changed(spark, state, "word string, n bigint").collect()}
+    assert got == {(0, "w0", 1), (0, "x", 1)} | {(i, f"w{i}", 1) for i in (1, 2, 3)} | {(i, f"w{i - 1}", 0) for i in (1, 2, 3)}
+    with pytest.raises(ValueError):
+        stream_word_count(spark.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS value"), state, ck, emit="some")
+
+
+def test_changed_pages(spark, tmp):
+    rows = [(0, "p" + US + "a b"), (0, "q" + US + "x"), (1, "p" + US + "b a"), (1, "q" + US + "y"), (1, "r" + US + "")]
+    state, ck = tmp("state"), tmp("ck")
+    run(spark, tmp, rows, lambda s: stream_page_word_count(s, state, ck, emit="changed"))
+    got = S.changed(spark, state, "page string, counts map<string,bigint>").filter("batch = 1").collect()
+    assert "p" not in {r.page for r in got} and {r.page: r.counts for r in got}["q"] == {"y": 1}
+
+
+def test_stream_pagerank_retention_keeps_the_snapshot(spark, tmp):
+    state, ck = tmp("state"), tmp("ck")
+    base = spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    SP.init_graph_state(base, state, iters=2)
+    rows = [(i, f"1 2 {10 + i} {i}") for i in range(5)]
+    run(spark, tmp, rows, lambda s: SP.stream_pagerank(s, state, ck, iters=2, keep=2, compact_above=2.0,
+                                                       compact_every=3))
+    assert S.versions(spark, state) == [2, 3, 4]        # 2 holds the snapshot that 3 and 4 build on
+    want = {(1, 2), (2, 1)} | {(2, 10 + i) for i in range(5)}
+    assert {tuple(r) for r in SP.edges_at(spark, state, 4).collect()} == want
+
+
 def test_stream_page_word_count_last_value_wins(spark, tmp):
     rows = [(0, "p" + US + "a b"), (0, "q" + US + "x"), (1, "p" + US + "c c")]
     state, ck = tmp("state"), tmp("ck")
