@@ -5,24 +5,27 @@ windows (see ``base_counts``); a text fails them if it has fewer than 50 words
 or more than half of its words lie in repeated windows.
 
 The language model is an interpolated modified Kneser-Ney model of the given
-``order`` over the bytes of the text (A-Z as a-z, digits as 0, white space as
-one space, words padded by it), one for each language, counted by Spark over
-every whole text: highest-order counts in one aggregate, continuation counts
-of the lower orders from the distinct n-grams above them, three discounts per
-language and order from the counts of counts. Bytes are taken because the
-distinct word n-grams of a corpus are nearly as many as its words: to count
-them alone would move more than the texts themselves.
-
-The model is kept as sorted arrays of 64-bit n-gram hashes with their log
-probabilities, cut by hash into blocks of at most about ``block`` entries. One
-block at a time is sent to all tasks, every pass adds its share to each
-document's sum, and all n-grams of a text are in exactly one block: a model of
-any size scores the same way, in more passes.
-
-A document's figure is its log perplexity per byte. Per language, of the texts
-that pass the base rules, the quartiles are taken; a text is kept within
-``reach`` robust standard deviations (IQR / 1.349, at least ``least``) of the
-median. Languages with fewer than ``min_docs`` such texts reject none.
+``order`` over words (split at white space, A-Z as a-z, a mark before and after
+the text), one for each language and half of its texts. A text is scored by the
+other half's model, so its own counts never vouch for it; the half follows from
+the least n-gram hash, so that exact copies and nearly all near copies share it.
+Spark counts every whole text: n-grams are packed hashes of their words, counted
+in the tasks, sent as sorted differences and merged by context; the continuation
+counts of a lower order are the distinct n-grams above it, those seen once
+included; three discounts per model and order come from the counts of counts.
+
+The model is kept as sorted 64-bit hashes with values that add up to the log
+probability of a text: what an n-gram gains over its suffix, and what its context
+leaves to lower orders. N-grams that only one half has can't be asked for and are
+left out here, after all counts. It is cut by hash into blocks of at most about
+``block`` entries, sent to all tasks one at a time: a model of any size scores
+the same way, in more passes.
+
+A document's figure is its log perplexity per word that has a letter or digit:
+marks between words add to it. Per language, of the texts that pass the base
+rules, the quartiles are taken; a text is kept within ``reach`` robust standard
+deviations (IQR / 1.349, at least ``least``) of the median. Languages with fewer
+than ``min_docs`` such texts reject none.
 
 A null text has no words and fails the base rules; a null language is one of
 its own; repeated rows are rows; other columns are ignored.
@@ -30,19 +33,25 @@ its own; repeated rows are rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
 from .tables import Shipped, cut, map_batches
+from .wordhash import WordHasher, mix, white_space
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\r\x0b\x0c"
-_FOLD = bytes(0x30 if 0x30 <= b <= 0x39 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_GAP = white_space()
+_SAID = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_HASHER = WordHasher(_GAP)
 #: Distinct n-grams a counting task holds before it passes them on.
 HELD = 1 << 21
 
@@ -66,134 +75,298 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated)
 
 
+def width(order: int) -> int:
+    """Bits of a word in a packed n-gram."""
+    return 62 // order
+
+
 def grams(text: str | None, order: int) -> np.ndarray:
-    """The byte n-grams of a text as integers; a start is padded with newlines."""
-    words = text.encode("utf-8").translate(_FOLD).split() if text else []
-    if not words:
+    """The word n-grams of a text as packed hashes; 0 marks start and end."""
+    words = _HASHER.words(text)
+    if not len(words):
         return np.zeros(0, np.int64)
-    b = np.frombuffer(b"\n" * (order - 1) + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    n = len(b) - order + 1
-    out = b[:n].copy()
+    bits = width(order)
+    w = np.maximum(words >> np.uint64(64 - bits), np.uint64(1)).astype(np.int64)
+    w = np.concatenate([np.zeros(order - 1, np.int64), w, np.zeros(1, np.int64)])
+    n = len(w) - order + 1
+    out = w[:n].copy()
     for i in range(1, order):
-        out = out << 8 | b[i:i + n]
+        out = out << bits | w[i:i + n]
+    return out
+
+
+def said_words(text: str | None) -> int:
+    """Words with a letter or digit."""
+    b = np.frombuffer(text.encode("utf-8"), np.uint8) if text else np.zeros(0, np.uint8)
+    word = np.cumsum(_GAP[b])[_SAID[b]]
+    return 1 + int(np.count_nonzero(np.diff(word))) if len(word) else 0
+
+
+def half(g: np.ndarray) -> int:
+    """The half of a text: the same for texts with mostly the same n-grams."""
+    return int(mix(mix(g.view(np.uint64)).min(keepdims=True))[0] >> np.uint64(40) & np.uint64(1))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of integers as small bytes; the first is sorted."""
+    out = np.array(columns, np.int64).reshape(len(columns), -1)
+    out[0, 1:] -= out[0, :-1].copy()
+    return len(columns).to_bytes(1, "big") + zlib.compress(np.ascontiguousarray(out.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    b = np.frombuffer(zlib.decompress(data[1:]), np.uint8)
+    out = np.array(b.reshape(8, -1).T, order="C").view(np.int64).reshape(data[0], -1)
+    out[0] = np.cumsum(out[0])
     return out
 
 
+def _dealt(g: np.ndarray, k: int, bits: int, parts: int) -> np.ndarray:
+    """The part of each n-gram, by the range of its first word's hash: sorted differences stay small."""
+    return (g >> bits * (k - 1)) * parts >> bits
+
+
+def _blobs(g: np.ndarray, n: np.ndarray, k: int, bits: int, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Counted n-grams (sorted) by part."""
+    at = _dealt(g, k, bits, parts)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(parts + 1))
+    for i in np.flatnonzero(np.diff(ends)):
+        rows = order[ends[i]:ends[i + 1]]
+        yield int(i), pack(g[rows], n[rows])
+
+
+def _summed(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    g, at = np.unique(g, return_inverse=True)
+    return g, np.bincount(at, n, len(g)).astype(np.int64)
+
+
+_PACKED = "lang string, half int, part int, what string, data binary"
+
+
 def count_grams(docs: DataFrame, order: int) -> DataFrame:
-    """``(lang, g, n)``, counted inside tasks first. ``docs (lang, text)``."""
+    """Packed counts, added up inside tasks first. ``docs (lang, text)``."""
+    parts, bits = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), width(order)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
-        fresh: dict[str | None, list[np.ndarray]] = {}
+        held: dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]] = {}
+        fresh: dict[tuple[str | None, int], list[np.ndarray]] = {}
+        n_fresh = 0
 
-        def merge(lang) -> None:
-            parts = held.get(lang, []) + [(x, np.ones(len(x), np.int64)) for x in fresh.pop(lang, [])]
-            g = np.concatenate([p[0] for p in parts])
-            g, at = np.unique(g, return_inverse=True)
-            held[lang] = [(g, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64))]
+        def merge() -> None:
+            for key in list(fresh):
+                new = fresh.pop(key)
+                g, n = held.pop(key, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                held[key] = _summed(np.concatenate([g, *new]), np.concatenate([n, np.ones(sum(map(len, new)), np.int64)]))
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            for lang in list(fresh):
-                merge(lang)
-            for lang, [(g, n)] in held.items():
-                for i in range(0, len(g), 1 << 16):
-                    m = len(g[i:i + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * m, pa.string()), pa.array(g[i:i + m]), pa.array(n[i:i + m])], names=["lang", "g", "n"])
-            held.clear()
+            merge()
+            for key in list(held):
+                g, n = held.pop(key)
+                yield pa.RecordBatch.from_pylist([{"lang": key[0], "half": key[1], "part": i, "what": "n", "data": x}
+                                                  for i, x in _blobs(g, n, order, bits, parts)], schema)
 
+        schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("part", pa.int32()), ("what", pa.string()), ("data", pa.binary())])
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 x = grams(text.as_py(), order)
                 if len(x):
-                    fresh.setdefault(lang, []).append(x)
-                    if sum(map(len, fresh[lang])) > HELD:
-                        merge(lang)
-            if sum(len(h[0][0]) for h in held.values()) > HELD:
-                yield from passed_on()
+                    fresh.setdefault((lang, half(x)), []).append(x)
+                    n_fresh += len(x)
+                if n_fresh > HELD // 2:
+                    merge()
+                    n_fresh = 0
+                    if sum(len(g) for g, _ in held.values()) > HELD:
+                        yield from passed_on()
         yield from passed_on()
 
-    parts = docs.select("lang", "text").mapInArrow(run, "lang string, g bigint, n bigint")
-    return parts.groupBy("lang", "g").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(top: DataFrame, order: int) -> DataFrame:
-    """``(lang, g, logp)`` for every highest-order n-gram of ``top (lang, g, n)``."""
-    levels = {order: top}
-    for k in range(order - 1, 0, -1):
-        levels[k] = cut(levels[k + 1].groupBy("lang", F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("g"))
-                        .agg(F.count(F.lit(1)).alias("n")))
-    lower = None
+    return docs.select("lang", "text").mapInArrow(run, _PACKED)
+
+
+def _merged(packed: DataFrame, k: int, bits: int, parts: int, shared: bool) -> DataFrame:
+    """Counts of ``k``-grams put together by part. Rows of ``what``: ``own`` (n-grams
+    with their counts in both halves, and contexts, for each half with the sum of
+    counts and how many are 1, 2, more), ``sums`` (n-grams counted 1, 2, 3, 4 times,
+    sum of counts, n-grams) and ``n`` (suffixes with their continuation counts)."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        lang, part, out, found = key[0].as_py(), key[1].as_py(), [], []
+        for h in (0, 1):
+            mine = [unpack(x) for x, i in zip(t.column("data").to_pylist(), t.column("half").to_pylist()) if i == h]
+            found.append(_summed(*np.concatenate(mine or [np.zeros((2, 0), np.int64)], axis=1)))
+        g = np.union1d(found[0][0], found[1][0])
+        n = np.zeros((2, len(g)), np.int64)
+        for h, (x, m) in enumerate(found):
+            n[h, np.searchsorted(g, x)] = m
+            out.append((h, part, "sums", pack(np.array([*((m == i).sum() for i in (1, 2, 3, 4)), m.sum(), len(m)]))))
+            if k > 1:
+                low = _summed(np.sort(x & ((1 << bits * (k - 1)) - 1)), np.ones(len(x), np.int64))
+                out += [(h, i, "n", data) for i, data in _blobs(*low, k - 1, bits, parts)]
+        more = b""
+        if k > 1:
+            ctx, at = np.unique(g >> bits, return_inverse=True)
+            per = np.array([np.bincount(at, v, len(ctx)) for m in n for v in (m, m == 1, m == 2, m > 2)], np.int64)
+            both = (per[0] > 0) & (per[4] > 0) if shared else np.ones(len(ctx), bool)
+            more = pack(ctx[both], *per[:, both])
+        keep = (n[0] > 0) & (n[1] > 0) if shared else np.ones(len(g), bool)
+        out.append((0, part, "own", pack(g[keep], *n[:, keep])))
+        h, i, what, data = zip(*out)
+        return pa.table([pa.array([lang] * len(out), pa.string()), pa.array(h, pa.int32()), pa.array(i, pa.int32()),
+                         pa.array(what, pa.string()), pa.array(data, pa.binary()),
+                         pa.array([more if w == "own" else b"" for w in what], pa.binary())],
+                        names=["lang", "half", "part", "what", "data", "contexts"])
+    return cut(packed.groupBy("lang", "part").applyInArrow(run, _PACKED + ", contexts binary"))
+
+
+def _discounts(c: np.ndarray) -> np.ndarray:
+    """For n-grams counted once, twice, more often; ``c``: how many are counted 1 to 4 times."""
+    y = c[0] / max(1, c[0] + 2 * c[1])
+    d = [i - (i + 1) * y * c[i] / c[i - 1] if c[0] and c[i - 1] else 0.5 * i for i in (1, 2, 3)]
+    return np.array([max(0.1, min(x, i - 0.05)) for i, x in zip((1, 2, 3), d)])
+
+
+def _given(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, d[np.clip(n, 1, 3) - 1], 0.0)
+
+
+def _release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of finished steps that nothing refers to."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def model_tables(top: DataFrame, order: int, shared: bool) -> tuple[list[DataFrame], dict[tuple[str | None, int], float]]:
+    """Tables ``(lang, half, tag, g, logp, gain)`` of every order (tag: the order) and
+    of contexts (tag: minus the order, ``gain`` only), and the log probability of an
+    unknown word by language and half. ``shared``: only what both halves have."""
+    bits, parts = width(order), int(top.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    levels: dict[int, DataFrame] = {}
+    for k in range(order, 0, -1):
+        levels[k] = _merged(top if k == order else levels[k + 1].filter("what = 'n'"), k, bits, parts, shared)
+        top = None
+        _release(levels[k])
+    tables, unknown, lower = [], {}, None
     for k in range(1, order + 1):
-        t = levels[k].withColumns({"ctx": F.shiftright("g", 8) if k > 1 else F.lit(0).cast("long")})
-        # Counts of counts: a row for each language.
-        of = t.groupBy("lang").agg(*(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)))
-        n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-
-        def discount(i: int, above: Column, here: Column) -> Column:
-            d = F.when((here > 0) & (n1 > 0), i - (i + 1) * y * above / here)
-            return F.greatest(F.lit(0.1), F.least(F.coalesce(d, F.lit(0.5 * i)), F.lit(i - 0.05)))
-        of = cut(of.select(F.col("lang").alias("l"), discount(1, n2, n1).alias("d1"), discount(2, n3, n2).alias("d2"),
-                           discount(3, n4, n3).alias("d3")))
-        of = broadcast_if_small(of, of.count())
-        cut_by = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.join(of, F.col("lang").eqNullSafe(F.col("l"))).withColumn("cut", cut_by).drop("l", "d1", "d2", "d3")
-        ctx = t.groupBy(F.col("lang").alias("l"), F.col("ctx").alias("c")).agg(
-            F.sum("n").alias("total"), F.sum("cut").alias("given"))
-        t = t.join(ctx, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ctx") == F.col("c"))).drop("l", "c")
-        own, spare = (F.col("n") - F.col("cut")) / F.col("total"), F.col("given") / F.col("total")
+        sums: dict[tuple[str | None, int], np.ndarray] = {}
+        for r in levels[k].filter("what = 'sums'").toLocalIterator():
+            at = (r["lang"], r["half"])
+            sums[at] = sums.get(at, 0) + unpack(r["data"])[0]
+        spare: dict[tuple[str | None, int], float] = {}
+        disc = {at: _discounts(c) for at, c in sums.items()}
+        if k == 1:
+            for at, c in sums.items():
+                left = disc[at] @ [c[0], c[1], c[5] - c[0] - c[1]]
+                spare[at] = float(left / c[4] / (c[5] + 1)) if c[4] else 1.0
+                unknown[at] = float(np.log(spare[at]))
+
+        def rows(b: pa.RecordBatch, k=k, sums=sums, disc=disc, spare=spare) -> pa.RecordBatch:
+            out = []
+            for lang, data, ctx in zip(b.column(0).to_pylist(), b.column(4), b.column(5)):
+                x = unpack(data.as_py())
+                if k > 1:
+                    all_ctx = unpack(ctx.as_py())
+                    per_ctx = all_ctx[1:, np.searchsorted(all_ctx[0], x[0] >> bits)]
+                for h in (0, 1):
+                    n, d = x[1 + h], disc[lang, h]
+                    here = n > 0
+                    if k == 1:
+                        total, rest = sums[lang, h][4], np.full(here.sum(), spare[lang, h])
+                    else:
+                        per = per_ctx[4 * h:4 * h + 4, here]
+                        total, rest = per[0], d @ per[1:] / per[0]
+                    own = (n[here] - _given(n[here], d)) / total
+                    m = int(here.sum())
+                    out.append(pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array([h] * m, pa.int32()),
+                                                           pa.array(x[0][here]), pa.array(own, pa.float32()), pa.array(rest, pa.float32())], schema=schema))
+            return pa.Table.from_batches(out, schema).combine_chunks().to_batches()[0] if sum(map(len, out)) else None
+
+        def contexts(b: pa.RecordBatch, k=k, disc=disc) -> pa.RecordBatch:
+            out = []
+            for lang, data in zip(b.column(0).to_pylist(), b.column(5)):
+                x = unpack(data.as_py())
+                for h in (0, 1):
+                    per = x[1 + 4 * h:5 + 4 * h]
+                    here = per[0] > 0
+                    m = int(here.sum())
+                    back = np.log(disc[lang, h] @ per[1:, here] / per[0, here])
+                    out.append(pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array([h] * m, pa.int32()),
+                                                           pa.array([-k] * m, pa.int32()), pa.array(x[0][here]), pa.array(back)],
+                                                          names=["lang", "half", "tag", "g", "gain"]))
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else None
+
+        schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("g", pa.int64()), ("own", pa.float32()), ("rest", pa.float32())])
+        t = map_batches(levels[k].filter("what = 'own'"), rows, "lang string, half int, g bigint, own float, rest float", 1)
         if k == 1:
-            lower = t.select("lang", "g", (own + spare / 256).alias("p"))
+            t = t.withColumns({"p": F.col("own").cast("double") + F.col("rest"), "less": F.col("rest").cast("double")})
         else:
-            below = lower.select(F.col("lang").alias("l"), F.col("g").alias("low"), F.col("p").alias("below"))
-            t = t.withColumn("suffix", F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
-            t = t.join(below, F.col("lang").eqNullSafe(F.col("l")) & (F.col("suffix") == F.col("low")))
-            lower = t.select("lang", "g", (own + spare * F.col("below")).alias("p"))
-        lower = cut(lower)
-    return lower.select("lang", "g", F.log("p").cast("float").alias("logp"))
+            below = lower.select(F.col("lang").alias("l"), F.col("half").alias("h"), F.col("g").alias("low"), F.exp("logp").alias("below"))
+            t = t.withColumn("suffix", F.col("g").bitwiseAND(F.lit((1 << bits * (k - 1)) - 1)))
+            t = t.join(below, F.col("lang").eqNullSafe(F.col("l")) & (F.col("half") == F.col("h")) & (F.col("suffix") == F.col("low")))
+            t = t.withColumn("less", F.col("rest") * F.col("below")).withColumn("p", F.col("own") + F.col("less"))
+            back = map_batches(levels[k].filter("what = 'own'"), contexts, "lang string, half int, tag int, g bigint, gain double", 1)
+            tables.append(back.select("lang", "half", "tag", "g", F.lit(None).cast("double").alias("logp"), "gain"))
+        lower = t.select("lang", "half", F.lit(k).alias("tag"), "g", F.log("p").alias("logp"), F.log(F.col("p") / F.col("less")).alias("gain"))
+        tables.append(lower)
+    return tables, unknown
+
+
+def kneser_ney(top: DataFrame, order: int) -> DataFrame:
+    """``(lang, half, g, logp)`` for every highest-order n-gram of a model."""
+    return model_tables(top, order, False)[0][-1].select("lang", "half", "g", "logp")
 
 
-def hashed(lang: str | None, g: np.ndarray) -> np.ndarray:
-    """64-bit hashes of a language's n-grams."""
-    salt = 0x51ED270B
+def hashed(lang: str | None, half: int, tag: int, g: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams of a model."""
+    salt = 0x51ED270B + 2 * (tag + 64) + half
     for b in ("?" if lang is None else "=" + lang).encode("utf-8"):
         salt = (salt * 0x100000001B3 ^ b) & 0xFFFFFFFFFFFFFFFF
-    x = g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(salt)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    return mix(g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(np.array([salt], np.uint64)))
 
 
 def model_blocks(model: DataFrame, block: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(bits, number, sorted hashes, log probabilities) of each block; at most
     about ``block`` entries of the model are on the driver at a time."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        h = np.zeros(b.num_rows, np.uint64)
-        langs, g = np.array(b.column(0).to_pylist(), object), np.array(b.column(1), np.int64)
-        for lang in set(langs.tolist()):
-            mine = langs == lang if lang is not None else np.array([x is None for x in langs])
-            h[mine] = hashed(lang, g[mine])
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(2)], names=["h", "logp"])
-
-    table = cut(map_batches(model, run, "h bigint, logp float"))
-    bits = max(0, int(np.ceil(np.log2(max(1, table.count() / block)))))
+        h, g = np.zeros(b.num_rows, np.uint64), np.array(b.column("g"), np.int64)
+        names = b.column("lang").dictionary_encode()
+        lang, side, tag = np.array(names.indices.fill_null(-1)), np.array(b.column("half")), np.array(b.column("tag"))
+        key = (lang * 2 + side) * 256 + tag + 64
+        for x in np.unique(key):
+            mine = key == x
+            i = np.argmax(mine)
+            h[mine] = hashed(None if lang[i] < 0 else names.dictionary[int(lang[i])].as_py(), int(side[i]), int(tag[i]), g[mine])
+        gain = np.array(b.column("gain"), np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64()), pa.array([h.tobytes()], pa.binary()),
+                                           pa.array([gain.tobytes()], pa.binary())], names=["n", "h", "gain"])
+
+    table = cut(map_batches(model, run, "n bigint, h binary, gain binary"))
+    _release(table)
+    bits = max(0, int(np.ceil(np.log2(max(1, (table.agg(F.sum("n")).first()[0] or 0) / block)))))
     for i in range(1 << bits):
-        part = table.filter(F.shiftrightunsigned("h", 64 - bits) == i) if bits else table
-        rows = part.toArrow()
+        def part(b: pa.RecordBatch, i=i) -> pa.RecordBatch:
+            h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64)
+            gain = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32)
+            mine = (h >> np.uint64(64 - bits)) == i if bits else np.ones(len(h), bool)
+            return pa.RecordBatch.from_arrays([pa.array(h[mine].view(np.int64)), pa.array(gain[mine])], names=["h", "logp"])
+        rows = map_batches(table, part, "h bigint, logp float").toArrow()
         h, p = np.array(rows["h"]).view(np.uint64), np.array(rows["logp"], np.float32)
         order = np.argsort(h)
         yield bits, i, h[order], p[order]
 
 
 def _pass(sent: Shipped, order: int):
-    """Add a block's log probabilities to every document's sum."""
+    """Add a block's values to every document's sum."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bits, number, hashes, logp = sent.get()
-        sums, at = b.column(b.num_columns - 2).to_pylist(), b.num_columns - 2
+        sums, at, w = b.column(b.num_columns - 1).to_pylist(), b.num_columns - 1, width(order)
         for i, (lang, text) in enumerate(zip(b.column("lang").to_pylist(), b.column("text"))):
             g = grams(text.as_py(), order)
-            if len(g) and len(hashes):
-                g, n = np.unique(g, return_counts=True)
-                h = hashed(lang, g)
+            if not len(g) or not len(hashes):
+                continue
+            other = 1 - half(g)
+            for tag in (*range(1, order + 1), *range(-order, -1)):
+                x = g & ((1 << w * tag) - 1) if tag > 0 else (g >> w) & ((1 << w * (-tag - 1)) - 1)
+                x, n = np.unique(x, return_counts=True)
+                h = hashed(lang, other, tag, x)
                 if bits:
                     mine = (h >> np.uint64(64 - bits)) == number
                     h, n = h[mine], n[mine]
@@ -204,17 +377,18 @@ def _pass(sent: Shipped, order: int):
     return run
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5,
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 2,
             block: int = 4_000_000, reach: float = 8.0, least: float = 0.02, min_docs: int = 20) -> DataFrame:
     """One row per document: ``doc_id``, ``lang``, the base counts, ``base_failed``,
     ``log_perplexity`` (null without words), its language's ``low`` and ``high``
     band, and ``kept``."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     spark, id_type = docs.sparkSession, dict(d.dtypes)["doc_id"]
-    model = kneser_ney(cut(count_grams(d, order)), order)
+    tables, unknown = model_tables(count_grams(d, order), order, True)
+    model = reduce(DataFrame.unionByName, (t.drop("logp") for t in tables))
 
-    scored = d.withColumns({"logp": F.lit(0.0), "chars": F.lit(0).cast("long")})
-    schema = f"doc_id {id_type}, lang string, text string, logp double, chars bigint"
+    scored = d.withColumn("logp", F.lit(0.0))
+    schema = f"doc_id {id_type}, lang string, text string, logp double"
     for found in model_blocks(model, block):
         scored = map_batches(scored, _pass(Shipped(spark, found), order), schema)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -222,15 +396,19 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.as_py() for t in b.column(2)]
         counts = list(zip(*map(base_counts, texts)))
-        chars = [len(grams(t, order)) for t in texts]
+        found = [(grams(t, order), said_words(t)) for t in texts]
+        base = [len(g) * unknown.get((lang, 1 - half(g)), 0.0) if len(g) else 0.0
+                for lang, (g, _) in zip(b.column(1).to_pylist(), found)]
+        logp = [x + y for x, y in zip(b.column(3).to_pylist(), base)]
+        per = [max(1, n) if len(g) else 0 for g, n in found]
         return pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), b.column(3), pa.array(chars, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)],
-            names=["doc_id", "lang", "logp", "chars", *names])
-    rows = cut(map_batches(scored, count, f"doc_id {id_type}, lang string, logp double, chars bigint, "
+            [b.column(0), b.column(1), pa.array(logp, pa.float64()), pa.array(per, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)],
+            names=["doc_id", "lang", "logp", "per", *names])
+    rows = cut(map_batches(scored, count, f"doc_id {id_type}, lang string, logp double, per bigint, "
                            + ", ".join(f"{c} bigint" for c in names)))
     rows = rows.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        "log_perplexity": F.when(F.col("chars") > 0, -F.col("logp") / F.col("chars"))})
+        "log_perplexity": F.when(F.col("per") > 0, -F.col("logp") / F.col("per"))})
     cuts = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
     bands = rows.filter(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), cuts.alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(least)) * reach

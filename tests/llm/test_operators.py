@@ -175,6 +175,15 @@ def test_kneser_ney_sums_to_one(spark):
     assert all(p <= 1 + 1e-6 for p in by_ctx.values())
 
 
+def test_model_is_of_words_and_of_other_texts():
+    """A word is one symbol whatever its length, and the longest words count whole."""
+    g = perplexity.grams("Alpha beta alpha beta", 2)
+    assert len(g) == 5 and g[1] == g[3] and len(perplexity.grams("x" * 1000, 2)) == 2
+    assert perplexity.said_words("a | b ### 7 é") == 4
+    text = " ".join(map(str, range(300)))
+    assert perplexity.half(perplexity.grams(text, 2)) == perplexity.half(perplexity.grams(text.upper(), 2))
+
+
 def test_audit_finds_exactly_the_damage(spark):
     rows = [(f, o * 100, bytes([f, o % 251]) * 20) for f in range(3) for o in range(300)] + [(1, 500, None)]
     bad = [r for r in rows if r[:2] != (0, 700)] + [(2, 999_900, b"new")]
