@@ -23,9 +23,10 @@ the same way, in more passes.
 
 A document's figure is its log perplexity per word that has a letter or digit:
 marks between words add to it. Per language, of the texts that pass the base
-rules, the quartiles are taken; a text is kept within ``reach`` robust standard
-deviations (IQR / 1.349, at least ``least``) of the median. Languages with fewer
-than ``min_docs`` such texts reject none.
+rules, the shortest interval with half of the figures is taken, which junk beside
+the bulk moves little; a text is kept if it lies at most ``above`` robust standard
+deviations (length / 1.349, at least ``least``) above the middle and ``below``
+under it. Languages with fewer than ``min_docs`` such texts reject none.
 
 A null text has no words and fails the base rules; a null language is one of
 its own; repeated rows are rows; other columns are ignored.
@@ -378,7 +379,7 @@ def _pass(sent: Shipped, order: int):
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 2,
-            block: int = 4_000_000, reach: float = 8.0, least: float = 0.02, min_docs: int = 20) -> DataFrame:
+            block: int = 4_000_000, above: float = 3.0, below: float = 12.0, least: float = 0.02, min_docs: int = 20) -> DataFrame:
     """One row per document: ``doc_id``, ``lang``, the base counts, ``base_failed``,
     ``log_perplexity`` (null without words), its language's ``low`` and ``high``
     band, and ``kept``."""
@@ -409,11 +410,14 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     rows = rows.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "log_perplexity": F.when(F.col("per") > 0, -F.col("logp") / F.col("per"))})
-    cuts = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
+    cuts = F.percentile_approx("log_perplexity", [i / 50 for i in range(51)], 10_000)
     bands = rows.filter(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), cuts.alias("q"))
-    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(least)) * reach
-    bands = cut(bands.filter(F.col("n") >= min_docs).select(
-        F.col("lang").alias("l"), (F.col("q")[1] - spread).alias("low"), (F.col("q")[1] + spread).alias("high")))
+    shortest = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.struct(
+        F.element_at("q", i + 26) - F.element_at("q", i + 1), (F.element_at("q", i + 26) + F.element_at("q", i + 1)) / 2)))
+    bands = bands.filter(F.col("n") >= min_docs).withColumn("half", shortest)
+    spread = F.greatest(F.col("half")["col1"] / 1.349, F.lit(least))
+    bands = cut(bands.select(F.col("lang").alias("l"), (F.col("half")["col2"] - spread * below).alias("low"),
+                             (F.col("half")["col2"] + spread * above).alias("high")))
     rows = rows.join(broadcast_if_small(bands, bands.count()), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return rows.select(F.col("doc_id").alias(doc_id), F.col("lang").alias(lang), *names, "base_failed",

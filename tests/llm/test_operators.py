@@ -175,6 +175,24 @@ def test_kneser_ney_sums_to_one(spark):
     assert all(p <= 1 + 1e-6 for p in by_ctx.values())
 
 
+def test_quality_rejects_junk_and_foreign_texts(spark):
+    rnd = random.Random(11)
+
+    def speech(syllables: str, little: str):
+        """Zipf-like: a few short words, and longer ones of which many are new."""
+        many = ["".join(rnd.choices(syllables.split(), k=rnd.randint(2, 4))) for _ in range(400)]
+        return lambda n: [rnd.choice(little.split()) if rnd.random() < 0.5 else
+                          rnd.choice(many) if rnd.random() < 0.7 else
+                          "".join(rnd.choices(syllables.split(), k=4)) for _ in range(n)]
+    a, b = speech("tion er ing the an re ed", "of the and to in"), speech("ung keit sch ein ver zu", "der die und das von")
+    rows = [(f"a{i}", " ".join(a(200)), "a") for i in range(80)] + [(f"b{i}", " ".join(b(200)), "b") for i in range(80)]
+    rows += [("symbols", " ".join(w + rnd.choice(["%%%", "$$$", "###"]) for w in a(200)), "a"),
+             ("menu", " | ".join(a(200)), "a"), ("foreign", " ".join(b(200)), "a"), ("foreign2", " ".join(a(200)), "b")]
+    kept = {r.doc_id: r.kept for r in perplexity.quality(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()}
+    assert not any(kept[x] for x in ("symbols", "menu", "foreign", "foreign2"))
+    assert sum(kept[r[0]] for r in rows[:160]) >= 156
+
+
 def test_model_is_of_words_and_of_other_texts():
     """A word is one symbol whatever its length, and the longest words count whole."""
     g = perplexity.grams("Alpha beta alpha beta", 2)
