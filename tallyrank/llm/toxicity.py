@@ -2,11 +2,13 @@
 
 Grades 0 to K are ordered; P(grade > k) = sigmoid(w.x - t_k) with one weight
 vector shared by all thresholds t_0 < t_1 < ...; the expected severity is the
-sum of these probabilities. Features are sparse: which hashed words a text
-has (letters only, A-Z as a-z). Before the fit the words with a chi-square of at least
-``min_chi`` a row against "grade above k", for any k, are chosen (the ``keep`` largest) among
-those in at least ``min_share`` of the rows, so a group of copies doesn't teach
-its own rare words.
+sum of these probabilities. Features are sparse: which hashed words and word
+beginnings (of ``HEADS`` bytes) a text has (letters only, A-Z as a-z). Before the
+fit those with a chi-square of at least ``min_chi`` against "grade above k", for
+any k, are chosen (the ``keep`` largest) among those in at least ``min_texts``
+texts; both are absolute, so a marker of a small language counts however many rows
+other languages have. A group of near copies counts as one text here (equal in
+three least feature hashes), so it doesn't teach its own rare words.
 
 Bound: at most about ``sample`` labelled rows are used to fit (drawn by a hash
 of id and text); only their feature numbers reach the driver. Scoring covers
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Shipped, map_batches
-from .wordhash import WordHasher, no_letter
+from .wordhash import WordHasher, mix, no_letter
 
 BITS = 22
+HEADS = (4, 5, 6, 8)
 
 
 @dataclass
@@ -48,35 +51,54 @@ class Model:
 
 
 def features(hasher: WordHasher, text: str | None) -> np.ndarray:
-    """Sorted numbers of the distinct words of a text."""
-    return np.unique(hasher.words(text) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def select(rows: list[tuple[np.ndarray, int]], keep: int, min_share: float, min_chi: float) -> np.ndarray:
+    """Sorted numbers of the distinct words and word beginnings of a text."""
+    found = np.concatenate([hasher.words(text), *(hasher.heads(text, n) for n in HEADS)])
+    return np.unique(found >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def without_copies(rows: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
+    """One row of each group of near copies with the same grade; of rows with
+    fewer than 16 features each stays, since those agree by chance."""
+    seen: set = set()
+    out = []
+    for f, g in rows:
+        if len(f) < 16:
+            out.append((f, g))
+            continue
+        least = [int(mix(f.astype(np.uint64) + np.uint64((i + 1) << 32)).min()) for i in range(12)]
+        keys = {(i, g, *least[i:i + 3]) for i in range(0, 12, 3)}
+        if not keys & seen:
+            out.append((f, g))
+        seen |= keys
+    return out
+
+
+def select(rows: list[tuple[np.ndarray, int]], keep: int, min_texts: int, min_chi: float) -> np.ndarray:
     """The feature numbers with the largest chi-square against "grade > k" for any
-    k, of at least ``min_chi`` a row (30 in all) and in at
-    least ``min_share`` of the rows (five at least)."""
+    k, of at least ``min_chi`` and in at least ``min_texts`` rows."""
     n, top = len(rows), max(g for _, g in rows)
-    seen = np.array([np.bincount(np.concatenate([f for f, g in rows if g > k] or [np.zeros(0, np.int64)]),
-                                 minlength=1 << BITS) for k in range(-1, top)], float)
-    some = np.flatnonzero(seen[0] >= max(5, min_share * n))
-    df, best = seen[0, some], np.zeros(len(some))
+    seen = np.zeros((top + 1, 1 << BITS), np.int32)
+    for f, g in rows:
+        seen[:g + 1, f] += 1
+    some = np.flatnonzero(seen[0] >= min_texts)
+    df, best = seen[0, some].astype(float), np.zeros(len(some))
     for k in range(top):
-        bad, hit = sum(g > k for _, g in rows), seen[k + 1, some]
+        bad, hit = sum(g > k for _, g in rows), seen[k + 1, some].astype(float)
         det = hit * (n - bad - (df - hit)) - (bad - hit) * (df - hit)
         best = np.maximum(best, n * det ** 2 / np.maximum(df * (n - df) * max(bad, 1) * max(n - bad, 1), 1))
     order = np.argsort(-best, kind="stable")[:keep]
-    return np.sort(some[order[best[order] >= max(30.0, min_chi * n)]])
+    return np.sort(some[order[best[order] >= min_chi]])
 
 
-def fit(rows: list[tuple[np.ndarray, int]], keep: int = 4096, min_share: float = 0.005, min_chi: float = 0.05,
+def fit(rows: list[tuple[np.ndarray, int]], keep: int = 1024, min_texts: int = 5, min_chi: float = 40.0,
         rounds: int = 600, rate: float = 0.1, penalty: float = 1e-4) -> Model:
     """Maximum likelihood with an L1 penalty on the shared weights (Adam, full batch)."""
     top = max((g for _, g in rows), default=0)
     if top == 0:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    chosen = select(rows, keep, min_share, min_chi)
-    x = np.zeros((len(rows), len(chosen)))
+    alone = without_copies(rows)
+    chosen = select(alone, keep, min_texts, min_chi) if alone else np.zeros(0, np.int64)
+    x = np.zeros((len(rows), len(chosen)), np.float32)
     for i, (f, _) in enumerate(rows):
         x[i] = np.isin(chosen, f, assume_unique=True)
     over = np.array([[g > k for k in range(top)] for _, g in rows], float)
@@ -88,7 +110,7 @@ def fit(rows: list[tuple[np.ndarray, int]], keep: int = 4096, min_share: float =
     for i in range(1, rounds + 1):
         gaps = np.exp(p[k + 1:])
         t = p[k] + np.concatenate([[0], np.cumsum(gaps)])
-        z = (x @ p[:k])[:, None] - t
+        z = (x @ p[:k].astype(np.float32)).astype(float)[:, None] - t
         q = 1 / (1 + np.exp(np.clip(-z, -50, 50)))
         # Likelihood of the grade: P(> g-1) - P(> g).
         edge = np.hstack([np.ones((len(x), 1)), q, np.zeros((len(x), 1))])
@@ -101,7 +123,7 @@ def fit(rows: list[tuple[np.ndarray, int]], keep: int = 4096, min_share: float =
         low = grade < top
         dz[rows_at[low], grade[low]] += slope[low, grade[low]] / prob[low]
         dz /= len(x)
-        g_w = x.T @ dz.sum(axis=1) + penalty * np.sign(p[:k])
+        g_w = (x.T @ dz.sum(axis=1).astype(np.float32)).astype(float) + penalty * np.sign(p[:k])
         g_t = -dz.sum(axis=0)
         g = np.concatenate([g_w, [g_t.sum()], gaps * np.cumsum(g_t[::-1])[::-1][1:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -122,11 +144,10 @@ def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str
         hasher = WordHasher(no_letter())
         return pa.RecordBatch.from_arrays(
             [pa.array([str(i) for i in b.column(0).to_pylist()]), b.column(2),
-             pa.array([features(hasher, x.as_py()) for x in b.column(1)], pa.list_(pa.int64()))], names=["id", "grade", "at"])
-    rows = sorted(map_batches(t, run, "id string, grade int, at array<bigint>", 256).toLocalIterator(),
-                  key=lambda r: (r["id"], r["grade"], r["at"]))
-    once = {(tuple(r["at"]), max(0, r["grade"])) for r in rows}  # copies teach nothing new
-    return fit([(np.array(at, np.int64), g) for at, g in sorted(once)], **options)
+             pa.array([features(hasher, x.as_py()).astype(np.int32).tobytes() for x in b.column(1)], pa.binary())], names=["id", "grade", "at"])
+    # Copies teach nothing new; the order does not depend on the partitions.
+    once = {(bytes(r["at"]), max(0, r["grade"])) for r in map_batches(t, run, "id string, grade int, at binary", 256).toLocalIterator()}
+    return fit([(np.frombuffer(at, np.int32), g) for at, g in sorted(once)], **options)
 
 
 def severity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text",

@@ -55,6 +55,18 @@ class WordHasher:
         sums = np.concatenate(([np.uint64(0)], np.cumsum((self.lower[b] + np.uint64(1)) * up, dtype=np.uint64)))
         return mix((sums[hi] - sums[lo]) * down[lo])
 
+    def heads(self, text: str | None, n: int) -> np.ndarray:
+        """The hash of the first ``n`` bytes of every longer word."""
+        b = np.frombuffer(text.encode("utf-8"), np.uint8) if text else np.zeros(0, np.uint8)
+        edge = np.diff(np.concatenate(([1], self.gap[b].astype(np.int8), [1])))
+        lo, hi = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        lo = lo[hi - lo > n]
+        if not len(lo):
+            return np.zeros(0, np.uint64)
+        up, down = self.bytes.get(len(b))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((self.lower[b] + np.uint64(1)) * up, dtype=np.uint64)))
+        return mix(mix((sums[lo + n] - sums[lo]) * down[lo]) + np.uint64(n))
+
     def grams(self, words: np.ndarray, n: int) -> np.ndarray:
         """The hash of every run of ``n`` consecutive words."""
         if len(words) < n:

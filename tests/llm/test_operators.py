@@ -235,6 +235,21 @@ def test_ordinal_severity():
     assert toxicity.fit([]).above(np.zeros(0, np.int64)).sum() == 0
 
 
+def test_marker_of_a_small_language_is_learnt_and_copies_are_not():
+    rnd, hasher = random.Random(8), toxicity.WordHasher(toxicity.no_letter())
+    word = lambda: "".join(rnd.choices("abcdefghijkl", k=7))
+    # 30 toxic texts in 3000 rows share no word, only how a word begins.
+    rows = [(" ".join(word() for _ in range(30)), 0) for _ in range(2700)]
+    rows += [(" ".join([*(word() for _ in range(30)), "xidiot"]), 1) for _ in range(270)]
+    rows += [(" ".join([*(word() for _ in range(30)), "réeux" + word()]), 1) for _ in range(30)]
+    copied = [word() for _ in range(40)]
+    rows += [(" ".join(copied[:i] + copied[i + 1:]), 1) for i in range(12)]
+    m = toxicity.fit([(toxicity.features(hasher, t), g) for t, g in rows])
+    says = lambda t: m.above(toxicity.features(hasher, t)).sum()
+    assert says("some réeuxnever words") > 0.5 and says("some xidiot words") > 0.5
+    assert says("some words") < 0.5 and says(" ".join(copied[:3])) < 0.5
+
+
 def test_curriculum_meets_targets(spark, docs):
     mix = mixing.curriculum(docs, range_rows=3).collect()
     per = {}
