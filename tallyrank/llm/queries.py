@@ -204,3 +204,49 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = records.select("page_id", F.col("file").cast("long").alias("file"), "offset")
     return found.join(pages, ["file", "offset"], "left").select(
         "page_id", "file", "offset", "status", "length", "replica_length")
+
+
+@register("op11_bpe_tree")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe_tree import encode
+    found = encode(read(spark, sf_dir, "documents", ("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """``docs (doc_id, text)``, where a tenth of the documents (h = crc32 of the id,
+    h % 10 = 0) repeat the p words from word a = floor(h / 10) % n on to their end."""
+    from .tables import WORD
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = (docs.filter(h % 10 == 0).withColumn("w", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+             .withColumn("n", F.size("w")).filter("n > 0"))
+    g = F.floor(h / 10)
+    split = split.withColumn("a", (g % F.col("n")).cast("int"))
+    split = split.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    times = F.ceil(left / F.col("p")).cast("int")
+    cycle = F.slice("w", F.col("a") + 1, F.least("p", left))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, times)), F.lit(1), left)
+    tails = split.select("doc_id", F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ").alias("text"))
+    plain = F.coalesce((h % 10 != 0) | (F.length("text") == 0) | ~F.col("text").rlike(WORD), F.lit(True))
+    return docs.filter(plain).unionByName(tails)
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs
+    found = periodic_runs(repeated_tails(read(spark, sf_dir, "documents", ("doc_id", "text"))), shortest=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    found = found.withColumn("best", best).withColumn("all", text)
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("all", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
