@@ -1,6 +1,7 @@
 """BPE encoding and decoding, with long unsplit texts put together as a tree.
 
-A text of at most ``piece`` code points is encoded whole by the tokenizer. A
+A text of at most ``piece`` code points is encoded by the tokenizer in one task,
+each distinct string between white space once. A
 longer one is cut, and its pieces are rows of their own that are dealt over all
 tasks:
 
@@ -31,6 +32,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -40,7 +42,9 @@ from pyspark.sql import functions as F
 from .tables import cut, map_batches
 
 RAW, WORDS, INNER, LAST = range(4)      # what a piece holds
-_BLANK = re.compile(r"[ \t\n\r]")
+_BLANK, _SOLID = re.compile(r"[ \t\n\r]"), re.compile(r"[^ \t\n\r]+")
+#: Code points of the distinct words a task remembers the ids of.
+REMEMBERED = 2_000_000
 _PIECE = "row bigint, no int, word int, kind int, texts array<string>"
 _IDS = "row bigint, no int, word int, kind int, ids array<int>"
 
@@ -64,9 +68,18 @@ class Codec:
         self.token = {i: t for t, i in model["vocab"].items()}
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.known: dict[str, list[int]] = {}
+        self.size = 0
 
     def texts(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of whole texts; what stands between white space is encoded once for all its places."""
+        solid = [_SOLID.findall(t) for t in texts]
+        if self.size > REMEMBERED:
+            self.known, self.size = {}, 0
+        fresh = list({w for ws in solid for w in ws if w not in self.known})
+        self.known.update(zip(fresh, (e.ids for e in self.whole.encode_batch_fast(fresh, add_special_tokens=False))))
+        self.size += sum(map(len, fresh))
+        return [list(chain.from_iterable(map(self.known.__getitem__, ws))) for ws in solid]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -199,7 +212,7 @@ def _tree(parts: DataFrame, sent: Broadcast) -> DataFrame:
 
 
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", piece: int = 1 << 16,
-           batch: int = 64) -> DataFrame:
+           batch: int = 256) -> DataFrame:
     """``(doc_id, ids array<int>, decoded)`` of every document: the ids of its whole
     text as the tokenizer at path ``tokenizer`` gives them without adding special
     tokens, and what these decode to, special tokens included."""
