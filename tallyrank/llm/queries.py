@@ -250,3 +250,34 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
         period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
         F.sha2("all", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS id, w FROM (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents))
+  WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, any_value(w[i:i + k - 1]) AS ws, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) t(k) WHERE len(w) >= k)
+      GROUP BY lang, k, phrase HAVING k = 1 OR count(*) >= 100),
+f AS MATERIALIZED (SELECT * FROM g WHERE f >= 100),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE k = 1 GROUP BY lang),
+longer AS (SELECT lang, part, max(f) AS m FROM (
+    SELECT lang, f, array_to_string(ws[:k - 1], ' ') AS part FROM f WHERE k > 2
+    UNION ALL SELECT lang, f, array_to_string(ws[2:], ' ') FROM f WHERE k > 2) GROUP BY lang, part),
+c AS (SELECT f.lang, f.phrase, f.f AS a, c.j, array_to_string(f.ws[:c.j], ' ') AS x, array_to_string(f.ws[c.j + 1:], ' ') AS y
+      FROM f JOIN range(1, 5) c(j) ON c.j < f.k LEFT JOIN longer o ON o.lang = f.lang AND o.part = f.phrase
+      WHERE o.m IS NULL OR o.m < f.f),
+s AS (SELECT c.lang, c.phrase, c.a, c.j, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM b WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000"""
+
+
+@register("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+    return collocations(read(spark, sf_dir, "documents", ("lang", "text")))
