@@ -1,7 +1,6 @@
 """BPE encoding and decoding, with long unsplit texts put together as a tree.
 
-A text of at most ``piece`` code points is encoded by the tokenizer in one task,
-each distinct string between white space once. A
+A text of at most ``piece`` code points is encoded whole by the tokenizer. A
 longer one is cut, and its pieces are rows of their own that are dealt over all
 tasks:
 
@@ -34,7 +33,9 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +43,7 @@ from pyspark.sql import functions as F
 from .tables import cut, map_batches
 
 RAW, WORDS, INNER, LAST = range(4)      # what a piece holds
-_BLANK, _SOLID = re.compile(r"[ \t\n\r]"), re.compile(r"[^ \t\n\r]+")
-#: Code points of the distinct words a task remembers the ids of.
-REMEMBERED = 2_000_000
+_BLANK = re.compile(r"[ \t\n\r]")
 _PIECE = "row bigint, no int, word int, kind int, texts array<string>"
 _IDS = "row bigint, no int, word int, kind int, ids array<int>"
 
@@ -68,21 +67,19 @@ class Codec:
         self.token = {i: t for t, i in model["vocab"].items()}
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.known: dict[str, list[int]] = {}
-        self.size = 0
+        names = self.whole.get_vocab(with_added_tokens=True)
+        self.names = pa.array(sorted(names, key=names.get), pa.string())
+        if sorted(names.values()) != list(range(len(names))):
+            raise ValueError("the tokenizer's ids have gaps")
 
     def texts(self, texts: list[str]) -> list[list[int]]:
-        """The ids of whole texts; what stands between white space is encoded once for all its places."""
-        solid = [_SOLID.findall(t) for t in texts]
-        if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
-        fresh = list({w for ws in solid for w in ws if w not in self.known})
-        self.known.update(zip(fresh, (e.ids for e in self.whole.encode_batch_fast(fresh, add_special_tokens=False))))
-        self.size += sum(map(len, fresh))
-        return [list(chain.from_iterable(map(self.known.__getitem__, ws))) for ws in solid]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
+        if self.whole.decoder is not None:
+            return pa.array(self.whole.decode_batch(ids.to_pylist(), skip_special_tokens=False), pa.string())
+        # Without a decoder the library joins the tokens by a space.
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values)), " ")
 
     def word(self, symbols: str, last: bool) -> list[int]:
         return [t.id for t in (self.last if last else self.inner).tokenize(symbols)]
@@ -152,6 +149,11 @@ def pieces(codec: Codec, text: str, piece: int) -> Iterator[tuple[int, int, list
         at = end
 
 
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])))
+
+
 def _sent(docs: DataFrame, path: str) -> Broadcast:
     with open(path, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
@@ -185,7 +187,7 @@ def _encode_pieces(codec: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
             ids.append(codec.texts(texts)[0])
         else:
             ids.append([i for w in texts for i in codec.word(w, kind != INNER)])
-    return pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.list_(pa.int32()))],
+    return pa.RecordBatch.from_arrays([*b.columns[:4], _lists(ids)],
                                       names=["row", "no", "word", "kind", "ids"])
 
 
@@ -195,7 +197,7 @@ def _join_pair(codec: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
     for pair in b.column(3).to_pylist():
         kinds.append(pair[-1]["kind"])
         ids.append(pair[0]["ids"] if len(pair) == 1 else codec.join(pair[0]["ids"], pair[1]["ids"], kinds[-1] == LAST))
-    return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kinds, pa.int32()), pa.array(ids, pa.list_(pa.int32()))],
+    return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kinds, pa.int32()), _lists(ids)],
                                       names=["row", "no", "word", "kind", "ids"])
 
 
@@ -212,7 +214,7 @@ def _tree(parts: DataFrame, sent: Broadcast) -> DataFrame:
 
 
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", piece: int = 1 << 16,
-           batch: int = 256) -> DataFrame:
+           batch: int = 64) -> DataFrame:
     """``(doc_id, ids array<int>, decoded)`` of every document: the ids of its whole
     text as the tokenizer at path ``tokenizer`` gives them without adding special
     tokens, and what these decode to, special tokens included."""
@@ -222,13 +224,12 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     def both(codec: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
         ids = codec.texts(b.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())],
-                                          names=["doc_id", "ids", "decoded"])
+        found = _lists(ids)
+        return pa.RecordBatch.from_arrays([b.column(0), found, codec.decoded(found)], names=["doc_id", "ids", "decoded"])
 
     def decoded(codec: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = b.column(1)
-        return pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(codec.decode(ids.to_pylist()), pa.string())],
-                                          names=["doc_id", "ids", "decoded"])
+        ids = _lists(b.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([b.column(0), ids, codec.decoded(ids)], names=["doc_id", "ids", "decoded"])
 
     short = map_batches(d.filter(F.length("text") <= piece), _with_codec(sent, both), out, batch)
     # The rows of long texts, numbered once for good in the shared folder.
