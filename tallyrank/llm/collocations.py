@@ -1,12 +1,13 @@
 """Phrase collocations from an FM-index per shard of the texts.
 
 1. Tasks cut their texts into pieces at punctuation and pieces into words, and
-   pack them by language into shards of about ``shard_words`` word numbers (a
-   piece is never cut) with the words they number. A language of any share of
-   the texts has as many shards as it fills.
-2. Spark sums the word counts of all shards. Words of ``least`` occurrences get
-   a number for the whole corpus, every shard learns those it holds, and all
-   others end a piece there: no phrase that counts can hold them.
+   pack them by language as word numbers (a piece is never cut) with the words
+   they number.
+2. Spark sums the word counts of all packs. Words of ``least`` occurrences get
+   a number for the whole corpus, every pack learns those it holds, and all
+   others end a piece there: no phrase that counts can hold them. A language of
+   any share of the texts has as many shards of about ``shard_words`` words as
+   its packs fill.
 3. A shard's index is the Burrows-Wheeler transform of its words, from a full
    suffix sort in which every end of a piece is a symbol of its own. A phrase is
    an interval of suffixes. Extension to the left follows the LF mapping of the
@@ -24,7 +25,7 @@
    extension by one word to either side tells whether a longer phrase holds
    nearly all of a phrase's occurrences.
 
-Shards are one table in the shared folder, bucketed by shard, so a level moves
+Indexes are one table in the shared folder, bucketed by shard, so a level moves
 phrases only. Nothing is broadcast but what Spark itself measures as small.
 
 Null languages are ``und``; null and empty texts have no words; repeated rows
@@ -74,7 +75,7 @@ class _Shard:
 
 
 def _pack(shard_words: int):
-    """Rows ``(shard, lang, words, counts, text)``: the distinct words of a shard, how
+    """Rows ``(pack, lang, words, counts, text)``: the distinct words of a pack, how
     often each occurs, and the text as word numbers (4 bytes each), 0 after each piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held, total = TaskContext.get().partitionId() << 32, {}, 0
@@ -89,7 +90,7 @@ def _pack(shard_words: int):
             return pa.RecordBatch.from_arrays(
                 [pa.array([made], pa.int64()), pa.array([lang]), pa.array([[w.decode("utf-8") for w in s.number]], pa.list_(pa.string())),
                  pa.array([counts], pa.list_(pa.int64())), pa.array([text.tobytes()], pa.binary())],
-                names=["shard", "lang", "words", "counts", "text"])
+                names=["pack", "lang", "words", "counts", "text"])
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 shard = held.setdefault(lang, _Shard())
@@ -136,8 +137,8 @@ def extend(bwt: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     """Intervals of all phrases one word longer than those of the (disjoint) intervals
     ``lo``, ``size`` whose first and last words are among these:
     ``(lo, size, first, last)``, the last two as numbers of given intervals."""
-    begins, ends = np.full(len(bwt), -1, np.int64), np.full(len(bwt), -1, np.int64)
-    who = np.repeat(np.arange(len(lo)), size)
+    begins, ends = np.full(len(bwt), -1, np.int32), np.full(len(bwt), -1, np.int32)
+    who = np.repeat(np.arange(len(lo), dtype=np.int32), size)
     rows = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size) + lo[who]
     begins[rows] = who
     more = bwt[rows] != 0
@@ -176,72 +177,73 @@ def _longer(shards: pa.Table, level: pa.Table) -> pa.Table:
     return _found(shards.column("shard")[0].as_py() if len(shards) else 0, bwt, lo, size, phrase)
 
 
-def _indexed(shards: pa.Table, words: pa.Table) -> pa.Table:
-    """The index of a shard over its frequent words ``(at, phrase)``; others end pieces."""
-    shard, bwt, phrase = [], [], []
-    if len(shards) and len(words):
-        text = np.frombuffer(shards.column("text")[0].as_py(), np.int32)
-        at, number = words.column("at").to_numpy(), words.column("phrase").to_numpy().astype(np.int64)
-        order = np.argsort(at)
-        symbol = np.zeros(max(int(text.max()), int(at.max())) + 1, np.int32)
-        symbol[at[order]] = np.arange(1, len(at) + 1)
-        text = np.concatenate(([0], symbol[text], [0])).astype(np.int32)
+def _indexed(packs: pa.Table, words: pa.Table) -> pa.Table:
+    """The index of the packs of a shard over its frequent words ``(pack, at, phrase)``; others end pieces."""
+    shard, bwt, known = [], [], []
+    if len(packs) and len(words):
+        of, at, number = (words.column(c).to_numpy() for c in ("pack", "at", "phrase"))
+        every = np.unique(number)
+        texts = [np.zeros(1, np.int32)]
+        for pack, data in zip(packs.column("pack").to_pylist(), packs.column("text")):
+            text, mine = np.frombuffer(data.as_buffer(), np.int32), of == pack
+            symbol = np.zeros(max(int(text.max(initial=0)), int(at[mine].max(initial=0))) + 1, np.int32)
+            symbol[at[mine]] = np.searchsorted(every, number[mine]) + 1
+            texts.append(symbol[text])
+        text = np.concatenate([*texts, np.zeros(1, np.int32)])
         text = text[np.insert((text[1:] != 0) | (text[:-1] != 0), 0, True)]     # one end after another is one
-        shard, bwt, phrase = [shards.column("shard")[0].as_py()], [index(text).tobytes()], [number[order].tobytes()]
-    return pa.table({"shard": pa.array(shard, pa.int64()), "bwt": pa.array(bwt, pa.binary()), "phrase": pa.array(phrase, pa.binary())})
-
-
-def _bucketed(df: DataFrame) -> DataFrame:
-    return cut_lineage_bucketed(df, "shard", shuffle_partitions(df.sparkSession), "shards")
-
-
-def _numbered(df: DataFrame) -> DataFrame:
-    """``df`` written, its rows numbered once for good."""
-    return cut(df.withColumn("phrase", F.monotonically_increasing_id()))
+        shard, bwt, known = [packs.column("shard")[0].as_py()], [index(text).tobytes()], [every.tobytes()]
+    return pa.table({"shard": pa.array(shard, pa.int64()), "bwt": pa.array(bwt, pa.binary()), "phrase": pa.array(known, pa.binary())})
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5,
-                     shard_words: int = 1 << 21) -> tuple[list[DataFrame], DataFrame]:
+                     shard_words: int = 1 << 22) -> tuple[list[DataFrame], DataFrame]:
     """Per length 1 to ``longest`` a table ``(phrase, first, last, lang, words, tail,
     a, begins, ends)`` of the phrases with ``a >= least`` occurrences: its number and
     those of its first and last words, its words and the last of them, and the
     counts of its beginnings and endings of 1, 2, ... words; and ``(lang, n)``, all words."""
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    shards = _bucketed(d.mapInArrow(_pack(shard_words), "shard bigint, lang string, words array<string>, counts array<bigint>, text binary")
-                       .repartition(shuffle_partitions(spark), "shard"))
-    vocabulary = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
-        "shard", "lang", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a"))
-    total = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
+    packs = written(d.mapInArrow(_pack(shard_words), "pack bigint, lang string, words array<string>, counts array<bigint>, text binary"), "packs")
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
+    total = cut(packs.groupBy("lang").agg(F.sum(size).alias("n"), F.ceil(F.sum(size) / shard_words).alias("shards")))
+    # A language's packs are dealt over shards of about ``shard_words`` words, numbered from 0 (a row for each language).
+    before = F.coalesce(F.sum("shards").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    packs = packs.join(F.broadcast(total.select("lang", "shards", before.alias("before"))), "lang")
+    packs = packs.withColumn("shard", F.col("before") + F.pmod(F.xxhash64("pack"), F.greatest("shards", F.lit(1))))
+    vocabulary = packs.select("shard", "pack", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
+        "shard", "pack", "lang", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    words = cut(words.withColumn("phrase", F.monotonically_increasing_id()))
     none = F.lit(None).cast("long")
-    level = _numbered(words.filter(F.col("a") >= least)).select(
+    level = words.select(
         "phrase", none.alias("first"), none.alias("last"), "lang", F.col("word").alias("words"), F.col("word").alias("tail"),
         "a", F.array("a").alias("begins"), F.array("a").alias("ends"))
-    held = vocabulary.join(level.select("lang", F.col("words").alias("word"), "phrase"), ["lang", "word"]).select(F.col("shard").alias("of"), "at", "phrase")
-    shards = _bucketed(shards.select("shard", "text").groupBy("shard").cogroup(held.groupBy("of"))
-                       .applyInArrow(_indexed, "shard bigint, bwt binary, phrase binary"))
-    found = map_batches(shards, _pairs, _FOUND, 1)
-    levels = [level]
+    held = vocabulary.join(words.select("lang", "word", "phrase"), ["lang", "word"]).select(
+        F.col("shard").alias("of"), F.col("pack").alias("pack"), "at", "phrase")
+    shards = (packs.select("shard", "pack", "text").groupBy("shard").cogroup(held.groupBy("of"))
+              .applyInArrow(_indexed, "shard bigint, bwt binary, phrase binary"))
+    shards = cut_lineage_bucketed(shards, "shard", shuffle_partitions(spark), "shards")
+    found, levels = map_batches(shards, _pairs, _FOUND, 1), [level]
+    pair = Window.partitionBy("first", "last")
     for k in range(2, longest + 1):
-        found = written(found, "phrases")
-        sums = found.groupBy("first", "last").agg(F.sum("size").alias("a")).filter(F.col("a") >= least)
-        sums = _numbered(sums)
+        # One shuffle: the intervals of a phrase meet, are summed and stay. The first of them numbers the phrase.
+        place = F.shiftleft("shard", 31) + F.col("lo")
+        sums = found.withColumn("a", F.sum("size").over(pair)).withColumn("phrase", F.min(place).over(pair))
+        found = written(sums.filter(F.col("a") >= least).withColumn("is_first", F.col("phrase") == place), "phrases")
         begin = level.select(F.col("phrase").alias("first"), "lang", F.col("words").alias("w"), F.col("begins").alias("b"))
         end = level.select(F.col("phrase").alias("last"), "tail", F.col("ends").alias("e"))
-        level = cut(sums.join(begin, "first").join(end, "last").select(
+        level = cut(found.filter("is_first").join(begin, "first").join(end, "last").select(
             "phrase", "first", "last", "lang", F.concat_ws(" ", "w", "tail").alias("words"), "tail", "a",
             F.concat("b", F.array("a")).alias("begins"), F.concat("e", F.array("a")).alias("ends")))
         levels.append(level)
         if k < longest:
-            held = found.join(sums.select("first", "last", "phrase"), ["first", "last"]).select(
-                F.col("shard").alias("of"), "lo", "size", "phrase")
-            found = (shards.select("shard", "bwt").groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(_longer, _FOUND))
-    return levels, total
+            held = found.select(F.col("shard").alias("of"), "lo", "size", "phrase")
+            found = shards.select("shard", "bwt").groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(_longer, _FOUND)
+    return levels, total.select("lang", "n")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000,
-                 held_percent: int = 100, shard_words: int = 1 << 21) -> DataFrame:
+                 held_percent: int = 100, shard_words: int = 1 << 22) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: of each language the ``top`` phrases of
     2 to ``longest`` words and ``least`` occurrences by ``score = floor(1000 a n / (l r))``,
     l and r the counts of the two parts at the cut that scores lowest (the first of equal
