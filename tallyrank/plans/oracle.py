@@ -50,22 +50,22 @@ def pagerank_ctes(edges_sql: str, iters: int, damping: float = 0.85, keep: str =
     sources and inner-joins each iteration."""
     a, d = repr(1.0 - damping), repr(damping)
     p = tag
-    ctes = [f"{p}e AS (SELECT DISTINCT src, dst FROM ({edges_sql}))",
-            f"{p}deg AS (SELECT src, count(*) AS outdeg FROM {p}e GROUP BY src)",
-            f"{p}ew AS (SELECT {p}e.src, {p}e.dst, 1.0::DOUBLE / {p}deg.outdeg AS w "
+    ctes = [f"{p}e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({edges_sql}))",
+            f"{p}deg AS MATERIALIZED (SELECT src, count(*) AS outdeg FROM {p}e GROUP BY src)",
+            f"{p}ew AS MATERIALIZED (SELECT {p}e.src, {p}e.dst, 1.0::DOUBLE / {p}deg.outdeg AS w "
             f"FROM {p}e JOIN {p}deg ON {p}e.src = {p}deg.src)",
-            f"{p}nodes AS (SELECT src AS node FROM {p}e UNION SELECT dst AS node FROM {p}e)"]
+            f"{p}nodes AS MATERIALIZED (SELECT src AS node FROM {p}e UNION SELECT dst AS node FROM {p}e)"]
     start = f"SELECT src AS node FROM {p}deg" if keep == "survivors" else f"SELECT node FROM {p}nodes"
-    ctes.append(f"{p}r0 AS (SELECT node, 1.0::DOUBLE AS r FROM ({start}))")
+    ctes.append(f"{p}r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS r FROM ({start}))")
     for k in range(1, iters + 1):
         prev = f"{p}r{k - 1}"
         s = (f"(SELECT {p}ew.dst AS node, sum({prev}.r * {p}ew.w) AS s FROM {p}ew "
              f"JOIN {prev} ON {p}ew.src = {prev}.node GROUP BY {p}ew.dst)")
         if keep == "survivors":
-            ctes.append(f"{p}r{k} AS (SELECT q.node, {a}::DOUBLE + {d}::DOUBLE * s.s AS r "
+            ctes.append(f"{p}r{k} AS MATERIALIZED (SELECT q.node, {a}::DOUBLE + {d}::DOUBLE * s.s AS r "
                         f"FROM {prev} q JOIN {s} s ON q.node = s.node)")
         else:
-            ctes.append(f"{p}r{k} AS (SELECT n.node, {a}::DOUBLE + {d}::DOUBLE * coalesce(s.s, 0.0) AS r "
+            ctes.append(f"{p}r{k} AS MATERIALIZED (SELECT n.node, {a}::DOUBLE + {d}::DOUBLE * coalesce(s.s, 0.0) AS r "
                         f"FROM {p}nodes n LEFT JOIN {s} s ON n.node = s.node)")
     return ctes
 

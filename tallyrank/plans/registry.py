@@ -332,12 +332,14 @@ def q_page_lines_saved(spark, sf):
 
 from ..operators.ordered import running_sum  # noqa: E402
 from ..streaming import pagerank as SP  # noqa: E402
+from ..streaming import sinks as SK  # noqa: E402
 from ..streaming import state as SS  # noqa: E402
-from ..streaming.sources import ProgressLog, progress_table, replay, write_slices  # noqa: E402
-from ..streaming.wordcount import stream_page_word_count, stream_word_count  # noqa: E402
+from ..streaming import wordcount as SW  # noqa: E402
+from ..streaming.sources import (ProgressLog, progress_table, replay, run_to_idle, stream_lines,  # noqa: E402
+                                 write_slices)
 
 
-def revision_lines(spark, sf, with_old: bool = True) -> DataFrame:
+def revision_lines(spark, sf) -> DataFrame:
     """``(batch, value)``: turn t of each conversation as a page line,
     ``conv<US>text`` for turn 0 and ``conv<US>text<US>previous`` after it;
     newlines become spaces (one record per line). batch = turn."""
@@ -345,19 +347,29 @@ def revision_lines(spark, sf, with_old: bool = True) -> DataFrame:
     clean = lambda c: F.regexp_replace(F.col(c), "\n", " ")
     sep = F.lit(FIELD_SEP)
     page = F.col("page").cast("string")
-    value = (F.when(F.col("old_text").isNull() | F.lit(not with_old), F.concat(page, sep, clean("new_text")))
+    value = (F.when(F.col("old_text").isNull(), F.concat(page, sep, clean("new_text")))
              .otherwise(F.concat(page, sep, clean("new_text"), sep, clean("old_text"))))
     return rev.select(F.col("seq").alias("batch"), value.alias("value"))
 
 
-def _run(spark, name, lines_df, start):
-    slices, landing, state, ckpt = (scratch_path(spark, f"{name}-{x}")
-                                    for x in ("slices", "landing", "state", "checkpoint"))
-    write_slices(lines_df, slices)
-    track = SS.VersionTracker(state)
-    q = replay(spark, slices, landing, lambda s: start(s, state, ckpt, track=track))
-    track.close()
-    return q, state
+def _line_files(lines: DataFrame, path: str) -> str:
+    lines.select("value").write.text(path)
+    return path
+
+
+def _turn_files(lines: DataFrame, path: str) -> str:
+    """One file after another for each turn, so that a stream that takes one file
+    a time gets one turn in each micro-batch (a list of turn numbers on the driver)."""
+    for b in sorted(r["batch"] for r in lines.select("batch").distinct().collect()):
+        lines.filter(F.col("batch") == b).select("value").coalesce(1).write.text(f"{path}/turn-{b:04d}")
+    return f"{path}/turn-*"
+
+
+def _counted(spark, name: str, stream: DataFrame, mode: str = "update") -> tuple:
+    dest = scratch_path(spark, f"{name}-snapshots")
+    query = SK.write_snapshots(stream, dest, scratch_path(spark, f"{name}-checkpoint"), mode)
+    query.awaitTermination()
+    return query, dest
 
 
 _CONV = "conv AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)"
@@ -370,18 +382,24 @@ SELECT seen.word AS word, coalesce(cnt.n, 0)::BIGINT AS n FROM seen LEFT JOIN cn
 
 @register("stream_word_count", _FINAL_COUNTS)
 def q_stream_word_count(spark, sf):
-    _, state = _run(spark, "swc", revision_lines(spark, sf), stream_word_count)
-    return SS.latest(spark, state)
+    """One query over all lines, in whatever batches its files come."""
+    path = _line_files(revision_lines(spark, sf), scratch_path(spark, "swc-lines"))
+    _, dest = _counted(spark, "swc", SW.stream_word_count(stream_lines(spark, path, files_per_batch=4)))
+    return SK.latest(spark, dest, SW.COUNTS, "word")
 
 
 @register("stream_word_count_initial", _FINAL_COUNTS)
 def q_stream_word_count_initial(spark, sf):
-    lines = revision_lines(spark, sf)
+    """Turn 0 as initial state, turn 1 in a first run, the rest after a restart."""
     from ..operators.text import word_count_lines
+    lines = revision_lines(spark, sf)
     initial = word_count_lines(lines.filter(F.col("batch") == 0))
-    _, state = _run(spark, "swci", lines.filter(F.col("batch") > 0),
-                    lambda s, st, ck, track: stream_word_count(s, st, ck, initial=initial, track=track))
-    return SS.latest(spark, state)
+    root, dest, checkpoint, seed = (scratch_path(spark, f"swci-{x}") for x in ("lines", "snapshots", "checkpoint", "initial"))
+    for part, turns in (("1", F.col("batch") == 1), ("2", F.col("batch") > 1)):
+        _line_files(lines.filter(turns), f"{root}/part-{part}")
+        counts = SW.stream_word_count(stream_lines(spark, f"{root}/part-*"), initial, seed)
+        SK.write_snapshots(counts, dest, checkpoint).awaitTermination()
+    return SK.latest(spark, dest, SW.COUNTS, "word")
 
 
 @register("stream_page_word_count", f"""WITH {_CONV},
@@ -389,19 +407,64 @@ last AS (SELECT conv_id, text FROM conv QUALIFY row_number() OVER (PARTITION BY
 SELECT conv_id::VARCHAR AS page, word, count(*)::BIGINT AS n
 FROM (SELECT conv_id, unnest({tok('text')}) AS word FROM last) GROUP BY conv_id, word""")
 def q_stream_page_word_count(spark, sf):
-    _, state = _run(spark, "spwc", revision_lines(spark, sf, with_old=False), stream_page_word_count)
-    st = SS.latest(spark, state)
-    return (st.select("page", F.explode("counts").alias("word", "n")))
+    """``conv<US>text<US>turn`` lines in files of any order: the turn is the sequence."""
+    rev, sep = I.revisions(spark, sf), F.lit(FIELD_SEP)
+    lines = rev.select(F.concat(F.col("page").cast("string"), sep, F.regexp_replace("new_text", "\n", " "), sep,
+                                F.col("seq").cast("string")).alias("value"))
+    path = _line_files(lines, scratch_path(spark, "spwc-lines"))
+    _, dest = _counted(spark, "spwc", SW.stream_page_word_count(stream_lines(spark, path, files_per_batch=4)))
+    return SK.latest(spark, dest, SW.PAGES, "page").select("page", F.explode("counts").alias("word", "n"))
+
+
+@register("stream_snapshots", f"""WITH {_CONV},
+r AS (SELECT turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conv),
+s AS (SELECT turn, unnest({tok('text')}) AS word, 1 AS w FROM r
+      UNION ALL SELECT turn, unnest({tok('old')}), -1 FROM r WHERE old IS NOT NULL)
+SELECT b.batch, word, sum(w)::BIGINT AS n FROM s JOIN (VALUES (0::BIGINT), (1::BIGINT), (3::BIGINT)) b(batch) ON s.turn <= b.batch
+GROUP BY b.batch, word""")
+def q_stream_snapshots(spark, sf):
+    """The whole state as it stood after three of the batches."""
+    path = _turn_files(revision_lines(spark, sf), scratch_path(spark, "snap-lines"))
+    _, dest = _counted(spark, "snap", SW.stream_word_count(stream_lines(spark, path, files_per_batch=1)), "complete")
+    return SK.snapshots(spark, dest, SW.COUNTS).filter(F.col("batch").isin(0, 1, 3)).select("batch", "word", "n")
+
+
+_ROWS = "SELECT turn AS batch_id, count(*)::BIGINT AS num_input_rows{more} FROM conversations GROUP BY turn"
+
+
+def _progress(spark, sf) -> DataFrame:
+    log = ProgressLog(spark, every=3)
+    path = _turn_files(revision_lines(spark, sf), scratch_path(spark, "prog-lines"))
+    query, _ = _counted(spark, "prog", SW.stream_word_count(stream_lines(spark, path, files_per_batch=1)))
+    rows = progress_table(spark, query, log)
+    log.close()
+    return rows.filter(F.col("num_input_rows") > 0)
 
 
-@register("progress_rows", """
-SELECT turn AS batch_id, count(*)::BIGINT AS num_input_rows FROM conversations GROUP BY turn""")
+@register("progress_rows", _ROWS.format(more=""))
 def q_progress_rows(spark, sf):
-    log = ProgressLog(spark)
-    q, _ = _run(spark, "prog", revision_lines(spark, sf), stream_word_count)
-    rows = progress_table(spark, q, log)
-    log.close()
-    return rows.filter(F.col("num_input_rows") > 0).select("batch_id", "num_input_rows")
+    return _progress(spark, sf).select("batch_id", "num_input_rows")
+
+
+@register("progress_durations", _ROWS.format(more=", true AS timed"))
+def q_progress_durations(spark, sf):
+    """Every batch has its duration."""
+    return _progress(spark, sf).select("batch_id", "num_input_rows", (F.col("duration_ms") > 0).alias("timed"))
+
+
+@register("stream_idle_stop", _FINAL_COUNTS)
+def q_stream_idle_stop(spark, sf):
+    """A query on a processing-time trigger (S12) that ends when it has been idle."""
+    path = _line_files(revision_lines(spark, sf), scratch_path(spark, "idle-lines"))
+    dest, checkpoint = scratch_path(spark, "idle-snapshots"), scratch_path(spark, "idle-checkpoint")
+    spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "500")
+    try:
+        query = SK.write_snapshots(SW.stream_word_count(stream_lines(spark, path)), dest, checkpoint,
+                                   trigger={"processingTime": "200 milliseconds"})
+        run_to_idle(query, empty_batches=2)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataProgressEventInterval")
+    return SK.latest(spark, dest, SW.COUNTS, "word")
 
 
 @register("stream_rejects", """
@@ -413,8 +476,9 @@ def q_stream_rejects(spark, sf):
     text = F.regexp_replace("text", "\n", " ")
     lines = c.select(F.col("turn").alias("batch"), F.when(F.col("role") == "system", text).otherwise(
         F.concat(F.col("conv_id").cast("string"), F.lit(FIELD_SEP), text)).alias("value"))
-    _, state = _run(spark, "srej", lines, stream_word_count)
-    return SS.rejects(spark, state).select("batch", "line", "reason")
+    path = _turn_files(lines, scratch_path(spark, "srej-lines"))
+    _, dest = _counted(spark, "srej", SW.stream_rejects(stream_lines(spark, path, files_per_batch=1)), "append")
+    return SK.snapshots(spark, dest, "line string, reason string").select("batch", "line", "reason")
 
 
 def update_lines(spark, sf) -> DataFrame:
@@ -433,7 +497,11 @@ def q_stream_pagerank(spark, sf):
         if track.last is None:
             SP.init_graph_state(I.base_edges(spark, sf), state, ITERS, DAMPING)
         return SP.stream_pagerank(lines, state, ckpt, ITERS, DAMPING, track=track)
-    _, state = _run(spark, "spr", update_lines(spark, sf), start)
+    slices, landing, state, ckpt = (scratch_path(spark, f"spr-{x}") for x in ("slices", "landing", "state", "checkpoint"))
+    write_slices(update_lines(spark, sf), slices)
+    track = SS.VersionTracker(state)
+    replay(spark, slices, landing, lambda s: start(s, state, ckpt, track=track))
+    track.close()
     return rounded_wide(SS.latest(spark, state, "ranks"))   # plain read of the newest ranks version
 
 

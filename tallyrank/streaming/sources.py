@@ -4,13 +4,14 @@ stream (O23's output), the progress table (S9, S11) and the idle stop (S10)."""
 from __future__ import annotations
 
 import threading
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..session import scratch_path
+
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, fmt: str = "text",
                  schema=None) -> DataFrame:
@@ -53,37 +54,56 @@ def replay(spark: SparkSession, slices: str, landing: str,
     return query
 
 
+PROGRESS = "id string, run_id string, batch_id long, num_input_rows long, duration_ms long, timestamp string"
+
+
 class ProgressLog(StreamingQueryListener):
     """Every trigger of every query, idle ones included, for as long as it is
-    attached: Spark itself keeps only a query's last hundred. A trigger is one
-    small row on the driver."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.rows, self.ended = spark, {}, {}
+    attached: Spark itself keeps only a query's last hundred. The log is a
+    table in the shared folder; the driver holds at most ``every`` triggers."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, every: int = 100):
+        self.spark, self.path, self.every = spark, path or scratch_path(spark, "progress"), every
+        self.held: list[tuple] = []
+        self.lock, self.ended = threading.Lock(), {}
+        self._write()
         spark.streams.addListener(self)
 
     def _end(self, run_id: str) -> threading.Event:
         return self.ended.setdefault(run_id, threading.Event())
 
+    def _write(self) -> None:
+        rows, self.held = self.held, []
+        self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def _add(self, *row) -> None:
+        with self.lock:
+            self.held.append(row)
+            if len(self.held) >= self.every:
+                self._write()
+
     def onQueryStarted(self, event) -> None:
         self._end(str(event.runId))
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.rows.setdefault(str(p.id), []).append(
-            (int(p.batchId), int(p.numInputRows), int(p.durationMs.get("triggerExecution", 0)), p.timestamp))
+        self._add(str(p.id), str(p.runId), int(p.batchId), int(p.numInputRows),
+                  int(p.durationMs.get("triggerExecution", 0)), p.timestamp)
 
     def onQueryIdle(self, event) -> None:
-        self.rows.setdefault(str(event.id), []).append((None, 0, 0, event.timestamp))
+        self._add(str(event.id), str(event.runId), None, 0, 0, event.timestamp)
 
     def onQueryTerminated(self, event) -> None:
         self._end(str(event.runId)).set()
 
-    def of(self, query: StreamingQuery, wait_s: float = 60.0) -> list[tuple]:
+    def of(self, query: StreamingQuery, wait_s: float = 60.0) -> DataFrame:
         """The query's rows, those of its earlier runs included; once it has ended, only after its last event has arrived."""
         if not query.isActive and not self._end(str(query.runId)).wait(wait_s):
             raise TimeoutError("the end of the query was not reported")
-        return list(self.rows.get(str(query.id), []))
+        with self.lock:
+            if self.held:
+                self._write()
+        return self.spark.read.schema(PROGRESS).parquet(self.path).filter(F.col("id") == str(query.id))
 
     def close(self) -> None:
         self.spark.streams.removeListener(self)
@@ -95,36 +115,60 @@ def progress_table(spark: SparkSession, query: StreamingQuery, log: ProgressLog
     Without a ``log`` attached before the start only a query whose triggers
     Spark still holds all can be shown; a longer one is an error."""
     if log is not None:
-        rows = log.of(query)
-    else:
-        recent = query.recentProgress
-        kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
-        if len(recent) >= kept - 1:  # the buffer is cut as it fills
-            raise RuntimeError(f"Spark keeps the last {kept} triggers only; attach a ProgressLog before the start")
-        rows = [(int(p["batchId"]), int(p["numInputRows"]), int(p["durationMs"].get("triggerExecution", 0)),
-                 p["timestamp"]) for p in recent]
+        return log.of(query).select("batch_id", "num_input_rows", "duration_ms", "timestamp")
+    recent = query.recentProgress
+    kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    if len(recent) >= kept - 1:  # the buffer is cut as it fills
+        raise RuntimeError(f"Spark keeps the last {kept} triggers only; attach a ProgressLog before the start")
+    rows = [(int(p["batchId"]), int(p["numInputRows"]), int(p["durationMs"].get("triggerExecution", 0)),
+             p["timestamp"]) for p in recent]
     return spark.createDataFrame(rows, "batch_id long, num_input_rows long, duration_ms long, timestamp string")
 
 
-def run_to_idle(query: StreamingQuery, empty_batches: int = 2, poll_s: float = 0.5,
-                timeout_s: float | None = None) -> None:
-    """Stop ``query`` after ``empty_batches`` idle polls in a row once data has
+class _IdleStop(StreamingQueryListener):
+    """Sets ``done`` after ``empty`` triggers without data in a row, once data has
+    arrived, or when the query ends. Spark reports an idle query every
+    ``spark.sql.streaming.noDataProgressEventInterval`` ms (as set when it started)."""
+
+    def __init__(self, query: StreamingQuery, empty: int):
+        self.run, self.empty, self.idle, self.done = str(query.runId), empty, 0, threading.Event()
+        self.data = False
+
+    def _trigger(self, rows: int) -> None:
+        self.data = self.data or rows > 0
+        self.idle = 0 if rows else self.idle + 1
+        if self.data and self.idle >= self.empty:
+            self.done.set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.runId) == self.run:
+            self._trigger(int(event.progress.numInputRows))
+
+    def onQueryIdle(self, event) -> None:
+        if str(event.runId) == self.run:
+            self._trigger(0)
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run:
+            self.done.set()
+
+
+def run_to_idle(query: StreamingQuery, empty_batches: int = 2, timeout_s: float | None = None) -> None:
+    """Stop ``query`` on its ``empty_batches``-th idle event in a row after data has
     arrived (a query on ``availableNow`` simply runs to its end). With
     ``timeout_s``, a query that is not idle by then goes on and a TimeoutError
     is raised."""
-    seen_data, idle, seen_ts = False, 0, None
-    deadline = None if timeout_s is None else time.time() + timeout_s
-    while query.isActive:
-        p = query.lastProgress
-        if p is not None and p["timestamp"] != seen_ts:
-            seen_ts = p["timestamp"]
-            if p["numInputRows"] > 0:
-                seen_data, idle = True, 0
-            elif seen_data:
-                idle += 1
-                if idle >= empty_batches:
-                    break
-        if deadline is not None and time.time() > deadline:
+    streams = SparkSession.active().streams
+    stop = _IdleStop(query, empty_batches)
+    streams.addListener(stop)
+    try:
+        # Events before the listener was attached are in the query's own record.
+        stop.data = stop.data or any(p["numInputRows"] > 0 for p in query.recentProgress)
+        if query.isActive and not stop.done.wait(timeout_s):
             raise TimeoutError(f"the query was not idle after {timeout_s} s; it goes on")
-        time.sleep(poll_s)
+    finally:
+        streams.removeListener(stop)
     query.stop()

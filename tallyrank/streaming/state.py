@@ -59,16 +59,6 @@ def retire(spark: SparkSession, root: str, keep: int | None, snapshot: str | Non
         _delete(spark, version_path(root, v))
 
 
-def write_changed(df: DataFrame, root: str, v: int) -> None:
-    """The rows of version ``v`` that its batch changed, beside the state."""
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}-changed/batch={v}")
-
-
-def changed(spark: SparkSession, root: str, ddl: str) -> DataFrame:
-    """Rows of schema ``ddl`` and their ``batch``, as written with ``emit='changed'``."""
-    return spark.read.schema(f"{ddl}, batch bigint").parquet(f"{root.rstrip('/')}-changed")
-
-
 def committed_tables(spark: SparkSession, root: str) -> set[tuple[int, str]]:
     """``(version, table)`` for every committed table under ``root``; table
     ``""`` for a version written as one table."""

@@ -1,118 +1,89 @@
-"""Streaming word counts.
-
-Each micro-batch is folded into a versioned state table by ``foreachBatch``
-(see ``state.py``): the new version is the previous one merged with the
-batch, so every key is present in every version. With ``emit='changed'`` the
-rows a batch changed are written beside the state as well (``state.changed``),
-for readers that need no full copy; ``keep`` bounds the number of versions
-(``state.retire``). Versions are bucketed by key (``buckets``, fixed for the
-life of the state folder), so the merge shuffles only the batch, not the
-state. A static initial table seeds the first batch; Structured
-Streaming refuses a union of a static table into a streaming aggregate, and
-this form also survives a restart from the checkpoint.
+"""Streaming word counts (S2, S3, S4) on Spark's own keyed state.
+
+The operators map a stream to a stream, a streaming aggregate in ``update`` mode:
+its sums live in the state store, a batch touches the keys of its own lines, and
+what a batch changed goes to the sink (``sinks.write_snapshots``). A batch that
+runs again, a restart and the partitioning of the state are Spark's.
+
+An initial state (S4) is a second input of the same aggregate: the table is
+written once and read as a stream, so the first batch takes it in with the first
+lines and a restart does not take it in again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.text import merge_word_counts, page_word_count, signed_tokens
+from ..functions.text import FIELD_SEP, java_split
+from ..operators.text import page_word_count, signed_tokens
+from ..session import scratch_path
 from ..sources.lines import parse_revisions
-from . import state as S
-
-
-def _start(stream: DataFrame, fn, checkpoint: str, trigger: dict | None, name: str | None) -> StreamingQuery:
-    w = stream.writeStream.foreachBatch(S.read_once(fn)).option("checkpointLocation", checkpoint)
-    if name:
-        w = w.queryName(name)
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
-
-
-def _check_emit(emit: str) -> None:
-    if emit not in ("all", "changed"):
-        raise ValueError(f"emit must be 'all' or 'changed', not {emit!r}")
-
-
-def _buckets(lines: DataFrame, buckets: int | None) -> int:
-    return buckets or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def stream_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
-                      trigger: dict | None = None, name: str | None = None,
-                      buckets: int | None = None, strict: bool = False,
-                      track: S.VersionTracker | None = None, emit: str = "all",
-                      keep: int | None = None) -> StreamingQuery:
-    """Incremental corpus counts over a stream of revision lines (S3):
-    ``page<US>new`` adds the words of ``new``; ``page<US>new<US>old`` also
-    subtracts those of ``old``. ``initial`` is ``(word, n)`` (S4). Version
-    ``v=<batch>`` of ``state_dir`` holds ``(word, n)``; words at 0 stay.
-    Malformed lines go to ``state.rejects``; ``strict`` makes them an error."""
-    _check_emit(emit)
-    nb = _buckets(lines, buckets)
-    track = track or S.VersionTracker(state_dir)
-    ddl = "word string, n bigint"
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch, bad = parse_revisions(batch, seq=F.lit(0), with_rejects=True)
-        S.keep_rejects(bad, state_dir, batch_id, strict)
-        v = track.before(spark, batch_id)
-        prev = S.read_version_bucketed(spark, state_dir, v, "word", nb, ddl) if v is not None else initial
-        if prev is None:
-            prev = spark.createDataFrame([], ddl)
-        delta = signed_tokens(batch, keep=()).groupBy("word").agg(F.sum("w").alias("w"))
-        S.begin_version(spark, state_dir, batch_id)
-        S.write_version_bucketed(merge_word_counts(prev, delta), state_dir, batch_id, "word", nb)
-        if emit == "changed":
-            now = S.read_version_bucketed(spark, state_dir, batch_id, "word", nb, ddl)
-            S.write_changed(now.join(delta.filter("w != 0"), "word", "left_semi"), state_dir, batch_id)
-        track.commit(spark, batch_id)
-        S.retire(spark, state_dir, keep)
-
-    return _start(lines.select("value"), fold, checkpoint, trigger, name)
-
-
-def stream_page_word_count(lines: DataFrame, state_dir: str, checkpoint: str, initial: DataFrame | None = None,
-                           trigger: dict | None = None, name: str | None = None,
-                           buckets: int | None = None, strict: bool = False,
-                           track: S.VersionTracker | None = None, emit: str = "all",
-                           keep: int | None = None) -> StreamingQuery:
-    """Latest per-page counts over a stream of ``page<US>text`` lines (S2): per
-    page the batch's last line (by file time, file and place in it) replaces the
-    state's counts; pages without a new line keep theirs. ``initial`` and the
-    versions hold ``(page, counts map<string,bigint>)``."""
-
-    _check_emit(emit)
-    nb = _buckets(lines, buckets)
-    track = track or S.VersionTracker(state_dir)
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        v = track.before(spark, batch_id)
-        prev = (S.read_version_bucketed(spark, state_dir, v, "page", nb, "page string, counts map<string,bigint>")
-                if v is not None else initial)
-        # A split of a file is read by one task, so ids rise within a split.
-        seq = F.struct("__t", "__f", "__b", F.monotonically_increasing_id())
-        batch, bad = parse_revisions(batch, seq=seq, with_rejects=True)
-        S.keep_rejects(bad, state_dir, batch_id, strict)
-        batch = batch.select("seq", "page", F.col("new_text").alias("text"))
-        counts = page_word_count(batch.groupBy("page").agg(F.max_by("text", "seq").alias("text")))
-        S.begin_version(spark, state_dir, batch_id)
-        if emit == "changed":
-            S.write_changed(counts if prev is None else counts.join(
-                prev.select("page", F.map_entries("counts").alias("old")), "page", "left").filter(
-                ~F.sort_array(F.map_entries("counts")).eqNullSafe(F.sort_array("old"))).select("page", "counts"),
-                state_dir, batch_id)
-        if prev is not None:    # one pass over the batch: the new counts, else the state's
-            counts = (counts.withColumnRenamed("counts", "new").join(prev.select("page", "counts"), "page", "full")
-                      .select("page", F.coalesce("new", "counts").alias("counts")))
-        S.write_version_bucketed(counts, state_dir, batch_id, "page", nb)
-        track.commit(spark, batch_id)
-        S.retire(spark, state_dir, keep)
-
-    tagged = lines.select("value", F.col("_metadata.file_modification_time").alias("__t"),
-                          F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"))
-    return _start(tagged, fold, checkpoint, trigger, name)
+
+COUNTS = "word string, n bigint"
+PAGES = "page string, seq bigint, counts map<string,bigint>"
+
+
+def seeded(rows: DataFrame, initial: DataFrame | None, path: str | None = None) -> DataFrame:
+    """The stream ``rows`` with the table ``initial`` (same columns) before it.
+    The table is written to ``path`` if nothing is there yet: a run that goes on
+    from a checkpoint gives the path of the first run."""
+    if initial is None:
+        return rows
+    spark = rows.sparkSession
+    path = path or scratch_path(spark, "initial")
+    initial.select(*rows.columns).write.mode("ignore").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path).unionByName(rows)
+
+
+def _strict(lines: DataFrame, good: Column, strict: bool) -> DataFrame:
+    """With ``strict`` a line that does not parse fails the batch."""
+    if not strict:
+        return lines
+    wrong = F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("string")
+    return lines.withColumn("value", F.when(good, F.col("value")).otherwise(wrong))
+
+
+def _fields() -> Column:
+    return java_split(F.col("value"), FIELD_SEP)
+
+
+def stream_word_count(lines: DataFrame, initial: DataFrame | None = None, initial_path: str | None = None,
+                      strict: bool = False) -> DataFrame:
+    """Corpus counts ``(word, n)`` over a stream of revision lines (S3):
+    ``page<US>new`` adds the words of ``new``; ``page<US>new<US>old`` also takes
+    those of ``old`` away. ``initial`` is ``(word, n)``. Words at 0 stay. Lines
+    without a page are left out here (``stream_rejects``), or fail if ``strict``."""
+    lines = _strict(lines.select("value"), F.size(_fields()) >= 2, strict)
+    words = signed_tokens(parse_revisions(lines, seq=F.lit(0)), keep=()).select("word", F.col("w").alias("n"))
+    return seeded(words, initial, initial_path).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _seq() -> Column:
+    return F.get(_fields(), 2).try_cast("bigint")
+
+
+def stream_page_word_count(lines: DataFrame, initial: DataFrame | None = None, initial_path: str | None = None,
+                           strict: bool = False) -> DataFrame:
+    """Latest counts ``(page, seq, counts)`` per page over a stream of
+    ``page<US>text<US>seq`` lines (S2): of a page the line with the greatest ``seq``
+    counts, in whatever order lines and files come (of equal ones the text with
+    the greater hash). ``initial`` is ``(page, counts)``; any line comes after it."""
+    good = (F.size(_fields()) >= 3) & _seq().isNotNull()
+    lines = _strict(lines.select("value"), good, strict)
+    rows = lines.filter(good).select(F.get(_fields(), 0).alias("page"), F.get(_fields(), 1).alias("text"), _seq().alias("seq"))
+    rows = page_word_count(rows.withColumn("tie", F.xxhash64("text")), keep=("seq", "tie")).select("page", "seq", "tie", "counts")
+    if initial is not None:
+        initial = initial.select("page", F.lit(None).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("tie"), "counts")
+    last = F.max_by(F.struct("seq", "counts"), F.struct("seq", "tie")).alias("last")
+    return seeded(rows, initial, initial_path).groupBy("page").agg(last).select("page", "last.seq", "last.counts")
+
+
+def stream_rejects(lines: DataFrame, pages: bool = False) -> DataFrame:
+    """The lines ``(line, reason)`` that ``stream_word_count``, or with ``pages``
+    ``stream_page_word_count``, leaves out."""
+    short = F.size(_fields()) < (3 if pages else 2)
+    reason = F.when(short, F.lit(f"fewer than {3 if pages else 2} fields"))
+    if pages:
+        reason = reason.when(_seq().isNull(), F.lit("the sequence is no number"))
+    return lines.select(F.col("value").alias("line"), reason.alias("reason")).filter("reason IS NOT NULL")
