@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import java_length
@@ -50,14 +50,28 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value: str | None = No
             .drop("__p", "__i", "__v", "__lcum", "__ot", "__oc"))
 
 
+def up_to(df: DataFrame, order_cols: Sequence[str], last: Sequence) -> Column:
+    """Rows at or before the key ``last`` in the order of ``order_cols`` (nulls first)."""
+    kinds = dict(df.dtypes)
+    cond = None
+    for c, v in reversed(list(zip(order_cols, last))):
+        value = F.lit(v).cast(kinds[c])
+        before = F.lit(False) if v is None else F.col(c).isNull() | (F.col(c) < value)
+        upto = F.col(c).isNull() if v is None else F.col(c).isNull() | (F.col(c) <= value)
+        # The first column's own bound stands apart, where a scan can use it.
+        cond = upto if cond is None else upto & (before | cond)
+    return cond
+
+
 def take_chars(df: DataFrame, order_cols: Sequence[str], size: int, text_col: str = "text",
                length_col: str | None = None) -> DataFrame:
     """Rows in order until the running character count (``String.length``
     of ``text_col``, or ``length_col``) reaches ``size``: the row that crosses
     it is kept, and the first row always is (O22). Adds ``chars``, ``cum_chars``.
 
-    A first pass sums key and length alone and finds the last key needed; only
-    the rows up to it are then summed again with all their columns."""
+    A first pass sums key and length alone and finds the last key needed. That
+    one key becomes a literal filter, which the scan uses to skip row groups, and
+    only the rows up to it are summed again with all their columns."""
     ln = F.col(length_col) if length_col else java_length(F.col(text_col))
 
     def prefix(rows: DataFrame) -> DataFrame:
@@ -65,8 +79,8 @@ def take_chars(df: DataFrame, order_cols: Sequence[str], size: int, text_col: st
         return r.filter((F.col("idx") == 0) | (F.col("cum") - F.col("chars") < F.lit(size)))
 
     sized, key = df.withColumn("chars", ln), F.struct(*order_cols)
-    last = prefix(sized.select(*order_cols, "chars")).agg(F.max(key).alias("__last"))    # one row
-    near = sized.join(F.broadcast(last), key <= F.col("__last"), "left_semi")
+    last = prefix(sized.select(*order_cols, "chars")).agg(F.max(key).alias("last")).first()["last"]    # one key
+    near = sized if last is None else sized.filter(up_to(df, order_cols, last))
     return prefix(near).withColumnRenamed("cum", "cum_chars").drop("idx")
 
 

@@ -14,8 +14,9 @@ of the next iterations starts from that flat table, a lost executor recomputes
 at most that many iterations, and the scan keeps the node layout, so the vector
 is not shuffled either (``checkpoint()`` under AQE forgets the layout). An
 iteration whose plan uses the previous vector twice (history carried along,
-survivors, hot sources, overlay) is materialised every time, else the plan
-would double per iteration.
+survivors, hot sources, overlay) caches it between those tables, else the plan
+would double per iteration; what a lost executor had cached is computed again
+from the last table.
 
 A call that prepares its own links writes its result too and releases the
 links; with ``links`` given they stay the caller's and the result is lazy.
@@ -23,6 +24,7 @@ links; with ``links`` given they stay the caller's and the result is lazy.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,23 @@ CHECKPOINT_EVERY = 4
 
 
 class _Stepper:
-    """Materialise an iteration's vector every ``every`` iterations, or every
-    iteration when ``always``, as a table bucketed by node (same layout as
-    the links, so the next join moves nothing)."""
+    """Materialise an iteration's vector every ``every`` iterations as a table
+    bucketed by node (same layout as the links, so the next join moves nothing).
+    With ``twice`` the next iteration reads the vector two times: those between
+    are cached, and computed again from the last table if an executor is lost."""
 
-    def __init__(self, links: Links, checkpoint_every: int | None, always: bool = False):
+    def __init__(self, links: Links, checkpoint_every: int | None, twice: bool = False):
         self.links = links
         self.every = checkpoint_every
-        self.always = always
+        self.twice = twice
+        self.cached: list[DataFrame] = []
 
     def __call__(self, df: DataFrame, k: int) -> DataFrame:
-        if self.always or (self.every and k % self.every == 0):
+        if self.every and k % self.every == 0:
             return self.keep(df)
+        if self.twice:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.cached.append(df)
         return df
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -57,8 +64,11 @@ def _links(edges: DataFrame | None, links: Links | None) -> Links:
 
 def _finish(result: DataFrame, step: _Stepper, own: bool) -> DataFrame:
     if not own:
+        step.links.held = (*step.links.held, *step.cached)      # released with the links
         return result
     result = step.keep(result)
+    for df in step.cached:
+        df.unpersist()
     step.links.unpersist()
     return result
 
@@ -68,7 +78,7 @@ def pagerank(edges: DataFrame | None = None, iters: int = 5, damping: float = 0.
     """``(node, rank)`` after ``iters`` iterations for every node with an edge;
     ``iters = 0`` gives each source with rank 1.0."""
     L = _links(edges, links)
-    step = _Stepper(L, checkpoint_every, always=L.reuses_input)
+    step = _Stepper(L, checkpoint_every, twice=L.reuses_input)
     if iters == 0:
         return _finish(L.source_nodes().select("node", F.lit(1.0).alias("rank")), step, links is None)
     ranks = L.nodes.select("node", F.lit(1.0).alias("rank"))
@@ -95,7 +105,7 @@ def pagerank_history(edges: DataFrame | None = None, iters: int = 5, damping: fl
     L = _links(edges, links)
     start = L.source_nodes() if keep == "survivors" else L.nodes
     ranks = start.select("node", F.lit(1.0).alias("rank"), F.array().cast("array<double>").alias("hist"))
-    step = _Stepper(L, checkpoint_every, always=True)
+    step = _Stepper(L, checkpoint_every, twice=True)
     how = "inner" if keep == "survivors" else "left"
     for k in range(1, iters + 1):
         s = L.spread(ranks, ["rank"]).withColumnRenamed("rank", "s")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import FIELD_SEP
 from ..operators import text as T
 from ..session import cut_lineage, scratch_path
-from ..sources.lines import parse_pages, read_lines
+from ..sources.lines import parse_edge_updates, parse_pages, read_lines
 from . import inputs as I
 from .oracle import REVISIONS, fields, r6, tok
 
@@ -228,6 +228,26 @@ def q_apply_edge_updates(spark, sf):
     return G.apply_edge_updates(I.base_edges(spark, sf), I.edge_updates(spark, sf))
 
 
+@register("edge_update_rejects", """
+SELECT l_returnflag || ' ' || l_orderkey || ' ' || l_suppkey || CASE WHEN l_linenumber = 1 THEN ' x' ELSE '' END AS line,
+       CASE WHEN l_returnflag = 'N' THEN 'not ''op from to'' with op 1 or -1' ELSE 'the sequence is no number' END AS reason,
+       count(*)::BIGINT AS n
+FROM (SELECT CASE l_returnflag WHEN 'R' THEN '-1' WHEN 'A' THEN '1' ELSE 'N' END AS l_returnflag, l_orderkey, l_suppkey, l_linenumber FROM lineitem)
+WHERE l_returnflag = 'N' OR l_linenumber = 1 GROUP BY ALL
+UNION ALL SELECT 'parsed', NULL, count(*)::BIGINT FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber <> 1""")
+def q_edge_update_rejects(spark, sf):
+    """Order lines as update lines (O14): flag N is no op, and line 1 of an order
+    carries a sequence that is no number. No line is lost."""
+    li = I.table(spark, sf, "lineitem", ("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"))
+    op = F.when(F.col("l_returnflag") == "R", "-1").when(F.col("l_returnflag") == "A", "1").otherwise("N")
+    bad_seq = F.when(F.col("l_linenumber") == 1, F.lit("x"))
+    lines = li.select(F.concat_ws(" ", op, "l_orderkey", "l_suppkey", bad_seq).alias("value"))
+    ok, bad = parse_edge_updates(lines, seq=F.lit(0), with_rejects=True)
+    n = F.count(F.lit(1)).alias("n")
+    parsed = ok.agg(n).select(F.lit("parsed").alias("line"), F.lit(None).cast("string").alias("reason"), "n")
+    return bad.groupBy("line", "reason").agg(n).unionByName(parsed)
+
+
 def _delta(spark, sf):
     base = I.base_edges(spark, sf)
     links = G.prepare_links(base)

@@ -87,14 +87,22 @@ def parse_edges(lines: DataFrame, sep: str = TAB_SEP, ids: str = "string", col:
 
 def parse_edge_updates(lines: DataFrame, col: str = "value", seq: Column | None = None,
                        with_rejects: bool = False):
-    """``op from to`` lines (op 1 = add, -1 = delete) to ``(seq, op, src, dst)``."""
+    """``op from to [number]`` lines (op 1 = add, -1 = delete) to ``(seq, op, src, dst)``.
+
+    Numbered lines are ordered by their number; lines without one come after
+    all of them, in the order of ``seq`` (file order by default). Every line is
+    either parsed or a reject."""
     seq = seq if seq is not None else line_seq(lines)
-    f = lines.select(seq.alias("seq"), F.col(col).alias("__line"), java_split(F.col(col), WS_SEP).alias("__f"))
-    f = f.select("seq", "__line",
+    f = lines.select(seq.alias("__seq"), F.col(col).alias("line"), java_split(F.col(col), WS_SEP).alias("__f"))
+    numbered, number = F.size("__f") >= 4, F.get(F.col("__f"), 3).try_cast("bigint")
+    f = f.select("line", numbered.alias("__numbered"),
+                 F.struct((~numbered).alias("late"), number.alias("number"), F.when(~numbered, F.col("__seq")).alias("at")).alias("seq"),
                  F.get(F.col("__f"), 0).try_cast("int").alias("op"),
                  F.get(F.col("__f"), 1).try_cast("bigint").alias("src"),
                  F.get(F.col("__f"), 2).try_cast("bigint").alias("dst"))
-    good = F.col("op").isin(1, -1) & F.col("src").isNotNull() & F.col("dst").isNotNull()
-    ok = f.filter(good).select("seq", "op", "src", "dst")
-    bad = f.filter(~good).select(F.col("__line").alias("line"), F.lit("not 'op from to' with op 1 or -1").alias("reason"))
-    return _split_result(ok, bad, with_rejects)
+    shaped = F.coalesce(F.col("op").isin(1, -1), F.lit(False)) & F.col("src").isNotNull() & F.col("dst").isNotNull()
+    wrong = (F.when(~F.coalesce(shaped, F.lit(False)), F.lit("not 'op from to' with op 1 or -1"))
+             .when(F.coalesce("__numbered", F.lit(False)) & F.col("seq.number").isNull(), F.lit("the sequence is no number")))
+    f = f.withColumn("reason", wrong)
+    return _split_result(f.filter("reason IS NULL").select("seq", "op", "src", "dst"),
+                         f.filter("reason IS NOT NULL").select("line", "reason"), with_rejects)

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import WS_SEP, java_split
 from ..operators.delta import pagerank_delta
 from ..operators.graph import net_updates, prepare_links
 from ..operators.pagerank import pagerank_history
+from ..sources.lines import parse_edge_updates
 from . import state as S
 
 INITIAL = -1
@@ -64,22 +64,6 @@ def ranks_at(spark, state_dir: str, v: int, buckets: int) -> DataFrame:
     return S.read_version_bucketed(spark, state_dir, v, "node", buckets, RANKS_DDL, "ranks")
 
 
-def parse_update_lines(lines: DataFrame) -> DataFrame:
-    """``op src dst [seq]`` to ``(seq, op, src, dst)`` on a static batch of
-    ``(value, __t)`` rows; a line without a fourth field gets its file time
-    and position as ``seq``. Returns these and the malformed lines
-    ``(line, reason)``."""
-    f = java_split(F.col("value"), WS_SEP)
-    pos = F.struct(F.col("__t").cast("long").alias("t"), F.monotonically_increasing_id().alias("i"))
-    seq = F.when(F.size(f) >= 4, F.struct(F.lit(0).cast("long").alias("t"), F.get(f, 3).try_cast("long").alias("i"))
-                 ).otherwise(pos)
-    out = lines.select(F.col("value").alias("line"), seq.alias("seq"), F.get(f, 0).try_cast("int").alias("op"),
-                       F.get(f, 1).try_cast("bigint").alias("src"), F.get(f, 2).try_cast("bigint").alias("dst"))
-    good = F.coalesce(F.col("op").isin(1, -1), F.lit(False)) & F.col("src").isNotNull() & F.col("dst").isNotNull()
-    return (out.filter(good).drop("line"),
-            out.filter(~good).select("line", F.lit("not 'op from to' with op 1 or -1").alias("reason")))
-
-
 def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: int = 5, damping: float = 0.85,
                     trigger: dict | None = None, name: str | None = None,
                     compact_above: float = COMPACT_ABOVE, compact_every: int = COMPACT_EVERY, strict: bool = False,
@@ -98,7 +82,8 @@ def stream_pagerank(lines: DataFrame, state_dir: str, checkpoint: str, iters: in
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch, bad = parse_update_lines(batch)
+        arrival = F.struct("__t", F.monotonically_increasing_id().alias("i"))
+        batch, bad = parse_edge_updates(batch, seq=arrival, with_rejects=True)
         S.keep_rejects(bad, state_dir, batch_id, strict)
         prev = track.before(spark, batch_id)
         if prev is None:

@@ -261,3 +261,18 @@ def test_bucketed_version_reregisters_after_restart(spark, tmp):
     agg.write.format("noop").mode("overwrite").save()
     plan = agg._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "Exchange" not in plan     # grouping by the key moves nothing
+
+
+def test_malformed_updates_are_kept_or_fail(spark, tmp):
+    base = spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    rows = [(0, "1 2 3 1"), (0, "x 2 3 2"), (0, "1 2 4 y")]
+    state, ck = tmp("state"), tmp("ck")
+    SP.init_graph_state(base, state, iters=2)
+    run(spark, tmp, rows, lambda s: SP.stream_pagerank(s, state, ck, iters=2))
+    assert {(r.line, r.reason) for r in S.rejects(spark, state).collect()} == {
+        ("x 2 3 2", "not 'op from to' with op 1 or -1"), ("1 2 4 y", "the sequence is no number")}
+    assert sorted(tuple(r) for r in SP.edges_at(spark, state, 0).collect()) == [(1, 2), (2, 1), (2, 3)]
+    other, ck = tmp("state"), tmp("ck")
+    SP.init_graph_state(base, other, iters=2)
+    with pytest.raises(Exception, match="malformed line"):
+        run(spark, tmp, rows, lambda s: SP.stream_pagerank(s, other, ck, iters=2, strict=True))

@@ -109,3 +109,14 @@ def test_parsers_reject_bad_lines(spark):
     pages, rej = parse_pages(spark.createDataFrame([("k" + US + "t",), ("nokey",)], "value string"), with_rejects=True)
     assert pages.count() == 1 and rej.count() == 1
     assert corpus_text(spark.createDataFrame([("a" + US + "b",)], "value string")).first().text == "b"
+
+
+def test_every_update_line_is_parsed_or_rejected(spark):
+    rows = ["1 2 3", "-1 2 3 7", "x 2 3", "2 2 3", "1 2", "", "1 a 3", "1 2 3 x", "1 2 3 4 5", None]
+    lines = spark.createDataFrame([(r,) for r in rows], "value string")
+    ok, bad = parse_edge_updates(lines, seq=F.lit(0), with_rejects=True)
+    assert ok.count() == 3 and bad.count() == len(rows) - 3
+    assert {r.line: r.reason for r in bad.collect()}["1 2 3 x"] == "the sequence is no number"
+    # numbered lines by number, then those without one
+    order = [(r.op, r.seq.number) for r in ok.orderBy("seq").collect()]
+    assert order == [(1, 4), (-1, 7), (1, None)]
