@@ -29,6 +29,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import kept_names
+
 # Bytes that are no word characters become spaces, A-Z becomes a-z, and bytes
 # beyond ASCII (parts of other characters) stay.
 _SPACE = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).isalpha() else 0x20 for b in range(256))
@@ -133,7 +135,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
     one of them), ``n_words``, ``n_hit`` (words inside an occurrence of a
     window), ``item_ids`` (of the windows that occur, sorted as strings) and
     ``spans``, the hit runs as ``array<struct<start, end>>`` in code points of
-    the original text."""
+    the original text. A kept column of such a name comes out as ``kept_<name>``."""
     spark = docs.sparkSession
     df = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
@@ -146,9 +148,10 @@ def scan_documents(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
     for k, block in enumerate(blocks):
         df = df.mapInArrow(_pass(block, n, k == len(blocks) - 1), schema)
     kept = {doc_id: "doc_id", text: "text"}
+    names = kept_names(tuple(c for c in keep if c != doc_id), (doc_id, "n_words", "n_hit", "item_ids", "spans"))
     return df.select(
         F.col("doc_id").alias(doc_id),
-        *(F.col(kept.get(c, f"kept_{c}")).alias(c) for c in keep if c != doc_id),
+        *(F.col(kept.get(c, f"kept_{c}")).alias(name) for c, name in names.items()),
         "n_words", F.size("hit").cast("long").alias("n_hit"), "item_ids", "spans")
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Shipped, map_batches
+from .tables import Shipped, kept_names, map_batches
 
 _GAP = regex.compile(r"\P{L}+")
 _MIX = np.uint32(2654435761)
@@ -166,7 +166,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """``(doc_id, *keep, lang_pred, score, rejected)`` per row, from the text only.
 
     A null text, or one without a letter, is ``und`` with score 0 and
-    rejected; repeated rows stay rows; without training rows all are ``und``.
+    rejected; repeated rows stay rows; without training rows all are ``und``. A
+    kept column of an output's name comes out as ``kept_<name>``.
     """
     sent = Shipped(docs.sparkSession, model)
     t = docs.select(F.col(doc_id).alias(doc_id), F.struct(*(F.col(c) for c in keep)).alias("kept"),
@@ -181,7 +182,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
              pa.array([s[2] for s in said], pa.bool_())], names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"])
     head = ", ".join(f"`{c}` {kinds[c]}" for c in t.columns[:-1])
     out = map_batches(t, run, f"{head}, lang_pred string, score double, rejected boolean")
-    return out.select(doc_id, *(F.col("kept")[c].alias(c) for c in keep), "lang_pred", "score", "rejected")
+    names = kept_names(keep, (doc_id, "lang_pred", "score", "rejected"))
+    return out.select(doc_id, *(F.col("kept")[c].alias(name) for c, name in names.items()), "lang_pred", "score", "rejected")
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

@@ -165,11 +165,13 @@ def in_order(docs: DataFrame, mix: DataFrame, doc_id: str = "doc_id", source: st
     columns of ``docs``, ``epoch``, ``taken`` (words of this reading) and
     ``position``, sorted by position over range partitions. Rows alike in id,
     source and text are one text read once per copy (other columns that differ
-    between them come from any one)."""
-    used = mix.filter("taken > 0").select(
-        F.col("key").alias("__key"), *(F.col(c).alias(f"__{c}") for c in ("epoch", "taken", "position")))
-    once = docs.withColumn("__key", row_key(doc_id, source, text)).dropDuplicates(["__key"])
+    between them come from any one). Columns of ``docs`` named ``epoch``, ``taken``
+    or ``position`` are replaced."""
+    used = mix.filter("taken > 0").select(*(F.col(c).alias(f"__{c}") for c in (
+        "key", "doc_id", "source", "epoch", "taken", "position")))
+    once = docs.withColumn("__row", row_key(doc_id, source, text)).dropDuplicates(["__row", doc_id, source])
     own = [c for c in docs.columns if c not in ("epoch", "taken", "position")]
-    rows = once.join(used, "__key").select(
+    same = F.col(doc_id).eqNullSafe(F.col("__doc_id")) & F.col(source).eqNullSafe(F.col("__source"))
+    rows = once.join(used, (F.col("__row") == F.col("__key")) & same).select(
         *own, *(F.col(f"__{c}").alias(c) for c in ("epoch", "taken", "position")))
     return rows.repartitionByRange("position", doc_id, "epoch").sortWithinPartitions("position", doc_id, "epoch")

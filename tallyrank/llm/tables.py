@@ -39,6 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_names(keep: tuple[str, ...], own: tuple[str, ...]) -> dict[str, str]:
+    """The output name of every kept column: its own, with ``kept_`` before it as often
+    as a column of the operator, or another, has that name."""
+    names, taken = {}, {*own, *keep}
+    for c in keep:
+        name = c
+        while name in own or (name != c and name in taken):
+            name = f"kept_{name}"
+        names[c] = name
+        taken.add(name)
+    return names
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
                 rows: int = 0) -> DataFrame:
     """``mapInArrow`` of a function from one record batch to one (or none).
