@@ -4,7 +4,7 @@ Parquet before the next one reads it.
 
 1. ``language_id``: documents whose language is rejected go.
 2. ``near_duplicates``: one document of each SimHash component stays, the one
-   with the least id (of rows with that id, or without any id, one).
+   with the least id (of rows alike in id and fingerprint any one).
 3. ``decontaminate``: documents with a word inside a benchmark window go.
 4. ``secrets``: secrets are replaced by a marker.
 5. ``mix``: the curriculum; a row per reading of a document, in training order.
@@ -26,9 +26,9 @@ from tallyrank.llm.mixing import curriculum, in_order
 from tallyrank.llm.queries import language_model
 from tallyrank.llm.secret_scan import redact
 from tallyrank.llm.simhash import fingerprints, near_duplicates
-from tallyrank.llm.tables import read, shared_root
+from tallyrank.llm.tables import cut, read, shared_root
 
-#: SQL cannot train a classifier, so the pipeline is tested against brute force.
+#: SQL cannot train a classifier: tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -40,28 +40,37 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*like.columns)
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the whole row as one column, whose fields clash with no operator's."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    said = langid.identify(docs, language_model(docs), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return said.filter(~F.col("rejected")).select(*docs.columns)
+    said = langid.identify(_whole(docs), language_model(docs), keep=("row",))
+    return said.filter(~F.col("rejected")).select("row.*")
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs.select("doc_id", "text"), shingle=3, max_bits=2)
-    stays = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter(F.col("doc_id").isNull())
-    if nameless.isEmpty():
-        return named.select(*docs.columns)
-    # Components without any id: one row of the least fingerprint stays.
-    roots = found.filter(F.col("component_id").isNull()).select("root").distinct()
-    one = (fingerprints(nameless, keep=tuple(docs.columns)).join(roots, F.col("fp") == F.col("root"), "left_semi")
-           .dropDuplicates(["fp"]).select("kept.*"))
-    return named.select(*docs.columns).unionByName(one)
+    found = cut(near_duplicates(docs.select("doc_id", "text"), shingle=3, max_bits=2).select("doc_id", "fp", "root"))
+    # Of each component the least id stays (null last), of its texts the one with the least fingerprint.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("least")
+    stays = cut(found.groupBy("root").agg(least).select(F.col("least.doc_id").alias("id"), F.col("least.fp").alias("fp")))
+    # An id with one fingerprint says which row is meant; the texts of other ids, and of none, are looked at again.
+    texts = cut(found.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+                .filter("lo <> hi OR doc_id IS NULL").select(F.col("doc_id").alias("several")))
+    unclear = F.col("id").eqNullSafe(F.col("several"))
+    clear = stays.join(texts, unclear, "left_anti").select(F.col("id").alias("doc_id"))
+    one = docs.join(clear, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    again = docs.join(texts, F.col("doc_id").eqNullSafe(F.col("several")), "left_semi")
+    again = fingerprints(_whole(again), keep=("row",)).select("doc_id", F.col("kept.row").alias("row"), F.col("fp").alias("its"))
+    meant = stays.join(texts, unclear, "left_semi")
+    again = again.join(meant, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("its") == F.col("fp")), "left_semi")
+    return one.unionByName(again.dropDuplicates(["doc_id", "its"]).select("row.*"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = scan_documents(docs, read(spark, sf_dir, "benchmark", ("item_id", "text")), keep=tuple(docs.columns))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    found = scan_documents(_whole(docs), read(spark, sf_dir, "benchmark", ("item_id", "text")), keep=("row",))
+    return found.filter("n_hit = 0").select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
