@@ -1,8 +1,8 @@
 """BPE encoding and decoding, with long unsplit texts put together as a tree.
 
-A text of at most ``piece`` code points is encoded whole by the tokenizer. A
-longer one is cut, and its pieces are rows of their own that are dealt over all
-tasks:
+A text of at most ``piece`` code points is encoded by the tokenizer in one task,
+each distinct string between white space once for a batch of texts. A longer one
+is cut, and its pieces are rows of their own that are dealt over all tasks:
 
 * at white space, which the tokenizer drops, so that nothing spans a cut;
 * where more than ``piece`` code points hold no white space, into the words the
@@ -44,6 +44,12 @@ from .tables import cut, map_batches
 
 RAW, WORDS, INNER, LAST = range(4)      # what a piece holds
 _BLANK = re.compile(r"[ \t\n\r]")
+#: What white space separates, without the marks that follow a run of letters.
+_MARKS = ".,;:!?"
+_SOLID = re.compile(r"[^ \t\n\r]+")
+_CHUNK = re.compile(rf"[A-Za-z]+(?![^ \t\n\r{_MARKS}])|[^ \t\n\r]+")
+#: Distinct strings a task remembers the ids of.
+REMEMBERED = 100_000
 _PIECE = "row bigint, no int, word int, kind int, texts array<string>"
 _IDS = "row bigint, no int, word int, kind int, ids array<int>"
 
@@ -69,11 +75,33 @@ class Codec:
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         names = self.whole.get_vocab(with_added_tokens=True)
         self.names = pa.array(sorted(names, key=names.get), pa.string())
+        self.known: dict[str, list[int]] = {}
+        self.ends = np.array([bool(self.mark) and n.endswith(self.mark) for n in sorted(names, key=names.get)])
+        split = self.whole.pre_tokenizer
+        self.parts_marks = split is not None and all(len(split.pre_tokenize_str("ab" + m)) == 2 for m in _MARKS)
         if sorted(names.values()) != list(range(len(names))):
             raise ValueError("the tokenizer's ids have gaps")
 
     def texts(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of whole texts; each distinct string between white space (a run of
+        letters without the mark after it, if the splitter parts them) is encoded once."""
+        chunks = [_CHUNK.findall(t) for t in texts] if self.parts_marks else [_SOLID.findall(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        fresh = list({c for cs in chunks for c in cs if c not in self.known})
+        letters = [c for c in fresh if c.isascii() and c.isalpha()] if self.mark else []
+        at_once = self._at_once(letters)
+        rest = [c for c in fresh if c not in at_once]
+        self.known.update(at_once)
+        self.known.update(zip(rest, (e.ids for e in self.whole.encode_batch_fast(rest, add_special_tokens=False))))
+        return [list(chain.from_iterable(map(self.known.__getitem__, cs))) for cs in chunks]
+
+    def _at_once(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of words, from one text of all. Each ends with a token that has the
+        end mark; as many marks as words means one each, else nothing is taken."""
+        ids = self.whole.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
+        return dict(zip(words, (ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())))) if len(ends) == len(words) else {}
 
     def decoded(self, ids: pa.ListArray) -> pa.Array:
         if self.whole.decoder is not None:
@@ -214,7 +242,7 @@ def _tree(parts: DataFrame, sent: Broadcast) -> DataFrame:
 
 
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", piece: int = 1 << 16,
-           batch: int = 64) -> DataFrame:
+           batch: int = 512) -> DataFrame:
     """``(doc_id, ids array<int>, decoded)`` of every document: the ids of its whole
     text as the tokenizer at path ``tokenizer`` gives them without adding special
     tokens, and what these decode to, special tokens included."""
