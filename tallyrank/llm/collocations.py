@@ -128,8 +128,8 @@ def index(text: np.ndarray) -> np.ndarray:
 
 def last_to_first(bwt: np.ndarray) -> np.ndarray:
     """The row of the suffix one word longer, for rows whose word is not 0."""
-    order, out = np.argsort(bwt, kind="stable"), np.empty(len(bwt), np.int64)
-    out[order] = np.arange(len(bwt))
+    out = np.empty(len(bwt), np.int32)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
     return out
 
 
@@ -139,7 +139,7 @@ def extend(bwt: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     ``(lo, size, first, last)``, the last two as numbers of given intervals."""
     begins, ends = np.full(len(bwt), -1, np.int32), np.full(len(bwt), -1, np.int32)
     who = np.repeat(np.arange(len(lo), dtype=np.int32), size)
-    rows = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size) + lo[who]
+    rows = np.arange(len(who), dtype=np.int32) + np.repeat((lo - (np.cumsum(size) - size)).astype(np.int32), size)
     begins[rows] = who
     more = bwt[rows] != 0
     ends[last_to_first(bwt)[rows[more]]] = who[more]
@@ -196,7 +196,7 @@ def _indexed(packs: pa.Table, words: pa.Table) -> pa.Table:
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5,
-                     shard_words: int = 1 << 21) -> tuple[list[DataFrame], DataFrame]:
+                     shard_words: int = 1 << 20) -> tuple[list[DataFrame], DataFrame]:
     """Per length 1 to ``longest`` a table ``(phrase, first, last, lang, words, tail,
     a, begins, ends)`` of the phrases with ``a >= least`` occurrences: its number and
     those of its first and last words, its words and the last of them, and the
@@ -243,7 +243,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000,
-                 held_percent: int = 100, shard_words: int = 1 << 21) -> DataFrame:
+                 held_percent: int = 100, shard_words: int = 1 << 20) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: of each language the ``top`` phrases of
     2 to ``longest`` words and ``least`` occurrences by ``score = floor(1000 a n / (l r))``,
     l and r the counts of the two parts at the cut that scores lowest (the first of equal
