@@ -5,9 +5,9 @@
    they number.
 2. Spark sums the word counts of all packs. Words of ``least`` occurrences get
    a number for the whole corpus, every pack learns those it holds, and all
-   others end a piece there: no phrase that counts can hold them. A language of
-   any share of the texts has as many shards of about ``shard_words`` words as
-   its packs fill.
+   others end a piece there: no phrase that counts can hold them. Packs are dealt
+   over shards by the running sum of their sizes: a shard has at most twice
+   ``shard_words`` words (and one text), whatever share a language has.
 3. A shard's index is the Burrows-Wheeler transform of its words, from a full
    suffix sort in which every end of a piece is a symbol of its own. A phrase is
    an interval of suffixes. Extension to the left follows the LF mapping of the
@@ -26,7 +26,8 @@
    nearly all of a phrase's occurrences.
 
 Indexes are one table in the shared folder, bucketed by shard, so a level moves
-phrases only. Nothing is broadcast but what Spark itself measures as small.
+phrases only. Nothing is broadcast but what Spark itself measures as small and
+the shard of every pack (two numbers a pack, counted first).
 
 Null languages are ``und``; null and empty texts have no words; repeated rows
 and rows of one id count each; ties in a language's order cannot occur, since
@@ -45,8 +46,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage_bucketed, shuffle_partitions
-from .tables import cut, map_batches, written
+from ..operators.ordered import running_sum
+from ..session import broadcast_if_small, cut_lineage_bucketed, shuffle_partitions
+from .tables import cut, map_batches, shuffles_removed, written
 
 #: Ends of pieces become line feeds, A-Z becomes a-z.
 _TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -205,11 +207,10 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     d = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     packs = written(d.mapInArrow(_pack(shard_words), "pack bigint, lang string, words array<string>, counts array<bigint>, text binary"), "packs")
     size = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
-    total = cut(packs.groupBy("lang").agg(F.sum(size).alias("n"), F.ceil(F.sum(size) / shard_words).alias("shards")))
-    # A language's packs are dealt over shards of about ``shard_words`` words, numbered from 0 (a row for each language).
-    before = F.coalesce(F.sum("shards").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    packs = packs.join(F.broadcast(total.select("lang", "shards", before.alias("before"))), "lang")
-    packs = packs.withColumn("shard", F.col("before") + F.pmod(F.xxhash64("pack"), F.greatest("shards", F.lit(1))))
+    sizes = cut(packs.select("pack", "lang", size.alias("n")))
+    total = cut(sizes.groupBy("lang").agg(F.sum("n").alias("n")))
+    dealt = running_sum(sizes, ["pack"], "n").select("pack", F.floor((F.col("cum") - F.col("n")) / shard_words).alias("shard"))
+    packs = packs.join(broadcast_if_small(dealt, sizes.count()), "pack")
     vocabulary = packs.select("shard", "pack", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
         "shard", "pack", "lang", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     words = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
@@ -222,7 +223,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         F.col("shard").alias("of"), F.col("pack").alias("pack"), "at", "phrase")
     shards = (packs.select("shard", "pack", "text").groupBy("shard").cogroup(held.groupBy("of"))
               .applyInArrow(_indexed, "shard bigint, bwt binary, phrase binary"))
-    shards = cut_lineage_bucketed(shards, "shard", shuffle_partitions(spark), "shards")
+    with shuffles_removed(spark):
+        shards = cut_lineage_bucketed(shards, "shard", shuffle_partitions(spark), "shards")
     found, levels = map_batches(shards, _pairs, _FOUND, 1), [level]
     pair = Window.partitionBy("first", "last")
     for k in range(2, longest + 1):
@@ -239,7 +241,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         if k < longest:
             held = found.select(F.col("shard").alias("of"), "lo", "size", "phrase")
             found = shards.select("shard", "bwt").groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(_longer, _FOUND)
-    return levels, total.select("lang", "n")
+    return levels, total
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000,
