@@ -6,14 +6,22 @@ match that fails its kind's length test is dropped and not searched again.
 The method adds spans of high entropy. Candidates are runs of a character
 class; a window of ``width`` characters slides over each and its Shannon
 entropy follows from incremental counts: with S the sum of c*log2(c) over the
-window's character counts, entropy is log2(width) - S / width, and one step
-changes S only by the counts of the character that leaves and the one that
-enters. A candidate's span reaches from its first window at or above the
-class's threshold to the end of its last one. A candidate that matches a
-pattern of the allow list is suppressed; base spans never are.
+window's character counts, entropy is log2(width) - S / width. The scan carries
+S and the counts, one cell for each code point of the class; a step takes the
+character that leaves out of its cell, puts the one that enters into its own and
+changes S by these two cells alone. A candidate's span reaches from its first
+window at or above the class's threshold to the end of its last one.
+
+The allow list suppresses only what it names. A piece of a run between the marks
+``/ _ - + =`` that matches a pattern of ``allow_pieces`` is cut out, and what lies
+around it are candidates of their own (``example/<key>`` still gives the key); a
+candidate that matches a pattern of ``allow`` is suppressed. Base spans never are.
 
 All offsets are code points, ends exclusive. A null text is empty and has no
-span. Rows are independent: repeated rows and null ids give rows of their own.
+span; an empty table gives an empty one. Rows are independent: repeated rows and
+null ids give rows of their own. Long texts are scanned whole, in time linear in
+their candidates' lengths. An input column of the output's name comes out as
+``kept_<name>``.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import prefix_sums
+from .tables import kept_names, prefix_sums
 
 # The base kinds, in their order.
 ASSIGN = (r"(?i:password|passwd|secret|token|api_?key)"
@@ -36,20 +44,28 @@ BASE = ("assign", "access", "hex")
 
 @dataclass(frozen=True)
 class CharClass:
+    """Runs of ``pattern``, whose characters lie between the code points ``least`` and ``most``."""
     kind: str
     pattern: str
     width: int
     threshold: float
+    least: str = "!"
+    most: str = "~"
 
 
-CLASSES = (CharClass("entropy_hex", r"[0-9A-Fa-f]{24,}", 24, 3.0),
-           CharClass("entropy_base64", r"[A-Za-z0-9+/_-]{24,}", 24, 4.0))
+CLASSES = (CharClass("entropy_hex", r"[0-9A-Fa-f]{24,}", 24, 3.0, "0", "f"),
+           CharClass("entropy_base64", r"[A-Za-z0-9+/_-]{24,}", 24, 4.0, "+", "z"))
 #: Random strings mix letters and digits; samples, counters and UUIDs are no secrets.
-ALLOW = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"(?i)example|sample|dummy|placeholder|changeme|x{6,}",
-         r"0123456789|abcdefgh|ABCDEFGH", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+ALLOW = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+ALLOW_PIECES = (r"(?i)example|sample|dummy|placeholder|changeme|x{6,}", r"0123456789|abcdefgh|ABCDEFGH")
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _at(found: str, text: str, pattern: str) -> tuple[Column, Column]:
+def _at(found: str | Column, text: str | Column, pattern: str) -> tuple[Column, Column]:
     """Lengths of the matches, and of each match with the gap before it."""
     size = F.transform(found, lambda m: F.length(m))
     none = F.array().cast("array<int>")
@@ -61,36 +77,64 @@ def _at(found: str, text: str, pattern: str) -> tuple[Column, Column]:
 def _window_span(chars: Column, k: CharClass) -> Column:
     """``struct<first, last>``: start of the first and end of the last window with
     enough entropy (-1 if none), for an array of single characters."""
-    w = k.width
+    w, least, cells = k.width, ord(k.least), ord(k.most) - ord(k.least) + 1
     f = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 2)))
     limit = w * (math.log2(w) - k.threshold) + 1e-9
 
-    def count(lo: Column, hi: Column, of: Column) -> Column:
-        """How often character ``of`` occurs at positions lo to hi - 1."""
-        return F.size(F.filter(F.slice(chars, lo + 1, F.greatest(hi - lo, F.lit(0))), lambda x: x == of))
+    # Counts are held as a string of one character a cell, "!" for none: the
+    # functions that read and replace one character of it are built in.
+    def cell(i: Column) -> Column:
+        return F.ascii(F.get(chars, i)) - (least - 1)
+
+    def count(counts: Column, at: Column) -> Column:
+        return F.ascii(F.substring(counts, at, F.lit(1))) - 33
+
+    def moved(counts: Column, at: Column, n: Column, by: int) -> Column:
+        return F.overlay(counts, F.char(n + (33 + by)), at, F.lit(1))
+
+    def changed(a: Column, i: Column, by: int) -> Column:
+        """S and the counts after character i entered (1) or left (-1)."""
+        return _let(cell(i), lambda at: _let(count(a["counts"], at), lambda n: F.struct(
+            (a["s"] + F.get(f, n + by) - F.get(f, n)).alias("s"), moved(a["counts"], at, n, by).alias("counts"))))
 
     def step(a: Column, i: Column) -> Column:
-        # a.s belongs to the window that ends before i.
+        # a.s and a.counts belong to the window that ends before i.
         high = (i >= w) & (a["s"] <= limit)
-        enters = count(F.greatest(i - (w - 1), F.lit(0)), i, F.get(chars, i))
-        leaves = F.when(i >= w, count(i - w, i, F.get(chars, i - w))).otherwise(F.lit(0))
-        gone = F.when(leaves > 0, F.get(f, leaves) - F.get(f, leaves - 1)).otherwise(F.lit(0.0))
-        return F.struct(
-            (a["s"] - gone + F.get(f, enters + 1) - F.get(f, enters)).alias("s"),
+        window = F.struct(a["s"].alias("s"), a["counts"].alias("counts"))
+        left = F.when(i >= w, changed(a, i - w, -1)).otherwise(window)
+        after = F.when(i < F.size(chars), _let(left, lambda x: changed(x, i, 1))).otherwise(window)
+        return _let(after, lambda x: F.struct(
+            x["s"].alias("s"), x["counts"].alias("counts"),
             F.when(high & (a["first"] < 0), i - w).otherwise(a["first"]).alias("first"),
-            F.when(high, i).otherwise(a["last"]).alias("last"))
+            F.when(high, i).otherwise(a["last"]).alias("last")))
 
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit("!" * cells).alias("counts"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     return F.aggregate(F.sequence(F.lit(0), F.size(chars)), start, step,
                        lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
+def _candidates(run: Column, k: CharClass, pieces: tuple[str, ...]) -> Column:
+    """``array<struct<at, text>>``: a run without its allowed pieces, which are blanked
+    so that offsets stay; what lies between them is long enough for a window."""
+    blanked = F.array_join(F.transform(F.regexp_extract_all(run, F.lit(r"[/_+=-]+|[^/_+=-]+"), 0), lambda x: F.when(
+        _any(x, pieces), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "")
+    parts = r"[^ ]{%d,}" % k.width
+
+    def cut(text: Column) -> Column:
+        return _let(F.regexp_extract_all(text, F.lit(parts), 0), lambda found: _let(_at(found, text, parts)[1], lambda steps: _let(
+            prefix_sums(steps), lambda ends: F.transform(found, lambda x, i: F.struct(
+                (F.get(ends, i) - F.length(x)).alias("at"), x.alias("text"))))))
+    return F.when(_any(run, pieces), _let(blanked, cut)).otherwise(F.array(F.struct(F.lit(0).alias("at"), run.alias("text"))))
+
+
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", classes: tuple[CharClass, ...] = CLASSES,
-                 allow: tuple[str, ...] = ALLOW) -> DataFrame:
+                 allow: tuple[str, ...] = ALLOW, allow_pieces: tuple[str, ...] = ALLOW_PIECES) -> DataFrame:
     """``docs`` with ``out``: ``array<struct<start, rank, end, kind>>`` sorted by
     start, then kind as listed (base kinds first, ``rank`` is that order)."""
     kinds = [*BASE, *(k.kind for k in classes)]
     pattern = dict(zip(kinds, [ASSIGN, ACCESS, HEX, *(k.pattern for k in classes)]))
+    docs = docs.withColumnsRenamed({c: name for c, name in kept_names(tuple(docs.columns), (out,)).items() if c != name})
+    text = text if text != out else f"kept_{out}"
     t, names = f"__{out}_text", {k: f"__{out}_{k}" for k in kinds}
     df = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     df = df.withColumns({names[k]: F.regexp_extract_all(t, F.lit(pattern[k]), 0) for k in kinds})
@@ -112,12 +156,13 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", clas
             whole = F.transform(F.filter(ok, lambda x: x["ok"]), lambda x: x["s"])
         elif kind not in BASE:
             k = classes[kinds.index(kind) - len(BASE)]
-            windows = F.transform(names[kind], lambda m: F.when(
-                ~_any(m, allow),
-                F.transform(F.array(F.slice(F.split(m, ""), F.lit(1), F.length(m))), lambda a: _window_span(a, k))[0]))
-            found = F.zip_with(whole, windows, lambda s, w: F.struct(s.alias("s"), w.alias("w")))
-            whole = F.transform(F.filter(found, lambda x: F.coalesce(x["w"]["first"] >= 0, F.lit(False))),
-                                lambda x: span(kind, x["s"]["start"] + x["w"]["first"], x["s"]["start"] + x["w"]["last"]))
+            windows = F.transform(names[kind], lambda m: F.transform(
+                F.filter(_candidates(m, k, allow_pieces), lambda c: ~_any(c["text"], allow)),
+                lambda c: F.struct(c["at"].alias("at"), _let(
+                    F.slice(F.split(c["text"], ""), F.lit(1), F.length(c["text"])), lambda a: _window_span(a, k)).alias("w"))))
+            whole = F.flatten(F.zip_with(whole, windows, lambda s, found: F.transform(
+                F.filter(found, lambda c: c["w"]["first"] >= 0), lambda c: span(
+                    kind, s["start"] + c["at"] + c["w"]["first"], s["start"] + c["at"] + c["w"]["last"]))))
         parts.append(F.when(F.size(names[kind]) > 0, whole).otherwise(none))
     return (df.withColumn(out, F.sort_array(F.concat(*parts)))
             .drop(t, values, *names.values(), *sizes.values(), *steps.values()))
