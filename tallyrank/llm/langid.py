@@ -11,8 +11,14 @@ Bound: at most ``per_language`` documents of each language are used to fit
 (chosen by a hash of id and text, a Spark filter whose rate follows from the
 language's row count), so what reaches the driver does not grow with the
 table. A fifth of them is kept out of training: on it a temperature is fitted
-(calibrated confidence) and the rejection threshold chosen, the least one
-whose accepted rows are right in ``precision`` of the cases, at most one half.
+(calibrated confidence). Rejection is calibrated on languages the model has not
+seen: the languages are dealt over ``folds`` groups, for each a model is trained
+without it, and the confidences that this model gives the group's texts are
+collected. The threshold is the least one that rejects ``unseen`` of those texts
+and leaves accepted rows right in ``precision`` of the cases, but never one that
+rejects more than 1 - ``keep`` of the held rows that are told rightly. With
+fewer than three languages none can be left out: precision alone decides, and
+the threshold is at most one half.
 """
 
 from __future__ import annotations
@@ -89,22 +95,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, tuple[np.ndarray, np.ndarray]]], shape: Shape, epochs: int = 30, rate: float = 0.3,
-        batch: int = 32, precision: float = 0.99, seed: int = 7) -> Model:
-    """Train on ``(language, features)`` rows; every fifth row calibrates."""
-    languages = sorted({lang for lang, _ in rows})
+def _trained(x: np.ndarray, y: np.ndarray, train: np.ndarray, check: np.ndarray, languages: list[str], shape: Shape,
+             epochs: int, rate: float, batch: int, seed: int) -> Model:
+    """A model of the rows ``train``, its temperature fitted on the rows ``check``;
+    ``y`` numbers the languages."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (shape.buckets, shape.dim)).astype(np.float32)
     model = Model(shape, languages, table, np.zeros((shape.dim, len(languages)), np.float32),
                   np.zeros(len(languages), np.float32))
-    if not rows:
-        return model
-    x = np.zeros((len(rows), shape.buckets), np.float32)
-    for i, (_, (at, n)) in enumerate(rows):
-        x[i, at] = n / n.sum()
-    y = np.array([languages.index(lang) for lang, _ in rows])
-    held = np.arange(len(rows)) % 5 == 4
-    train = np.flatnonzero(~held)
+    train = train.copy()
     steps, done = epochs * -(-len(train) // batch), 0
     for _ in range(epochs):
         rng.shuffle(train)
@@ -119,16 +118,51 @@ def fit(rows: list[tuple[str, tuple[np.ndarray, np.ndarray]]], shape: Shape, epo
             model.bias -= lr * g.sum(axis=0)
             model.table -= lr * 300 * (x[b].T @ back)
             done += 1
-    check = np.flatnonzero(held) if held.any() else train
     z = model.logits(x[check] @ model.table)
     losses = {t: -np.log(softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean()
               for t in np.geomspace(0.25, 8, 41)}
     model.temperature = float(min(losses, key=losses.get))
-    p = softmax(z / model.temperature)
+    return model
+
+
+def fit(rows: list[tuple[str, tuple[np.ndarray, np.ndarray]]], shape: Shape, epochs: int = 30, rate: float = 0.3,
+        batch: int = 32, precision: float = 0.99, seed: int = 7, keep: float = 0.995, unseen: float = 0.99,
+        folds: int = 5) -> Model:
+    """Train on ``(language, features)`` rows; every fifth row calibrates."""
+    languages = sorted({lang for lang, _ in rows})
+    if not rows:
+        return Model(shape, languages, np.zeros((shape.buckets, shape.dim), np.float32),
+                     np.zeros((shape.dim, 0), np.float32), np.zeros(0, np.float32))
+    x = np.zeros((len(rows), shape.buckets), np.float32)
+    for i, (_, (at, n)) in enumerate(rows):
+        x[i, at] = n / n.sum()
+    y = np.array([languages.index(lang) for lang, _ in rows])
+    held = np.arange(len(rows)) % 5 == 4
+    how = (shape, epochs, rate, batch, seed)
+
+    def sure(model: Model, at: np.ndarray) -> np.ndarray:
+        return softmax(model.logits(x[at] @ model.table) / model.temperature)
+
+    train, check = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
+    model = _trained(x, y, train, check, languages, *how)
+    p = sure(model, check)
     best, right = p.max(axis=1), p.argmax(axis=1) == y[check]
     order = np.argsort(-best)
     ok = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision)
-    model.threshold = min(0.5, float(best[order][ok[-1]])) if len(ok) else 0.5
+    wanted = float(best[order][ok[-1]]) if len(ok) else 1.0
+
+    foreign = []
+    for fold in range(min(folds, len(languages)) if len(languages) > 2 else 0):
+        known = [k for k in range(len(languages)) if k % folds != fold]
+        inside = np.isin(y, known)
+        if len(known) < 2 or not (inside & ~held).any() or not (inside & held).any():
+            continue
+        m = _trained(x, np.searchsorted(known, y), np.flatnonzero(inside & ~held), np.flatnonzero(inside & held),
+                     [languages[k] for k in known], *how)
+        foreign.append(sure(m, np.flatnonzero(~inside)).max(axis=1))
+    wanted = max(wanted, float(np.quantile(np.concatenate(foreign), unseen))) if foreign else min(0.5, wanted)
+    most = float(np.quantile(best[right], 1 - keep)) if right.any() else 0.5
+    model.threshold = min(wanted, most)
     return model
 
 
