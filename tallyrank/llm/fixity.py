@@ -1,8 +1,10 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-``warc_records`` lays rows out as WARC/1.1 resource records. An input
-partition is a file, as each task would write one, and a record's offset is
-where it starts in its file.
+``warc_records`` lays rows out as WARC/1.1 resource records with the four
+mandatory fields; the pages hold no time of their own, so ``WARC-Date`` is an
+argument, one time for the whole crawl. An input partition is a file, as each
+task would write one, and a record's offset is where it starts in its file:
+``file`` and ``offset`` follow from how the input is split.
 
 ``audit`` compares replicas ``(file, offset, record)``. Leaves are hashes of
 records. Every node above covers an ordered range of offsets: level 1 has a
@@ -37,21 +39,24 @@ from pyspark.sql import functions as F
 from .tables import cut
 
 SPAN, FANOUT = 1 << 16, 16
+CRAWLED = "2001-01-01T00:00:00Z"
 
 
-def warc_record(url: str | None, payload: str | None) -> bytes:
+def warc_record(url: str | None, payload: str | None, date: str = CRAWLED) -> bytes:
     """One resource record; its id follows from its content. Null counts as empty."""
     body = (payload or "").encode("utf-8")
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     digest = hashlib.sha256(body).hexdigest()
     head = (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, target + digest)}>\r\n"
-            f"WARC-Target-URI: {target}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
+            f"WARC-Date: {date}\r\nWARC-Target-URI: {target}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
             f"Content-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n")
     return head.encode("utf-8") + body + b"\r\n\r\n"
 
 
-def warc_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """``(page_id, file, offset, record)`` in the order of the input."""
+def warc_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html",
+                 date: str = CRAWLED) -> DataFrame:
+    """``(page_id, file, offset, record)`` in the order of the input. Repeated rows are
+    records of their own; other columns are ignored; ``date`` is UTC, as in ISO 8601."""
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +64,7 @@ def warc_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 c = b.slice(i, 256)
-                records = [warc_record(u.as_py(), x.as_py()) for u, x in zip(c.column(1), c.column(2))]
+                records = [warc_record(u.as_py(), x.as_py(), date) for u, x in zip(c.column(1), c.column(2))]
                 offsets = []
                 for r in records:
                     offsets.append(at)
