@@ -83,6 +83,53 @@ def test_secret_spans(spark):
     assert clean[1] == "é secret: token: abcdefghijklmnop [SECRET]' [SECRET] [SECRET]" and clean[2] is None
 
 
+BASE_KINDS = (("assign", r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12),
+              ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16))
+
+
+def scanned(text):
+    """Every span of a text, each window counted from nothing."""
+    out = []
+    for kind, pattern, least in BASE_KINDS:
+        for m in re.finditer(pattern, text or ""):
+            if len(m.group(1) if kind == "assign" else m.group()) >= least:
+                out.append((m.start(), ("assign", "access", "hex").index(kind), m.end(), kind))
+    for rank, k in enumerate(secret_scan.CLASSES, 3):
+        for m in re.finditer(k.pattern, text or ""):
+            run = "".join(" " * len(x) if any(re.search(p, x) for p in secret_scan.ALLOW_PIECES) else x
+                          for x in re.findall(r"[/_+=-]+|[^/_+=-]+", m.group()))
+            for c in re.finditer(r"[^ ]{%d,}" % k.width, run):
+                if any(re.search(p, c.group()) for p in secret_scan.ALLOW):
+                    continue
+                high = []
+                for i in range(len(c.group()) - k.width + 1):
+                    window = c.group()[i:i + k.width]
+                    h = -sum(n / k.width * math.log2(n / k.width) for n in (window.count(x) for x in set(window)))
+                    if h >= k.threshold - 1e-9:
+                        high.append(i)
+                if high:
+                    at = m.start() + c.start()
+                    out.append((at + high[0], rank, at + high[-1] + k.width, k.kind))
+    return sorted(out)
+
+
+def test_secrets_against_a_scan_of_every_window(spark):
+    rnd, base64 = random.Random(11), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    key = "q7ZpKk3vX9bTfR2mWs8LdYhJ"
+    texts = [None, "", f"é example/{key} dummy-{key} {key}_sample_{key[::-1]} sample{key}", f"other/{key}", "a" * 30_000 + "1" + key * 40,
+             "123e4567-e89b-12d3-a456-426614174000 0123456789" * 3, "deadbeef" * 9, " ".join([key] * 400)]
+    for alphabet in (base64, "0123456789abcdef", "ab01/", base64 + " \n😀=:\"'"):
+        texts += ["".join(rnd.choices(alphabet, k=rnd.randint(20, 400))) for _ in range(25)]
+    texts += [f"{w}{e}{s}{''.join(rnd.choices(base64, k=40))}" for w in ("Token", "api_key", "x") for e in ("=", ": ") for s in ("", "example/", "'")]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] * 2, "doc_id int, text string, secrets int")
+    got = secret_scan.find_secrets(df).collect()
+    assert len(got) == 2 * len(texts) and all(r.kept_secrets == r.doc_id for r in got)
+    for r in got:
+        assert [tuple(x) for x in r.secrets] == scanned(r.text), r.text
+    assert [(x.start, x.end) for x in got[2].secrets if x.kind == "entropy_base64"][0][1] == 2 + len("example/" + key)
+    assert secret_scan.find_secrets(df.limit(0)).count() == 0
+
+
 def brute_components(pairs):
     up = {}
     find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
@@ -214,6 +261,21 @@ def test_audit_finds_exactly_the_damage(spark):
     assert fixity.audit(a, a.limit(0)).filter("status = 'missing'").count() == 900
 
 
+def test_warc_records_are_whole(spark):
+    pages = spark.createDataFrame([(1, "http://a/\r\nb", "é"), (1, "http://a/\r\nb", "é"), (2, None, None), (3, "http://c", LONG)],
+                                  "page_id int, url string, html string").withColumnRenamed("page_id", "file").coalesce(1)
+    got = fixity.warc_records(pages, page_id="file", date="2020-02-02T00:00:00Z").collect()
+    assert [r.offset for r in got] == [sum(len(x.record) for x in got[:i]) for i in range(len(got))]
+    for r in got:
+        head, body = bytes(r.record).split(b"\r\n\r\n", 1)
+        first, *fields = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in fields)
+        assert first == "WARC/1.1" and fields["WARC-Date"] == "2020-02-02T00:00:00Z"
+        assert {"WARC-Type", "WARC-Record-ID", "Content-Length"} <= set(fields)
+        assert len(body) == int(fields["Content-Length"]) + 4 and body.endswith(b"\r\n\r\n")
+    assert fixity.warc_records(pages.limit(0), page_id="file").count() == 0
+
+
 def test_language_model_learns_and_rejects():
     rnd, shape = random.Random(2), langid.Shape(buckets=1 << 10, dim=8)
     said = {"a": "the and of with that", "b": "der und die mit das"}
@@ -225,6 +287,26 @@ def test_language_model_learns_and_rejects():
     assert 0 < m.threshold <= 0.5
 
 
+def test_unseen_languages_are_rejected_and_held_out_documents_stay(spark):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = langid.train(docs, langid.remainder() != 1)
+    held = langid.identify(docs.filter(langid.remainder() == 1), m, keep=("lang",)).filter("lang is not null").collect()
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.98 and np.mean([r.rejected for r in held]) < 0.02
+    unseen = ["il governo ha deciso di aumentare le tasse sulla casa e molti cittadini sono scesi in piazza",
+              "de regering heeft besloten om de belasting op huizen te verhogen en veel burgers gingen de straat op",
+              "hallitus on päättänyt korottaa asuntojen veroa ja monet kansalaiset lähtivät kadulle",
+              "rząd postanowił podnieść podatek od domów i wielu obywateli wyszło na ulice"]
+    rows = [(i, x, "own") for i, x in enumerate(unseen)] * 2 + [(8, None, "own"), (9, "", None), (10, "12 34 !", None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, score string")
+    got = langid.identify(df, m, keep=("score",)).collect()
+    assert len(got) == len(rows) and all(r.rejected for r in got) and {r.kept_score for r in got} == {"own", None}
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in got if r.doc_id >= 8)
+    assert langid.identify(df.limit(0), m).count() == 0
+    none = langid.train(docs.limit(0), F.lit(True))
+    assert {(r.lang_pred, r.score, r.rejected) for r in langid.identify(df, none).collect()} == {("und", 0.0, True)}
+
+
 def test_ordinal_severity():
     rnd = random.Random(3)
     text = lambda g: " ".join(rnd.choices("xa xb xc xd xe".split(), k=20) + ["bad"] * (g > 0) + ["awful"] * (g > 1))
