@@ -24,8 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage, cut_lineage_bucketed
-from .graph import Links, net_updates, prepare_links
+from ..session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage, cut_lineage_bucketed
+from .graph import Links, join_by_source, net_updates, prepare_links
 
 
 @dataclass
@@ -67,13 +67,17 @@ def _endpoints(edges: DataFrame) -> DataFrame:
 
 
 def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old: DataFrame,
-                   iters: int = 5, damping: float = 0.85, links_old: Links | None = None) -> DeltaResult:
+                   iters: int = 5, damping: float = 0.85, links_old: Links | None = None,
+                   max_broadcast: int = BROADCAST_MAX_ROWS, split_above: int | None = None) -> DeltaResult:
     """Delta of the ``keep='all'`` history after applying ``updates``
     ``(seq, op, src, dst)`` to ``edges_old``; ``history_old`` is ``(node, hist)``
     with ``hist[k-1] = r_k`` of the old graph.
 
     Every lookup of changed pairs scans the edge table with a broadcast of
-    the net change log (row count checked), so no edge is shuffled. The small
+    the net change log (row count checked), so no edge is shuffled. With more than
+    ``max_broadcast`` changed sources their rows meet the edges by ``join_by_source``,
+    which deals no source of more than ``split_above`` edges (default: the links'
+    bound) to one task. The small
     intermediates are checkpointed: the plans that follow start from flat
     tables, and a lost executor does not recompute the change log. The
     result carries the new graph's links (``DeltaResult.links``): the old
@@ -83,10 +87,17 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     net = cut_lineage(net_updates(updates))
     n_net = net.count()
     pairs = broadcast_if_small(net.select("src", "dst"), n_net)
+
+    def meet(edges: DataFrame, values: DataFrame, n_values: int, small: DataFrame) -> DataFrame:
+        """``small``: the same join for values that can be broadcast."""
+        if n_values <= max_broadcast:
+            return small
+        return join_by_source(edges, values, n_values, split_above or L.split_above, max_broadcast)
+
     adds = net.filter(F.col("op") == 1).select("src", "dst")
     # One scan of E: the out-edges of every source the change log names.
-    named = broadcast_if_small(net.select("src").distinct(), n_net)
-    near = cut_lineage(e_old.join(named, "src", "left_semi"))
+    named = net.select("src").distinct()
+    near = cut_lineage(meet(e_old, named, n_net, e_old.join(broadcast_if_small(named, n_net), "src", "left_semi")))
     present = near.join(pairs, ["src", "dst"], "left_semi")                       # changed pairs in E
     removed = present.join(net.filter(F.col("op") == -1).select("src", "dst"), ["src", "dst"], "left_semi")
     added = adds.join(present, ["src", "dst"], "left_anti")
@@ -96,12 +107,13 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
     n_changed = changed.count()
     t_src = broadcast_if_small(changed.select(F.col("node").alias("src")), n_changed)
 
-    old_t = near.join(t_src, "src", "left_semi")
-    new_t = old_t.join(pairs, ["src", "dst"], "left_anti").unionByName(adds.join(t_src, "src", "left_semi"))
+    old_t = meet(near, t_src, n_changed, near.join(t_src, "src", "left_semi"))
+    adds_t = meet(adds, t_src, n_changed, adds.join(t_src, "src", "left_semi"))
+    new_t = old_t.join(pairs, ["src", "dst"], "left_anti").unionByName(adds_t)
     w_old = old_t.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     w_new = new_t.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    new_t_w = cut_lineage(new_t.join(w_new, "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("w")))
-    signed = (old_t.join(w_old, "src").select("src", "dst", (F.lit(-1.0) / F.col("deg")).alias("sw"))
+    new_t_w = cut_lineage(meet(new_t, w_new, n_changed, new_t.join(w_new, "src")).select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("w")))
+    signed = (meet(old_t, w_old, n_changed, old_t.join(w_old, "src")).select("src", "dst", (F.lit(-1.0) / F.col("deg")).alias("sw"))
               .unionByName(new_t_w.select("src", "dst", F.col("w").alias("sw"))))
 
     # Nodes of E': old nodes minus those left without an edge, plus new ones.
@@ -129,7 +141,8 @@ def pagerank_delta(edges_old: DataFrame | None, updates: DataFrame, history_old:
            .select("node", F.concat(F.array(F.lit(1.0)), F.slice(F.coalesce("hist", iso), 1, iters - 1)).alias("r"))
            if iters > 1 else changed.select("node", F.array(F.lit(1.0)).alias("r")))
     seed = cut_lineage(
-        signed.join(broadcast_if_small(r_t, n_changed), signed.src == r_t.node)
+        meet(signed, r_t.withColumnRenamed("node", "src"), n_changed,
+             signed.join(broadcast_if_small(r_t, n_changed), signed.src == r_t.node))
         .groupBy(F.col("dst").alias("node"))
         .agg(*[F.sum(F.get(F.col("r"), j) * F.col("sw")).alias(f"s{j}") for j in range(iters)]))
 

@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, shuffle_partitions
+from ..session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage, shuffle_partitions
 
 MIN_SPLIT = 2000
 
@@ -63,11 +63,45 @@ def no_incoming(edges: DataFrame) -> DataFrame:
             .join(e.select(F.col("dst").alias("node")), "node", "left_anti"))
 
 
-def neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def rows_of(table: DataFrame, key: str, nodes: DataFrame, few: int = 0) -> DataFrame:
+    """Rows of ``table`` whose ``key`` is in ``nodes.node``.
+
+    At most ``few`` nodes become literals of a filter, so that a scan of a table
+    bucketed by ``key`` opens only their buckets (and of these only the row groups
+    that can hold them); more nodes meet the table in a semi-join."""
+    wanted = nodes.select(F.col("node").alias(key)).filter(F.col(key).isNotNull()).distinct()
+    if few:
+        found = [r[0] for r in wanted.limit(few + 1).collect()]     # few + 1 keys at most
+        if len(found) <= few:
+            return table.filter(F.col(key).isin(found))
+    return table.join(wanted, key, "left_semi")
+
+
+def neighbors(edges: DataFrame, nodes: DataFrame, few: int = 0) -> DataFrame:
     """Out-neighbours of a set of nodes (O13): ``(src, dst)`` for ``src`` in
-    ``nodes.node``; an unknown node has none."""
-    wanted = nodes.select(F.col("node").alias("src")).distinct()
-    return dedupe(edges.select("src", "dst").join(wanted, "src", "left_semi"))
+    ``nodes.node``; an unknown node has none. ``few`` as in :func:`rows_of`, for
+    edges saved in buckets."""
+    return dedupe(rows_of(edges.select("src", "dst"), "src", nodes, few))
+
+
+def join_by_source(edges: DataFrame, values: DataFrame, n_values: int, split_above: int,
+                   max_broadcast: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``edges`` inner-joined on ``src`` with ``values``, which has a row for each
+    source (``n_values`` counted or bounded by a count).
+
+    Up to ``max_broadcast`` values are broadcast. Beyond that the sources with more
+    than ``split_above`` edges (at most E / split_above of them) get theirs by
+    broadcast, so their edges stay where they are, and only the others are
+    shuffled by source: no task is dealt a hot source's edges."""
+    if n_values <= max_broadcast:
+        return edges.join(F.broadcast(values), "src")
+    many = cut_lineage(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+                       .filter(F.col("n") > split_above).select("src"))
+    n_many = many.count()
+    hot = broadcast_if_small(many, n_many)
+    hot_values = broadcast_if_small(values.join(hot, "src", "left_semi"), n_many)
+    return (edges.join(hot_values, "src")
+            .unionByName(edges.join(hot, "src", "left_anti").join(values.hint("shuffle_merge"), "src")))
 
 
 def frontier(edges: DataFrame, nodes: DataFrame, hops: int = 1) -> DataFrame:

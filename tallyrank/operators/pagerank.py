@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage_bucketed
-from .graph import Links, prepare_links
+from .graph import Links, prepare_links, rows_of
 
 CHECKPOINT_EVERY = 4
 
@@ -122,11 +122,11 @@ def to_wide(history: DataFrame, iters: int, col: str = "hist", prefix: str = "i"
     return history.select("node", *[F.get(F.col(col), i).alias(f"{prefix}{i}") for i in range(iters)])
 
 
-def rank_at(history: DataFrame, nodes: DataFrame, it: int, col: str = "hist") -> DataFrame:
+def rank_at(history: DataFrame, nodes: DataFrame, it: int, col: str = "hist", few: int = 0) -> DataFrame:
     """Value of iteration column ``i{it}`` for each node of ``nodes`` (O18);
-    nodes without a history row are absent."""
-    return (history.join(nodes.select("node").distinct(), "node", "left_semi")
-            .select("node", F.get(F.col(col), it).alias("rank")))
+    nodes without a history row are absent. ``few`` as in ``graph.rows_of``, for a
+    history saved in buckets."""
+    return rows_of(history, "node", nodes, few).select("node", F.get(F.col(col), it).alias("rank"))
 
 
 def zero_deltas(history: DataFrame, col: str = "hist") -> DataFrame:

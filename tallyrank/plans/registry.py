@@ -248,11 +248,11 @@ def q_edge_update_rejects(spark, sf):
     return bad.groupBy("line", "reason").agg(n).unionByName(parsed)
 
 
-def _delta(spark, sf):
+def _delta(spark, sf, **how):
     base = I.base_edges(spark, sf)
     links = G.prepare_links(base)
     hist = PR.pagerank_history(links=links, iters=ITERS, damping=DAMPING, keep="all")
-    return links, hist, pagerank_delta(base, I.edge_updates(spark, sf), hist, ITERS, DAMPING, links_old=links)
+    return links, hist, pagerank_delta(base, I.edge_updates(spark, sf), hist, ITERS, DAMPING, links_old=links, **how)
 
 
 def _released(df: DataFrame, links) -> DataFrame:
@@ -268,6 +268,13 @@ def q_pagerank_delta(spark, sf):
     return _released(rounded_wide(res.full_delta(), col="delta"), links)
 
 
+@register("pagerank_delta_hot", delta_sql(ITERS, DAMPING))
+def q_pagerank_delta_hot(spark, sf):
+    """No changed source is broadcast but those above 8 edges (O15), which are not shuffled."""
+    links, _, res = _delta(spark, sf, max_broadcast=0, split_above=8)
+    return _released(rounded_wide(res.full_delta(), col="delta"), links)
+
+
 # history(E) + delta == history(E'): the updated history against a recompute.
 @register("pagerank_delta_history", new_history_sql(ITERS, DAMPING))
 def q_pagerank_delta_history(spark, sf):
@@ -326,6 +333,22 @@ def q_graph_state_deltas(spark, sf):
     return rounded_wide(_saved_state(spark, sf)[2], col="delta")
 
 
+POINTS = 1000       # so many nodes are looked up by literals
+
+
+@register("rank_at_saved", ORACLE["rank_at"])
+def q_rank_at_saved(spark, sf):
+    """Point reads of saved ranks: only the buckets of the nodes asked for are read."""
+    nodes = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
+    return rounded_rank(PR.rank_at(_saved_state(spark, sf)[1], nodes, 2, few=POINTS))
+
+
+@register("neighbors_saved", ORACLE["neighbors"])
+def q_neighbors_saved(spark, sf):
+    """Neighbour lookup on saved edges, by bucket."""
+    return G.neighbors(_saved_state(spark, sf)[0], building_customers(spark, sf), few=POINTS)
+
+
 @register("hot_sources", pagerank_sql(GRAPH_P, ITERS, DAMPING))
 def q_hot_sources(spark, sf):
     """Every source of graph P above 8 out-edges taken as hot."""

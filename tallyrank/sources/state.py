@@ -1,19 +1,26 @@
 """Result sinks and graph state tables.
 
 State is a folder of Parquet tables (``edges``, ``ranks``, ``deltas``) in the
-shared file system; edge files are sorted by ``src`` inside, so row-group
-statistics let a reload skip groups for a filter on ``src``. ``export_jdbc`` copies the
+shared file system, bucketed and sorted by ``src`` or ``node``, with their bucket
+count in ``layout``: a reload has the buckets, so point reads (``rank_at``,
+``neighbors`` with ``few``) open only those of the nodes asked for and joins on
+the key need no shuffle. A bucket that holds a hot source is written by as many
+tasks as its size asks for (``rebalance``). ``export_jdbc`` copies the
 same tables to a database with Spark's JDBC writer (one connection per
 partition, ``truncate`` keeps the table definition).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pagerank import to_wide, zero_deltas
 
+STATE_BUCKETS = 64
+
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", **options) -> None:
     """Write a result (O25): ``parquet`` (default), ``csv``, ``json``, ``orc`` or
@@ -21,21 +28,43 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite"
     df.write.mode(mode).format(fmt).options(**options).save(path)
 
 
-def save_graph_state(path: str, edges: DataFrame, history: DataFrame, deltas: DataFrame | None = None) -> None:
+def _save_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """The rows of a bucket meet in few tasks first (the bucket of Spark's own layout
+    is this hash), so a task writes files of few buckets."""
+    table = f"tallyrank_state_{uuid.uuid4().hex[:12]}"
+    b = f"bucket_{table}"
+    (df.withColumn(b, F.pmod(F.hash(key), F.lit(buckets))).hint("rebalance", F.col(b)).drop(b)
+     .write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table))
+    df.sparkSession.sql(f"DROP TABLE {table}")      # the files stay
+
+
+def _load_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    table = f"tallyrank_state_{uuid.uuid4().hex[:12]}"
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    out = spark.table(table)
+    out.schema      # resolved here, while the catalog still knows it
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def save_graph_state(path: str, edges: DataFrame, history: DataFrame, deltas: DataFrame | None = None,
+                     buckets: int = STATE_BUCKETS) -> None:
     """Write ``edges (src, dst)``, ``ranks (node, hist)`` and ``deltas (node, delta)``
-    (zero deltas when not given) under ``path`` (O20)."""
-    # distinct() spreads rows by (src, dst), so a hot source is not one task.
-    (edges.select("src", "dst").distinct().sortWithinPartitions("src", "dst")
-     .write.mode("overwrite").parquet(f"{path}/edges"))
-    history.select("node", "hist").write.mode("overwrite").parquet(f"{path}/ranks")
+    (zero deltas when not given) under ``path`` (O20), in ``buckets`` buckets."""
+    _save_bucketed(edges.select("src", "dst").distinct(), f"{path}/edges", "src", buckets)
+    _save_bucketed(history.select("node", "hist"), f"{path}/ranks", "node", buckets)
     d = deltas if deltas is not None else zero_deltas(history)
-    d.select("node", "delta").write.mode("overwrite").parquet(f"{path}/deltas")
+    _save_bucketed(d.select("node", "delta"), f"{path}/deltas", "node", buckets)
+    edges.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def load_graph_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(edges, ranks, deltas)`` written by :func:`save_graph_state`."""
-    return (spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/ranks"),
-            spark.read.parquet(f"{path}/deltas"))
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    return (_load_bucketed(spark, f"{path}/edges", "src", buckets), _load_bucketed(spark, f"{path}/ranks", "node", buckets),
+            _load_bucketed(spark, f"{path}/deltas", "node", buckets))
 
 
 def export_jdbc(url: str, edges: DataFrame, history: DataFrame, iters: int, deltas: DataFrame | None = None,

@@ -4,16 +4,36 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyrank.operators import pagerank as PR
 from tallyrank.operators.delta import pagerank_delta
+from tallyrank.operators.graph import join_by_source
 
 
 def hist_map(df, col="hist"):
     return {r.node: [round(x, 9) for x in r[col]] for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_delta_equals_recompute(spark, seed):
+def test_hot_source_is_not_one_task(spark):
+    """One source with half of all edges: no task holds more than twice the median."""
+    edges = spark.range(16_000).repartition(8).select(
+        F.when(F.col("id") < 8_000, F.lit(0)).otherwise(F.col("id") % 400 + 1).alias("src"), F.col("id").alias("dst"))
+    values = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = join_by_source(edges, values, 401, split_above=1000, max_broadcast=0)
+        sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in edges.join(values, "src").collect())
+        assert join_by_source(edges.limit(0), values, 401, 1000, 0).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("seed, how", [(1, {}), (2, {}), (3, {}), (1, {"max_broadcast": 0, "split_above": 3}),
+                                       (2, {"max_broadcast": 0, "split_above": 100})])
+def test_delta_equals_recompute(spark, seed, how):
     rnd = random.Random(seed)
     n = 12
     old = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(30)}
@@ -31,7 +51,7 @@ def test_delta_equals_recompute(spark, seed):
     e_new = spark.createDataFrame(sorted(cur) or [(0, 0)], "src long, dst long")
     upd = spark.createDataFrame(ups, "seq long, op int, src long, dst long")
     h_old = PR.pagerank_history(e_old, iters=4, keep="all")
-    res = pagerank_delta(e_old, upd, h_old, iters=4)
+    res = pagerank_delta(e_old, upd, h_old, iters=4, **how)
     assert sorted(tuple(r) for r in res.edges.collect()) == sorted(cur)
     want = hist_map(PR.pagerank_history(e_new, iters=4, keep="all"))
     assert hist_map(res.history(h_old)) == want

@@ -74,6 +74,37 @@ def test_graph_state_roundtrip_and_jdbc(spark, tmp):
     assert spark.read.option("header", "true").csv(out).count() == 3
 
 
+def test_point_reads_of_saved_state_open_their_buckets_only(spark, tmp):
+    import contextlib
+    import io
+
+    from tallyrank.operators import graph as G
+    e = spark.range(500).select((F.col("id") % 50).alias("src"), F.col("id").alias("dst"))
+    h = PR.pagerank_history(e, iters=3, keep="all")
+    path = tmp("buckets")
+    for _ in range(2):                                            # the second call replaces the first's files
+        save_graph_state(path, e, h, buckets=16)
+    edges, ranks, _ = load_graph_state(spark, path)
+    assert (edges.count(), ranks.count()) == (500, 500)
+    nodes = spark.createDataFrame([(3,), (7,), (7,), (None,), (9999,)], "node long")
+    want = sorted((r.node, r.hist[1]) for r in h.collect() if r.node in (3, 7))
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")    # explain names the buckets
+    try:
+        for few in (0, 3, 1000):
+            at = PR.rank_at(ranks, nodes, 1, few=few)
+            assert sorted(tuple(r) for r in at.collect()) == want
+            near = G.neighbors(edges, nodes, few=few)
+            assert near.count() == 20 and near.filter("src not in (3, 7)").count() == 0
+            for df in (at, near):
+                plan = io.StringIO()
+                with contextlib.redirect_stdout(plan):
+                    df.explain("formatted")
+                picked = int(plan.getvalue().split("SelectedBucketsCount: ")[1].split(" ")[0])
+                assert picked <= 3 if few else picked == 16
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
 def test_running_sum_hot_first_column_is_split(spark):
     """A first column holding one value for most rows: the range partitioner
     splits it by the next column, and the sums stay exact."""
