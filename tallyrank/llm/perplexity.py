@@ -18,35 +18,41 @@ The model is kept as sorted 64-bit hashes with values that add up to the log
 probability of a text: what an n-gram gains over its suffix, and what its context
 leaves to lower orders. N-grams that only one half has can't be asked for and are
 left out here, after all counts. It is cut by hash into blocks of at most about
-``block`` entries, sent to all tasks one at a time: a model of any size scores
-the same way, in more passes.
+``block`` entries; a pass over the texts holds ``at_once`` of them in one process,
+so a model of any size scores the same way, in more passes. A level of the model
+meets the one below it in the same way, with no shuffle: what is shuffled are the
+counts. A word is packed to 62 / ``order`` bits (31 for pairs): of V distinct words
+of a language a word shares its counts with another at a rate of about V / 2^31,
+0.05 % at a million.
 
 A document's figure is its log perplexity per word that has a letter or digit:
 marks between words add to it. Per language, of the texts that pass the base
 rules, the shortest interval with half of the figures is taken, which junk beside
 the bulk moves little; a text is kept if it lies at most ``above`` robust standard
 deviations (length / 1.349, at least ``least``) above the middle and ``below``
-under it. Languages with fewer than ``min_docs`` such texts reject none.
+under it. Languages with fewer than ``min_docs`` such texts share one band, taken
+from all their texts together; if these too are fewer, nothing is known to judge by,
+and the base rules alone decide.
 
 A null text has no words and fails the base rules; a null language is one of
-its own; repeated rows are rows; other columns are ignored.
+its own; repeated rows are rows; other columns are ignored; an empty table gives
+an empty result. A text of any length is scored whole, ``SLICE`` n-grams at a time.
 """
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .tables import Shipped, cut, map_batches
+from .tables import cut, map_batches, written
 from .wordhash import WordHasher, mix, white_space
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\r\x0b\x0c"
@@ -55,6 +61,8 @@ _SAID = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _HASHER = WordHasher(_GAP)
 #: Distinct n-grams a counting task holds before it passes them on.
 HELD = 1 << 21
+#: N-grams that a scoring task looks up at a time.
+SLICE = 1 << 20
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -215,7 +223,7 @@ def _merged(packed: DataFrame, k: int, bits: int, parts: int, shared: bool) -> D
                          pa.array(what, pa.string()), pa.array(data, pa.binary()),
                          pa.array([more if w == "own" else b"" for w in what], pa.binary())],
                         names=["lang", "half", "part", "what", "data", "contexts"])
-    return cut(packed.groupBy("lang", "part").applyInArrow(run, _PACKED + ", contexts binary"))
+    return written(packed.groupBy("lang", "part").applyInArrow(run, _PACKED + ", contexts binary"), f"grams{k}")
 
 
 def _discounts(c: np.ndarray) -> np.ndarray:
@@ -229,26 +237,111 @@ def _given(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(n > 0, d[np.clip(n, 1, 3) - 1], 0.0)
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished steps that nothing refers to."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def hashed(lang: str | None, half: int, tag: int, g: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams of a model."""
+    salt = 0x51ED270B + 2 * (tag + 64) + half
+    for b in ("?" if lang is None else "=" + lang).encode("utf-8"):
+        salt = (salt * 0x100000001B3 ^ b) & 0xFFFFFFFFFFFFFFFF
+    return mix(g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(np.array([salt], np.uint64)))
+
+
+class Blocks:
+    """Blocks of a table of hashes with values, broadcast as plain bytes of bounded
+    size that tasks look into without a copy."""
+
+    def __init__(self, spark: SparkSession, blocks: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.sent = [(bits, i, len(h), spark.sparkContext.broadcast(h.tobytes() + v.astype(np.float32).tobytes()))
+                     for bits, i, h, v in blocks]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The value of each hash; not a number where it is in none of these blocks."""
+        out = np.full(len(h), np.nan, np.float32)
+        for bits, i, n, sent in self.sent:
+            rows = np.flatnonzero((h >> np.uint64(64 - bits)) == i) if bits else np.arange(len(h))
+            if not n or not len(rows):
+                continue
+            hashes, values = np.frombuffer(sent.value, np.uint64, n), np.frombuffer(sent.value, np.float32, n, 8 * n)
+            at = np.minimum(np.searchsorted(hashes, h[rows]), n - 1)
+            known = hashes[at] == h[rows]
+            out[rows[known]] = values[at[known]]
+        return out
+
+
+def blocks_of(table: DataFrame, value: str, block: int, at_once: int) -> Iterator[Blocks]:
+    """A written table of packed rows ``(n, h, value)`` by ranges of the hash: at most
+    about ``block`` entries are on the driver at a time, and ``at_once`` blocks are
+    given out together."""
+    table = table.select("n", "h", value)
+    bits = max(0, int(np.ceil(np.log2(max(1, (table.agg(F.sum("n")).first()[0] or 0) / block)))))
+    held = []
+    for i in range(1 << bits):
+        def part(b: pa.RecordBatch, i=i) -> pa.RecordBatch:
+            h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64)
+            v = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32)
+            mine = (h >> np.uint64(64 - bits)) == i if bits else np.ones(len(h), bool)
+            return pa.RecordBatch.from_arrays([pa.array(h[mine].view(np.int64)), pa.array(v[mine])], names=["h", "v"])
+        rows = map_batches(table, part, "h bigint, v float").toArrow()
+        h, v = np.array(rows["h"]).view(np.uint64), np.array(rows["v"], np.float32)
+        order = np.argsort(h)
+        held.append((bits, i, h[order], v[order]))
+        del rows, h, v, order
+        if len(held) == at_once or i + 1 == 1 << bits:
+            yield Blocks(table.sparkSession, held)
+            held = []
+
+
+_LEVEL = "lang string, half int, g binary, own binary, rest binary, below binary"
+_ENTRIES = "n bigint, lang string, half int, g binary, h binary, logp binary, gain binary"
+
+
+def _as_rows(rows: list[tuple], names: str) -> pa.RecordBatch | None:
+    """Packed rows: arrays become bytes."""
+    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    schema = pa.schema([(f, types[t]) for f, t in fields])
+    return pa.RecordBatch.from_pylist([{f: x.tobytes() if isinstance(x, np.ndarray) else x for (f, _), x in zip(fields, r)}
+                                       for r in rows], schema) if rows else None
+
+
+def _filled(sent: Blocks, k: int, bits: int):
+    """Into packed rows of level ``k``: the log probability of each n-gram's suffix."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for lang, side, g, own, rest, below in zip(*(c.to_pylist() for c in b.columns)):
+            low = np.frombuffer(g, np.int64) & ((1 << bits * (k - 1)) - 1)
+            found, known = sent.find(hashed(lang, side, k - 1, low)), np.frombuffer(below, np.float32)
+            out.append((lang, side, g, own, rest, np.where(np.isnan(known), found, known)))
+        return _as_rows(out, _LEVEL)
+    return run
+
 
+def _entries(k: int):
+    """Model entries of packed rows of level ``k``: ``logp`` of an n-gram and its gain over its suffix."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for lang, side, g, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            own, rest, below = (np.frombuffer(x, np.float32).astype(np.float64) for x in rest)
+            less = rest * np.exp(below)
+            p, x = own + less, np.frombuffer(g, np.int64)
+            out.append((len(x), lang, side, g, hashed(lang, side, k, x), np.log(p).astype(np.float32), np.log(p / less).astype(np.float32)))
+        return _as_rows(out, _ENTRIES)
+    return run
 
-def model_tables(top: DataFrame, order: int, shared: bool) -> tuple[list[DataFrame], dict[tuple[str | None, int], float]]:
-    """Tables ``(lang, half, tag, g, logp, gain)`` of every order (tag: the order) and
-    of contexts (tag: minus the order, ``gain`` only), and the log probability of an
-    unknown word by language and half. ``shared``: only what both halves have."""
+
+def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once: int
+                 ) -> tuple[list[DataFrame], dict[tuple[str | None, int], float]]:
+    """Tables of packed model entries ``(n, lang, half, g, h, logp, gain)``: contexts
+    (``gain`` only) and n-grams of every order, the highest order last, and the log
+    probability of an unknown word by language and half. ``shared``: only what both
+    halves have."""
     bits, parts = width(order), int(top.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels: dict[int, DataFrame] = {}
     for k in range(order, 0, -1):
         levels[k] = _merged(top if k == order else levels[k + 1].filter("what = 'n'"), k, bits, parts, shared)
-        top = None
-        _release(levels[k])
     tables, unknown, lower = [], {}, None
     for k in range(1, order + 1):
         sums: dict[tuple[str | None, int], np.ndarray] = {}
-        for r in levels[k].filter("what = 'sums'").toLocalIterator():
+        for r in levels[k].filter("what = 'sums'").select("lang", "half", "data").toLocalIterator():
             at = (r["lang"], r["half"])
             sums[at] = sums.get(at, 0) + unpack(r["data"])[0]
         spare: dict[tuple[str | None, int], float] = {}
@@ -259,9 +352,9 @@ def model_tables(top: DataFrame, order: int, shared: bool) -> tuple[list[DataFra
                 spare[at] = float(left / c[4] / (c[5] + 1)) if c[4] else 1.0
                 unknown[at] = float(np.log(spare[at]))
 
-        def rows(b: pa.RecordBatch, k=k, sums=sums, disc=disc, spare=spare) -> pa.RecordBatch:
+        def rows(b: pa.RecordBatch, k=k, sums=sums, disc=disc, spare=spare) -> pa.RecordBatch | None:
             out = []
-            for lang, data, ctx in zip(b.column(0).to_pylist(), b.column(4), b.column(5)):
+            for lang, data, ctx in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 x = unpack(data.as_py())
                 if k > 1:
                     all_ctx = unpack(ctx.as_py())
@@ -269,129 +362,109 @@ def model_tables(top: DataFrame, order: int, shared: bool) -> tuple[list[DataFra
                 for h in (0, 1):
                     n, d = x[1 + h], disc[lang, h]
                     here = n > 0
+                    if not here.any():
+                        continue
                     if k == 1:
                         total, rest = sums[lang, h][4], np.full(here.sum(), spare[lang, h])
                     else:
                         per = per_ctx[4 * h:4 * h + 4, here]
                         total, rest = per[0], d @ per[1:] / per[0]
                     own = (n[here] - _given(n[here], d)) / total
-                    m = int(here.sum())
-                    out.append(pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array([h] * m, pa.int32()),
-                                                           pa.array(x[0][here]), pa.array(own, pa.float32()), pa.array(rest, pa.float32())], schema=schema))
-            return pa.Table.from_batches(out, schema).combine_chunks().to_batches()[0] if sum(map(len, out)) else None
+                    below = np.full(len(own), 0.0 if k == 1 else np.nan, np.float32)
+                    out.append((lang, h, x[0][here], own.astype(np.float32), rest.astype(np.float32), below))
+            return _as_rows(out, _LEVEL)
 
-        def contexts(b: pa.RecordBatch, k=k, disc=disc) -> pa.RecordBatch:
+        def contexts(b: pa.RecordBatch, k=k, disc=disc) -> pa.RecordBatch | None:
             out = []
-            for lang, data in zip(b.column(0).to_pylist(), b.column(5)):
+            for lang, data in zip(b.column(0).to_pylist(), b.column(2)):
                 x = unpack(data.as_py())
                 for h in (0, 1):
                     per = x[1 + 4 * h:5 + 4 * h]
                     here = per[0] > 0
-                    m = int(here.sum())
-                    back = np.log(disc[lang, h] @ per[1:, here] / per[0, here])
-                    out.append(pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array([h] * m, pa.int32()),
-                                                           pa.array([-k] * m, pa.int32()), pa.array(x[0][here]), pa.array(back)],
-                                                          names=["lang", "half", "tag", "g", "gain"]))
-            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else None
-
-        schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("g", pa.int64()), ("own", pa.float32()), ("rest", pa.float32())])
-        t = map_batches(levels[k].filter("what = 'own'"), rows, "lang string, half int, g bigint, own float, rest float", 1)
-        if k == 1:
-            t = t.withColumns({"p": F.col("own").cast("double") + F.col("rest"), "less": F.col("rest").cast("double")})
-        else:
-            below = lower.select(F.col("lang").alias("l"), F.col("half").alias("h"), F.col("g").alias("low"), F.exp("logp").alias("below"))
-            t = t.withColumn("suffix", F.col("g").bitwiseAND(F.lit((1 << bits * (k - 1)) - 1)))
-            t = t.join(below, F.col("lang").eqNullSafe(F.col("l")) & (F.col("half") == F.col("h")) & (F.col("suffix") == F.col("low")))
-            t = t.withColumn("less", F.col("rest") * F.col("below")).withColumn("p", F.col("own") + F.col("less"))
-            back = map_batches(levels[k].filter("what = 'own'"), contexts, "lang string, half int, tag int, g bigint, gain double", 1)
-            tables.append(back.select("lang", "half", "tag", "g", F.lit(None).cast("double").alias("logp"), "gain"))
-        lower = t.select("lang", "half", F.lit(k).alias("tag"), "g", F.log("p").alias("logp"), F.log(F.col("p") / F.col("less")).alias("gain"))
+                    if here.any():
+                        back = np.log(disc[lang, h] @ per[1:, here] / per[0, here]).astype(np.float32)
+                        out.append((len(back), lang, h, x[0][here], hashed(lang, h, -k, x[0][here]), None, back))
+            return _as_rows(out, _ENTRIES)
+
+        own = levels[k].filter("what = 'own'").select("lang", "data", "contexts")
+        if k > 1:
+            tables.append(map_batches(own, contexts, _ENTRIES, 1))
+        t = map_batches(own, rows, _LEVEL, 1)
+        for sent in blocks_of(lower, "logp", block, at_once) if k > 1 else ():
+            t = map_batches(t, _filled(sent, k, bits), _LEVEL, 1)
+        lower = map_batches(t, _entries(k), _ENTRIES, 1)
+        if k < order:
+            lower = written(lower, f"level{k}")
         tables.append(lower)
     return tables, unknown
 
 
 def kneser_ney(top: DataFrame, order: int) -> DataFrame:
     """``(lang, half, g, logp)`` for every highest-order n-gram of a model."""
-    return model_tables(top, order, False)[0][-1].select("lang", "half", "g", "logp")
-
-
-def hashed(lang: str | None, half: int, tag: int, g: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the n-grams of a model."""
-    salt = 0x51ED270B + 2 * (tag + 64) + half
-    for b in ("?" if lang is None else "=" + lang).encode("utf-8"):
-        salt = (salt * 0x100000001B3 ^ b) & 0xFFFFFFFFFFFFFFFF
-    return mix(g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(np.array([salt], np.uint64)))
-
-
-def model_blocks(model: DataFrame, block: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(bits, number, sorted hashes, log probabilities) of each block; at most
-    about ``block`` entries of the model are on the driver at a time."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        h, g = np.zeros(b.num_rows, np.uint64), np.array(b.column("g"), np.int64)
-        names = b.column("lang").dictionary_encode()
-        lang, side, tag = np.array(names.indices.fill_null(-1)), np.array(b.column("half")), np.array(b.column("tag"))
-        key = (lang * 2 + side) * 256 + tag + 64
-        for x in np.unique(key):
-            mine = key == x
-            i = np.argmax(mine)
-            h[mine] = hashed(None if lang[i] < 0 else names.dictionary[int(lang[i])].as_py(), int(side[i]), int(tag[i]), g[mine])
-        gain = np.array(b.column("gain"), np.float32)
-        return pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64()), pa.array([h.tobytes()], pa.binary()),
-                                           pa.array([gain.tobytes()], pa.binary())], names=["n", "h", "gain"])
-
-    table = cut(map_batches(model, run, "n bigint, h binary, gain binary"))
-    _release(table)
-    bits = max(0, int(np.ceil(np.log2(max(1, (table.agg(F.sum("n")).first()[0] or 0) / block)))))
-    for i in range(1 << bits):
-        def part(b: pa.RecordBatch, i=i) -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64)
-            gain = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32)
-            mine = (h >> np.uint64(64 - bits)) == i if bits else np.ones(len(h), bool)
-            return pa.RecordBatch.from_arrays([pa.array(h[mine].view(np.int64)), pa.array(gain[mine])], names=["h", "logp"])
-        rows = map_batches(table, part, "h bigint, logp float").toArrow()
-        h, p = np.array(rows["h"]).view(np.uint64), np.array(rows["logp"], np.float32)
-        order = np.argsort(h)
-        yield bits, i, h[order], p[order]
-
+        g, logp = (np.frombuffer(b.column(i)[0].as_py(), t) for i, t in ((2, np.int64), (3, np.float32)))
+        return pa.RecordBatch.from_arrays([pa.array([b.column(0)[0].as_py()] * len(g), pa.string()), pa.array([b.column(1)[0].as_py()] * len(g), pa.int32()),
+                                           pa.array(g), pa.array(logp.astype(np.float64))], names=["lang", "half", "g", "logp"])
+    found = model_tables(top, order, False, 4_000_000, 4)[0][-1].select("lang", "half", "g", "logp")
+    return map_batches(found, run, "lang string, half int, g bigint, logp double", 1)
+
+
+def _runs(found: Iterable[tuple[int, str | None, np.ndarray]]) -> Iterator[tuple[str | None, int, np.ndarray, np.ndarray]]:
+    """N-grams of texts ``(row, language, n-grams)`` with their rows, by language and
+    half, at most about ``SLICE`` at a time; a longer text comes in several pieces."""
+    held: dict[tuple[str | None, int], list[tuple[int, np.ndarray]]] = {}
+    size: dict[tuple[str | None, int], int] = {}
+
+    def joined(key: tuple[str | None, int]) -> tuple[str | None, int, np.ndarray, np.ndarray]:
+        pieces, size[key] = held.pop(key), 0
+        return *key, np.concatenate([x for _, x in pieces]), np.repeat([i for i, _ in pieces], [len(x) for _, x in pieces])
+
+    for i, lang, g in found:
+        if not len(g):
+            continue
+        key = (lang, half(g))
+        for at in range(0, len(g), SLICE):
+            held.setdefault(key, []).append((i, g[at:at + SLICE]))
+            size[key] = size.get(key, 0) + len(held[key][-1][1])
+            if size[key] >= SLICE:
+                yield joined(key)
+    for key in list(held):
+        yield joined(key)
+
+
+def _pass(sent: Blocks, order: int):
+    """Add these blocks' values to every document's sum."""
+    w = width(order)
 
-def _pass(sent: Shipped, order: int):
-    """Add a block's values to every document's sum."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        bits, number, hashes, logp = sent.get()
-        sums, at, w = b.column(b.num_columns - 1).to_pylist(), b.num_columns - 1, width(order)
-        for i, (lang, text) in enumerate(zip(b.column("lang").to_pylist(), b.column("text"))):
-            g = grams(text.as_py(), order)
-            if not len(g) or not len(hashes):
-                continue
-            other = 1 - half(g)
+        at = b.num_columns - 1
+        sums = np.array(b.column(at), np.float64)
+        texts = zip(b.column("lang").to_pylist(), b.column("text"))
+        for lang, side, g, row in _runs((i, lang, grams(t.as_py(), order)) for i, (lang, t) in enumerate(texts)):
+            g, which = np.unique(g, return_inverse=True)
+            gain = np.zeros(len(g), np.float64)
             for tag in (*range(1, order + 1), *range(-order, -1)):
                 x = g & ((1 << w * tag) - 1) if tag > 0 else (g >> w) & ((1 << w * (-tag - 1)) - 1)
-                x, n = np.unique(x, return_counts=True)
-                h = hashed(lang, other, tag, x)
-                if bits:
-                    mine = (h >> np.uint64(64 - bits)) == number
-                    h, n = h[mine], n[mine]
-                where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                known = hashes[where] == h
-                sums[i] += float(np.dot(logp[where[known]].astype(np.float64), n[known]))
+                gain += np.nan_to_num(sent.find(hashed(lang, 1 - side, tag, x)))
+            sums += np.bincount(row, gain[which], len(sums))
         return b.set_column(at, b.schema.field(at), pa.array(sums, pa.float64()))
     return run
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 2,
-            block: int = 4_000_000, above: float = 3.0, below: float = 12.0, least: float = 0.02, min_docs: int = 20) -> DataFrame:
+            block: int = 4_000_000, at_once: int = 4, above: float = 3.0, below: float = 12.0, least: float = 0.02, min_docs: int = 20) -> DataFrame:
     """One row per document: ``doc_id``, ``lang``, the base counts, ``base_failed``,
     ``log_perplexity`` (null without words), its language's ``low`` and ``high``
     band, and ``kept``."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    spark, id_type = docs.sparkSession, dict(d.dtypes)["doc_id"]
-    tables, unknown = model_tables(count_grams(d, order), order, True)
-    model = reduce(DataFrame.unionByName, (t.drop("logp") for t in tables))
+    id_type = dict(d.dtypes)["doc_id"]
+    tables, unknown = model_tables(count_grams(d, order), order, True, block, at_once)
+    model = written(reduce(DataFrame.unionByName, (t.select("n", "h", "gain") for t in tables)), "model")
 
     scored = d.withColumn("logp", F.lit(0.0))
     schema = f"doc_id {id_type}, lang string, text string, logp double"
-    for found in model_blocks(model, block):
-        scored = map_batches(scored, _pass(Shipped(spark, found), order), schema)
+    for sent in blocks_of(model, "gain", block, at_once):
+        scored = map_batches(scored, _pass(sent, order), schema)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -411,14 +484,25 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "log_perplexity": F.when(F.col("per") > 0, -F.col("logp") / F.col("per"))})
     cuts = F.percentile_approx("log_perplexity", [i / 50 for i in range(51)], 10_000)
-    bands = rows.filter(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), cuts.alias("q"))
+    judged = rows.filter(~F.col("base_failed")).select("lang", "log_perplexity")
+    sizes = cut(judged.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).select(
+        F.col("lang").alias("l"), (F.col("texts") < min_docs).alias("small")))
+    sizes = broadcast_if_small(sizes, sizes.count())
+
+    def pooled(df: DataFrame) -> DataFrame:
+        """With ``small`` (its language has the common band) and ``name``, else its language."""
+        df = df.join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
+        return df.withColumn("small", F.coalesce("small", F.lit(True))).withColumn("name", F.when(~F.col("small"), F.col("lang")))
+
+    bands = pooled(judged).groupBy("small", "name").agg(F.count(F.lit(1)).alias("n"), cuts.alias("q"))
     shortest = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.struct(
         F.element_at("q", i + 26) - F.element_at("q", i + 1), (F.element_at("q", i + 26) + F.element_at("q", i + 1)) / 2)))
     bands = bands.filter(F.col("n") >= min_docs).withColumn("half", shortest)
     spread = F.greatest(F.col("half")["col1"] / 1.349, F.lit(least))
-    bands = cut(bands.select(F.col("lang").alias("l"), (F.col("half")["col2"] - spread * below).alias("low"),
+    bands = cut(bands.select(F.col("small").alias("s"), F.col("name").alias("l"), (F.col("half")["col2"] - spread * below).alias("low"),
                              (F.col("half")["col2"] + spread * above).alias("high")))
-    rows = rows.join(broadcast_if_small(bands, bands.count()), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
+    rows = pooled(rows).join(broadcast_if_small(bands, bands.count()),
+                             (F.col("small") == F.col("s")) & F.col("name").eqNullSafe(F.col("l")), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return rows.select(F.col("doc_id").alias(doc_id), F.col("lang").alias(lang), *names, "base_failed",
                        (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", "low", "high")

@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyrank.llm import chat_format, decontaminate, fixity, langid, mixing, perplexity, secret_scan, simhash, toxicity
 from tallyrank.llm.components import components
@@ -240,6 +242,77 @@ def test_quality_rejects_junk_and_foreign_texts(spark):
     assert sum(kept[r[0]] for r in rows[:160]) >= 156
 
 
+def _scores_by_hand(rows):
+    """Log probability per said word of every text under the other half's bigram
+    model, with dictionaries of words instead of packed hashes."""
+    texts = [((t or "").lower().split(), lang) for _, t, lang in rows]
+    side = [perplexity.half(perplexity.grams(t, 2)) if t else 0 for _, t, _ in rows]
+    pairs = [list(zip(["<"] + w, w + [">"])) if w else [] for w, _ in texts]
+    models = {}
+    for key in {(lang, h) for (_, lang) in texts for h in (0, 1)}:
+        two = Counter(p for ps, (_, lang), h in zip(pairs, texts, side) if (lang, h) == key for p in ps)
+        one = Counter(w for _, w in two)
+        discount = []
+        for n in (one, two):
+            c = [sum(x == i for x in n.values()) for i in (1, 2, 3, 4)]
+            y = c[0] / max(1, c[0] + 2 * c[1])
+            discount.append([max(0.1, min(i - (i + 1) * y * c[i] / c[i - 1] if c[0] and c[i - 1] else 0.5 * i, i - 0.05)) for i in (1, 2, 3)])
+        taken = [lambda n, d=d: d[min(n, 3) - 1] if n else 0.0 for d in discount]
+        total = sum(one.values())
+        spare = sum(map(taken[0], one.values())) / total / (len(one) + 1) if total else 1.0
+        after = {}
+        for (v, _), n in two.items():
+            after.setdefault(v, []).append(n)
+
+        def p(v, w, one=one, two=two, taken=taken, total=total, spare=spare, after=after):
+            low = spare + ((one[w] - taken[0](one[w])) / total if total else 0.0)
+            if v not in after:
+                return low
+            n = two[v, w]
+            return (n - taken[1](n) + sum(map(taken[1], after[v])) * low) / sum(after[v])
+        models[key] = p
+    out = []
+    for ps, (words, lang), h in zip(pairs, texts, side):
+        said = max(1, sum(any(c.isalnum() for c in w) for w in words))
+        out.append(-sum(math.log(models[lang, 1 - h](v, w)) for v, w in ps) / said if ps else None)
+    return out
+
+
+def test_quality_scores_equal_a_model_by_hand(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 90), weights=[1 / (j + 1) for j in range(60)])), rnd.choice(["a", "b", None]))
+            for i in range(80)]
+    rows += [(100, None, "a"), (101, "", "a"), (102, "only one of its language", "c"), (103, " ".join(["w1"] * 3000), "a"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    want = sorted((i, -1.0 if x is None else round(x, 4)) for (i, _, _), x in zip(rows, _scores_by_hand(rows)))
+    for block, at_once in ((4_000_000, 4), (200, 2)):
+        got = sorted((r.doc_id, -1.0 if r.log_perplexity is None else r.log_perplexity)
+                     for r in perplexity.quality(docs, block=block, at_once=at_once).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert max(abs(g[1] - w[1]) for g, w in zip(got, want)) < 2e-4
+    monkeypatch.setattr(perplexity, "SLICE", 64)      # long texts in several pieces
+    side, pieces = perplexity.half(perplexity.grams(rows[1][1] * 9, 2)), list(
+        perplexity._runs([(0, "a", perplexity.grams(rows[1][1] * 9, 2)), (1, "b", perplexity.grams("", 2))]))
+    assert sum(len(g) for _, _, g, _ in pieces) == len(perplexity.grams(rows[1][1] * 9, 2))
+    assert all(h == side and len(g) <= 64 for _, h, g, _ in pieces) and len(pieces) > 1
+
+
+def test_small_languages_share_a_band_and_empty_tables_pass(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(f"{lang}{i}", " ".join(rnd.choices(words, k=120)), lang) for lang in ("a", "b", "c", None) for i in range(9)]
+    rows += [(f"d{i}", " ".join(rnd.choices(words, k=120)), "d") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").withColumn("low", F.lit("clash"))
+    got = {r.doc_id: r for r in perplexity.quality(docs).collect()}
+    bands = {(r.low, r.high) for x, r in got.items() if x[0] != "d"}
+    assert len(got) == len(rows) and len(bands) == 1 and None not in next(iter(bands))
+    assert {(r.low, r.high) for x, r in got.items() if x[0] == "d"} != bands
+    few = perplexity.quality(docs.filter("lang = 'a'")).collect()
+    assert all(r.kept and r.low is None for r in few) and len(few) == 9
+    assert perplexity.quality(docs.filter("false")).collect() == []
+
+
 def test_model_is_of_words_and_of_other_texts():
     """A word is one symbol whatever its length, and the longest words count whole."""
     g = perplexity.grams("Alpha beta alpha beta", 2)
