@@ -237,61 +237,78 @@ def _given(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(n > 0, d[np.clip(n, 1, 3) - 1], 0.0)
 
 
-def hashed(lang: str | None, half: int, tag: int, g: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the n-grams of a model."""
-    salt = 0x51ED270B + 2 * (tag + 64) + half
+def hashed(lang: str | None, tag: int, g: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams of a language's models."""
+    salt = 0x51ED270B + tag + 64
     for b in ("?" if lang is None else "=" + lang).encode("utf-8"):
         salt = (salt * 0x100000001B3 ^ b) & 0xFFFFFFFFFFFFFFFF
     return mix(g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(np.array([salt], np.uint64)))
 
 
+def _packed_values(h: np.ndarray, v: np.ndarray) -> bytes:
+    """Hashes, sorted here, with a value (float32) for each half."""
+    order = np.argsort(h)
+    return pack(h[order].view(np.int64), *v[:, order].view(np.uint32))
+
+
+def _values(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = unpack(data)
+    return x[0].view(np.uint64), x[1:].astype(np.uint32).view(np.float32)
+
+
 class Blocks:
-    """Blocks of a table of hashes with values, broadcast as plain bytes of bounded
-    size that tasks look into without a copy."""
+    """Blocks of a table of hashes with values, broadcast as packed bytes of bounded
+    size; a task's process opens each once."""
 
-    def __init__(self, spark: SparkSession, blocks: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        self.sent = [(bits, i, len(h), spark.sparkContext.broadcast(h.tobytes() + v.astype(np.float32).tobytes()))
-                     for bits, i, h, v in blocks]
+    def __init__(self, spark: SparkSession, blocks: list[tuple[int, int, bytes]]):
+        self.sent = [(bits, i, spark.sparkContext.broadcast(data)) for bits, i, data in blocks]
+        self.opened: list | None = None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "opened": None}
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The value of each hash; not a number where it is in none of these blocks."""
-        out = np.full(len(h), np.nan, np.float32)
-        for bits, i, n, sent in self.sent:
+        """The values of each hash by half; not a number where it is in none of these blocks."""
+        if self.opened is None:
+            self.opened = [(bits, i, *_values(sent.value)) for bits, i, sent in self.sent]
+        out = np.full((2, len(h)), np.nan, np.float32)
+        for bits, i, hashes, values in self.opened:
             rows = np.flatnonzero((h >> np.uint64(64 - bits)) == i) if bits else np.arange(len(h))
-            if not n or not len(rows):
+            if not len(hashes) or not len(rows):
                 continue
-            hashes, values = np.frombuffer(sent.value, np.uint64, n), np.frombuffer(sent.value, np.float32, n, 8 * n)
-            at = np.minimum(np.searchsorted(hashes, h[rows]), n - 1)
+            at = np.minimum(np.searchsorted(hashes, h[rows]), len(hashes) - 1)
             known = hashes[at] == h[rows]
-            out[rows[known]] = values[at[known]]
+            out[:, rows[known]] = values[:, at[known]]
         return out
 
 
 def blocks_of(table: DataFrame, value: str, block: int, at_once: int) -> Iterator[Blocks]:
-    """A written table of packed rows ``(n, h, value)`` by ranges of the hash: at most
+    """A written table of packed rows ``(n, value)`` by ranges of the hash: at most
     about ``block`` entries are on the driver at a time, and ``at_once`` blocks are
     given out together."""
-    table = table.select("n", "h", value)
+    table = table.select("n", value)
     bits = max(0, int(np.ceil(np.log2(max(1, (table.agg(F.sum("n")).first()[0] or 0) / block)))))
     held = []
     for i in range(1 << bits):
         def part(b: pa.RecordBatch, i=i) -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64)
-            v = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32)
-            mine = (h >> np.uint64(64 - bits)) == i if bits else np.ones(len(h), bool)
-            return pa.RecordBatch.from_arrays([pa.array(h[mine].view(np.int64)), pa.array(v[mine])], names=["h", "v"])
-        rows = map_batches(table, part, "h bigint, v float").toArrow()
-        h, v = np.array(rows["h"]).view(np.uint64), np.array(rows["v"], np.float32)
-        order = np.argsort(h)
-        held.append((bits, i, h[order], v[order]))
-        del rows, h, v, order
+            out = []
+            for data in b.column(1).to_pylist():
+                h, v = _values(data)
+                lo, hi = np.searchsorted(h >> np.uint64(64 - bits), [i, i + 1]) if bits else (0, len(h))
+                out.append(_packed_values(h[lo:hi], v[:, lo:hi]))
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
+        found = [_values(x.as_py()) for x in map_batches(table, part, "data binary").toArrow()["data"]]
+        h = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
+        v = np.concatenate([np.zeros((2, 0), np.float32), *(v for _, v in found)], axis=1)
+        held.append((bits, i, _packed_values(h, v)))
+        del found, h, v
         if len(held) == at_once or i + 1 == 1 << bits:
             yield Blocks(table.sparkSession, held)
             held = []
 
 
-_LEVEL = "lang string, half int, g binary, own binary, rest binary, below binary"
-_ENTRIES = "n bigint, lang string, half int, g binary, h binary, logp binary, gain binary"
+_LEVEL = "lang string, g binary, own binary, rest binary, below binary"
+_ENTRIES = "n bigint, lang string, g binary, logp binary, gain binary"
 
 
 def _as_rows(rows: list[tuple], names: str) -> pa.RecordBatch | None:
@@ -303,14 +320,18 @@ def _as_rows(rows: list[tuple], names: str) -> pa.RecordBatch | None:
                                        for r in rows], schema) if rows else None
 
 
+def _halves(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float32).reshape(2, -1)
+
+
 def _filled(sent: Blocks, k: int, bits: int):
     """Into packed rows of level ``k``: the log probability of each n-gram's suffix."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for lang, side, g, own, rest, below in zip(*(c.to_pylist() for c in b.columns)):
+        for lang, g, own, rest, below in zip(*(c.to_pylist() for c in b.columns)):
             low = np.frombuffer(g, np.int64) & ((1 << bits * (k - 1)) - 1)
-            found, known = sent.find(hashed(lang, side, k - 1, low)), np.frombuffer(below, np.float32)
-            out.append((lang, side, g, own, rest, np.where(np.isnan(known), found, known)))
+            found, known = sent.find(hashed(lang, k - 1, low)), _halves(below)
+            out.append((lang, g, own, rest, np.where(np.isnan(known), found, known)))
         return _as_rows(out, _LEVEL)
     return run
 
@@ -319,21 +340,22 @@ def _entries(k: int):
     """Model entries of packed rows of level ``k``: ``logp`` of an n-gram and its gain over its suffix."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for lang, side, g, *rest in zip(*(c.to_pylist() for c in b.columns)):
-            own, rest, below = (np.frombuffer(x, np.float32).astype(np.float64) for x in rest)
+        for lang, g, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            own, rest, below = (_halves(x).astype(np.float64) for x in rest)
             less = rest * np.exp(below)
-            p, x = own + less, np.frombuffer(g, np.int64)
-            out.append((len(x), lang, side, g, hashed(lang, side, k, x), np.log(p).astype(np.float32), np.log(p / less).astype(np.float32)))
+            p, h = own + less, hashed(lang, k, np.frombuffer(g, np.int64))
+            out.append((len(h), lang, g, _packed_values(h, np.log(p).astype(np.float32)),
+                        _packed_values(h, np.log(p / less).astype(np.float32))))
         return _as_rows(out, _ENTRIES)
     return run
 
 
 def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once: int
                  ) -> tuple[list[DataFrame], dict[tuple[str | None, int], float]]:
-    """Tables of packed model entries ``(n, lang, half, g, h, logp, gain)``: contexts
-    (``gain`` only) and n-grams of every order, the highest order last, and the log
-    probability of an unknown word by language and half. ``shared``: only what both
-    halves have."""
+    """Tables of packed model entries ``(n, lang, g, logp, gain)``, values with their
+    hashes for both halves: contexts (``gain`` only) and n-grams of every order, the
+    highest order last; and the log probability of an unknown word by language and
+    half. ``shared``: only what both halves have."""
     bits, parts = width(order), int(top.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels: dict[int, DataFrame] = {}
     for k in range(order, 0, -1):
@@ -356,34 +378,37 @@ def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once:
             out = []
             for lang, data, ctx in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 x = unpack(data.as_py())
+                own, rest = np.full((2, 2, len(x[0])), np.nan, np.float32)
                 if k > 1:
                     all_ctx = unpack(ctx.as_py())
                     per_ctx = all_ctx[1:, np.searchsorted(all_ctx[0], x[0] >> bits)]
                 for h in (0, 1):
-                    n, d = x[1 + h], disc[lang, h]
-                    here = n > 0
+                    here = x[1 + h] > 0
                     if not here.any():
                         continue
+                    n, d = x[1 + h, here], disc[lang, h]
                     if k == 1:
-                        total, rest = sums[lang, h][4], np.full(here.sum(), spare[lang, h])
+                        total, rest[h, here] = sums[lang, h][4], spare[lang, h]
                     else:
                         per = per_ctx[4 * h:4 * h + 4, here]
-                        total, rest = per[0], d @ per[1:] / per[0]
-                    own = (n[here] - _given(n[here], d)) / total
-                    below = np.full(len(own), 0.0 if k == 1 else np.nan, np.float32)
-                    out.append((lang, h, x[0][here], own.astype(np.float32), rest.astype(np.float32), below))
+                        total, rest[h, here] = per[0], d @ per[1:] / per[0]
+                    own[h, here] = (n - _given(n, d)) / total
+                if len(x[0]):
+                    out.append((lang, x[0], own, rest, np.full(own.shape, 0.0 if k == 1 else np.nan, np.float32)))
             return _as_rows(out, _LEVEL)
 
         def contexts(b: pa.RecordBatch, k=k, disc=disc) -> pa.RecordBatch | None:
             out = []
             for lang, data in zip(b.column(0).to_pylist(), b.column(2)):
                 x = unpack(data.as_py())
+                back = np.full((2, len(x[0])), np.nan, np.float32)
                 for h in (0, 1):
                     per = x[1 + 4 * h:5 + 4 * h]
                     here = per[0] > 0
                     if here.any():
-                        back = np.log(disc[lang, h] @ per[1:, here] / per[0, here]).astype(np.float32)
-                        out.append((len(back), lang, h, x[0][here], hashed(lang, h, -k, x[0][here]), None, back))
+                        back[h, here] = np.log(disc[lang, h] @ per[1:, here] / per[0, here])
+                if len(x[0]):
+                    out.append((len(x[0]), lang, x[0], None, _packed_values(hashed(lang, -k, x[0]), back)))
             return _as_rows(out, _ENTRIES)
 
         own = levels[k].filter("what = 'own'").select("lang", "data", "contexts")
@@ -402,10 +427,13 @@ def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once:
 def kneser_ney(top: DataFrame, order: int) -> DataFrame:
     """``(lang, half, g, logp)`` for every highest-order n-gram of a model."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        g, logp = (np.frombuffer(b.column(i)[0].as_py(), t) for i, t in ((2, np.int64), (3, np.float32)))
-        return pa.RecordBatch.from_arrays([pa.array([b.column(0)[0].as_py()] * len(g), pa.string()), pa.array([b.column(1)[0].as_py()] * len(g), pa.int32()),
-                                           pa.array(g), pa.array(logp.astype(np.float64))], names=["lang", "half", "g", "logp"])
-    found = model_tables(top, order, False, 4_000_000, 4)[0][-1].select("lang", "half", "g", "logp")
+        lang, g = b.column(0)[0].as_py(), np.frombuffer(b.column(1)[0].as_py(), np.int64)
+        hashes, values = _values(b.column(2)[0].as_py())
+        logp = values[:, np.searchsorted(hashes, hashed(lang, order, g))].astype(np.float64)
+        side, at = np.nonzero(~np.isnan(logp))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(side.astype(np.int32)),
+                                           pa.array(g[at]), pa.array(logp[side, at])], names=["lang", "half", "g", "logp"])
+    found = model_tables(top, order, False, 4_000_000, 4)[0][-1].select("lang", "g", "logp")
     return map_batches(found, run, "lang string, half int, g bigint, logp double", 1)
 
 
@@ -445,7 +473,7 @@ def _pass(sent: Blocks, order: int):
             gain = np.zeros(len(g), np.float64)
             for tag in (*range(1, order + 1), *range(-order, -1)):
                 x = g & ((1 << w * tag) - 1) if tag > 0 else (g >> w) & ((1 << w * (-tag - 1)) - 1)
-                gain += np.nan_to_num(sent.find(hashed(lang, 1 - side, tag, x)))
+                gain += np.nan_to_num(sent.find(hashed(lang, tag, x))[1 - side])
             sums += np.bincount(row, gain[which], len(sums))
         return b.set_column(at, b.schema.field(at), pa.array(sums, pa.float64()))
     return run
@@ -459,7 +487,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     id_type = dict(d.dtypes)["doc_id"]
     tables, unknown = model_tables(count_grams(d, order), order, True, block, at_once)
-    model = written(reduce(DataFrame.unionByName, (t.select("n", "h", "gain") for t in tables)), "model")
+    model = written(reduce(DataFrame.unionByName, (t.select("n", "gain") for t in tables)), "model")
 
     scored = d.withColumn("logp", F.lit(0.0))
     schema = f"doc_id {id_type}, lang string, text string, logp double"
