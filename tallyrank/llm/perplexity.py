@@ -61,8 +61,8 @@ _SAID = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _HASHER = WordHasher(_GAP)
 #: Distinct n-grams a counting task holds before it passes them on.
 HELD = 1 << 21
-#: N-grams that a scoring task looks up at a time.
-SLICE = 1 << 20
+#: N-grams that a scoring task looks up at a time, and texts it takes together.
+SLICE, ROWS = 1 << 18, 1000
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -253,16 +253,16 @@ def _packed_values(h: np.ndarray, v: np.ndarray) -> bytes:
 
 def _values(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     x = unpack(data)
-    return x[0].view(np.uint64), x[1:].astype(np.uint32).view(np.float32)
+    return x[0].copy().view(np.uint64), x[1:].astype(np.uint32).view(np.float32)
 
 
 class Blocks:
-    """Blocks of a table of hashes with values, broadcast as packed bytes of bounded
-    size; a task's process opens each once."""
+    """Neighbouring blocks ``(entries, packed)`` of a table of hashes with values, broadcast
+    as bytes of bounded size; a task's process opens them once, into one sorted array."""
 
-    def __init__(self, spark: SparkSession, blocks: list[tuple[int, int, bytes]]):
-        self.sent = [(bits, i, spark.sparkContext.broadcast(data)) for bits, i, data in blocks]
-        self.opened: list | None = None
+    def __init__(self, spark: SparkSession, blocks: list[tuple[int, bytes]]):
+        self.sent = [(n, spark.sparkContext.broadcast(data)) for n, data in blocks]
+        self.opened: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
         return {"sent": self.sent, "opened": None}
@@ -270,16 +270,16 @@ class Blocks:
     def find(self, h: np.ndarray) -> np.ndarray:
         """The values of each hash by half; not a number where it is in none of these blocks."""
         if self.opened is None:
-            self.opened = [(bits, i, *_values(sent.value)) for bits, i, sent in self.sent]
-        out = np.full((2, len(h)), np.nan, np.float32)
-        for bits, i, hashes, values in self.opened:
-            rows = np.flatnonzero((h >> np.uint64(64 - bits)) == i) if bits else np.arange(len(h))
-            if not len(hashes) or not len(rows):
-                continue
-            at = np.minimum(np.searchsorted(hashes, h[rows]), len(hashes) - 1)
-            known = hashes[at] == h[rows]
-            out[:, rows[known]] = values[:, at[known]]
-        return out
+            size, at = sum(n for n, _ in self.sent), 0
+            self.opened = np.empty(size, np.uint64), np.empty((2, size), np.float32)
+            for n, sent in self.sent:
+                self.opened[0][at:at + n], self.opened[1][:, at:at + n] = _values(sent.value)
+                at += n
+        hashes, values = self.opened
+        if not len(hashes):
+            return np.full((2, len(h)), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return np.where(hashes[at] == h, values[:, at], np.float32(np.nan))
 
 
 def blocks_of(table: DataFrame, value: str, block: int, at_once: int) -> Iterator[Blocks]:
@@ -300,7 +300,7 @@ def blocks_of(table: DataFrame, value: str, block: int, at_once: int) -> Iterato
         found = [_values(x.as_py()) for x in map_batches(table, part, "data binary").toArrow()["data"]]
         h = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
         v = np.concatenate([np.zeros((2, 0), np.float32), *(v for _, v in found)], axis=1)
-        held.append((bits, i, _packed_values(h, v)))
+        held.append((len(h), _packed_values(h, v)))
         del found, h, v
         if len(held) == at_once or i + 1 == 1 << bits:
             yield Blocks(table.sparkSession, held)
@@ -433,7 +433,7 @@ def kneser_ney(top: DataFrame, order: int) -> DataFrame:
         side, at = np.nonzero(~np.isnan(logp))
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(side.astype(np.int32)),
                                            pa.array(g[at]), pa.array(logp[side, at])], names=["lang", "half", "g", "logp"])
-    found = model_tables(top, order, False, 4_000_000, 4)[0][-1].select("lang", "g", "logp")
+    found = model_tables(top, order, False, 2_000_000, 8)[0][-1].select("lang", "g", "logp")
     return map_batches(found, run, "lang string, half int, g bigint, logp double", 1)
 
 
@@ -460,27 +460,31 @@ def _runs(found: Iterable[tuple[int, str | None, np.ndarray]]) -> Iterator[tuple
         yield joined(key)
 
 
+def _sums(sent: Blocks, order: int, langs: list[str | None], found: list[np.ndarray]) -> np.ndarray:
+    """What these blocks add to the log probability of each text, given by its n-grams."""
+    w, sums = width(order), np.zeros(len(found))
+    for lang, side, g, row in _runs(zip(range(len(found)), langs, found)):
+        g, which = np.unique(g, return_inverse=True)
+        gain = np.zeros(len(g), np.float64)
+        for tag in (*range(1, order + 1), *range(-order, -1)):
+            x = g & ((1 << w * tag) - 1) if tag > 0 else (g >> w) & ((1 << w * (-tag - 1)) - 1)
+            gain += np.nan_to_num(sent.find(hashed(lang, tag, x))[1 - side])
+        sums += np.bincount(row, gain[which], len(sums))
+    return sums
+
+
 def _pass(sent: Blocks, order: int):
     """Add these blocks' values to every document's sum."""
-    w = width(order)
-
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         at = b.num_columns - 1
-        sums = np.array(b.column(at), np.float64)
-        texts = zip(b.column("lang").to_pylist(), b.column("text"))
-        for lang, side, g, row in _runs((i, lang, grams(t.as_py(), order)) for i, (lang, t) in enumerate(texts)):
-            g, which = np.unique(g, return_inverse=True)
-            gain = np.zeros(len(g), np.float64)
-            for tag in (*range(1, order + 1), *range(-order, -1)):
-                x = g & ((1 << w * tag) - 1) if tag > 0 else (g >> w) & ((1 << w * (-tag - 1)) - 1)
-                gain += np.nan_to_num(sent.find(hashed(lang, tag, x))[1 - side])
-            sums += np.bincount(row, gain[which], len(sums))
+        found = [grams(t.as_py(), order) for t in b.column("text")]
+        sums = np.array(b.column(at), np.float64) + _sums(sent, order, b.column("lang").to_pylist(), found)
         return b.set_column(at, b.schema.field(at), pa.array(sums, pa.float64()))
     return run
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 2,
-            block: int = 4_000_000, at_once: int = 4, above: float = 3.0, below: float = 12.0, least: float = 0.02, min_docs: int = 20) -> DataFrame:
+            block: int = 2_000_000, at_once: int = 8, above: float = 3.0, below: float = 12.0, least: float = 0.02, min_docs: int = 20) -> DataFrame:
     """One row per document: ``doc_id``, ``lang``, the base counts, ``base_failed``,
     ``log_perplexity`` (null without words), its language's ``low`` and ``high``
     band, and ``kept``."""
@@ -491,23 +495,24 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
     scored = d.withColumn("logp", F.lit(0.0))
     schema = f"doc_id {id_type}, lang string, text string, logp double"
-    for sent in blocks_of(model, "gain", block, at_once):
-        scored = map_batches(scored, _pass(sent, order), schema)
+    passes = blocks_of(model, "gain", block, at_once)
+    last = next(passes)
+    for sent in passes:
+        scored, last = map_batches(scored, _pass(last, order), schema, ROWS), sent
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t.as_py() for t in b.column(2)]
-        counts = list(zip(*map(base_counts, texts)))
-        found = [(grams(t, order), said_words(t)) for t in texts]
-        base = [len(g) * unknown.get((lang, 1 - half(g)), 0.0) if len(g) else 0.0
-                for lang, (g, _) in zip(b.column(1).to_pylist(), found)]
-        logp = [x + y for x, y in zip(b.column(3).to_pylist(), base)]
-        per = [max(1, n) if len(g) else 0 for g, n in found]
+        """The last pass, and the base counts with it."""
+        langs, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+        found, counts = [grams(t, order) for t in texts], list(zip(*map(base_counts, texts)))
+        base = [len(g) * unknown.get((lang, 1 - half(g)), 0.0) if len(g) else 0.0 for lang, g in zip(langs, found)]
+        logp = np.array(b.column(3), np.float64) + _sums(last, order, langs, found) + base
+        per = [max(1, said_words(t)) if len(g) else 0 for t, g in zip(texts, found)]
         return pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(logp, pa.float64()), pa.array(per, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)],
             names=["doc_id", "lang", "logp", "per", *names])
     rows = cut(map_batches(scored, count, f"doc_id {id_type}, lang string, logp double, per bigint, "
-                           + ", ".join(f"{c} bigint" for c in names)))
+                           + ", ".join(f"{c} bigint" for c in names), ROWS))
     rows = rows.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "log_perplexity": F.when(F.col("per") > 0, -F.col("logp") / F.col("per"))})
