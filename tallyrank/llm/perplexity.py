@@ -350,6 +350,15 @@ def _entries(k: int):
     return run
 
 
+def _in_turn(*steps):
+    """Functions of a batch as one, so that one process runs them."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        for step in steps:
+            b = step(b) if b is not None and b.num_rows else None
+        return b
+    return run
+
+
 def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once: int
                  ) -> tuple[list[DataFrame], dict[tuple[str | None, int], float]]:
     """Tables of packed model entries ``(n, lang, g, logp, gain)``, values with their
@@ -414,10 +423,12 @@ def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once:
         own = levels[k].filter("what = 'own'").select("lang", "data", "contexts")
         if k > 1:
             tables.append(map_batches(own, contexts, _ENTRIES, 1))
-        t = map_batches(own, rows, _LEVEL, 1)
-        for sent in blocks_of(lower, "logp", block, at_once) if k > 1 else ():
-            t = map_batches(t, _filled(sent, k, bits), _LEVEL, 1)
-        lower = map_batches(t, _entries(k), _ENTRIES, 1)
+        t, steps = own, [rows]
+        for i, sent in enumerate(blocks_of(lower, "logp", block, at_once) if k > 1 else ()):
+            if i:       # one process holds the blocks of one pass
+                t, steps = map_batches(t, _in_turn(*steps), _LEVEL, 1), []
+            steps.append(_filled(sent, k, bits))
+        lower = map_batches(t, _in_turn(*steps, _entries(k)), _ENTRIES, 1)
         if k < order:
             lower = written(lower, f"level{k}")
         tables.append(lower)
