@@ -192,13 +192,13 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, _PACKED)
 
 
-def _merged(packed: DataFrame, k: int, bits: int, parts: int, shared: bool) -> DataFrame:
+def _merged(packed: DataFrame, k: int, bits: int, shared: bool) -> DataFrame:
     """Counts of ``k``-grams put together by part. Rows of ``what``: ``own`` (n-grams
     with their counts in both halves, and contexts, for each half with the sum of
     counts and how many are 1, 2, more), ``sums`` (n-grams counted 1, 2, 3, 4 times,
     sum of counts, n-grams) and ``n`` (suffixes with their continuation counts)."""
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        lang, part, out, found = key[0].as_py(), key[1].as_py(), [], []
+        lang, part, out, found, size = key[0].as_py(), key[1].as_py(), [], [], [0, 0]
         for h in (0, 1):
             mine = [unpack(x) for x, i in zip(t.column("data").to_pylist(), t.column("half").to_pylist()) if i == h]
             found.append(_summed(*np.concatenate(mine or [np.zeros((2, 0), np.int64)], axis=1)))
@@ -209,7 +209,8 @@ def _merged(packed: DataFrame, k: int, bits: int, parts: int, shared: bool) -> D
             out.append((h, part, "sums", pack(np.array([*((m == i).sum() for i in (1, 2, 3, 4)), m.sum(), len(m)]))))
             if k > 1:
                 low = _summed(np.sort(x & ((1 << bits * (k - 1)) - 1)), np.ones(len(x), np.int64))
-                out += [(h, i, "n", data) for i, data in _blobs(*low, k - 1, bits, parts)]
+                out.append((h, part, "n", pack(*low)))
+                size[h] = len(low[0])
         more = b""
         if k > 1:
             ctx, at = np.unique(g >> bits, return_inverse=True)
@@ -221,9 +222,23 @@ def _merged(packed: DataFrame, k: int, bits: int, parts: int, shared: bool) -> D
         h, i, what, data = zip(*out)
         return pa.table([pa.array([lang] * len(out), pa.string()), pa.array(h, pa.int32()), pa.array(i, pa.int32()),
                          pa.array(what, pa.string()), pa.array(data, pa.binary()),
-                         pa.array([more if w == "own" else b"" for w in what], pa.binary())],
-                        names=["lang", "half", "part", "what", "data", "contexts"])
-    return written(packed.groupBy("lang", "part").applyInArrow(run, _PACKED + ", contexts binary"), f"grams{k}")
+                         pa.array([more if w == "own" else b"" for w in what], pa.binary()),
+                         pa.array([size[j] if w == "n" else 0 for j, w in zip(h, what)], pa.int64())],
+                        names=["lang", "half", "part", "what", "data", "contexts", "n"])
+    return written(packed.groupBy("lang", "part").applyInArrow(run, _PACKED + ", contexts binary, n bigint"), f"grams{k}")
+
+
+def _suffixes(level: DataFrame, k: int, bits: int) -> DataFrame:
+    """Packed counts of ``k``-grams out of the level above, dealt over as many parts as
+    their number asks for, not over the square of the partitions."""
+    rows = level.filter("what = 'n'").select("lang", "half", "data", "n")
+    parts = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // HELD))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        return _as_rows([(lang, side, i, "n", piece)
+                         for lang, side, data in zip(*(b.column(i).to_pylist() for i in (0, 1, 2)))
+                         for i, piece in _blobs(*unpack(data), k, bits, parts)], _PACKED)
+    return map_batches(rows, run, _PACKED, 1)
 
 
 def _discounts(c: np.ndarray) -> np.ndarray:
@@ -365,10 +380,10 @@ def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once:
     hashes for both halves: contexts (``gain`` only) and n-grams of every order, the
     highest order last; and the log probability of an unknown word by language and
     half. ``shared``: only what both halves have."""
-    bits, parts = width(order), int(top.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = width(order)
     levels: dict[int, DataFrame] = {}
     for k in range(order, 0, -1):
-        levels[k] = _merged(top if k == order else levels[k + 1].filter("what = 'n'"), k, bits, parts, shared)
+        levels[k] = _merged(top if k == order else _suffixes(levels[k + 1], k, bits), k, bits, shared)
     tables, unknown, lower = [], {}, None
     for k in range(1, order + 1):
         sums: dict[tuple[str | None, int], np.ndarray] = {}
