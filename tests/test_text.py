@@ -120,3 +120,17 @@ def test_every_update_line_is_parsed_or_rejected(spark):
     # numbered lines by number, then those without one
     order = [(r.op, r.seq.number) for r in ok.orderBy("seq").collect()]
     assert order == [(1, 4), (-1, 7), (1, None)]
+
+
+def test_lines_and_pairs_are_split_once_without_patterns(spark):
+    """Each text is cleaned and split once a row: no pattern runs over it, the filter does not split it again."""
+    from tallyrank.functions.text import adjacent_pairs, tokens
+    lines = spark.createDataFrame([("k" + US + "a b" + US * 2,), ("k" + US,), (US + "t",), (US,), ("",), ("nokey",), (None,)], "value string")
+    pages, rej = parse_pages(lines, with_rejects=True)
+    assert sorted(tuple(r) for r in pages.collect()) == [("", "t"), ("k", "a b")]
+    assert sorted(r.line for r in rej.collect() if r.line is not None) == ["", US, "k" + US, "nokey"]
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("split(") == 1
+    words = spark.createDataFrame([("a b a",), ("a",), ("",), ("  ",), (None,), ("x  y ",)], "text string").select(tokens("text").alias("w"))
+    pairs = words.select(F.inline_outer(adjacent_pairs("w"))).filter("src IS NOT NULL")
+    assert sorted(tuple(r) for r in pairs.collect()) == [("", "y"), ("a", "b"), ("b", "a"), ("x", "")]
