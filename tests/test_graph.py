@@ -106,3 +106,32 @@ def test_written_vectors_leave_no_catalog_entry_and_no_cache(spark):
     new = G.apply_edge_updates(e, ups)
     want = {r.node: [round(x, 9) for x in r.hist] for r in PR.pagerank_history(new, iters=3, keep="all").collect()}
     assert {r.node: [round(x, 9) for x in r.hist] for r in res.history(h).collect()} == want
+
+
+TEXT = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("c", "e"), ("a", "b"), ("e", ""), (None, "a")]
+
+
+def test_text_nodes_are_numbered_and_get_their_names_back(spark):
+    number = {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5, "": 6, None: None}
+    text = spark.createDataFrame(TEXT, "src string, dst string")
+    plain = edges_df(spark, [(number[s], number[d]) for s, d in TEXT])
+    assert G.number_nodes(plain) is None
+    edges, names = G.number_nodes(text)
+    assert edges.schema["src"].dataType.simpleString() == "bigint" and names.count() == 6
+    for run in (PR.pagerank, PR.pagerank_history, lambda e: PR.pagerank_history(e, keep="all"), lambda e: PR.pagerank(e, iters=0)):
+        flat = lambda df, of: {of(r[0]): [round(x, 9) for x in (r[1] if isinstance(r[1], list) else [r[1]])] for r in df.collect()}
+        assert flat(run(text), number.get) == flat(run(plain), lambda x: x)
+
+
+def test_names_that_share_a_number_stay_names(spark):
+    from pyspark.sql import functions as F
+    text = spark.createDataFrame(TEXT, "src string, dst string")
+    assert G.number_nodes(text, number=lambda c: F.length(c).cast("long")) is None
+
+
+def test_degrees_are_counted_once(spark):
+    links = G.prepare_links(edges_df(spark, EDGES))
+    deg = [d for d in links.held if d.columns == ["src", "outdeg"]]
+    assert len(deg) == 1 and deg[0].storageLevel.useMemory
+    assert sorted(r.node for r in links.nodes.collect()) == [1, 2, 3, 4, 5]
+    links.unpersist()
