@@ -88,3 +88,20 @@ def test_chained_batches_reuse_overlaid_links(spark):
     # a full run on the overlaid links equals one on a fresh preparation
     want = {r.node: round(r.rank, 9) for r in PR.pagerank(fresh, iters=4).collect()}
     assert {r.node: round(r.rank, 9) for r in PR.pagerank(links=links, iters=4).collect()} == want
+
+
+@pytest.mark.parametrize("ups, nodes, reads", [
+    ([(1, 1, 1, 9), (2, -1, 7, 8)], [1, 2, 3, 4, 9], False),             # nothing leaves
+    ([(1, -1, 3, 4), (2, -1, 1, 2), (3, 1, 4, 1)], [1, 2, 3, 4], True),   # 4 is added again, 2 keeps an edge, as does 3
+    ([(1, -1, 3, 4), (2, 1, 5, 5)], [1, 2, 3, 5], True)])                # 4 leaves
+def test_nodes_of_the_new_graph(spark, ups, nodes, reads, monkeypatch):
+    """Only ends of removed pairs are looked for among the edges; without any the edges are not read."""
+    from tallyrank.operators import delta
+    seen, explode = [], F.explode
+    monkeypatch.setattr(delta.F, "explode", lambda c: seen.append(c) or explode(c))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 3)], "src long, dst long")
+    log = spark.createDataFrame(ups, "seq int, op int, src long, dst long")
+    hist = PR.pagerank_history(edges, iters=2, keep="all")
+    res = pagerank_delta(edges, log, hist, iters=2)
+    assert sorted(r.node for r in res.nodes_new.collect()) == nodes
+    assert bool(seen) == reads
