@@ -276,3 +276,20 @@ def test_malformed_updates_are_kept_or_fail(spark, tmp):
     SP.init_graph_state(base, other, iters=2)
     with pytest.raises(Exception, match="malformed line"):
         run(spark, tmp, rows, lambda s: SP.stream_pagerank(s, other, ck, iters=2, strict=True))
+
+
+def test_links_of_the_first_version_carry_into_the_stream(spark, tmp, monkeypatch):
+    """With a tracker the links prepared for the initial state are not prepared again."""
+    made, prepare = [], SP.prepare_links
+    monkeypatch.setattr(SP, "prepare_links", lambda e: made.append(1) or prepare(e))
+    base = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 2), (None, 3)], "src long, dst long")
+    state, ck = tmp("state"), tmp("ck")
+    track = S.VersionTracker(state)
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    SP.init_graph_state(base, state, iters=2, track=track)
+    run(spark, tmp, [(0, "1 3 2 1"), (0, "-1 2 3 2")], lambda s: SP.stream_pagerank(s, state, ck, iters=2, compact_above=10.0, track=track))
+    track.close()
+    assert len(made) == 1 and spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+    assert {tuple(r) for r in SP.edges_at(spark, state, -1).collect()} == {(1, 2), (2, 3), (3, 1), (None, 3)}
+    got = {r.node: [round(x, 9) for x in r.hist] for r in S.latest(spark, state, "ranks").collect()}
+    assert got == final_history(spark, [(1, 2), (3, 1), (3, 2), (None, 3)], 2)
