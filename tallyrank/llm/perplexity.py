@@ -282,8 +282,9 @@ class Blocks:
     def __getstate__(self):
         return {"sent": self.sent, "opened": None}
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The values of each hash by half; not a number where it is in none of these blocks."""
+    def find(self, h: np.ndarray, side: int | slice = slice(None)) -> np.ndarray:
+        """The values of each hash, of both halves or of one; not a number where it is in none
+        of these blocks. Hashes are looked up in order, which leaves most steps in the cache."""
         if self.opened is None:
             size, at = sum(n for n, _ in self.sent), 0
             self.opened = np.empty(size, np.uint64), np.empty((2, size), np.float32)
@@ -291,10 +292,14 @@ class Blocks:
                 self.opened[0][at:at + n], self.opened[1][:, at:at + n] = _values(sent.value)
                 at += n
         hashes, values = self.opened
-        if not len(hashes):
-            return np.full((2, len(h)), np.nan, np.float32)
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        return np.where(hashes[at] == h, values[:, at], np.float32(np.nan))
+        out = np.full((*values[side].shape[:-1], len(h)), np.nan, np.float32)
+        if len(hashes):
+            order = np.argsort(h)
+            h = h[order]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            there = hashes[at] == h
+            out[..., order[there]] = values[side][..., at[there]]
+        return out
 
 
 def blocks_of(table: DataFrame, value: str, block: int, at_once: int) -> Iterator[Blocks]:
@@ -494,7 +499,11 @@ def _sums(sent: Blocks, order: int, langs: list[str | None], found: list[np.ndar
         gain = np.zeros(len(g), np.float64)
         for tag in (*range(1, order + 1), *range(-order, -1)):
             x = g & ((1 << w * tag) - 1) if tag > 0 else (g >> w) & ((1 << w * (-tag - 1)) - 1)
-            gain += np.nan_to_num(sent.find(hashed(lang, tag, x))[1 - side])
+            if tag == order:
+                gain += np.nan_to_num(sent.find(hashed(lang, tag, x), 1 - side))
+            else:       # far fewer words and contexts than n-grams
+                x, at = np.unique(x, return_inverse=True)
+                gain += np.nan_to_num(sent.find(hashed(lang, tag, x), 1 - side))[at]
         sums += np.bincount(row, gain[which], len(sums))
     return sums
 

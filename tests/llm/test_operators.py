@@ -429,3 +429,33 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
     assert sorted(i for i in ids if i is not None) == [*range(12), 21, 22, 23, 25] and ids.count(None) == 1
     assert P.secret_stage(spark, plain, "").columns == plain.columns
     assert not re.search("limit|sample", str(P.STAGES))
+
+
+def test_model_lookups_are_sorted_and_distinct(monkeypatch):
+    rnd = np.random.default_rng(3)
+    found = [rnd.integers(0, 40, 300) << 31 | rnd.integers(0, 30, 300) for _ in range(6)]
+    langs = ["a", "b", None, "a", "b", "a"]
+    tagged = {(la, tag): {int(h): n for n, h in enumerate(perplexity.hashed(la, tag, np.arange(40)).tolist())}
+              for la in set(langs) for tag in (1, -2)}
+    model = {h: float(n + 1) for part in tagged.values() for h, n in part.items()}
+    hashes = np.array(sorted(model), np.uint64)
+    up = np.array([model[h] for h in hashes.tolist()], np.float32)
+    blocks = perplexity.Blocks.__new__(perplexity.Blocks)
+    blocks.sent, blocks.opened = [], (hashes, np.array([up, -up]))
+    asked = rnd.permutation(np.concatenate([hashes, hashes[:9], np.arange(5, dtype=np.uint64)]))
+    both = blocks.find(asked)
+    want = np.array([model.get(h, np.nan) for h in asked.tolist()], np.float32)
+    assert np.array_equal(both, [want, -want], equal_nan=True)
+
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: (looked.append(np.asarray(v)), search(a, v, *rest))[1])
+    got = perplexity._sums(blocks, 2, langs, found)
+    monkeypatch.undo()
+    for total, la, g in zip(got, langs, found):
+        sign = 1 if perplexity.half(g) else -1
+        one, ctx = tagged[la, 1], tagged[la, -2]
+        (a, b), key = np.divmod(g, 1 << 31), lambda t, x: int(perplexity.hashed(la, t, np.array([x]))[0])
+        assert total == sign * sum(one[key(1, x)] + 1 for x in b.tolist()) + sign * sum(ctx[key(-2, x)] + 1 for x in a.tolist())
+    assert looked and all((v[1:] >= v[:-1]).all() for v in looked)
+    assert sum(len(v) < 50 and len(np.unique(v)) == len(v) for v in looked) * 3 == len(looked) * 2
+    assert np.array_equal(blocks.find(asked, 1), -want, equal_nan=True)
