@@ -3,11 +3,12 @@
 1. Tasks cut their texts into pieces at punctuation and pieces into words, and
    pack them by language as word numbers (a piece is never cut) with the words
    they number.
-2. Spark sums the word counts of all packs. Words of ``least`` occurrences get
-   a number for the whole corpus, every pack learns those it holds, and all
-   others end a piece there: no phrase that counts can hold them. Packs are dealt
-   over shards by the running sum of their sizes: a shard has at most twice
-   ``shard_words`` words (and one text), whatever share a language has.
+2. Packs are dealt over shards by the running sum of their sizes: a shard has at
+   most twice ``shard_words`` words (and one text), whatever share a language has.
+   The words of all packs meet by parts of their hash, where their counts are
+   summed. Words of ``least`` occurrences get a number for the whole corpus, every
+   shard learns those it holds, and all others end a piece there: no phrase that
+   counts can hold them.
 3. A shard's index is the Burrows-Wheeler transform of its words, from a full
    suffix sort in which every end of a piece is a symbol of its own. A phrase is
    an interval of suffixes. Extension to the left follows the LF mapping of the
@@ -18,15 +19,17 @@
    intervals of the phrases that are frequent in the whole corpus, and keep an
    extension if its first words and its last words are both frequent phrases.
    A phrase is a pair of numbers: those of its first and of its last words one
-   word shorter. Spark sums the pairs' counts across shards, numbers those of
-   ``least`` or more and joins them back to the shards that hold them.
+   word shorter. Shards send their pairs as sorted differences, a few bytes each, to
+   parts that neither a frequent first nor a frequent last word overfills; a part
+   sums the counts, numbers pairs of ``least`` or more and sends every shard its own.
 5. Frequent phrases carry the counts of all their beginnings and endings, from
    level to level, so every cut is scored from one row; the greatest count of an
    extension by one word to either side tells whether a longer phrase holds
    nearly all of a phrase's occurrences.
 
 Indexes are one table in the shared folder, bucketed by shard, so a level moves
-phrases only. Nothing is broadcast but what Spark itself measures as small and
+phrases only. There are as many parts as the words ask for (``2 * shard_words``
+each at most, before equal ones are summed). Nothing is broadcast but what Spark itself measures as small and
 the shard of every pack (two numbers a pack, counted first).
 
 Null languages are ``und``; null and empty texts have no words; repeated rows
@@ -36,8 +39,9 @@ its phrases differ; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -48,6 +52,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import running_sum
 from ..session import broadcast_if_small, cut_lineage_bucketed, shuffle_partitions
+from .perplexity import pack, unpack
 from .tables import cut, map_batches, shuffles_removed, written
 
 #: Ends of pieces become line feeds, A-Z becomes a-z.
@@ -153,37 +158,144 @@ def extend(bwt: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return first, np.diff(np.append(new, len(at))), begins[first], ends[first]
 
 
-_FOUND = "shard bigint, lo int, size int, first bigint, last bigint"
+_SENT = "shard bigint, part int, data binary"
+_SPELLED = "pack bigint, shard bigint, lang string, part int, data binary, words binary"
+#: What a part makes: its frequent phrases (no shard) and, for each shard, those it holds.
+_MERGED = "shard bigint, lang string, words binary, data binary"
 
 
-def _found(shard: int, bwt: np.ndarray, lo: np.ndarray, size: np.ndarray, phrase: np.ndarray) -> pa.Table:
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.table([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[f for f, _ in fields])
+
+
+def _groups(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of ``of`` with its places, in order."""
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.diff(of[order], prepend=of[order[:1]] - 1))
+    for rows in np.split(order, starts[1:]) if len(order) else ():
+        yield int(of[rows[0]]), rows
+
+
+def _spelled(parts: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """The words of packs by part: place in the pack and count, and the words."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for of, shard, lang, words, n in zip(*(b.column(c) for c in ("pack", "shard", "lang", "words", "counts"))):
+            lang, words, n = lang.as_py(), words.values.cast(pa.binary()).to_pylist(), n.values.to_numpy()
+            salt = zlib.crc32(lang.encode("utf-8"))
+            part = np.fromiter((zlib.crc32(w, salt) for w in words), np.int64, len(words)) % parts
+            out += [(of.as_py(), shard.as_py(), lang, i, pack(at + 1, n[at]), zlib.compress(b"\n".join([words[j] for j in at.tolist()]), 1))
+                    for i, at in _groups(part)]
+        return _table(out, _SPELLED).combine_chunks().to_batches()[0] if out else None
+    return run
+
+
+def _frequent_words(parts: int, least: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Counts and numbers of the words of a part: by language ``(phrase, a)`` with the
+    words, and for each shard ``(pack, at, phrase)``."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        data, langs = [unpack(x) for x in t.column("data").to_pylist()], t.column("lang").to_pylist()
+        at, n = np.concatenate(data, axis=1)
+        of = np.repeat(np.arange(len(data)), [x.shape[1] for x in data])
+        words = pa.chunked_array([pa.array(zlib.decompress(x).split(b"\n"), pa.large_binary()) for x in t.column("words").to_pylist()])
+        words = words.combine_chunks().dictionary_encode()
+        names = sorted(set(langs))
+        lang = np.searchsorted(names, langs)[of] if len(names) > 1 else np.zeros(len(of), np.int64)
+        every, which = np.unique(lang * len(words.dictionary) + words.indices.to_numpy(), return_inverse=True)
+        a = np.bincount(which, n).astype(np.int64)
+        known, number = np.flatnonzero(a >= least), np.full(len(a), -1, np.int64)
+        number[known] = np.arange(len(known)) * parts + key[0].as_py()
+        lang_of, word_of = np.divmod(every[known], len(words.dictionary))
+        out = []
+        for i, rows in _groups(lang_of):
+            spelled = words.dictionary.take(pa.array(word_of[rows])).to_pylist()
+            out.append((None, names[i], zlib.compress(b"\n".join(spelled), 1), pack(number[known[rows]], a[known[rows]])))
+        mine = np.flatnonzero(number[which] >= 0)
+        shard, packs = (t.column(c).to_numpy()[of[mine]] for c in ("shard", "pack"))
+        for i, rows in _groups(shard):
+            rows = rows[np.argsort(packs[rows], kind="stable")]
+            out.append((i, None, None, pack(packs[rows], at[mine[rows]], number[which[mine[rows]]])))
+        return _table(out, _MERGED)
+    return run
+
+
+def _words(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Frequent words of a part as rows."""
+    number, a = unpack(b.column("data")[0].as_py())
+    words = zlib.decompress(b.column("words")[0].as_py()).split(b"\n")
+    return pa.RecordBatch.from_arrays([pa.array(number), pa.array([b.column("lang")[0].as_py()] * len(a), pa.string()),
+                                       pa.array(words, pa.binary()).cast(pa.string()), pa.array(a)], names=["phrase", "lang", "word", "a"])
+
+
+def _sent(shard: int, bwt: np.ndarray, lo: np.ndarray, size: np.ndarray, phrase: np.ndarray, parts: int, bound: int) -> pa.Table:
+    """Phrases one word longer than the intervals given, by part: ``(pair, size, lo)``.
+    With the part the first number gives the rest of the last one by ``parts``."""
     lo, size, first, last = extend(bwt, lo, size)
-    return pa.table({"shard": pa.array(np.full(len(lo), shard, np.int64)), "lo": pa.array(lo.astype(np.int32)),
-                     "size": pa.array(size.astype(np.int32)), "first": pa.array(phrase[first]), "last": pa.array(phrase[last])})
+    first, last = phrase[first], phrase[last]
+    pair, part = first * (bound // parts + 1) + last // parts, (first + last) % parts
+    order = np.argsort(pair)
+    pair, size, lo, part = pair[order], size[order], lo[order], part[order]
+    return _table([(shard, i, pack(pair[rows], size[rows], lo[rows])) for i, rows in _groups(part)], _SENT)
 
 
-def _pairs(b: pa.RecordBatch) -> pa.RecordBatch | None:
+def _pairs(parts: int, bound: int) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
     """Phrases of two words of a shard."""
-    bwt, phrase = np.frombuffer(b.column("bwt")[0].as_py(), np.int32), np.frombuffer(b.column("phrase")[0].as_py(), np.int64)
-    size = np.bincount(bwt, minlength=len(phrase) + 1)
-    found = _found(b.column("shard")[0].as_py(), bwt, np.cumsum(size)[:-1], size[1:], phrase)
-    return found.combine_chunks().to_batches()[0] if len(found) else None
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        bwt, phrase = np.frombuffer(b.column("bwt")[0].as_py(), np.int32), np.frombuffer(b.column("phrase")[0].as_py(), np.int64)
+        size = np.bincount(bwt, minlength=len(phrase) + 1)
+        sent = _sent(b.column("shard")[0].as_py(), bwt, np.cumsum(size)[:-1], size[1:], phrase, parts, bound)
+        return sent.combine_chunks().to_batches()[0] if len(sent) else None
+    return run
+
+
+def _longer(parts: int, bound: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Phrases of a shard one word longer than those of a level, packed ``(lo, size, phrase)``."""
+    def run(shards: pa.Table, level: pa.Table) -> pa.Table:
+        if not len(shards) or not len(level):
+            return _table([], _SENT)
+        lo, size, phrase = np.concatenate([unpack(x) for x in level.column("data").to_pylist()], axis=1)
+        bwt = np.frombuffer(shards.column("bwt")[0].as_py(), np.int32)
+        return _sent(shards.column("shard")[0].as_py(), bwt, lo, size, phrase, parts, bound)
+    return run
 
 
-def _longer(shards: pa.Table, level: pa.Table) -> pa.Table:
-    """Phrases of a shard one word longer than ``level (lo, size, phrase)``."""
-    bwt = np.frombuffer(shards.column("bwt")[0].as_py(), np.int32) if len(shards) else np.zeros(0, np.int32)
-    lo, size, phrase = (level.column(c).to_numpy().astype(np.int64) for c in ("lo", "size", "phrase"))
-    if not len(bwt):
-        lo, size, phrase = lo[:0], size[:0], phrase[:0]
-    return _found(shards.column("shard")[0].as_py() if len(shards) else 0, bwt, lo, size, phrase)
+def _frequent_pairs(parts: int, bound: int, least: int, go_on: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Counts and numbers of the pairs of a part: ``(phrase, a, first, last)`` and, to
+    ``go_on``, for each shard ``(lo, size, phrase)``."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        part, data = key[0].as_py(), [unpack(x) for x in t.column("data").to_pylist()]
+        pair, size, lo = np.concatenate(data, axis=1)
+        shard = np.repeat(t.column("shard").to_numpy(), [x.shape[1] for x in data])
+        every, which = np.unique(pair, return_inverse=True)
+        a = np.bincount(which, size).astype(np.int64)
+        known, number = np.flatnonzero(a >= least), np.full(len(a), -1, np.int64)
+        if not len(known):
+            return _table([], _MERGED)
+        number[known] = np.arange(len(known)) * parts + part
+        first, last = np.divmod(every[known], bound // parts + 1)
+        out = [(None, None, None, pack(number[known], a[known], first, last * parts + (part - first) % parts))]
+        mine = np.flatnonzero(number[which] >= 0) if go_on else np.zeros(0, np.int64)
+        for i, rows in _groups(shard[mine]):
+            rows = mine[rows]
+            rows = rows[np.argsort(lo[rows])]
+            out.append((i, None, None, pack(lo[rows], size[rows], number[which[rows]])))
+        return _table(out, _MERGED)
+    return run
+
+
+def _phrases(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Frequent pairs of a part as rows."""
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(b.column("data")[0].as_py())], names=["phrase", "a", "first", "last"])
 
 
 def _indexed(packs: pa.Table, words: pa.Table) -> pa.Table:
-    """The index of the packs of a shard over its frequent words ``(pack, at, phrase)``; others end pieces."""
+    """The index of the packs of a shard over its frequent words, packed ``(pack, at, phrase)``; others end pieces."""
     shard, bwt, known = [], [], []
     if len(packs) and len(words):
-        of, at, number = (words.column(c).to_numpy() for c in ("pack", "at", "phrase"))
+        of, at, number = np.concatenate([unpack(x) for x in words.column("data").to_pylist()], axis=1)
         every = np.unique(number)
         texts = [np.zeros(1, np.int32)]
         for pack, data in zip(packs.column("pack").to_pylist(), packs.column("text")):
@@ -211,36 +323,40 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     total = cut(sizes.groupBy("lang").agg(F.sum("n").alias("n")))
     dealt = running_sum(sizes, ["pack"], "n").select("pack", F.floor((F.col("cum") - F.col("n")) / shard_words).alias("shard"))
     packs = packs.join(broadcast_if_small(dealt, sizes.count()), "pack")
-    vocabulary = packs.select("shard", "pack", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
-        "shard", "pack", "lang", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    words = cut(words.withColumn("phrase", F.monotonically_increasing_id()))
+    parts = max(1, -(-(total.agg(F.sum("n")).first()[0] or 0) // (2 * shard_words)))
+
+    def merged(sent: DataFrame, merge: Callable[[tuple, pa.Table], pa.Table]) -> tuple[DataFrame, DataFrame]:
+        """The frequent phrases of all parts, and what shards hold of them. The number of
+        tasks is given: packed rows are small, and Spark would put many parts together."""
+        made = written(sent.repartition(shuffle_partitions(spark), "part").groupBy("part").applyInArrow(merge, _MERGED), "phrases")
+        return made.filter("shard IS NULL"), made.filter("shard IS NOT NULL").select(F.col("shard").alias("of"), "data")
+
+    spelled = map_batches(packs.select("pack", "shard", "lang", "words", "counts"), _spelled(parts), _SPELLED, 1)
+    words, held = merged(spelled, _frequent_words(parts, least))
+    words = cut(map_batches(words, _words, "phrase bigint, lang string, word string, a bigint", 1))
     none = F.lit(None).cast("long")
     level = words.select(
         "phrase", none.alias("first"), none.alias("last"), "lang", F.col("word").alias("words"), F.col("word").alias("tail"),
         "a", F.array("a").alias("begins"), F.array("a").alias("ends"))
-    held = vocabulary.join(words.select("lang", "word", "phrase"), ["lang", "word"]).select(
-        F.col("shard").alias("of"), F.col("pack").alias("pack"), "at", "phrase")
     shards = (packs.select("shard", "pack", "text").groupBy("shard").cogroup(held.groupBy("of"))
               .applyInArrow(_indexed, "shard bigint, bwt binary, phrase binary"))
     with shuffles_removed(spark):
         shards = cut_lineage_bucketed(shards, "shard", shuffle_partitions(spark), "shards")
-    found, levels = map_batches(shards, _pairs, _FOUND, 1), [level]
-    pair = Window.partitionBy("first", "last")
+    levels = [level]
     for k in range(2, longest + 1):
-        # One shuffle: the intervals of a phrase meet, are summed and stay. The first of them numbers the phrase.
-        place = F.shiftleft("shard", 31) + F.col("lo")
-        sums = found.withColumn("a", F.sum("size").over(pair)).withColumn("phrase", F.min(place).over(pair))
-        found = written(sums.filter(F.col("a") >= least).withColumn("is_first", F.col("phrase") == place), "phrases")
+        bound = (level.agg(F.max("phrase")).first()[0] or 0) + 1
+        if k == 2:
+            sent = map_batches(shards, _pairs(parts, bound), _SENT, 1)
+        else:
+            sent = shards.select("shard", "bwt").groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(_longer(parts, bound), _SENT)
+        found, held = merged(sent, _frequent_pairs(parts, bound, least, k < longest))
+        found = map_batches(found, _phrases, "phrase bigint, a bigint, first bigint, last bigint", 1)
         begin = level.select(F.col("phrase").alias("first"), "lang", F.col("words").alias("w"), F.col("begins").alias("b"))
         end = level.select(F.col("phrase").alias("last"), "tail", F.col("ends").alias("e"))
-        level = cut(found.filter("is_first").join(begin, "first").join(end, "last").select(
+        level = cut(found.join(begin, "first").join(end, "last").select(
             "phrase", "first", "last", "lang", F.concat_ws(" ", "w", "tail").alias("words"), "tail", "a",
             F.concat("b", F.array("a")).alias("begins"), F.concat("e", F.array("a")).alias("ends")))
         levels.append(level)
-        if k < longest:
-            held = found.select(F.col("shard").alias("of"), "lo", "size", "phrase")
-            found = shards.select("shard", "bwt").groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(_longer, _FOUND)
     return levels, total
 
 

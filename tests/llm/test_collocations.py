@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tallyrank.llm import collocations as module
 from tallyrank.llm import queries
 from tallyrank.llm.collocations import collocations, extend, index, suffix_order
 
@@ -83,3 +84,42 @@ def test_suffixes_and_extensions():
 
 def test_registered_sql_is_given():
     assert "op12_collocations" in queries.ORACLE
+
+
+def test_levels_exchange_packed_parts(spark, monkeypatch):
+    """What a level moves and keeps is a row a shard and part, not a row for every phrase of a shard."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(rnd.choice(["en", "fr"]), " ".join(rnd.choices(words, k=60))) for _ in range(100)], "lang string, text string").coalesce(2)
+    made, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (made.append((name, write(df, name))), made[-1][1])[1])
+    levels, _ = module.frequent_phrases(docs, least=2, longest=3, shard_words=1000)
+    assert levels[1].count() > 700
+    rows = [(name, df.count()) for name, df in made if name == "phrases"]
+    assert len(rows) == 3 and all(0 < n <= 3 * (2 + 6) for _, n in rows)     # 3 parts, 2 languages, at most 6 shards
+
+
+def test_pairs_come_back_from_their_parts():
+    rnd = np.random.default_rng(2)
+    parts, bound, sent, want = 7, 101, [], Counter()
+    phrase = np.sort(rnd.choice(bound, 40, replace=False)).astype(np.int64)
+    for shard in range(3):
+        text = np.concatenate(([0], rnd.integers(0, 41, 4000), [0])).astype(np.int32)
+        want.update((int(phrase[a - 1]), int(phrase[b - 1])) for a, b in zip(text, text[1:]) if a and b)
+        bwt = index(text)
+        size = np.bincount(bwt, minlength=41)
+        sent += module._sent(shard, bwt, np.cumsum(size)[:-1], size[1:], phrase, parts, bound).to_pylist()
+    got, held = {}, Counter()
+    for part in range(parts):
+        mine = module._table([tuple(r.values()) for r in sent if r["part"] == part], module._SENT)
+        number = {}
+        for r in module._frequent_pairs(parts, bound, 5, True)((module.pa.scalar(part),), mine).to_pylist():
+            x = module.unpack(r["data"])
+            if r["shard"] is None:
+                number = {n: (f, la) for n, f, la in zip(x[0].tolist(), x[2].tolist(), x[3].tolist())}
+                assert not number.keys() & {n for n, _ in got} and all(n % parts == part for n in number)
+                got |= {(n, number[n]): a for n, a in zip(x[0].tolist(), x[1].tolist())}
+            else:
+                for n, m in zip(x[2].tolist(), x[1].tolist()):
+                    held[number[n]] += m
+    assert {p: a for (_, p), a in got.items()} == dict(held) == {p: a for p, a in want.items() if a >= 5}
