@@ -59,6 +59,16 @@ from .tables import cut, map_batches, shuffles_removed, written
 _TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def squeezed(symbols: np.ndarray) -> bytes:
+    """32-bit numbers as compressed planes of their bytes."""
+    return zlib.compress(np.ascontiguousarray(symbols.astype(np.int32).view(np.uint8).reshape(-1, 4).T), 1)
+
+
+def opened(data: bytes) -> np.ndarray:
+    b = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.array(b.reshape(4, -1).T, order="C").view(np.int32).ravel()
+
+
 class _Numbers(dict):
     """Numbers words from 1 in the order they are met."""
 
@@ -83,7 +93,7 @@ class _Shard:
 
 def _pack(shard_words: int):
     """Rows ``(pack, lang, words, counts, text)``: the distinct words of a pack, how
-    often each occurs, and the text as word numbers (4 bytes each), 0 after each piece."""
+    often each occurs, and the text as word numbers (``squeezed``), 0 after each piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held, total = TaskContext.get().partitionId() << 32, {}, 0
 
@@ -96,7 +106,7 @@ def _pack(shard_words: int):
             counts = np.bincount(text, minlength=len(s.number) + 1)[1:]
             return pa.RecordBatch.from_arrays(
                 [pa.array([made], pa.int64()), pa.array([lang]), pa.array([[w.decode("utf-8") for w in s.number]], pa.list_(pa.string())),
-                 pa.array([counts], pa.list_(pa.int64())), pa.array([text.tobytes()], pa.binary())],
+                 pa.array([counts], pa.list_(pa.int64())), pa.array([squeezed(text)], pa.binary())],
                 names=["pack", "lang", "words", "counts", "text"])
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -244,7 +254,7 @@ def _sent(shard: int, bwt: np.ndarray, lo: np.ndarray, size: np.ndarray, phrase:
 def _pairs(parts: int, bound: int) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
     """Phrases of two words of a shard."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        bwt, phrase = np.frombuffer(b.column("bwt")[0].as_py(), np.int32), np.frombuffer(b.column("phrase")[0].as_py(), np.int64)
+        bwt, phrase = opened(b.column("bwt")[0].as_py()), np.frombuffer(b.column("phrase")[0].as_py(), np.int64)
         size = np.bincount(bwt, minlength=len(phrase) + 1)
         sent = _sent(b.column("shard")[0].as_py(), bwt, np.cumsum(size)[:-1], size[1:], phrase, parts, bound)
         return sent.combine_chunks().to_batches()[0] if len(sent) else None
@@ -257,7 +267,7 @@ def _longer(parts: int, bound: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not len(shards) or not len(level):
             return _table([], _SENT)
         lo, size, phrase = np.concatenate([unpack(x) for x in level.column("data").to_pylist()], axis=1)
-        bwt = np.frombuffer(shards.column("bwt")[0].as_py(), np.int32)
+        bwt = opened(shards.column("bwt")[0].as_py())
         return _sent(shards.column("shard")[0].as_py(), bwt, lo, size, phrase, parts, bound)
     return run
 
@@ -299,13 +309,13 @@ def _indexed(packs: pa.Table, words: pa.Table) -> pa.Table:
         every = np.unique(number)
         texts = [np.zeros(1, np.int32)]
         for pack, data in zip(packs.column("pack").to_pylist(), packs.column("text")):
-            text, mine = np.frombuffer(data.as_buffer(), np.int32), of == pack
+            text, mine = opened(data.as_py()), of == pack
             symbol = np.zeros(max(int(text.max(initial=0)), int(at[mine].max(initial=0))) + 1, np.int32)
             symbol[at[mine]] = np.searchsorted(every, number[mine]) + 1
             texts.append(symbol[text])
         text = np.concatenate([*texts, np.zeros(1, np.int32)])
         text = text[np.insert((text[1:] != 0) | (text[:-1] != 0), 0, True)]     # one end after another is one
-        shard, bwt, known = [packs.column("shard")[0].as_py()], [index(text).tobytes()], [every.tobytes()]
+        shard, bwt, known = [packs.column("shard")[0].as_py()], [squeezed(index(text))], [every.tobytes()]
     return pa.table({"shard": pa.array(shard, pa.int64()), "bwt": pa.array(bwt, pa.binary()), "phrase": pa.array(known, pa.binary())})
 
 

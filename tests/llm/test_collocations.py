@@ -123,3 +123,12 @@ def test_pairs_come_back_from_their_parts():
                 for n, m in zip(x[2].tolist(), x[1].tolist()):
                     held[number[n]] += m
     assert {p: a for (_, p), a in got.items()} == dict(held) == {p: a for p, a in want.items() if a >= 5}
+
+
+def test_texts_and_indexes_are_kept_small():
+    rnd = np.random.default_rng(6)
+    words = np.minimum(rnd.zipf(1.3, 50_000), 40_000).astype(np.int32)
+    for text in (words, words[:1], words[:0], np.array([-1, 0, 2**31 - 1], np.int32)):
+        back = module.opened(module.squeezed(text))
+        assert back.dtype == np.int32 and back.tolist() == text.tolist()
+    assert len(module.squeezed(words)) < 2.5 * len(words)
