@@ -18,10 +18,11 @@ The model is kept as sorted 64-bit hashes with values that add up to the log
 probability of a text: what an n-gram gains over its suffix, and what its context
 leaves to lower orders. N-grams that only one half has can't be asked for and are
 left out here, after all counts. It is cut by hash into blocks of at most about
-``block`` entries; a pass over the texts holds ``at_once`` of them in one process,
-so a model of any size scores the same way, in more passes. A level of the model
-meets the one below it in the same way, with no shuffle: what is shuffled are the
-counts. A word is packed to 62 / ``order`` bits (31 for pairs): of V distinct words
+``block`` entries; a task gathers the distinct n-grams of about ``HELD`` words of text
+and looks them up in one block after the other, opened in ``at_once`` pieces, so a model of any size scores
+the same way, in one pass and the same memory. A level of the model meets the one below
+it in the same way. A part's counts come in the order of their n-grams, in pieces of
+``PIECE``; what no later piece can add to is passed on. A word is packed to 62 / ``order`` bits (31 for pairs): of V distinct words
 of a language a word shares its counts with another at a rate of about V / 2^31,
 0.05 % at a million.
 
@@ -42,27 +43,32 @@ an empty result. A text of any length is scored whole, ``SLICE`` n-grams at a ti
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .tables import cut, map_batches, written
+from .tables import conf_held, cut, map_batches, written
 from .wordhash import WordHasher, mix, white_space
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\r\x0b\x0c"
 _GAP = white_space()
 _SAID = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _HASHER = WordHasher(_GAP)
-#: Distinct n-grams a counting task holds before it passes them on.
+#: Distinct n-grams a counting task holds before it passes them on; n-grams of texts that
+#: a scoring task looks up together.
 HELD = 1 << 21
-#: N-grams that a scoring task looks up at a time, and texts it takes together.
-SLICE, ROWS = 1 << 18, 1000
+#: N-grams of a language and half made distinct at a time, and bytes of text taken together.
+SLICE, TEXT = 1 << 18, 9 << 20
+#: N-grams in a packed row of counts, and such rows that a merging task is given at a time.
+PIECE, PIECES = 1 << 13, 64
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -135,14 +141,13 @@ def _dealt(g: np.ndarray, k: int, bits: int, parts: int) -> np.ndarray:
     return (g >> bits * (k - 1)) * parts >> bits
 
 
-def _blobs(g: np.ndarray, n: np.ndarray, k: int, bits: int, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Counted n-grams (sorted) by part."""
-    at = _dealt(g, k, bits, parts)
-    order = np.argsort(at, kind="stable")
-    ends = np.searchsorted(at[order], np.arange(parts + 1))
+def _blobs(g: np.ndarray, n: np.ndarray, k: int, bits: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """Counted n-grams (sorted) by part, ``PIECE`` at most together, with the first of them."""
+    ends = np.searchsorted(_dealt(g, k, bits, parts), np.arange(parts + 1))
     for i in np.flatnonzero(np.diff(ends)):
-        rows = order[ends[i]:ends[i + 1]]
-        yield int(i), pack(g[rows], n[rows])
+        for at in range(ends[i], ends[i + 1], PIECE):
+            rows = slice(at, min(at + PIECE, ends[i + 1]))
+            yield int(i), int(g[at]), pack(g[rows], n[rows])
 
 
 def _summed(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +155,8 @@ def _summed(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, np.bincount(at, n, len(g)).astype(np.int64)
 
 
-_PACKED = "lang string, half int, part int, what string, data binary"
+_PACKED = "lang string, half int, part int, first bigint, data binary"
+_MERGED = "lang string, half int, part int, what string, data binary, contexts binary, n bigint"
 
 
 def count_grams(docs: DataFrame, order: int) -> DataFrame:
@@ -172,10 +178,8 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
             merge()
             for key in list(held):
                 g, n = held.pop(key)
-                yield pa.RecordBatch.from_pylist([{"lang": key[0], "half": key[1], "part": i, "what": "n", "data": x}
-                                                  for i, x in _blobs(g, n, order, bits, parts)], schema)
+                yield _as_rows([(*key, *x) for x in _blobs(g, n, order, bits, parts)], _PACKED)
 
-        schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("part", pa.int32()), ("what", pa.string()), ("data", pa.binary())])
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 x = grams(text.as_py(), order)
@@ -192,40 +196,107 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, _PACKED)
 
 
+class _Part:
+    """The counts of a part's ``k``-grams, put together as they come in the order of their
+    first n-gram. What is held are n-grams that later pieces can still add to, and, packed,
+    those kept of the one context that is not at its end."""
+
+    def __init__(self, k: int, bits: int, shared: bool):
+        self.k, self.bits, self.shared = k, bits, shared
+        self.g, self.n = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+        self.fresh: list[tuple[int, np.ndarray]] = []
+        self.size, self.sums = 0, np.zeros((2, 6), np.int64)
+        self.open: tuple[int, np.ndarray, list[tuple[int, bytes]]] | None = None
+
+    def add(self, half: int, first: int, data: bytes) -> list[tuple]:
+        out = self.closed(first) if self.size > HELD // 2 else []
+        self.fresh.append((half, unpack(data)))
+        self.size += self.fresh[-1][1].shape[1]
+        return out
+
+    def closed(self, first: int | None = None) -> list[tuple]:
+        """Rows ``(half, what, data, contexts, n)`` of the n-grams before ``first``, or of all."""
+        g = np.concatenate([self.g, *(x[0] for _, x in self.fresh)])
+        n, at = np.zeros((2, len(g)), np.int64), len(self.g)
+        n[:, :at] = self.n
+        for h, x in self.fresh:
+            n[h, at:at + x.shape[1]] = x[1]
+            at += x.shape[1]
+        self.fresh, self.size = [], 0
+        order = np.argsort(g, kind="stable")
+        g = g[order]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]]))
+        if len(g):
+            g, n = g[starts], np.add.reduceat(n[:, order], starts, axis=1)
+        end = len(g) if first is None else int(np.searchsorted(g, first))
+        self.g, self.n = g[end:].copy(), n[:, end:].copy()
+        return self.rows(g[:end], n[:, :end], first is None)
+
+    def rows(self, g: np.ndarray, n: np.ndarray, last: bool) -> list[tuple]:
+        k, bits, out = self.k, self.bits, []
+        for h in (0, 1):
+            x, m = g[n[h] > 0], n[h][n[h] > 0]
+            self.sums[h] += np.array([*((m == i).sum() for i in (1, 2, 3, 4)), m.sum(), len(m)])
+            if last:
+                out.append((h, "sums", pack(self.sums[h]), b"", 0))
+            if k > 1 and len(x):
+                low = _summed(np.sort(x & ((1 << bits * (k - 1)) - 1)), np.ones(len(x), np.int64))
+                out.append((h, "n", pack(*low), b"", len(low[0])))
+        keep = (n[0] > 0) & (n[1] > 0) if self.shared else np.ones(len(g), bool)
+        if k == 1:
+            return [*out, (0, "own", pack(g[keep], *n[:, keep]), b"", int(keep.sum()))]
+        ctx, at = np.unique(g >> bits, return_inverse=True)
+        per = np.array([np.bincount(at, v, len(ctx)) for m in n for v in (m, m == 1, m == 2, m > 2)], np.int64)
+        held: list[tuple[int, bytes]] = []
+        if self.open is not None:
+            was, before, held = self.open
+            if not len(ctx) or ctx[0] != was:
+                ctx, per, at = np.concatenate([[was], ctx]), np.concatenate([np.zeros((8, 1), np.int64), per], axis=1), at + 1
+            per[:, 0] += before
+        done = len(ctx) if last else max(0, len(ctx) - 1)       # the last context may go on
+        end = int(np.searchsorted(at, done))
+        if done:
+            whole = pack(ctx[:1], *per[:, :1])
+            out += [(1, "own", data, whole, size) for size, data in held]
+            held = []
+        both = (per[0] > 0) & (per[4] > 0) if self.shared else np.ones(len(ctx), bool)
+        both[done:] = False
+        mine, rest = keep & (np.arange(len(g)) < end), keep & (np.arange(len(g)) >= end)
+        out.append((0, "own", pack(g[mine], *n[:, mine]), pack(ctx[both], *per[:, both]), int(mine.sum() + both.sum())))
+        if rest.any():
+            held = [*held, (int(rest.sum()), pack(g[rest], *n[:, rest]))]
+        self.open = (int(ctx[done]), per[:, done], held) if done < len(ctx) else None
+        return out
+
+
 def _merged(packed: DataFrame, k: int, bits: int, shared: bool) -> DataFrame:
     """Counts of ``k``-grams put together by part. Rows of ``what``: ``own`` (n-grams
     with their counts in both halves, and contexts, for each half with the sum of
-    counts and how many are 1, 2, more), ``sums`` (n-grams counted 1, 2, 3, 4 times,
-    sum of counts, n-grams) and ``n`` (suffixes with their continuation counts)."""
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        lang, part, out, found, size = key[0].as_py(), key[1].as_py(), [], [], [0, 0]
-        for h in (0, 1):
-            mine = [unpack(x) for x, i in zip(t.column("data").to_pylist(), t.column("half").to_pylist()) if i == h]
-            found.append(_summed(*np.concatenate(mine or [np.zeros((2, 0), np.int64)], axis=1)))
-        g = np.union1d(found[0][0], found[1][0])
-        n = np.zeros((2, len(g)), np.int64)
-        for h, (x, m) in enumerate(found):
-            n[h, np.searchsorted(g, x)] = m
-            out.append((h, part, "sums", pack(np.array([*((m == i).sum() for i in (1, 2, 3, 4)), m.sum(), len(m)]))))
-            if k > 1:
-                low = _summed(np.sort(x & ((1 << bits * (k - 1)) - 1)), np.ones(len(x), np.int64))
-                out.append((h, part, "n", pack(*low)))
-                size[h] = len(low[0])
-        more = b""
-        if k > 1:
-            ctx, at = np.unique(g >> bits, return_inverse=True)
-            per = np.array([np.bincount(at, v, len(ctx)) for m in n for v in (m, m == 1, m == 2, m > 2)], np.int64)
-            both = (per[0] > 0) & (per[4] > 0) if shared else np.ones(len(ctx), bool)
-            more = pack(ctx[both], *per[:, both])
-        keep = (n[0] > 0) & (n[1] > 0) if shared else np.ones(len(g), bool)
-        out.append((0, part, "own", pack(g[keep], *n[:, keep])))
-        h, i, what, data = zip(*out)
-        return pa.table([pa.array([lang] * len(out), pa.string()), pa.array(h, pa.int32()), pa.array(i, pa.int32()),
-                         pa.array(what, pa.string()), pa.array(data, pa.binary()),
-                         pa.array([more if w == "own" else b"" for w in what], pa.binary()),
-                         pa.array([size[j] if w == "n" else 0 for j, w in zip(h, what)], pa.int64())],
-                        names=["lang", "half", "part", "what", "data", "contexts", "n"])
-    return written(packed.groupBy("lang", "part").applyInArrow(run, _PACKED + ", contexts binary, n bigint"), f"grams{k}")
+    counts and how many are 1, 2, more; of ``half`` 1 if another row has its context too),
+    ``sums`` (n-grams counted 1, 2, 3, 4 times, sum of counts, n-grams) and ``n`` (suffixes
+    with their continuation counts)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part = (None, -1), None
+        for b in batches:
+            out = []
+            for lang, h, i, first, data in zip(*(b.column(c).to_pylist() for c in range(5))):
+                if part is None or key != (lang, i):
+                    out += [(key, r) for r in part.closed()] if part is not None else []
+                    key, part = (lang, i), _Part(k, bits, shared)
+                out += [(key, r) for r in part.add(h, first, data)]
+            if out:
+                yield _as_rows([(at[0], r[0], at[1], *r[1:]) for at, r in out], _MERGED)
+        if part is not None:
+            yield _as_rows([(key[0], r[0], key[1], *r[1:]) for r in part.closed()], _MERGED)
+    return _kept(packed.repartition("lang", "part").sortWithinPartitions("lang", "part", "first").mapInArrow(run, _MERGED), f"grams{k}")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for packed rows of up to megabytes: few of them in a batch, a page or a
+    row group, and not compressed again, which would take buffers beside the heap."""
+    with conf_held(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PIECES)):
+        return written(df, name, {"compression": "uncompressed", "parquet.block.size": str(4 << 20),
+                                  "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"})
 
 
 def _suffixes(level: DataFrame, k: int, bits: int) -> DataFrame:
@@ -235,9 +306,9 @@ def _suffixes(level: DataFrame, k: int, bits: int) -> DataFrame:
     parts = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // HELD))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        return _as_rows([(lang, side, i, "n", piece)
+        return _as_rows([(lang, side, *piece)
                          for lang, side, data in zip(*(b.column(i).to_pylist() for i in (0, 1, 2)))
-                         for i, piece in _blobs(*unpack(data), k, bits, parts)], _PACKED)
+                         for piece in _blobs(*unpack(data), k, bits, parts)], _PACKED)
     return map_batches(rows, run, _PACKED, 1)
 
 
@@ -271,60 +342,130 @@ def _values(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x[0].copy().view(np.uint64), x[1:].astype(np.uint32).view(np.float32)
 
 
+def _sealed(h: np.ndarray, v: np.ndarray) -> bytes:
+    """Sorted hashes with a value for each half, in planes of bytes that open fast: those
+    that zlib makes smaller are packed, the others stay."""
+    step = np.diff(h, prepend=np.zeros(1, np.uint64))
+    planes = [x.view(np.uint8).reshape(len(h), size)[:, i].tobytes() for x, size in ((step, 8), *((np.ascontiguousarray(x), 4) for x in v))
+              for i in range(size)]
+    small = [zlib.compress(x, 1) for x in planes]
+    kept = [z if len(z) < 0.9 * len(x) else x for z, x in zip(small, planes)]
+    return np.array([len(h), *map(len, kept)], np.int64).tobytes() + b"".join(kept)
+
+
+def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, *sizes = np.frombuffer(data, np.int64, 17).tolist()
+    h, v, at = np.empty((n, 8), np.uint8), np.empty((2, n, 4), np.uint8), 17 * 8
+    for i, size in enumerate(sizes):
+        x = memoryview(data)[at:at + size]
+        plane = np.frombuffer(x if size == n else zlib.decompress(x), np.uint8)
+        if i < 8:
+            h[:, i] = plane
+        else:
+            v[(i - 8) // 4, :, i % 4] = plane
+        at += size
+    return np.cumsum(h.view(np.uint64)[:, 0], dtype=np.uint64), v.view(np.float32)[:, :, 0]
+
+
+def _look(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted ``h`` are among ``hashes``, and where."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lo, hi = bisect_left(h, hashes[0]), bisect_right(h, hashes[-1])
+    at = np.searchsorted(hashes, h[lo:hi])
+    there = hashes[at] == h[lo:hi]
+    return lo + np.flatnonzero(there), at[there]
+
+
 class Blocks:
-    """Neighbouring blocks ``(entries, packed)`` of a table of hashes with values, broadcast
-    as bytes of bounded size; a task's process opens them once, into one sorted array."""
+    """Blocks of a table of hashes with values, each a list of sealed pieces, broadcast as
+    bytes of bounded size; a task's process holds the bytes of one and opens one piece."""
 
-    def __init__(self, spark: SparkSession, blocks: list[tuple[int, bytes]]):
-        self.sent = [(n, spark.sparkContext.broadcast(data)) for n, data in blocks]
+    def __init__(self, spark: SparkSession, blocks: Iterable[list[bytes]]):
+        self.sent = [spark.sparkContext.broadcast(x) for x in blocks]
         self.opened: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __getstate__(self):
-        return {"sent": self.sent, "opened": None}
+    def each(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.opened is not None:
+            yield self.opened
+        for sent in self.sent:
+            yield from map(_opened, sent.value)
+            vars(sent).pop("_value", None)      # else every block's bytes stay in the process
 
     def find(self, h: np.ndarray, side: int | slice = slice(None)) -> np.ndarray:
-        """The values of each hash, of both halves or of one; not a number where it is in none
-        of these blocks. Hashes are looked up in order, which leaves most steps in the cache."""
-        if self.opened is None:
-            size, at = sum(n for n, _ in self.sent), 0
-            self.opened = np.empty(size, np.uint64), np.empty((2, size), np.float32)
-            for n, sent in self.sent:
-                self.opened[0][at:at + n], self.opened[1][:, at:at + n] = _values(sent.value)
-                at += n
-        hashes, values = self.opened
-        out = np.full((*values[side].shape[:-1], len(h)), np.nan, np.float32)
-        if len(hashes):
-            order = np.argsort(h)
-            h = h[order]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            there = hashes[at] == h
-            out[..., order[there]] = values[side][..., at[there]]
+        """The values of each hash, of both halves or of one; not a number where it is in no
+        block. Hashes are looked up in order, which leaves most steps in the cache."""
+        out = np.full((2, len(h)), np.nan, np.float32)[side]
+        order = np.argsort(h)
+        h = h[order]
+        for hashes, values in self.each():
+            which, at = _look(hashes, h)
+            out[..., order[which]] = values[side][..., at]
         return out
 
-
-def blocks_of(table: DataFrame, value: str, block: int, at_once: int) -> Iterator[Blocks]:
-    """A written table of packed rows ``(n, value)`` by ranges of the hash: at most
-    about ``block`` entries are on the driver at a time, and ``at_once`` blocks are
-    given out together."""
-    table = table.select("n", value)
-    bits = max(0, int(np.ceil(np.log2(max(1, (table.agg(F.sum("n")).first()[0] or 0) / block)))))
-    held = []
-    for i in range(1 << bits):
-        def part(b: pa.RecordBatch, i=i) -> pa.RecordBatch:
-            out = []
-            for data in b.column(1).to_pylist():
-                h, v = _values(data)
-                lo, hi = np.searchsorted(h >> np.uint64(64 - bits), [i, i + 1]) if bits else (0, len(h))
-                out.append(_packed_values(h[lo:hi], v[:, lo:hi]))
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
-        found = [_values(x.as_py()) for x in map_batches(table, part, "data binary").toArrow()["data"]]
-        h = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
-        v = np.concatenate([np.zeros((2, 0), np.float32), *(v for _, v in found)], axis=1)
-        held.append((len(h), _packed_values(h, v)))
-        del found, h, v
-        if len(held) == at_once or i + 1 == 1 << bits:
-            yield Blocks(table.sparkSession, held)
-            held = []
+    def drop(self) -> None:
+        """The copies on the driver's and the executors' disks go."""
+        for sent in self.sent:
+            sent.destroy()
+        self.sent = []
+
+
+#: A table of packed model entries: rows, and what makes ``_ENTRIES`` of their batches.
+Table = tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]
+
+
+def blocks_of(tables: list[Table], value: str, entries: int, block: int, at_once: int, name: str) -> Blocks:
+    """The ``entries`` of tables, dealt by ranges of the hash and written as blocks of at most
+    about ``block`` entries in ``at_once`` pieces; the driver holds one block at a time."""
+    bits = max(0, int(np.ceil(np.log2(max(1, entries / block)))))
+    schema = "block int, n bigint, data binary"
+
+    def joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [_values(x) for x in found]
+        h, v = np.concatenate([h for h, _ in found]), np.concatenate([v for _, v in found], axis=1)
+        order = np.argsort(h, kind="stable")
+        return h[order], v[:, order]
+
+    def pieces(held: list[bytes]) -> pa.RecordBatch:
+        h, v = joined(held)
+        ends = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else (0, len(h))
+        return _as_rows([(i, int(hi - lo), _packed_values(h[lo:hi], v[:, lo:hi]))
+                         for i, (lo, hi) in enumerate(zip(ends, ends[1:])) if lo < hi], schema)
+
+    def dealt(df: DataFrame, made: Callable) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for b in made(batches):
+                for n, data in zip(b.column("n").to_pylist(), b.column(value)):
+                    held.append(data.as_py())
+                    size += n
+                    if size > HELD // 2:
+                        yield pieces(held)
+                        held, size = [], 0
+            if size:
+                yield pieces(held)
+        return df.mapInArrow(run, schema)
+
+    def whole(key: tuple, t: pa.Table) -> pa.Table:
+        h, v = joined(t.column("data").to_pylist())
+        step = -(-len(h) // at_once)
+        return pa.Table.from_batches([_as_rows([(key[0].as_py(), len(h[i:i + step]), _sealed(h[i:i + step], v[:, i:i + step]))
+                                                for i in range(0, len(h), step)], schema)])
+
+    rows = _kept(reduce(DataFrame.unionByName, (dealt(*t) for t in tables)).groupBy("block").applyInArrow(whole, schema), name)
+
+    def found() -> Iterator[list[bytes]]:
+        held, size = [], 0
+        with conf_held(rows.sparkSession, "spark.sql.files.maxPartitionBytes", str(4 << 20)):   # few pieces on their way at a time
+            for r in rows.select("n", "data").toLocalIterator():
+                held.append(bytes(r["data"]))
+                size += r["n"]
+                if size >= block:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+    return Blocks(rows.sparkSession, found())
 
 
 _LEVEL = "lang string, g binary, own binary, rest binary, below binary"
@@ -347,12 +488,10 @@ def _halves(data: bytes) -> np.ndarray:
 def _filled(sent: Blocks, k: int, bits: int):
     """Into packed rows of level ``k``: the log probability of each n-gram's suffix."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for lang, g, own, rest, below in zip(*(c.to_pylist() for c in b.columns)):
-            low = np.frombuffer(g, np.int64) & ((1 << bits * (k - 1)) - 1)
-            found, known = sent.find(hashed(lang, k - 1, low)), _halves(below)
-            out.append((lang, g, own, rest, np.where(np.isnan(known), found, known)))
-        return _as_rows(out, _LEVEL)
+        rows = list(zip(*(c.to_pylist() for c in b.columns)))
+        asked = [hashed(r[0], k - 1, np.frombuffer(r[1], np.int64) & ((1 << bits * (k - 1)) - 1)) for r in rows]
+        found = np.split(sent.find(np.concatenate(asked)), np.cumsum([len(h) for h in asked])[:-1], axis=1)
+        return _as_rows([(*r[:4], np.ascontiguousarray(x)) for r, x in zip(rows, found)], _LEVEL)
     return run
 
 
@@ -370,26 +509,43 @@ def _entries(k: int):
     return run
 
 
-def _in_turn(*steps):
-    """Functions of a batch as one, so that one process runs them."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+def _in_turn(first: Callable, *steps: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``first`` of each row, and of its results, so many that they have about ``HELD / 2``
+    n-grams, the other steps in the same process."""
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         for step in steps:
-            b = step(b) if b is not None and b.num_rows else None
+            b = step(b)
         return b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                one = first(b.slice(i, 1))
+                if one is not None:
+                    held.append(one)
+                    size += sum(len(x.as_buffer()) for x in one.column("g")) // 8
+                if size > HELD // 2:
+                    yield done(held)
+                    held, size = [], 0
+        if held:
+            yield done(held)
     return run
 
 
 def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once: int
-                 ) -> tuple[list[DataFrame], dict[tuple[str | None, int], float]]:
-    """Tables of packed model entries ``(n, lang, g, logp, gain)``, values with their
+                 ) -> tuple[list[Table], int, dict[tuple[str | None, int], float], list[Blocks]]:
+    """Tables of packed model entries (``_ENTRIES``), values with their
     hashes for both halves: contexts (``gain`` only) and n-grams of every order, the
-    highest order last; and the log probability of an unknown word by language and
-    half. ``shared``: only what both halves have."""
+    highest order last; the number of their entries; the log probability of an unknown
+    word by language and half; and the blocks the last table needs. ``shared``: only what
+    both halves have."""
     bits = width(order)
     levels: dict[int, DataFrame] = {}
     for k in range(order, 0, -1):
         levels[k] = _merged(top if k == order else _suffixes(levels[k + 1], k, bits), k, bits, shared)
-    tables, unknown, lower = [], {}, None
+    tables, entries, unknown, lower, used = [], 0, {}, None, []
     for k in range(1, order + 1):
         sums: dict[tuple[str | None, int], np.ndarray] = {}
         for r in levels[k].filter("what = 'sums'").select("lang", "half", "data").toLocalIterator():
@@ -440,19 +596,17 @@ def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once:
                     out.append((len(x[0]), lang, x[0], None, _packed_values(hashed(lang, -k, x[0]), back)))
             return _as_rows(out, _ENTRIES)
 
-        own = levels[k].filter("what = 'own'").select("lang", "data", "contexts")
+        own = levels[k].filter("what = 'own'").select("lang", "data", "contexts", "half", "n")
+        here = own.agg(F.sum("n")).first()[0] or 0
         if k > 1:
-            tables.append(map_batches(own, contexts, _ENTRIES, 1))
-        t, steps = own, [rows]
-        for i, sent in enumerate(blocks_of(lower, "logp", block, at_once) if k > 1 else ()):
-            if i:       # one process holds the blocks of one pass
-                t, steps = map_batches(t, _in_turn(*steps), _LEVEL, 1), []
-            steps.append(_filled(sent, k, bits))
-        lower = map_batches(t, _in_turn(*steps, _entries(k)), _ENTRIES, 1)
+            tables.append((own.filter("half = 0"), _in_turn(contexts)))
+            used.append(blocks_of([lower], "logp", n_lower, block, at_once, f"blocks{k - 1}"))
+        lower = own, _in_turn(rows, *([_filled(used[-1], k, bits)] if k > 1 else []), _entries(k))
         if k < order:
-            lower = written(lower, f"level{k}")
+            lower = _kept(own.mapInArrow(lower[1], _ENTRIES), f"level{k}"), iter
+        n_lower, entries = here, entries + here
         tables.append(lower)
-    return tables, unknown
+    return tables, entries, unknown, used
 
 
 def kneser_ney(top: DataFrame, order: int) -> DataFrame:
@@ -464,7 +618,8 @@ def kneser_ney(top: DataFrame, order: int) -> DataFrame:
         side, at = np.nonzero(~np.isnan(logp))
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(side.astype(np.int32)),
                                            pa.array(g[at]), pa.array(logp[side, at])], names=["lang", "half", "g", "logp"])
-    found = model_tables(top, order, False, 2_000_000, 8)[0][-1].select("lang", "g", "logp")
+    own, made = model_tables(top, order, False, 2_000_000, 8)[0][-1]
+    found = own.mapInArrow(made, _ENTRIES).select("lang", "g", "logp")
     return map_batches(found, run, "lang string, half int, g bigint, logp double", 1)
 
 
@@ -492,30 +647,54 @@ def _runs(found: Iterable[tuple[int, str | None, np.ndarray]]) -> Iterator[tuple
 
 
 def _sums(sent: Blocks, order: int, langs: list[str | None], found: list[np.ndarray]) -> np.ndarray:
-    """What these blocks add to the log probability of each text, given by its n-grams."""
+    """What the model adds to the log probability of each text, given by its n-grams."""
     w, sums = width(order), np.zeros(len(found))
+
+    def asked(lang: str | None, tag: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in order, room for their values, and which of them each n-gram has."""
+        back: np.ndarray | slice = slice(None)
+        if tag != order:        # far fewer words and contexts than n-grams
+            x, back = np.unique(x, return_inverse=True)
+        h = hashed(lang, tag, x)
+        at = np.argsort(h)
+        place = np.empty(len(h), np.int32)
+        place[at] = np.arange(len(h), dtype=np.int32)
+        return h[at], np.zeros(len(h), np.float32), place[back]
+
+    def add(held: list[tuple]) -> None:
+        for hashes, values in sent.each():
+            for side, _, _, parts in held:
+                for h, value, _ in parts:
+                    which, at = _look(hashes, h)
+                    value[which] = np.nan_to_num(values[side, at])
+        for _, row, which, parts in held:
+            gain = np.zeros(len(parts[0][2]), np.float64)
+            for _, value, place in parts:
+                gain += value[place]
+            sums[:] += np.bincount(row, gain[which], len(sums))
+
+    held, size = [], 0
     for lang, side, g, row in _runs(zip(range(len(found)), langs, found)):
+        size += len(g)
         g, which = np.unique(g, return_inverse=True)
-        gain = np.zeros(len(g), np.float64)
-        for tag in (*range(1, order + 1), *range(-order, -1)):
-            x = g & ((1 << w * tag) - 1) if tag > 0 else (g >> w) & ((1 << w * (-tag - 1)) - 1)
-            if tag == order:
-                gain += np.nan_to_num(sent.find(hashed(lang, tag, x), 1 - side))
-            else:       # far fewer words and contexts than n-grams
-                x, at = np.unique(x, return_inverse=True)
-                gain += np.nan_to_num(sent.find(hashed(lang, tag, x), 1 - side))[at]
-        sums += np.bincount(row, gain[which], len(sums))
+        held.append((1 - side, row.astype(np.int32), which.astype(np.int32), [
+            asked(lang, tag, g & ((1 << w * tag) - 1) if tag > 0 else (g >> w) & ((1 << w * (-tag - 1)) - 1))
+            for tag in (*range(1, order + 1), *range(-order, -1))]))
+        if size >= HELD:
+            add(held)
+            held, size = [], 0
+    if held:
+        add(held)
     return sums
 
 
-def _pass(sent: Blocks, order: int):
-    """Add these blocks' values to every document's sum."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        at = b.num_columns - 1
-        found = [grams(t.as_py(), order) for t in b.column("text")]
-        sums = np.array(b.column(at), np.float64) + _sums(sent, order, b.column("lang").to_pylist(), found)
-        return b.set_column(at, b.schema.field(at), pa.array(sums, pa.float64()))
-    return run
+def _slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``TEXT`` bytes in column ``at``, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(upto // TEXT)) + 1), b.num_rows]
+    for lo, hi in zip(edges, edges[1:]):
+        if lo < hi:
+            yield b.slice(lo, hi - lo)
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 2,
@@ -525,29 +704,30 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     band, and ``kept``."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     id_type = dict(d.dtypes)["doc_id"]
-    tables, unknown = model_tables(count_grams(d, order), order, True, block, at_once)
-    model = written(reduce(DataFrame.unionByName, (t.select("n", "gain") for t in tables)), "model")
-
-    scored = d.withColumn("logp", F.lit(0.0))
-    schema = f"doc_id {id_type}, lang string, text string, logp double"
-    passes = blocks_of(model, "gain", block, at_once)
-    last = next(passes)
-    for sent in passes:
-        scored, last = map_batches(scored, _pass(last, order), schema, ROWS), sent
+    tables, entries, unknown, used = model_tables(count_grams(d, order), order, True, block, at_once)
+    model = blocks_of(tables, "gain", entries, block, at_once, "model")
+    for sent in used:
+        sent.drop()
+
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        """The last pass, and the base counts with it."""
+        """Log probabilities, and the base counts with them."""
         langs, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
         found, counts = [grams(t, order) for t in texts], list(zip(*map(base_counts, texts)))
         base = [len(g) * unknown.get((lang, 1 - half(g)), 0.0) if len(g) else 0.0 for lang, g in zip(langs, found)]
-        logp = np.array(b.column(3), np.float64) + _sums(last, order, langs, found) + base
+        logp = _sums(model, order, langs, found) + base
         per = [max(1, said_words(t)) if len(g) else 0 for t, g in zip(texts, found)]
         return pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(logp, pa.float64()), pa.array(per, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)],
             names=["doc_id", "lang", "logp", "per", *names])
-    rows = cut(map_batches(scored, count, f"doc_id {id_type}, lang string, logp double, per bigint, "
-                           + ", ".join(f"{c} bigint" for c in names), ROWS))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from map(count, _slices(b, 2))
+    rows = cut(d.mapInArrow(score, f"doc_id {id_type}, lang string, logp double, per bigint, "
+                            + ", ".join(f"{c} bigint" for c in names)))
+    model.drop()
     rows = rows.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "log_perplexity": F.when(F.col("per") > 0, -F.col("logp") / F.col("per"))})

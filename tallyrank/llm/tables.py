@@ -34,23 +34,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Spark removes the shuffle files of a write made here once the write has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def conf_held(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting that holds for what is run here."""
     before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of a write made here once the write has ended."""
+    with conf_held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again; smaller on disk than
     ``cut``, and the shuffle files of the way to it go."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -459,3 +459,68 @@ def test_model_lookups_are_sorted_and_distinct(monkeypatch):
     assert looked and all((v[1:] >= v[:-1]).all() for v in looked)
     assert sum(len(v) < 50 and len(np.unique(v)) == len(v) for v in looked) * 3 == len(looked) * 2
     assert np.array_equal(blocks.find(asked, 1), -want, equal_nan=True)
+
+
+def test_counts_of_a_part_merge_in_pieces(monkeypatch):
+    """One very common context beside many rare ones, from many tasks, in bounded memory."""
+    monkeypatch.setattr(perplexity, "HELD", 200)
+    monkeypatch.setattr(perplexity, "PIECE", 8)
+    rnd = np.random.default_rng(4)
+    want, rows = [Counter(), Counter()], []
+    for task in range(40):
+        ctx = np.where(rnd.random(120) < 0.6, 500, rnd.integers(1, 1000, 120))
+        g, n = np.unique(ctx << 31 | rnd.integers(0, 400, 120), return_counts=True)
+        want[task % 2].update(dict(zip(g.tolist(), n.tolist())))
+        rows += [(first, task % 2, data) for _, first, data in perplexity._blobs(g, n, 2, 31, 1)]
+    part, out, most = perplexity._Part(2, 31, True), [], 0
+    for first, side, data in sorted(rows):
+        out += part.add(side, first, data)
+        most = max(most, part.size + len(part.g))
+    out += part.closed()
+    assert most < 1000 < len(rows) * 4 < sum(map(len, want))
+    shared, ctx, told = set(want[0]) & set(want[1]), [], {}
+    assert sum(what == "own" for _, what, *_ in out) > 5
+    for side, what, data, contexts, size in out:
+        if what != "own":
+            continue
+        x, c = perplexity.unpack(data), perplexity.unpack(contexts)
+        assert size == x.shape[1] + (0 if side else c.shape[1]) and set((x[0] >> 31).tolist()) <= set(c[0].tolist())
+        ctx += [] if side else c[0].tolist()
+        for i in range(c.shape[1]):
+            for h in (0, 1):
+                counts = [n for g, n in want[h].items() if g >> 31 == c[0, i]]
+                assert c[1 + 4 * h:5 + 4 * h, i].tolist() == [sum(counts), counts.count(1), counts.count(2), sum(n > 2 for n in counts)]
+        for g, a, b in x.T.tolist():
+            assert g not in told and (want[0][g], want[1][g]) == (a, b)
+            told[g] = 1
+    assert set(told) == shared and sorted(ctx) == sorted({g >> 31 for g in want[0]} & {g >> 31 for g in want[1]})
+    for h in (0, 1):
+        sums, = (perplexity.unpack(data)[0].tolist() for side, what, data, *_ in out if what == "sums" and side == h)
+        assert sums == [*(list(want[h].values()).count(i) for i in (1, 2, 3, 4)), sum(want[h].values()), len(want[h])]
+        low = Counter()
+        for side, what, data, *_ in out:
+            if what == "n" and side == h:
+                low.update(dict(perplexity.unpack(data).T.tolist()))
+        assert low == Counter(g & (1 << 31) - 1 for g in want[h])
+
+
+def test_one_process_scores_with_any_number_of_blocks(spark, monkeypatch):
+    rnd, plans, cut = random.Random(8), [], perplexity.cut
+    rows = [(i, " ".join(f"w{int(rnd.random() ** 2 * 90)}" for _ in range(80)), rnd.choice(["a", None])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    monkeypatch.setattr(perplexity, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    got = [sorted((r.doc_id, round(r.log_perplexity, 6), r.kept) for r in perplexity.quality(docs, block=block, at_once=at_once).collect())
+           for block, at_once in ((100, 3), (2_000_000, 8))]
+    assert got[0] == got[1] and len(got[0]) == 60
+    assert [p.count("MapInArrow") for p in plans if "logp" in p and "Aggregate" not in p] == [1, 1]
+
+    h = np.sort(rnd_hashes := np.random.default_rng(1).integers(0, 2 ** 63, 500).astype(np.uint64))
+    v = np.random.default_rng(2).normal(size=(2, 500)).astype(np.float32)
+    sent = [type("Sent", (), {})() for _ in range(5)]
+    for i, x in enumerate(sent):
+        x.value = x._value = [perplexity._sealed(h[i * 100 + j:i * 100 + j + 50], v[:, i * 100 + j:i * 100 + j + 50]) for j in (0, 50)]
+    blocks = perplexity.Blocks.__new__(perplexity.Blocks)
+    blocks.sent, blocks.opened = sent, None
+    at = np.searchsorted(h, rnd_hashes)
+    assert np.array_equal(blocks.find(rnd_hashes), v[:, at]) and np.isnan(blocks.find(rnd_hashes + np.uint64(1), 0)).all()
+    assert not any("_value" in vars(x) for x in sent) and perplexity._opened(perplexity._sealed(h[:0], v[:, :0]))[0].size == 0
