@@ -42,6 +42,7 @@ an empty result. A text of any length is scored whole, ``SLICE`` n-grams at a ti
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -55,7 +56,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .tables import conf_held, cut, map_batches, written
+from .tables import conf_held, cut, discard, map_batches, written
 from .wordhash import WordHasher, mix, white_space
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\r\x0b\x0c"
@@ -269,7 +270,7 @@ class _Part:
         return out
 
 
-def _merged(packed: DataFrame, k: int, bits: int, shared: bool) -> DataFrame:
+def _merged(packed: DataFrame, k: int, bits: int, shared: bool, folder: str) -> DataFrame:
     """Counts of ``k``-grams put together by part. Rows of ``what``: ``own`` (n-grams
     with their counts in both halves, and contexts, for each half with the sum of
     counts and how many are 1, 2, more; of ``half`` 1 if another row has its context too),
@@ -288,7 +289,8 @@ def _merged(packed: DataFrame, k: int, bits: int, shared: bool) -> DataFrame:
                 yield _as_rows([(at[0], r[0], at[1], *r[1:]) for at, r in out], _MERGED)
         if part is not None:
             yield _as_rows([(key[0], r[0], key[1], *r[1:]) for r in part.closed()], _MERGED)
-    return _kept(packed.repartition("lang", "part").sortWithinPartitions("lang", "part", "first").mapInArrow(run, _MERGED), f"grams{k}")
+    return _kept(packed.repartition("lang", "part").sortWithinPartitions("lang", "part", "first").mapInArrow(run, _MERGED),
+                 f"{folder}/grams{k}")
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -534,7 +536,7 @@ def _in_turn(first: Callable, *steps: Callable) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once: int
+def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once: int, folder: str
                  ) -> tuple[list[Table], int, dict[tuple[str | None, int], float], list[Blocks]]:
     """Tables of packed model entries (``_ENTRIES``), values with their
     hashes for both halves: contexts (``gain`` only) and n-grams of every order, the
@@ -544,7 +546,7 @@ def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once:
     bits = width(order)
     levels: dict[int, DataFrame] = {}
     for k in range(order, 0, -1):
-        levels[k] = _merged(top if k == order else _suffixes(levels[k + 1], k, bits), k, bits, shared)
+        levels[k] = _merged(top if k == order else _suffixes(levels[k + 1], k, bits), k, bits, shared, folder)
     tables, entries, unknown, lower, used = [], 0, {}, None, []
     for k in range(1, order + 1):
         sums: dict[tuple[str | None, int], np.ndarray] = {}
@@ -600,10 +602,10 @@ def model_tables(top: DataFrame, order: int, shared: bool, block: int, at_once:
         here = own.agg(F.sum("n")).first()[0] or 0
         if k > 1:
             tables.append((own.filter("half = 0"), _in_turn(contexts)))
-            used.append(blocks_of([lower], "logp", n_lower, block, at_once, f"blocks{k - 1}"))
+            used.append(blocks_of([lower], "logp", n_lower, block, at_once, f"{folder}/blocks{k - 1}"))
         lower = own, _in_turn(rows, *([_filled(used[-1], k, bits)] if k > 1 else []), _entries(k))
         if k < order:
-            lower = _kept(own.mapInArrow(lower[1], _ENTRIES), f"level{k}"), iter
+            lower = _kept(own.mapInArrow(lower[1], _ENTRIES), f"{folder}/level{k}"), iter
         n_lower, entries = here, entries + here
         tables.append(lower)
     return tables, entries, unknown, used
@@ -618,7 +620,7 @@ def kneser_ney(top: DataFrame, order: int) -> DataFrame:
         side, at = np.nonzero(~np.isnan(logp))
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(side.astype(np.int32)),
                                            pa.array(g[at]), pa.array(logp[side, at])], names=["lang", "half", "g", "logp"])
-    own, made = model_tables(top, order, False, 2_000_000, 8)[0][-1]
+    own, made = model_tables(top, order, False, 2_000_000, 8, "kneser_ney")[0][-1]
     found = own.mapInArrow(made, _ENTRIES).select("lang", "g", "logp")
     return map_batches(found, run, "lang string, half int, g bigint, logp double", 1)
 
@@ -704,8 +706,10 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     band, and ``kept``."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     id_type = dict(d.dtypes)["doc_id"]
-    tables, entries, unknown, used = model_tables(count_grams(d, order), order, True, block, at_once)
-    model = blocks_of(tables, "gain", entries, block, at_once, "model")
+    folder = f"quality-{uuid.uuid4().hex[:12]}"
+    tables, entries, unknown, used = model_tables(count_grams(d, order), order, True, block, at_once, folder)
+    model = blocks_of(tables, "gain", entries, block, at_once, f"{folder}/model")
+    discard(d.sparkSession, folder)     # the model is with the driver; these would stand on disk beside its copies
     for sent in used:
         sent.drop()
 

@@ -60,6 +60,12 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes what was ``written`` under names that begin with ``folder/``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{folder}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept_names(keep: tuple[str, ...], own: tuple[str, ...]) -> dict[str, str]:
     """The output name of every kept column: its own, with ``kept_`` before it as often
     as a column of the operator, or another, has that name."""

@@ -512,6 +512,11 @@ def test_one_process_scores_with_any_number_of_blocks(spark, monkeypatch):
     got = [sorted((r.doc_id, round(r.log_perplexity, 6), r.kept) for r in perplexity.quality(docs, block=block, at_once=at_once).collect())
            for block, at_once in ((100, 3), (2_000_000, 8))]
     assert got[0] == got[1] and len(got[0]) == 60
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tallyrank.llm.tables import shared_root
+    assert not list(Path(urlparse(shared_root(spark)).path).glob("quality-*"))       # steps in between are gone
     assert [p.count("MapInArrow") for p in plans if "logp" in p and "Aggregate" not in p] == [1, 1]
 
     h = np.sort(rnd_hashes := np.random.default_rng(1).integers(0, 2 ** 63, 500).astype(np.uint64))
